@@ -8,8 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = {
+    "op1_url_filter": "url_filter",
     "op2_packing": "packing",
+    "op3_simhash": "simhash",
     "op5_byte_bpe": "byte_bpe",
+    "op9_toxicity": "toxicity",
 }
 
 

@@ -13,6 +13,7 @@ MODULES = {
     "op3_simhash": "simhash",
     "op5_byte_bpe": "byte_bpe",
     "op9_toxicity": "toxicity",
+    "op10_language": "language",
 }
 
 

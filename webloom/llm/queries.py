@@ -12,6 +12,7 @@ MODULES = {
     "op2_packing": "packing",
     "op3_simhash": "simhash",
     "op5_byte_bpe": "byte_bpe",
+    "op6_ann": "ann",
     "op7_suffix_dedup": "exact_substrings",
     "op8_quality": "quality",
     "op9_toxicity": "toxicity",

@@ -11,6 +11,7 @@ MODULES = {
     "op1_url_filter": "url_filter",
     "op2_packing": "packing",
     "op3_simhash": "simhash",
+    "op4_pii": "pii",
     "op5_byte_bpe": "byte_bpe",
     "op6_ann": "ann",
     "op7_suffix_dedup": "exact_substrings",

@@ -90,17 +90,24 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, share: np.ndarray, *, epochs
     prior = float((share * y).sum() / total) if total else 0.0
     if not 0 < prior < 1:
         return Model(np.zeros(BUCKETS, np.float32), 30.0 if prior else -30.0)
-    sizes = np.array([len(d) for d in docs])
-    flat = np.concatenate(docs).astype(np.int64)
-    row = np.repeat(np.arange(len(docs)), sizes)
-    pos = alpha + np.bincount(flat, weights=y[row], minlength=BUCKETS)
-    neg = alpha + np.bincount(flat, weights=(1 - y)[row], minlength=BUCKETS)
+    # in parts, so that the driver holds no second copy of the sample
+    parts = [range(i, min(i + 256, len(docs))) for i in range(0, len(docs), 256)]
+    pos, neg = np.full(BUCKETS, alpha), np.full(BUCKETS, alpha)
+    for part in parts:
+        for counts, label in ((pos, 1), (neg, 0)):
+            if mine := [docs[i] for i in part if labels[i] == label]:
+                counts += np.bincount(np.concatenate(mine), minlength=BUCKETS)
     ratio = np.log((pos / pos.sum()) / (neg / neg.sum()))
     used = np.flatnonzero(np.abs(ratio) >= sure * np.sqrt(1 / pos + 1 / neg))
     place = np.full(BUCKETS, -1)
     place[used] = np.arange(len(used))
-    col, ratio, m = place[flat], ratio[used], len(used)
-    row, col = row[col >= 0], col[col >= 0]
+    kept = []
+    for part in parts:
+        row = np.repeat(np.array(part, np.int64), [len(docs[i]) for i in part])
+        col = place[np.concatenate([docs[i] for i in part])]
+        kept.append((row[col >= 0], col[col >= 0]))
+    row, col = (np.concatenate([k[i] for k in kept]) for i in (0, 1))
+    ratio, m = ratio[used], len(used)
     value = ratio[col]
     starts = np.searchsorted(row, np.arange(len(docs)))
     empty = np.bincount(row, minlength=len(docs)) == 0

@@ -198,9 +198,13 @@ def pack(df: DataFrame, definition: str, *, key: str = "doc_id", text: str = "te
     return map_batches(df.select(key, text), make, f"{key} {dict(df.dtypes)[key]}, {DDL}" + ", ids array<int>" * ids)
 
 
-def query(spark, sf_dir: str) -> DataFrame:
+def definition() -> str:
+    """The tokenizer file of the production parameters."""
     import public_tokenizers
 
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
-        definition = f.read()
-    return pack(read(spark, sf_dir, "documents"), definition)
+        return f.read()
+
+
+def query(spark, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), definition())

@@ -60,22 +60,26 @@ def votes(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", widths: tuple[int, ...] = (3,)) -> DataFrame:
     """``key`` and ``fp`` (the 64 bits as a signed long) of each row; a text without words,
-    or null, has fingerprint zero, one with fewer than ``width`` words has its whole
-    sequence as its only shingle."""
+    or null, has fingerprint zero, one with fewer words than a shingle has its whole
+    sequence as its only shingle.  Further ``widths`` give columns fp<width>."""
+    names = ["fp", *(f"fp{w}" for w in widths[1:])]
 
     def make():
         def handle(batch: pa.RecordBatch):
             data, offsets = texts_of(batch, text)
             for lo, hi in slices(offsets, CHUNK):
                 raw, at = data[offsets[lo] : offsets[hi]].tobytes(), (offsets[lo : hi + 1] - offsets[lo]).tolist()
-                found = [votes(np.array(shingle_hashes(raw[a:b], width), np.uint64)) for a, b in zip(at, at[1:], strict=False)]
-                yield {key: batch.column(0).slice(lo, hi - lo), "fp": np.array(found, np.uint64).view(np.int64)}
+                out = {key: batch.column(0).slice(lo, hi - lo)}
+                for name, width in zip(names, widths, strict=True):
+                    found = [votes(np.array(shingle_hashes(raw[a:b], width), np.uint64)) for a, b in zip(at, at[1:], strict=False)]
+                    out[name] = np.array(found, np.uint64).view(np.int64)
+                yield out
 
         return handle
 
-    return map_batches(docs.select(key, text), make, f"{key} {dict(docs.dtypes)[key]}, fp bigint")
+    return map_batches(docs.select(key, text), make, f"{key} {dict(docs.dtypes)[key]}, " + ", ".join(f"{n} bigint" for n in names))
 
 
 def cut(bits: list[int], n: int) -> list[list[int]]:
@@ -89,10 +93,10 @@ def mask_of(bits: list[int]) -> int:
 
 
 def first_masks(count: int, differ: int = BITS) -> list[int]:
-    """The choices of blocks, so many that a key has about as many values as there are
-    fingerprints: with b blocks, close pairs agree on b - ``differ`` of them."""
+    """The choices of blocks, of so many bits that few fingerprints meet by chance: with b
+    blocks, close pairs agree on b - ``differ`` of them."""
     blocks = differ + 2
-    while blocks < 2 * differ + 2 and 2 ** (64 * (blocks - differ) // blocks) < count:
+    while blocks < 2 * differ + 2 and 16 * 2 ** (64 * (blocks - differ) // blocks) < count:
         blocks += 1
     parts = cut(list(range(64)), blocks)
     return [mask_of(sum(chosen, [])) for chosen in combinations(parts, blocks - differ)]
@@ -103,13 +107,20 @@ def finer(mask: int, differ: int = BITS) -> list[int]:
     return [mask_of(fixed + part) for part in cut(free, differ + 1)]
 
 
-def near_edges(values: np.ndarray, differ: int) -> tuple[np.ndarray, np.ndarray]:
-    """One edge from each fingerprint that has a near one to the first of its component
-    (within these values alone).  Each is compared once with those not yet reached."""
+def near_edges(values: np.ndarray, differ: int, checks: np.ndarray | None = None, check: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """One edge (by places in ``values``) from each fingerprint that has a near one to the
+    first of its component, within these values alone.  With ``checks`` a pair is near
+    only if these differ in at most ``check`` bits as well.  Each is compared once with
+    those not yet reached."""
     n = len(values)
-    if n == 2:
-        return (values[1:], values[:1]) if (int(values[0]) ^ int(values[1])).bit_count() <= differ else (values[:0], values[:0])
     to = np.full(n, -1)
+
+    def met_by(front: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        near = np.bitwise_count(values[front, None] ^ values[None, rest]) <= differ
+        if checks is not None:
+            near &= np.bitwise_count(checks[front, None] ^ checks[None, rest]) <= check
+        return near.any(axis=0)
+
     for first in range(n):
         if to[first] >= 0:
             continue
@@ -118,55 +129,57 @@ def near_edges(values: np.ndarray, differ: int) -> tuple[np.ndarray, np.ndarray]
         rest = np.flatnonzero(to < 0)
         while len(front) and len(rest):
             met = np.zeros(len(rest), bool)
-            step = max(1, (1 << 21) // len(rest))
+            step = max(1, (1 << 20) // len(rest))
             for lo in range(0, len(front), step):
-                met |= (np.bitwise_count(values[front[lo : lo + step], None] ^ values[None, rest]) <= differ).any(axis=0)
+                met |= met_by(front[lo : lo + step], rest)
             front, rest = rest[met], rest[~met]
             to[front] = first
     moved = np.flatnonzero(to != np.arange(n))
-    return values[moved], values[to[moved]]
+    return moved, to[moved]
 
 
-def _meet(differ: int):
+def _meet(differ: int, check: int):
     """Rows sorted by (mask, value): each run of equal keys is one meeting."""
-
-    def make():
-        held: list[np.ndarray] = []
-        at: list = [None]
-
-        def close():
-            if held:
-                values = np.unique(np.concatenate(held))
-                held.clear()
-                if len(values) > 1:
-                    a, b = near_edges(values, differ)
-                    if len(a):
-                        yield {"a": a.view(np.int64), "b": b.view(np.int64)}
-
-        def handle(batch: pa.RecordBatch | None):
-            if batch is None:
+    held: list[tuple] = []
+    at: list = [None]
+
+    def close():
+        if not held:
+            return
+        node, fp, other = (np.concatenate([h[i] for h in held]) for i in range(3))
+        held.clear()
+        if len(node) == 2:
+            near = (int(fp[0]) ^ int(fp[1])).bit_count() <= differ and (int(other[0]) ^ int(other[1])).bit_count() <= check
+            if near and node[0] != node[1]:
+                yield node[1:], node[:1]
+        elif len(node) > 2:
+            order = np.lexsort((node, other, fp))
+            node, fp, other = node[order], fp[order], other[order]
+            a, b = near_edges(fp, differ, None if check >= 64 else other, check)
+            if len(a):
+                yield node[a], node[b]
+
+    def handle(batch: pa.RecordBatch | None):
+        if batch is None:
+            yield from close()
+            return
+        mask, value, node, fp, other = (batch.column(i).to_numpy() for i in range(5))
+        new = np.flatnonzero((mask[1:] != mask[:-1]) | (value[1:] != value[:-1])) + 1
+        edges = [0, *new.tolist(), len(mask)]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            if at[0] != (key := (mask[lo], value[lo])):
                 yield from close()
-                return
-            mask, value, fp = (batch.column(i).to_numpy() for i in range(3))
-            new = np.flatnonzero((mask[1:] != mask[:-1]) | (value[1:] != value[:-1])) + 1
-            edges = [0, *new.tolist(), len(mask)]
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                if at[0] != (key := (int(mask[lo]), int(value[lo]))):
-                    yield from close()
-                    at[0] = key
-                held.append(fp[lo:hi].view(np.uint64))
-
-        return handle
+                at[0] = key
+            held.append((node[lo:hi], fp[lo:hi].view(np.uint64), other[lo:hi].view(np.uint64)))
 
-    return make
+    return handle
 
 
-def _meetings(keyed: DataFrame, differ: int) -> DataFrame:
-    make = _meet(differ)
+def _meetings(keyed: DataFrame, differ: int, check: int) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        handle = make()
+        handle = _meet(differ, check)
         a, b = [], []
 
         def out():
@@ -176,15 +189,16 @@ def _meetings(keyed: DataFrame, differ: int) -> DataFrame:
             return got
 
         for batch in _then_none(batches):
-            for x in handle(batch):
-                a.append(x["a"])
-                b.append(x["b"])
-                if sum(map(len, a)) > 50_000:
+            for x, y in handle(batch):
+                a.append(x)
+                b.append(y)
+                if len(a) > 20_000:
                     yield out()
         if a:
             yield out()
 
-    return keyed.repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(run, "a bigint, b bigint")
+    rows = keyed.select("mask", "value", "node", "fp", "other")
+    return rows.repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(run, "a bigint, b bigint")
 
 
 def _then_none(batches):
@@ -194,24 +208,28 @@ def _then_none(batches):
     yield None
 
 
-def links(distinct: DataFrame, count: int, *, differ: int = BITS, most: int = MOST) -> DataFrame:
-    """Edges ``a``, ``b`` between distinct fingerprints (column ``fp``) whose components
-    are those of all pairs with at most ``differ`` differing bits."""
-    keyed = distinct.select("fp", F.explode(F.array(*map(F.lit, first_masks(count, differ)))).alias("mask"))
+def links(nodes: DataFrame, count: int, *, differ: int = BITS, check: int = 64, most: int = MOST) -> DataFrame:
+    """Edges ``a``, ``b`` between the nodes of a table ``node``, ``fp``, ``other`` whose
+    components are those of all pairs with at most ``differ`` differing bits of fp (and
+    ``check`` of other)."""
+    keyed = nodes.select("node", "fp", "other", F.explode(F.array(*map(F.lit, first_masks(count, differ)))).alias("mask"))
     edges = None
     while True:
-        keyed = keyed.select("mask", F.expr("fp & mask").alias("value"), "fp")
-        sizes = keyed.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+        keyed = keyed.select("mask", F.expr("fp & mask").alias("value"), "node", "fp", "other")
+        sizes = keyed.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("size"))
         crowded = written(sizes.where(F.col("size") > most).select("mask", "value"))
         some = crowded.limit(1).count()
         small = keyed.join(crowded, ["mask", "value"], "left_anti") if some else keyed
-        part = _meetings(small, differ)
+        part = _meetings(small, differ, check)
         edges = part if edges is None else edges.unionByName(part)
         if not some:
             return edges
         masks = [r[0] for r in crowded.select("mask").distinct().collect()]  # as many as there are choices of blocks
-        options = F.create_map(*[x for m in masks for x in (F.lit(m), F.array(*map(F.lit, finer(m, differ))))])
-        keyed = written(keyed.join(crowded, ["mask", "value"], "left_semi").select("fp", F.explode(options[F.col("mask")]).alias("mask")))
+        free = {m: [x for x in finer(m, differ) if x != m] for m in masks}
+        if not any(free.values()):  # all bits are fixed: what meets now has one fingerprint
+            return edges.unionByName(_meetings(keyed.join(crowded, ["mask", "value"], "left_semi"), differ, check))
+        options = F.create_map(*[x for m in masks for x in (F.lit(m), F.array(*map(F.lit, free[m])).cast("array<bigint>"))])
+        keyed = written(keyed.join(crowded, ["mask", "value"], "left_semi").select("node", "fp", "other", F.explode(options[F.col("mask")]).alias("mask")))
 
 
 def classes(prints: DataFrame, *, key: str = "doc_id", differ: int = BITS) -> DataFrame:
@@ -219,13 +237,32 @@ def classes(prints: DataFrame, *, key: str = "doc_id", differ: int = BITS) -> Da
     fingerprint of a table of ``key`` and ``fp``.  Null keys have fingerprints but give no
     component its name; a component of null keys alone has a null name."""
     each = written(prints.groupBy("fp").agg(F.min(key).alias("low")))
-    edges = links(each.select("fp"), each.count(), differ=differ)
+    edges = links(each.select(F.col("fp").alias("node"), "fp", F.lit(0).cast("bigint").alias("other")), each.count(), differ=differ)
     roots = components(edges)
     joined = each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     names = joined.groupBy("root").agg(F.min("low").alias("component_id"))
     return joined.join(names, "root").select("fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", differ: int = 6, check: int = 14) -> DataFrame:
+    """``docs`` without all but the row of smallest key of each group of near copies.
+
+    A link needs two fingerprints to be near: of two-word shingles (at most ``differ``
+    bits, by blocks) and of five-word shingles (at most ``check`` bits, about a
+    similarity of 0.8).  Of copies under one key one row stays.  Rows with a null key
+    have no name to be grouped by and all stay; texts without words are copies of each
+    other.  Columns stay as they are.
+    """
+    named = docs.where(F.col(key).isNotNull())
+    prints = written(fingerprints(named, key=key, text=text, widths=(2, 5)))
+    each = written(prints.groupBy("fp", "fp5").agg(F.min(key).alias("low"), F.min("fp5").alias("other")))
+    edges = links(each.select(F.col("low").cast("bigint").alias("node"), "fp", "other"), each.count(), differ=differ, check=check)
+    gone = components(edges).where("node <> root").select(F.col("node").alias("low"))
+    stays = each.select("low").distinct().join(gone, "low", "left_anti").select(F.col("low").alias(key))
+    kept = named.join(stays, key, "left_semi").dropDuplicates([key])
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 3, differ: int = BITS) -> DataFrame:
     """``key``, ``fingerprint`` (16 hex digits) and ``component_id`` of each row.
 
@@ -233,7 +270,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     like any other.  Repeated rows each keep theirs; ties need no rule, as a component is
     a set.  An empty table gives no rows; other columns are not read.
     """
-    prints = written(fingerprints(docs, key=key, text=text, width=width))
+    prints = written(fingerprints(docs, key=key, text=text, widths=(width,)))
     named = classes(prints, key=key, differ=differ)
     return prints.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

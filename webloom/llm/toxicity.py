@@ -164,14 +164,14 @@ def train(docs: DataFrame, labels: DataFrame, **names) -> Model:
     return fit(*sample(docs, labels, **names))
 
 
-def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
-    """``key``, the columns ``also``, score and predicted of each row.
+def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", also: tuple[str, ...] = (), names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``key``, the columns ``also``, score and predicted (called ``names``) of each row.
 
     A null or empty text has the score of no features; null keys and repeated rows each
     keep theirs; an empty table gives no rows.
     """
     packed = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in dict.fromkeys((key, text, *also))]
+    read_ = list(dict.fromkeys((key, text, *also)))
 
     def make():
         scores = packed.value.scores
@@ -180,14 +180,20 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
             data, offsets = texts_of(batch, text)
             for lo, hi in slices(offsets, CHUNK):
                 got = scores(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                out = {c: batch.column(i).slice(lo, hi - lo) for i, c in enumerate(names)}
-                yield out | {"score": got, "predicted": (got >= 0.5).astype(np.int32)}
+                out = {c: batch.column(i).slice(lo, hi - lo) for i, c in enumerate(read_)}
+                yield out | {names[0]: got, names[1]: (got >= 0.5).astype(np.int32)}
 
         return handle
 
     kinds = dict(docs.dtypes)
-    kept = [c for c in names if c == key or c in also]
-    return map_batches(docs.select(*names), make, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", score double, predicted int")
+    kept = [c for c in read_ if c == key or c in also]
+    return map_batches(docs.select(*read_), make, ", ".join(f"{c} {kinds[c]}" for c in kept) + f", {names[0]} double, {names[1]} int")
+
+
+def reject_toxic(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model does not predict to be toxic, as they were."""
+    said = [f"_toxic_{x}_of_{len(docs.columns)}" for x in ("score", "label")]
+    return score(docs, model, key=key, text=text, also=tuple(docs.columns), names=tuple(said)).where(F.col(said[1]) == 0).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

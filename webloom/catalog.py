@@ -2,6 +2,620 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from webloom.functions import extract, listings, paths, text, urls
+from webloom.operators import archive, crawl, mirrors, policy, report
+from webloom.plans.config import CrawlConfig
+from webloom.sources import files
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
 FLAGSHIP = "accepted_links_by_host"
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def pages(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return df.select(*columns) if columns else df
+
+
+def values(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    return spark.createDataFrame(rows, ddl)
+
+
+def literal(x: object) -> str:
+    if x is None:
+        return "NULL"
+    if isinstance(x, bool):
+        return str(x).upper()
+    if isinstance(x, int | float):
+        return str(x)
+    parts = str(x).replace("'", "''").split("\n")
+    return "(" + " || chr(10) || ".join(f"'{p}'" for p in parts) + ")" if len(parts) > 1 else f"'{parts[0]}'"
+
+
+def values_sql(rows: list[tuple], ddl: str) -> str:
+    """A subquery with the same rows, typed by its columns."""
+    kinds = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    cols = [c.split() for c in ddl.split(", ")]
+    body = ", ".join("(" + ", ".join(literal(x) for x in r) + ")" for r in rows)
+    said = ", ".join(f"CAST({n} AS {kinds[k]}) AS {n}" for n, k in cols)
+    return f"(SELECT {said} FROM (VALUES {body}) AS v({', '.join(n for n, _ in cols)}))"
+
+
+# ---------------------------------------------------------------------------- URLs
+SCHEME = "lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1))"
+HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?([^/?#:]*)', 1))"
+PATH = "(CASE WHEN regexp_extract(url, '^[^/?#]*://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[^/?#]*://[^/?#]*([^?#]*)', 1) END)"
+BASENAME = f"regexp_extract({PATH}, '([^/]*)/*$', 1)"
+ORIGIN = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*')"
+ENCODED = "array_to_string(list_transform(string_split({0}, ''), lambda c: CASE WHEN regexp_matches(c, '[^\\x00-\\x7F]') THEN url_encode(c) ELSE c END), '')"
+
+
+@query(f"""SELECT page_id, {SCHEME} AS scheme, {HOST} AS host, {PATH} AS path,
+  CASE WHEN regexp_matches(url, '^[^#]*\\?') THEN regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) END AS query,
+  CASE WHEN contains(url, '#') THEN regexp_extract(url, '#(.*)$', 1) END AS fragment FROM pages""")
+def url_components(spark, d):
+    u = F.col("url")
+    return pages(spark, d, "page_id", "url").select("page_id", urls.scheme(u).alias("scheme"), urls.host(u).alias("host"), urls.path(u).alias("path"), urls.query(u).alias("query"), urls.fragment(u).alias("fragment"))
+
+
+@query("SELECT DISTINCT regexp_replace(url, '#.*$', '') AS url FROM pages")
+def url_defragment_distinct(spark, d):
+    return pages(spark, d, "url").select(urls.without_fragment(F.col("url")).alias("url")).distinct()
+
+
+@query("SELECT page_id, url AS normal FROM pages")
+def url_normalise(spark, d):
+    """Case, default ports and dot segments are put in and must come out again."""
+    u = F.col("url")
+    port = F.when(urls.scheme(u) == "https", ":443").otherwise(":80")
+    odd = F.concat(F.upper(urls.scheme(u)), F.lit("://"), F.upper(urls.host(u)), port, F.lit("/x/.."), F.regexp_extract(u, r"^[^:]*://[^/?#]*(.*)$", 1))
+    return pages(spark, d, "page_id", "url").select("page_id", urls.normalise(odd).alias("normal"))
+
+
+@query("SELECT page_id, regexp_replace(url, '\\?[^#]*', '') AS url FROM pages")
+def strip_query_all(spark, d):
+    return pages(spark, d, "page_id", "url").select("page_id", urls.strip_query(F.col("url"), []).alias("url"))
+
+
+@query("SELECT page_id, regexp_replace(url, '\\?utm_source=[^&#]*', '') AS url FROM pages")
+def strip_query_named(spark, d):
+    return pages(spark, d, "page_id", "url").select("page_id", urls.strip_query(F.col("url"), ["utm_source"]).alias("url"))
+
+
+JOINS = [
+    ("http://a.example/b/c/d;p?q", r, w)
+    for r, w in [
+        ("g", "http://a.example/b/c/g"), ("./g", "http://a.example/b/c/g"), ("g/", "http://a.example/b/c/g/"), ("/g", "http://a.example/g"), ("//g.example", "http://g.example/"), ("?y", "http://a.example/b/c/d;p?y"), ("g?y", "http://a.example/b/c/g?y"),
+        ("#s", "http://a.example/b/c/d;p?q#s"), ("g#s", "http://a.example/b/c/g#s"), (";x", "http://a.example/b/c/;x"), ("", "http://a.example/b/c/d;p?q"), (".", "http://a.example/b/c/"), ("..", "http://a.example/b/"), ("../g", "http://a.example/b/g"),
+        ("../..", "http://a.example/"), ("../../../g", "http://a.example/g"), ("/./g", "http://a.example/g"), ("/../g", "http://a.example/g"), ("g.", "http://a.example/b/c/g."), ("..g", "http://a.example/b/c/..g"), ("HTTPS://X.Example:443/%41 b", "https://x.example/%41%20b"),
+        ("café", "http://a.example/b/c/caf%C3%A9"), ("mailto:x@y.example", "mailto:x@y.example"),
+    ]
+]
+
+
+@query(f"SELECT ref, wanted AS joined FROM {values_sql(JOINS, 'base string, ref string, wanted string')}")
+def url_join(spark, d):
+    return values(spark, JOINS, "base string, ref string, wanted string").select("ref", urls.join(F.col("base"), F.col("ref")).alias("joined"))
+
+
+# --------------------------------------------------------------------- extraction
+LINK_RX = r"(?i)<\s*([a-zA-Z][\w:-]*)\b[^>]*?\b(?:href|src|action|data)\s*=\s*(?:\"([^\"]*)\"|''([^'']*)''|([^\s>]+))"
+
+
+def links_sql(html: str = "html", where: str = "TRUE") -> str:
+    group = lambda i: f"regexp_extract_all({html}, '{LINK_RX}', {i})"
+    return f"""SELECT page_id, url, lower(tag) AS tag, href FROM (
+      SELECT page_id, url, unnest({group(1)}) AS tag, unnest(list_transform(list_zip({group(2)}, {group(3)}, {group(4)}),
+        lambda z: coalesce(nullif(z[1], ''), nullif(z[2], ''), z[3], ''))) AS href FROM pages)
+      WHERE href <> '' AND NOT starts_with(href, '#') AND NOT starts_with(href, 'javascript:') AND {where}"""
+
+
+def _links(spark, d, **options):
+    df = pages(spark, d, "page_id", "html").select("page_id", F.explode(extract.html_references(F.col("html"), **options)).alias("x"))
+    return df.select("page_id", "x.tag", "x.href")
+
+
+@query(f"SELECT page_id, tag, href FROM ({links_sql()})")
+def html_links(spark, d):
+    return _links(spark, d)
+
+
+@query(f"SELECT page_id, tag, href FROM ({links_sql(where="lower(tag) IN ('link', 'img')")})")
+def html_links_follow_tags(spark, d):
+    return _links(spark, d, follow_tags=["LINK", "img"])
+
+
+@query(f"SELECT page_id, tag, href FROM ({links_sql(where="lower(tag) <> 'link'")})")
+def html_links_ignore_tags(spark, d):
+    return _links(spark, d, ignore_tags=["link"])
+
+
+@query(f"SELECT page_id, tag, href FROM ({links_sql(html="regexp_replace(html, '(?s)<!--.*?-->', '', 'g')")})")
+def html_links_strict_comments(spark, d):
+    return _links(spark, d, strict_comments=True)
+
+
+#: Links of the test pages are root-relative, so a join is origin and reference.
+RESOLVED = f"SELECT DISTINCT page_id, url AS parent, {ORIGIN} || {ENCODED.format('href')} AS url FROM ({links_sql()})"
+
+
+def resolved(spark, d, config: CrawlConfig | None = None) -> DataFrame:
+    links = extract.html_links(F.col("url"), F.col("html"))
+    return pages(spark, d).select("page_id", F.col("url").alias("parent"), F.explode(links).alias("url"))
+
+
+@query(f"SELECT page_id, url FROM ({RESOLVED})")
+def links_resolved_sorted(spark, d):
+    return resolved(spark, d).select("page_id", "url")
+
+
+FLAG_CONFIG = CrawlConfig(reject=["*a"], exclude_domains=["example.net"])
+
+
+@query(f"""SELECT host, count(*) AS links FROM (SELECT {HOST} AS host FROM (SELECT DISTINCT url FROM ({RESOLVED}))
+  WHERE NOT regexp_matches({BASENAME}, 'a$') AND NOT ({HOST} = 'example.net' OR ends_with({HOST}, '.example.net'))) GROUP BY host""")
+def accepted_links_by_host(spark, d):
+    """The links that pages expose and that survive policy, by host."""
+    accepted, _ = policy.split_by_policy(resolved(spark, d).select("url").distinct(), FLAG_CONFIG)
+    return accepted.groupBy(urls.host(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("links"))
+
+
+CSS = [(1, "http://s.example/c/a.css", "a{background:url('i.png')} b{x:url( \"/j.png\" )}"), (2, "http://s.example/c/b.css", "@import 'no.css'; c{y:url(data:image/png;base64,AA)} d{z:url(https://o.example/k.png)} e{URL(l.png)}")]
+CSS_WANTED = [(1, "http://s.example/c/i.png"), (1, "http://s.example/j.png"), (2, "https://o.example/k.png")]
+
+
+@query(f"SELECT id, url FROM {values_sql(CSS_WANTED, 'id int, url string')}")
+def css_links(spark, d):
+    return values(spark, CSS, "id int, base string, css string").select("id", F.explode(extract.css_links(F.col("base"), F.col("css"))).alias("url"))
+
+
+FEEDS = [
+    (1, "rss", "<rss><channel><item><link>http://f.example/1</link><enclosure url='/m.mp3'/></item></channel></rss>"),
+    (2, "atom", "<feed xmlns='http://www.w3.org/2005/Atom'><link href='e/2'/><id>x</id></feed>"),
+    (3, "sitemap", "<urlset><url><loc> http://f.example/3 </loc></url><url><loc/></url><url><loc>ftp://f.example/4</loc></url></urlset>"),
+    (4, "rss", "<rss><channel><item><link>http://f.example/5</link></item><item><link>http://f.example/6</"),
+    (5, "sitemap", None),
+]
+FEEDS_WANTED = [(1, "http://f.example/1"), (1, "http://f.example/m.mp3"), (2, "http://f.example/e/2"), (3, "http://f.example/3"), (4, "http://f.example/5")]
+
+
+@query(f"SELECT id, url FROM {values_sql(FEEDS_WANTED, 'id int, url string')}")
+def feed_links(spark, d):
+    df = values(spark, FEEDS, "id int, kind string, xml string")
+    each = [df.where(F.col("kind") == k).select("id", F.explode(extract.feed_links(F.lit("http://f.example/"), k, F.col("xml"))).alias("url")) for k in ("rss", "atom", "sitemap")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query("""SELECT page_id, replace(replace(html, 'href="/', 'href="root/'), '</a>', '</A>') AS html FROM pages""")
+def convert_links(spark, d):
+    mapping = F.array(*[F.struct(F.lit(a).alias("from"), F.lit(b).alias("to")) for a, b in (('href="/', 'href="root/'), ("</a>", "</A>"))])
+    return pages(spark, d, "page_id", "html").select("page_id", extract.convert_links(F.col("html"), mapping).alias("html"))
+
+
+@query(f"""SELECT page_id, regexp_matches({PATH}, '(?i)(\\.html?|/)$') OR contains(html, '<html') OR contains(html, '<HTML') AS is_html,
+  contains(html, '<urlset') OR contains(html, '<sitemapindex') AS is_sitemap FROM pages""")
+def content_sniff(spark, d):
+    kind = extract.sniff(paths.local_path(F.col("url"), CrawlConfig()), F.lit("text/html"), F.col("html"))
+    return pages(spark, d).select("page_id", kind["html"].alias("is_html"), kind["sitemap"].alias("is_sitemap"))
+
+
+# ------------------------------------------------------------------------- policy
+def _accepted(name: str, config: CrawlConfig, where: str) -> None:
+    @query(f"SELECT page_id, url FROM pages WHERE {where}", name)
+    def run(spark, d):
+        accepted, _ = policy.split_by_policy(pages(spark, d, "page_id", "url"), config)
+        return accepted
+
+
+DOMAIN = "({0} = '{1}' OR ends_with({0}, '.{1}'))"
+_accepted("accept_glob", CrawlConfig(accept=["*.html", "[1-4]??"]), f"regexp_matches({BASENAME}, '^(.*\\.html|[1-4]..)$')")
+_accepted("reject_glob", CrawlConfig(reject=["*[!0-9]", "1*"]), f"NOT regexp_matches({BASENAME}, '^(.*[^0-9]|1.*)$')")
+_accepted("accept_regex", CrawlConfig(accept_regex="/(en|de)/[[:digit:]]+"), "regexp_matches(url, '/(en|de)/[0-9]+')")
+_accepted("reject_regex", CrawlConfig(reject_regex="UTM_|#TOP$", ignore_case=True), "NOT regexp_matches(url, '(?i)UTM_|#TOP$')")
+_accepted("invalid_regex", CrawlConfig(reject_regex="(", accept_regex=None), "TRUE")
+_accepted("domain_filter", CrawlConfig(domains=["example.org", "m.example.com"]), f"{DOMAIN.format(HOST, 'example.org')} OR {DOMAIN.format(HOST, 'm.example.com')}")
+_accepted("exclude_domains", CrawlConfig(exclude_domains=["example.com"]), f"NOT {DOMAIN.format(HOST, 'example.com')}")
+_accepted("include_dirs", CrawlConfig(include_directories=["/en", "/fr/1"]), f"starts_with({PATH}, '/en') OR starts_with({PATH}, '/fr/1')")
+_accepted("exclude_dirs", CrawlConfig(exclude_directories=["/en/"]), f"NOT starts_with({PATH}, '/en/')")
+
+REASONS = CrawlConfig(reject=["*.html"], reject_regex="utm_", domains=["example.com", "example.org"], exclude_directories=["/es"])
+
+
+@query(f"""SELECT reason, count(*) AS urls FROM (SELECT CASE WHEN ends_with({BASENAME}, '.html') THEN 'reject' WHEN contains(url, 'utm_') THEN 'reject-regex'
+  WHEN NOT ({DOMAIN.format(HOST, 'example.com')} OR {DOMAIN.format(HOST, 'example.org')}) THEN 'domains'
+  WHEN starts_with({PATH}, '/es') THEN 'exclude-directories' END AS reason FROM pages) WHERE reason IS NOT NULL GROUP BY reason""")
+def reject_reasons(spark, d):
+    return report.reject_summary(pages(spark, d, "url").withColumn("reason", policy.reject_reason(F.col("url"), REASONS)))
+
+
+@query(f"SELECT page_id, url FROM pages WHERE {DOMAIN.format(HOST, 'example.org')} OR {DOMAIN.format(HOST, 'tionsh.example.net')}")
+def domain_join(spark, d):
+    listed = values(spark, [("example.org",), ("tionsh.example.net",)], "domain string")
+    return policy.domain_join(pages(spark, d, "page_id", "url"), listed)
+
+
+#: A page and another as its child, to judge pairs of urls by.
+PAIRS = "(SELECT a.page_id, a.url AS parent, b.url AS url FROM pages a JOIN pages b ON b.page_id = a.page_id // 2)"
+
+
+def _child(name: str, config: CrawlConfig, where: str) -> None:
+    @query(f"SELECT page_id, url FROM {PAIRS} WHERE {where}", name)
+    def run(spark, d):
+        p = pages(spark, d, "page_id", "url")
+        kids = p.select(F.col("page_id").alias("k"), F.col("url").alias("child"))
+        pairs = p.withColumn("k", F.floor(F.col("page_id") / 2).cast("bigint")).join(kids, "k")
+        reason = policy.first_reason(policy.child_rules(F.col("child"), F.col("url"), config))
+        return pairs.where(reason.isNull()).select("page_id", F.col("child").alias("url"))
+
+
+PARENT_HOST, PARENT_PATH = HOST.replace("(url", "(parent"), PATH.replace("(url", "(parent")
+_child("https_only", CrawlConfig(https_only=True, span_hosts=True, follow_ftp=True), f"{SCHEME} = 'https'")
+_child("span_hosts", CrawlConfig(follow_ftp=True), f"{HOST} = {PARENT_HOST}")
+_child("no_parent", CrawlConfig(no_parent=True, span_hosts=True), f"{SCHEME} <> 'ftp' AND starts_with({PATH}, regexp_extract({PARENT_PATH}, '^(.*/)', 1))")
+_child("relative_only", CrawlConfig(relative_only=True, span_hosts=True, follow_ftp=True), f"{HOST} = {PARENT_HOST}")
+
+
+@query(f"SELECT page_id, href FROM ({links_sql()}) WHERE NOT regexp_matches(href, '[^\\x00-\\x7F]')")
+def non_ascii_reject(spark, d):
+    return _links(spark, d).where(~F.col("href").rlike(r"[^\x00-\x7F]")).select("page_id", "href")
+
+
+MIMES = [(1, "text/html; charset=utf-8"), (2, "image/png"), (3, "IMAGE/Gif"), (4, None), (5, " "), (6, "application/pdf"), (7, "imagery/x")]
+
+
+@query(f"SELECT id, content_type, coalesce(trim(content_type) <> '' AND (starts_with(lower(content_type), 'image/') OR lower(trim(split_part(content_type, ';', 1))) = 'text/html'), FALSE) AS ok FROM {values_sql(MIMES, 'id int, content_type string')}")
+def mime_filter(spark, d):
+    return values(spark, MIMES, "id int, content_type string").withColumn("ok", policy.mime_allowed(F.col("content_type"), ["image/*", "text/html"]))
+
+
+ROBOTS = [("example.com", "User-agent: other\nDisallow: /de\n# note\nUser-agent: *\nDisallow: /fr/ # rest\nAllow: /fr/1\nSitemap: http://s.example/m.xml", True), ("example.org", "Disallow:\nDisallow: /en/1", True), ("example.net", "", False)]
+TOP_HOST = f"regexp_extract({HOST}, '([^.]*\\.[^.]*)$', 1)"
+
+
+@query(f"""SELECT page_id, CASE {TOP_HOST} WHEN 'example.com' THEN NOT (starts_with({PATH}, '/fr/')) WHEN 'example.org' THEN NOT starts_with({PATH}, '/en/1')
+  ELSE FALSE END AS allowed FROM pages""")
+def robots_allowed(spark, d):
+    """A robots file for each origin of three domains; one of them could not be read."""
+    p = pages(spark, d, "page_id", "url")
+    top = F.regexp_extract(urls.host(F.col("url")), r"([^.]*\.[^.]*)$", 1)
+    fetched = p.select(urls.origin(F.col("url")).alias("origin"), top.alias("domain")).distinct().join(F.broadcast(values(spark, ROBOTS, "domain string, body string, ok boolean")), "domain")
+    return policy.robots_allow(p, policy.robots_rules(fetched), "webloom/1").select("page_id", "allowed")
+
+
+@query(f"SELECT DISTINCT {ORIGIN} || '/sitemap.xml' AS url FROM pages WHERE {TOP_HOST} = 'example.com'")
+def sitemap_seed_once(spark, d):
+    """Sitemaps named by robots files are asked for once for each host and port."""
+    p = pages(spark, d, "url").select(urls.origin(F.col("url")).alias("origin")).distinct().where(F.col("origin").rlike(r"[./]example\.com$"))
+    body = F.concat(F.lit("User-agent: *\nDisallow: /x\nSitemap: "), "origin", F.lit("/sitemap.xml"))
+    rules = policy.robots_rules(p.select("origin", body.alias("body"), F.lit(True).alias("ok")))
+    return rules.select("origin", F.explode("sitemaps").alias("url")).dropDuplicates(["origin", "url"]).select("url")
+
+
+HSTS = [("example.com", True, 2_000), ("m.ththth.example.net", False, 2_000), ("example.org", True, 10), ("net", True, 2_000)]
+
+
+@query(f"""SELECT page_id, CASE WHEN {SCHEME} = 'http' AND ({DOMAIN.format(HOST, 'example.com')} OR {HOST} = 'm.ththth.example.net') THEN regexp_replace(url, '^http:', 'https:') ELSE url END AS url FROM pages""")
+def hsts_upgrade(spark, d):
+    store = values(spark, HSTS, "host string, include_sub boolean, expiry bigint")
+    return policy.hsts_upgrade(pages(spark, d, "page_id", "url"), store, 1_000).select("page_id", F.col("upgraded").alias("url"))
+
+
+@query(f"SELECT page_id, {DOMAIN.format(HOST, 'example.org')} OR {DOMAIN.format(HOST, 'ththth.example.net')} AS direct FROM pages")
+def no_proxy_bypass(spark, d):
+    return pages(spark, d, "page_id", "url").select("page_id", policy.no_proxy(urls.host(F.col("url")), ".Example.org, ththth.example.net").alias("direct"))
+
+
+STATUSES = [(1, 200, False, False, "ok"), (2, 301, True, False, "follow"), (3, 304, False, False, "keep"), (4, 416, False, True, "complete"), (5, 206, False, True, "append"), (6, 200, False, True, "restart"), (7, 404, False, False, "error"), (8, 503, False, False, "retry"), (9, 302, False, False, "ok")]
+
+
+@query(f"SELECT id, wanted AS what FROM {values_sql(STATUSES, 'id int, status int, located boolean, resuming boolean, wanted string')}")
+def status_classes(spark, d):
+    df = values(spark, STATUSES, "id int, status int, located boolean, resuming boolean, wanted string")
+    return df.select("id", policy.status_class(F.col("status"), F.col("located"), F.col("resuming"), retry=[503]).alias("what"))
+
+
+# -------------------------------------------------------------------------- paths
+FILE = f"(CASE WHEN ends_with({PATH}, '/') THEN 'index.html' ELSE {BASENAME} END)"
+
+
+def _path(name: str, config: CrawlConfig, sql: str) -> None:
+    @query(f"SELECT page_id, {sql} AS path FROM pages", name)
+    def run(spark, d):
+        return pages(spark, d, "page_id", "url").select("page_id", paths.local_path(F.col("url"), config).alias("path"))
+
+
+DIRS = f"regexp_replace(regexp_extract({PATH}, '^/(.*/)?', 1), '', '')"
+_path("local_path_flat", CrawlConfig(), f"'./' || {FILE}")
+_path("local_path_tree", CrawlConfig(recursive=True, directory_prefix="out"), f"'out/' || {HOST} || '/' || coalesce({DIRS}, '') || {FILE}")
+_path("local_path_cut_dirs", CrawlConfig(force_directories=True, cut_dirs=1, host_directories=False, protocol_directories=True), f"'./' || {SCHEME} || '/' || (CASE WHEN regexp_matches({PATH}, '^/[^/]+/[0-9]+/$') THEN {BASENAME} || '/' ELSE '' END) || {FILE}")
+
+
+@query(r"""SELECT page_id, regexp_replace(regexp_replace(upper(url), '[<>:"\\|?*]', '_', 'g'), '[/\n]', '_', 'g') AS name FROM pages""")
+def sanitize_windows(spark, d):
+    return pages(spark, d, "page_id", "url").select("page_id", paths.sanitise(F.col("url"), ["unix", "windows", "uppercase"]).alias("name"))
+
+
+@query(f"SELECT page_id, CASE WHEN ends_with({FILE}, '.html') THEN {FILE} ELSE {FILE} || '.html' END AS path FROM pages")
+def adjust_extension(spark, d):
+    path = F.regexp_replace(paths.local_path(F.col("url"), CrawlConfig()), r"^\./", "")
+    return pages(spark, d, "page_id", "url").select("page_id", paths.with_extension(path, paths.extension_for(F.lit("text/html; charset=utf-8"))).alias("path"))
+
+
+EXISTING = [(1, "a", "a,a.1,a.3", "a.2"), (2, "b", "a", "b"), (3, "c", "c,c.x,c.01", "c.1")]
+
+
+@query(f"SELECT id, wanted AS path FROM {values_sql(EXISTING, 'id int, path string, existing string, wanted string')}")
+def unique_names(spark, d):
+    df = values(spark, EXISTING, "id int, path string, existing string, wanted string")
+    return df.select("id", paths.destination(F.col("path"), F.split("existing", ","), CrawlConfig(unique_names=True))["path"].alias("path"))
+
+
+# -------------------------------------------------------------------------- crawl
+CHAIN = f"(SELECT page_id, url, row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) - 1 AS depth FROM (SELECT min(page_id) AS page_id, url FROM pages GROUP BY url))"
+
+
+def chain(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Seeds and a corpus in which each page links the next of its host."""
+    one = pages(spark, d, "page_id", "url").groupBy("url").agg(F.min("page_id").alias("page_id"))
+    w = W.partitionBy(urls.host(F.col("url"))).orderBy("page_id")
+    each = one.select("url", F.lead("url").over(w).alias("next"), F.row_number().over(w).alias("n"))
+    html = F.concat(F.lit("<html>"), F.coalesce(F.concat(F.lit('<a href="'), "next", F.lit('">x</a>')), F.lit("")))
+    return each.where("n = 1").select("url"), each.select("url", html.alias("html"))
+
+
+@query(f"SELECT url, CAST(depth AS INTEGER) AS depth FROM {CHAIN} WHERE depth <= 3")
+def crawl_bfs(spark, d):
+    seeds, corpus = chain(spark, d)
+    return crawl.crawl(seeds, crawl.corpus_source(corpus), CrawlConfig(recursive=True, level=3)).visited.select("url", "depth")
+
+
+@query(f"SELECT url, CAST(depth AS INTEGER) AS depth FROM {CHAIN} WHERE depth <= 1")
+def page_requisites(spark, d):
+    seeds, corpus = chain(spark, d)
+    return crawl.crawl(seeds, crawl.corpus_source(corpus), CrawlConfig(page_requisites=True)).visited.select("url", "depth")
+
+
+@query("""SELECT page_id, before AS bytes_before FROM (SELECT page_id, CAST(coalesce(sum(octet_length(encode(html))) OVER (ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM pages)
+  WHERE before < 1000000""")
+def quota_prefix(spark, d):
+    sized = pages(spark, d).select("page_id", F.octet_length("html").cast("bigint").alias("bytes"))
+    return crawl.within_quota(sized, 1_000_000, order=("page_id",)).select("page_id", "bytes_before")
+
+
+@query(f"SELECT DISTINCT url FROM ({RESOLVED}) WHERE url NOT IN (SELECT url FROM ({RESOLVED}) WHERE page_id % 2 = 0)")
+def visited_anti_join(spark, d):
+    links = resolved(spark, d)
+    return links.select("url").distinct().join(links.where("page_id % 2 = 0").select("url"), "url", "left_anti")
+
+
+HOPS = [("http://r.example/a", "b"), ("http://r.example/b", "/c"), ("http://r.example/l1", "l2"), ("http://r.example/l2", "l1")]
+
+
+@query("SELECT * FROM (VALUES ('http://r.example/a', 'http://r.example/c', 2, TRUE), ('http://r.example/z', 'http://r.example/z', 0, TRUE), ('http://r.example/l1', 'http://r.example/l2', 5, FALSE)) AS v(url, final, hops, ok)")
+def redirect_chain(spark, d):
+    start = values(spark, [("http://r.example/a",), ("http://r.example/z",), ("http://r.example/l1",)], "url string")
+    return crawl.redirects(start, values(spark, HOPS, "source string, location string"), limit=4)
+
+
+CODES = [(0,), (1,), (8,), (3,), (4,), (2,)]
+
+
+@query("SELECT 4 AS status, CAST(6 AS BIGINT) AS jobs")
+def exit_status_worst(spark, d):
+    return crawl.worst_status(values(spark, CODES, "code int"))
+
+
+ATTEMPTS = [("a", 1, False, False), ("a", 2, True, False), ("b", 1, False, True), ("b", 2, True, False), ("c", 1, False, False), ("c", 2, False, False), ("c", 3, False, False), ("c", 4, True, False)]
+
+
+@query("SELECT * FROM (VALUES ('a', 2, TRUE, 1.0::DOUBLE), ('b', 1, FALSE, 0.0::DOUBLE), ('c', 3, FALSE, 3.0::DOUBLE)) AS v(url, made, success, waited)")
+def retry_log(spark, d):
+    return crawl.retries(values(spark, ATTEMPTS, "url string, attempt int, ok boolean, host_error boolean"), CrawlConfig(tries=3))
+
+
+@query(f"""SELECT {HOST} AS host, count(*) AS pages, CAST(sum(octet_length(encode(html))) AS BIGINT) AS bytes FROM pages GROUP BY 1""")
+def bytes_by_host(spark, d):
+    return report.by_host(pages(spark, d).select("url", F.octet_length("html").cast("bigint").alias("bytes")))
+
+
+# ------------------------------------------------------------------------ archive
+def _responses(spark, d) -> DataFrame:
+    message = archive.http_message(F.lit(200), F.lit("OK"), F.array(F.struct(F.lit("Content-Type").alias("name"), F.lit("text/html").alias("value"))), F.encode("html", "UTF-8"))
+    return pages(spark, d).select("page_id", "url", message.alias("message"), F.timestamp_seconds("page_id").alias("ts"))
+
+
+HEAD = "'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || chr(13) || chr(10)"
+
+
+@query(f"SELECT page_id, sha1({HEAD} || html) AS block_digest, sha1(html) AS payload_digest FROM pages")
+def payload_digest(spark, d):
+    return archive.with_digests(_responses(spark, d)).select("page_id", "block_digest", "payload_digest")
+
+
+@query("SELECT page_id, CASE WHEN sha1(html) IN (SELECT sha1(html) FROM pages WHERE page_id % 3 = 0) THEN 'revisit' ELSE 'response' END AS record_type FROM pages")
+def warc_revisit(spark, d):
+    lines = pages(spark, d).where("page_id % 3 = 0").select(F.concat(F.lit("http://x/ 2020 sha1:"), F.upper(F.sha1("html"))).alias("value"))
+    own = archive.with_digests(_responses(spark, d))
+    return archive.mark_revisits(own, archive.digests_of_index(lines)).select("page_id", "record_type")
+
+
+@query(f"""SELECT url || ' ' || strftime(make_timestamp(page_id * 1000000), '%Y%m%d%H%M%S') || ' ' || url || ' text/html 200 sha1:' || sha1({HEAD} || html) || ' - - ' ||
+  octet_length(encode({HEAD} || html)) || ' 0 out.warc.gz' AS value FROM pages""")
+def cdx_rows(spark, d):
+    own = archive.with_digests(_responses(spark, d))
+    return archive.cdx_lines(own.withColumns({"content_type": F.lit("text/html; charset=utf-8"), "status": F.lit(200), "size": F.octet_length("message"), "offset": F.lit(0), "file": F.lit("out.warc.gz")}))
+
+
+@query("""WITH RECURSIVE r AS (SELECT page_id, octet_length(encode(html)) AS size, row_number() OVER (PARTITION BY page_id % 7 ORDER BY page_id) AS n, page_id % 7 AS part FROM pages),
+  g AS (SELECT page_id, part, n, 0 AS segment, CAST(0 AS BIGINT) AS "offset", CAST(size AS BIGINT) AS written FROM r WHERE n = 1
+    UNION ALL SELECT r.page_id, r.part, r.n, CASE WHEN g.written > 0 AND g.written + r.size > 50000 THEN g.segment + 1 ELSE g.segment END,
+      CASE WHEN g.written > 0 AND g.written + r.size > 50000 THEN 0 ELSE g.written END, CASE WHEN g.written > 0 AND g.written + r.size > 50000 THEN r.size ELSE g.written + r.size END
+    FROM g JOIN r ON r.part = g.part AND r.n = g.n + 1)
+  SELECT page_id, CAST(segment AS INTEGER) AS segment, "offset" FROM g""")
+def warc_rotation(spark, d):
+    rows = pages(spark, d).select("page_id", (F.col("page_id") % 7).alias("part"), F.octet_length("html").cast("bigint").alias("size"))
+    return archive.rotate(rows, 50_000, order="page_id").select("page_id", "segment", "offset")
+
+
+# ------------------------------------------------------------------------ mirrors
+MIRRORS = [("f", "u1", "de", 10, 0), ("f", "u2", "us", 90, 1), ("f", "u3", "DE", None, 2), ("f", "u4", None, 90, 3), ("g", "v1", None, None, 0), ("g", "v2", "fr", 1, 1)]
+MIRROR_DDL = "name string, url string, location string, preference int, pos int"
+MIRROR_ORDER = "CASE WHEN lower(location) = 'de' THEN 0 ELSE 1 END, preference DESC NULLS LAST, pos"
+
+
+@query(f"SELECT name, url, CAST(row_number() OVER (PARTITION BY name ORDER BY {MIRROR_ORDER}) AS INTEGER) AS rank FROM {values_sql(MIRRORS, MIRROR_DDL)}")
+def mirror_rank(spark, d):
+    return mirrors.rank_mirrors(values(spark, MIRRORS, MIRROR_DDL), "de").select("name", "url", "rank")
+
+
+@query(f"SELECT name, url FROM (SELECT name, url, row_number() OVER (PARTITION BY name ORDER BY {MIRROR_ORDER}) AS r FROM {values_sql(MIRRORS, MIRROR_DDL)}) WHERE r = 1")
+def mirror_pick(spark, d):
+    return mirrors.pick_mirror(values(spark, MIRRORS, MIRROR_DDL), "de")
+
+
+METALINK = """<metalink xmlns="urn:ietf:params:xml:ns:metalink"><file name="f.iso"><hash type="SHA256">AB12</hash><hash type="crc">1</hash><url location="de" priority="1">http://m.example/1</url><url preference="7">http://m.example/2</url><url>nowhere</url></file>
+<file name="g"><metaurl mediatype="torrent">http://m.example/t</metaurl><metaurl>http://m.example/u</metaurl><metaurl mediatype="application/metalink4+xml">http://m.example/v</metaurl></file></metalink>"""
+DOCS = [(1, METALINK), (2, "<metalink><file"), (3, None)]
+
+
+@query("SELECT * FROM (VALUES (1, 'f.iso', 'http://m.example/2', 1, 'sha-256=ab12'), (1, 'f.iso', 'http://m.example/1', 2, 'sha-256=ab12')) AS v(id, name, url, rank, hashes)")
+def metalink_parse(spark, d):
+    doc = mirrors.documents(values(spark, DOCS, "id int, xml string")).select("id", F.explode("doc.files").alias("f"))
+    return doc.select("id", "f.name", F.posexplode(mirrors.ordered_urls(F.col("f.urls"), None)).alias("pos", "url"), text.encode_hashes(F.col("f.hashes")).alias("hashes")).select("id", "name", "url", (F.col("pos") + 1).alias("rank"), "hashes")
+
+
+@query("SELECT * FROM (VALUES (0, 'http://m.example/u'), (1, 'http://m.example/u'), (2, 'http://m.example/v'), (9, NULL)) AS v(n, url)")
+def metaurl_nth(spark, d):
+    doc = mirrors.documents(values(spark, DOCS[:1], "id int, xml string"))
+    each = [doc.select(F.lit(n).alias("n"), mirrors.nth_metaurl(F.col("doc.metaurls"), n)["url"].alias("url")) for n in (0, 1, 2, 9)]
+    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
+
+
+LINKS = [(1, '<http://d.example/b>; rel=duplicate; pri=2, </a>; rel="duplicate"; pri=1, <c>; rel=duplicate, <m.meta4>; rel=describedby; type="application/metalink4+xml"; digest=SHA-256=qxI=')]
+
+
+@query("SELECT * FROM (VALUES (1, 0, 'http://d.example/a', 'http://d.example/x/m.meta4'), (1, 1, 'http://d.example/b', 'http://d.example/x/m.meta4'), (1, 2, 'http://d.example/x/c', 'http://d.example/x/m.meta4')) AS v(id, pos, url, described)")
+def link_duplicates(spark, d):
+    df = values(spark, LINKS, "id int, header string").select("id", mirrors.duplicates(text.link_header(F.col("header")), F.lit("http://d.example/x/y")).alias("l"))
+    return df.select("id", F.posexplode("l.urls").alias("pos", "url"), F.col("l.describedby").alias("described"))
+
+
+HASHES = [(1, "abc", "md5", "900150983cd24fb0d6963f7d28e17f72"), (2, "abc", "sha-1", "A9993E364706816ABA3E25717850C26C9CD0D89D"), (3, "abc", "sha-256", "00"), (4, "abc", "crc", "0")]
+
+
+@query("SELECT * FROM (VALUES (1, TRUE), (2, TRUE), (3, FALSE), (4, TRUE)) AS v(id, ok)")
+def hash_verify(spark, d):
+    return values(spark, HASHES, "id int, body string, algo string, hex string").select("id", archive.verify(F.encode("body", "UTF-8"), F.col("algo"), F.col("hex")).alias("ok"))
+
+
+# -------------------------------------------------------------------- small texts
+SIZES = [("10", 10, "10B"), ("1k", 1024, "1.00KB"), (" 1536 ", 1536, "1.50KB"), ("20M", 20971520, "20.0MB"), ("300g", 322122547200, "300GB"), ("x", None, None), ("1.5k", None, None), ("2t", 2199023255552, "2.00TB")]
+
+
+@query(f"SELECT said, n, shown FROM {values_sql(SIZES, 'said string, n bigint, shown string')}")
+def parse_and_format_bytes(spark, d):
+    n = text.parse_bytes(F.col("said"))
+    return values(spark, SIZES, "said string, n bigint, shown string").select("said", n.alias("n"), text.format_bytes(n).alias("shown"))
+
+
+TIMES = [("30", 30.0), ("1.5m", 90.0), ("2h", 7200.0), ("1d", 86400.0), ("0.25s", 0.25), ("soon", None)]
+
+
+@query(f"SELECT said, seconds FROM {values_sql(TIMES, 'said string, seconds double')}")
+def parse_seconds(spark, d):
+    return values(spark, TIMES, "said string, seconds double").select("said", text.parse_seconds(F.col("said")).alias("seconds"))
+
+
+RATES = [(1, 1048576, 1.0, "1.00MB/s", "8.39Mb/s", "eta 10s"), (2, 5000, 10.0, "500B/s", "4.00Kb/s", "eta 5h49m"), (3, 200000, 1.0, "195KB/s", "1.60Mb/s", "eta 52s")]
+RATES_DDL = "id int, n bigint, seconds double, rate string, bits string, eta string"
+
+
+@query(f"SELECT id, rate, bits, eta FROM {values_sql(RATES, RATES_DDL)}")
+def format_rates(spark, d):
+    n, s = F.col("n"), F.col("seconds")
+    return values(spark, RATES, RATES_DDL).select("id", text.format_rate(n, s).alias("rate"), text.format_rate(n, s, True).alias("bits"), text.format_eta(F.lit(10 * 1048576), n / s).alias("eta"))
+
+
+BARS = [(1, 50, 0, 100, "[█████░░░░░]"), (2, 70, 30, 100, "[▓▓▓████░░░]"), (3, 0, 0, 0, "[░░░░░░░░░░]"), (4, 300, 0, 100, "[██████████]")]
+
+
+@query(f"SELECT id, bar FROM {values_sql(BARS, 'id int, now bigint, prior bigint, total bigint, bar string')}")
+def progress_bars(spark, d):
+    df = values(spark, BARS, "id int, now bigint, prior bigint, total bigint, bar string")
+    return df.select("id", text.render_bar(F.col("now"), F.col("prior"), F.col("total"), 10).alias("bar"))
+
+
+HEADERS = [
+    (1, "attachment; filename=\"a b.txt\"", "a b.txt"), (2, "attachment; filename=x; filename*=UTF-8''%e2%82%ac.txt", "€.txt"), (3, "inline; filename=../../etc/pw", "pw"), (4, "attachment; filename=..", None), (5, "inline", None),
+]
+
+
+@query(f"SELECT id, name FROM {values_sql(HEADERS, 'id int, header string, name string')}")
+def disposition_names(spark, d):
+    return values(spark, HEADERS, "id int, header string, name string").select("id", text.disposition_name(F.col("header")).alias("name"))
+
+
+RANGES = [(1, "bytes 5-9/10", 10), (2, "bytes 5-9/*", 105), (3, None, 105)]
+
+
+@query(f"SELECT id, total FROM {values_sql(RANGES, 'id int, header string, total bigint')}")
+def resume_totals(spark, d):
+    return values(spark, RANGES, "id int, header string, total bigint").select("id", text.resume_total(F.col("header"), F.lit(5).cast("bigint"), F.lit(100).cast("bigint")).alias("total"))
+
+
+MLSD = [("type=file;size=3; a b.txt",), ("Type=dir; sub",), ("type=cdir; .",), ("type=OS.unix.slink:/t/x; ln",), ("type=weird; w",), ("type=file; a/b",), ("nospace",)]
+
+
+@query("SELECT * FROM (VALUES ('b.txt', 'other', NULL), ('sub', 'dir', NULL), ('ln', 'symlink', '/t/x'), ('w', 'other', NULL)) AS v(name, kind, target)")
+def mlsd_entries(spark, d):
+    return values(spark, MLSD, "line string").select(listings.mlsd_entry(F.col("line")).alias("e")).where("e is not null").select("e.*")
+
+
+LISTING = [("total 8",), ("drwxr-xr-x 2 u g 4096 Jan 1 2020 docs",), ("-rw-r--r-- 1 u g 5 Jan  1 12:00 a  b.txt",), ("lrwxrwxrwx 1 u g 3 Jan 1 2020 ln -> to/x",), ("-rwsr-sr-t 1 u g 3 Jan 1 2020 odd",), ("-rw-r--r-- 1 u g 5 Jan 1 2020 ..",)]
+
+
+@query("SELECT * FROM (VALUES ('docs', 'dir', NULL, 493), ('a b.txt', 'file', NULL, 420), ('ln', 'symlink', 'to/x', 511), ('odd', 'file', NULL, 3565)) AS v(name, kind, target, mode)")
+def unix_list_entries(spark, d):
+    df = values(spark, LISTING, "line string").select(listings.unix_entry(F.col("line")).alias("e"), listings.unix_mode(F.col("line")).alias("mode"))
+    return df.where("e is not null").select("e.*", "mode")
+
+
+COOKIES = [("# c",), (".c.example\tTRUE\t/\tFALSE\t0\ta\t1",), ("c.example\tFALSE\t/x\tTRUE\t99\tb\t2",), ("short\tx",), ("\tTRUE\t/\tFALSE\t0\te\t5",)]
+
+
+@query("SELECT * FROM (VALUES ('https://c.example/x/y', 'b=2; a=1'), ('http://w.c.example/', 'a=1')) AS v(url, cookies)")
+def cookies_sent(spark, d):
+    asked = values(spark, [("https://c.example/x/y",), ("http://w.c.example/",), ("http://other.example/",)], "url string")
+    return files.cookies_for(asked, files.cookies(values(spark, COOKIES, "value string")))
+
+
+NETRC = [("# c\nmachine a.example login me password s3\nmacdef init\ncd /x\nmachine b.example login you\ndefault login anon password p",)]
+
+
+@query("SELECT * FROM (VALUES ('http://a.example/x', 'me', 's3'), ('http://b.example/', 'you', NULL), ('http://z.example/', 'anon', 'p')) AS v(url, login, password)")
+def netrc_lookup(spark, d):
+    asked = values(spark, [("http://a.example/x",), ("http://b.example/",), ("http://z.example/",)], "url string")
+    return files.credentials(asked, files.netrc(values(spark, NETRC, "text string")))
+
+
+@query("SELECT page_id, 'http://' || regexp_extract(url, '^[^:]*://(.*)$', 1) AS url FROM pages")
+def redact_urls(spark, d):
+    secret = F.concat(F.lit("http://me:pw@"), F.regexp_extract("url", r"^[^:]*://(.*)$", 1))
+    return pages(spark, d, "page_id", "url").select("page_id", urls.redact(secret).alias("url"))
+

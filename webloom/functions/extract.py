@@ -91,21 +91,21 @@ def _feed_refs(kind: str, xml: str | None) -> list[str]:
     return out
 
 
-def feed_references(kind: str, xml: Column) -> Column:
-    """References of an RSS feed (``rss``: link text and href, enclosures), an Atom feed
-    (``atom``: href) or a sitemap (``sitemap``: loc).  Spark's own XPath fails a whole
-    query on a malformed document, so this is an Arrow-batched parser that keeps what
-    stands before the error."""
+def feed_references(kinds: Column, xml: Column) -> Column:
+    """References of a document read as each of ``kinds`` (array<string>): an RSS feed
+    (``rss``: link text and href, enclosures), an Atom feed (``atom``: href) or a sitemap
+    (``sitemap``: loc).  Spark's own XPath fails a whole query on a malformed document, so
+    this is an Arrow-batched parser that keeps what stands before the error."""
 
     @F.pandas_udf("array<string>")
-    def parse(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: _feed_refs(kind, x))
+    def parse(ks: pd.Series, xs: pd.Series) -> pd.Series:
+        return pd.Series([[u for k in (k_ if k_ is not None else ()) for u in _feed_refs(k, x)] for k_, x in zip(ks, xs, strict=True)], dtype=object)
 
-    return parse(xml)
+    return parse(kinds, xml)
 
 
-def feed_links(base: Column, kind: str, xml: Column) -> Column:
-    return _resolved(base, feed_references(kind, xml), ("http", "https"))
+def feed_links(base: Column, kinds: Column, xml: Column) -> Column:
+    return _resolved(base, feed_references(kinds, xml), ("http", "https"))
 
 
 def convert_links(html: Column, mapping: Column, file_only: bool = False) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,9 +15,16 @@ DEFAULT_PORT = {"http": "80", "https": "443", "ftp": "21", "ftps": "990"}
 #: Characters that are percent-encoded in a path and in a query: controls, space, quotes
 #: and brackets of the URL standard's sets, and everything that is not ASCII.
 PATH_BAD = r"[\x00-\x20\"<>`{}\x7f-\x{10FFFF}]"
+FRAGMENT_BAD = r"[\x00-\x20\"<>`\x7f-\x{10FFFF}]"
 QUERY_BAD = r"[\x00-\x20\"<>'\x7f-\x{10FFFF}]"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once: expressions that use a part many times
+    would otherwise grow with every level of nesting."""
+    return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
+
+
 def _opt(url: Column, group: int) -> Column:
     return F.regexp_extract(url, PARTS, group)
 
@@ -83,8 +91,12 @@ def without_fragment(url: Column) -> Column:
 def percent_encode(text: Column, bad: str) -> Column:
     """Percent-encode the UTF-8 bytes of the characters of a class; nothing is done to a
     text without any."""
-    each = F.transform(F.split(text, ""), lambda c: F.when(c.rlike(bad), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")).otherwise(c))
-    return F.when(text.rlike(bad), F.array_join(each, "")).otherwise(text)
+
+    def encode(t: Column) -> Column:
+        each = F.transform(F.split(t, ""), lambda c: F.when(c.rlike(bad), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")).otherwise(c))
+        return F.when(t.rlike(bad), F.array_join(each, "")).otherwise(t)
+
+    return let(text, encode)
 
 
 def percent_decode(text: Column) -> Column:
@@ -94,64 +106,69 @@ def percent_decode(text: Column) -> Column:
 
 def remove_dots(p: Column) -> Column:
     """Resolve ``.`` and ``..`` segments of an absolute path."""
-    segments = F.split(p, "/", -1)
 
     def step(acc: Column, s: Column) -> Column:
         up = F.lower(s).isin("..", "%2e%2e", ".%2e", "%2e.")
         here = F.lower(s).isin(".", "%2e")
         return F.when(up, F.when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc)).when(here, acc).otherwise(F.concat(acc, F.array(s)))
 
-    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
-    last = F.lower(F.element_at(segments, -1))
-    closed = F.when(last.isin(".", "..", "%2e", "%2e%2e", ".%2e", "%2e."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
-    return F.when(p.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), F.array_join(closed, "/")).otherwise(p)
+    def close(segments: Column) -> Column:
+        kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+        last = F.lower(F.element_at(segments, -1)).isin(".", "..", "%2e", "%2e%2e", ".%2e", "%2e.")
+        return F.array_join(F.concat(kept, F.when(last, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))), "/")
+
+    return let(p, lambda x: F.when(x.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), close(F.split(x, "/", -1))).otherwise(x))
 
 
 def _tidy(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
 
 
+def _fields(url: Column) -> Column:
+    a = authority(url)
+    return F.struct(
+        scheme(url).alias("scheme"), host(url).alias("host"), F.regexp_extract(a, AUTHORITY, 1).alias("user"), F.regexp_extract(a, AUTHORITY, 3).alias("port"), a.alias("authority"), path(url).alias("path"), _opt(url, 4).alias("rest"),
+        query(url).alias("query"), fragment(url).alias("fragment"),
+    )
+
+
+def _written(f: Column) -> Column:
+    special = f["scheme"].isin(*DEFAULT_PORT)
+    default = F.coalesce(*[F.when(f["scheme"] == k, F.lit(v)) for k, v in DEFAULT_PORT.items()], F.lit(""))
+    some = lambda mark, x, bad: F.when(x.isNotNull(), F.concat(F.lit(mark), percent_encode(x, bad))).otherwise(F.lit(""))
+    raw = F.when(special, F.replace(f["path"], F.lit("\\"), F.lit("/"))).otherwise(f["path"])
+    tail = F.concat(some("?", f["query"], QUERY_BAD), some("#", f["fragment"], FRAGMENT_BAD))
+    whole = F.concat(
+        f["scheme"], F.lit("://"), F.when(f["user"] != "", F.concat(f["user"], F.lit("@"))).otherwise(F.lit("")), f["host"], F.when((f["port"] != "") & (f["port"] != default), F.concat(F.lit(":"), f["port"])).otherwise(F.lit("")), percent_encode(remove_dots(raw), PATH_BAD), tail
+    )
+    good = f["host"].isNotNull() & ~(special & f["host"].rlike(r"[\s<>^|%]"))
+    return F.when(f["scheme"].isNotNull(), F.when(good, whole).when(~special & f["host"].isNull(), F.concat(f["scheme"], F.lit(":"), f["rest"], tail)))
+
+
 def serialise(url: Column) -> Column:
     """The serialised form of an absolute hierarchical URL: lower-case scheme and host, no
     default port, dot segments resolved, and unsafe or non-ASCII characters encoded; null
-    if it does not parse.  (Hosts beyond ASCII need ``idna_host``.)"""
-    s, h, p = scheme(url), host(url), F.regexp_extract(authority(url), AUTHORITY, 3)
-    special = s.isin(*DEFAULT_PORT)
-    default = F.coalesce(*[F.when(s == k, F.lit(v)) for k, v in DEFAULT_PORT.items()], F.lit(""))
-    keep_port = (p != "") & (p != default)
-    raw = F.when(special, F.replace(path(url), F.lit("\\"), F.lit("/"))).otherwise(path(url))
-    clean = percent_encode(remove_dots(raw), PATH_BAD)
-    user = F.regexp_extract(authority(url), AUTHORITY, 1)
-    tail = F.concat(
-        F.when(query(url).isNotNull(), F.concat(F.lit("?"), percent_encode(query(url), QUERY_BAD))).otherwise(F.lit("")),
-        F.when(fragment(url).isNotNull(), F.concat(F.lit("#"), percent_encode(fragment(url), r"[\x00-\x20\"<>`\x7f-\x{10FFFF}]"))).otherwise(F.lit("")),
-    )
-    whole = F.concat(s, F.lit("://"), F.when(user != "", F.concat(user, F.lit("@"))).otherwise(F.lit("")), h, F.when(keep_port, F.concat(F.lit(":"), p)).otherwise(F.lit("")), clean, tail)
-    opaque = F.concat(s, F.lit(":"), _opt(url, 4), tail)
-    return F.when(special, F.when(h.isNotNull() & ~h.rlike(r"[\s<>^|%]"), whole)).when(s.isNotNull() & h.isNotNull(), whole).when(s.isNotNull(), opaque)
+    if it does not parse.  (Hosts beyond ASCII stay as they are.)"""
+    return let(url, lambda u: let(_fields(u), _written))
 
 
 def join(base: Column, ref: Column) -> Column:
     """Resolve a reference against an absolute URL and serialise it; null if either does
     not parse."""
-    r = _tidy(ref)
-    slashed = F.replace(r, F.lit("\\"), F.lit("/"))
-    root = F.concat(scheme(base), F.lit("://"), authority(base))
-    folder = F.regexp_extract(path(base), r"^(.*/)", 1)
-    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
-    own_query = F.when(query(base).isNotNull(), F.concat(F.lit("?"), query(base))).otherwise(F.lit(""))
-    absolute = (
-        F.when(r.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), r)
-        .when(slashed.startswith("//"), F.concat(scheme(base), F.lit(":"), slashed))
-        .when(slashed.startswith("/"), F.concat(root, F.regexp_replace(r, r"^\\", "/")))
-        .when(r == "", without_fragment(base))
-        .when(r.startswith("#"), F.concat(without_fragment(base), r))
-        .when(r.startswith("?"), F.concat(root, path(base), r))
-        .otherwise(F.concat(root, folder, r))
-    )
-    # a relative query replaces the base's; own_query only matters for an empty reference, which keeps it
-    del own_query
-    return serialise(absolute)
+
+    def against(b: Column, r: Column) -> Column:
+        root = F.concat(b["scheme"], F.lit("://"), b["authority"])
+        own = F.concat(root, b["path"], F.when(b["query"].isNotNull(), F.concat(F.lit("?"), b["query"])).otherwise(F.lit("")))
+        return (
+            F.when(r.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), r)
+            .when(r.rlike(r"^[/\\]{2}"), F.concat(b["scheme"], F.lit(":"), F.replace(r, F.lit("\\"), F.lit("/"))))
+            .when(r.rlike(r"^[/\\]"), F.concat(root, F.regexp_replace(r, r"^\\", "/")))
+            .when((r == "") | r.startswith("#"), F.concat(own, r))
+            .when(r.startswith("?"), F.concat(root, b["path"], r))
+            .otherwise(F.concat(root, folder(b["path"]), r))
+        )
+
+    return let(F.struct(_fields(base).alias("b"), _tidy(ref).alias("r")), lambda x: serialise(against(x["b"], x["r"])))
 
 
 def normalise(url: Column, allow_iri: bool = True) -> Column:

@@ -76,11 +76,12 @@ def page_links(pages: DataFrame, config: CrawlConfig) -> DataFrame:
         base.alias("parent"),
         F.explode(F.array_distinct(F.concat(F.when(F.col("kind.html") | F.lit(config.force_html), extract.html_links(base, body, **opts)).otherwise(none), F.when(F.col("kind.css") | F.lit(config.force_css), extract.css_links(base, body)).otherwise(none)))).alias("url"),
     )
-    out = plain
-    for feed, forced in (("rss", config.force_rss), ("atom", config.force_atom), ("sitemap", config.force_sitemap)):
-        rows = said if forced else said.where(F.col(f"kind.{feed}"))
-        out = out.unionByName(rows.select(base.alias("parent"), F.explode(extract.feed_links(base, feed, body)).alias("url")))
-    return out.distinct()
+    forced = {"rss": config.force_rss, "atom": config.force_atom, "sitemap": config.force_sitemap}
+    kinds = F.filter(F.array(*[F.when(F.lit(f) | F.col(f"kind.{k}"), F.lit(k)) for k, f in forced.items()]), lambda k: k.isNotNull())
+    # only documents that are feeds reach the parser
+    feeds = said.withColumn("kinds", kinds).where(F.size("kinds") > 0)
+    found = feeds.select(base.alias("parent"), F.explode(extract.feed_links(base, F.col("kinds"), body)).alias("url"))
+    return plain.unionByName(found).distinct()
 
 
 def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], config: CrawlConfig, *, robots: DataFrame | None = None, most_levels: int = 1000) -> Crawl:

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from webloom.functions import extract, listings, paths, text, urls
-from webloom.operators import archive, crawl, mirrors, policy, report
+from webloom.functions import charset, extract, listings, narrative, paths, text, urls
+from webloom.operators import archive, crawl, mirrors, policy, report, schedule
 from webloom.plans.config import CrawlConfig
-from webloom.sources import files
+from webloom.sources import files, ftp
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -618,3 +618,72 @@ def redact_urls(spark, d):
     secret = F.concat(F.lit("http://me:pw@"), F.regexp_extract("url", r"^[^:]*://(.*)$", 1))
     return pages(spark, d, "page_id", "url").select("page_id", urls.redact(secret).alias("url"))
 
+
+
+CHARSETS = [(1, "windows-1251", "CFF0E8E2E5F2", "Привет"), (2, None, "C3A9", "é"), (3, "latin1", "80", "€"), (4, "no-such", "41", None)]
+
+
+@query(f"SELECT id, wanted AS said FROM {values_sql(CHARSETS, 'id int, label string, data string, wanted string')}")
+def decode_charsets(spark, d):
+    df = values(spark, CHARSETS, "id int, label string, data string, wanted string")
+    return df.select("id", charset.decode_bytes(F.unhex("data"), F.col("label")).alias("said"))
+
+
+HOSTS = [(1, "Bücher.example", "xn--bcher-kva.example"), (2, "A.example", "a.example"), (3, None, None)]
+
+
+@query(f"SELECT id, ascii FROM {values_sql(HOSTS, 'id int, host string, ascii string')}")
+def idna_hosts(spark, d):
+    return values(spark, HOSTS, "id int, host string, ascii string").select("id", charset.idna_host(F.col("host")).alias("ascii"))
+
+
+LENGTHS = [(1, 2048, 1024, "text/html", "  length 2048 (2.00KB), 1024 (1.00KB) remaining  text/html"), (2, 10, None, None, "  length 10 (10B)"), (3, None, None, "a/b", "  type a/b"), (4, None, None, None, None)]
+
+
+@query(f"SELECT id, line FROM {values_sql(LENGTHS, 'id int, total bigint, already bigint, kind string, line string')}")
+def length_lines(spark, d):
+    df = values(spark, LENGTHS, "id int, total bigint, already bigint, kind string, line string")
+    return df.select("id", narrative.length(F.col("total"), F.col("already"), F.col("kind")).alias("line"))
+
+
+@query(f"""SELECT page_id, CAST(2.5 * (row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) - 1) AS DOUBLE) AS at FROM pages""")
+def request_schedule(spark, d):
+    jobs = pages(spark, d, "page_id", "url").select("page_id", urls.host(F.col("url")).alias("host"))
+    return schedule.request_times(jobs, 2.5, order="page_id").select("page_id", "at")
+
+
+TREE = [("ftp://f.example/", "a.txt", "file", None), ("ftp://f.example/", "sub", "dir", None), ("ftp://f.example/", "up", "symlink", "../x"), ("ftp://f.example/sub/", "b.bin", "file", None), ("ftp://f.example/sub/", "ok", "symlink", "b.bin")]
+
+
+@query("SELECT * FROM (VALUES ('ftp://f.example/a.txt', 1), ('ftp://f.example/sub/b.bin', 2), ('ftp://f.example/sub/ok', 2)) AS v(url, depth)")
+def ftp_walk(spark, d):
+    return ftp.walk(values(spark, [("ftp://f.example/",)], "url string"), values(spark, TREE, "url string, name string, kind string, target string"), CrawlConfig(recursive=True))
+
+
+GLOBS = [("ftp://f.example/p/", "-rw-r--r-- 1 u g 5 Jan 1 2020 a.txt\nb.txt\nc.bin\nb.txt")]
+
+
+@query("SELECT * FROM (VALUES ('ftp://f.example/p/a.txt'), ('ftp://f.example/p/b.txt')) AS v(url)")
+def ftp_glob(spark, d):
+    return ftp.expand_glob(values(spark, GLOBS, "url string, text string"), "?.txt")
+
+
+BACKUPS = [(1, "f", "f,f.1", "f.1>f.2,f>f.1"), (2, "g", "f", "")]
+
+
+@query(f"SELECT id, plan FROM {values_sql(BACKUPS, 'id int, path string, existing string, plan string')}")
+def backup_plans(spark, d):
+    df = values(spark, BACKUPS, "id int, path string, existing string, plan string")
+    plan = paths.backup_plan(F.col("path"), F.split("existing", ","), 2)
+    return df.select("id", F.array_join(F.transform(plan, lambda s: F.concat(s["from"], F.lit(">"), s["to"])), ",").alias("plan"))
+
+
+FINAL = [(1, "http://x.example/a", "http://x.example/b/c", "./a", "text/html", None, 200, "./c.html"), (2, "http://x.example/a", "http://x.example/a", "./a", "text/css", "attachment; filename=n", 200, "./n.css"), (3, "http://x.example/a", "http://x.example/b", "./a", "text/html", None, 304, "./a")]
+FINAL_DDL = "id int, request string, final string, dest string, ct string, cd string, status int, wanted string"
+
+
+@query(f"SELECT id, wanted AS path FROM {values_sql(FINAL, FINAL_DDL)}")
+def final_paths(spark, d):
+    config = CrawlConfig(trust_server_names=True, content_disposition=True, adjust_extension=True)
+    c = F.col
+    return values(spark, FINAL, FINAL_DDL).select("id", paths.final_path(c("request"), c("final"), c("dest"), c("ct"), c("cd"), c("status"), F.array().cast("array<string>"), config).alias("path"))

@@ -24,3 +24,42 @@ def encoded(records: DataFrame, compressed: bool = True) -> DataFrame:
 
     dated = records.withColumn("date", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).drop("ts")
     return dated.mapInPandas(run, "record_id string, bytes binary")
+
+
+def write(records: DataFrame, folder: str, stem: str = "out", compressed: bool = True, most: int | None = None) -> DataFrame:
+    """Write archive files to a folder that all executors mount, and give (file, records,
+    bytes).  A task writes ``stem-<partition>[-n]`` under a hidden name and renames it when
+    it is whole, so a task that runs again leaves the same files; one of more than ``most``
+    bytes is followed by the next."""
+    suffix = ".warc.gz" if compressed else ".warc"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import os
+
+        from pyspark import TaskContext
+
+        os.makedirs(folder, exist_ok=True)
+        part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
+        done, out, count, size = [], None, 0, 0
+
+        def close() -> None:
+            nonlocal out
+            if out is not None:
+                out.close()
+                name = f"{stem}-{part:05d}" + (f"-{len(done)}" if done else "") + suffix
+                os.replace(out.name, os.path.join(folder, name))
+                done.append((name, count, size))
+                out = None
+
+        for pdf in batches:
+            for b in pdf["bytes"]:
+                if out is not None and most is not None and size and size + len(b) > most:
+                    close()
+                if out is None:
+                    out, count, size = open(os.path.join(folder, f".{stem}-{part}-{attempt}-{len(done)}"), "wb"), 0, 0
+                out.write(b)
+                count, size = count + 1, size + len(b)
+        close()
+        yield pd.DataFrame(done, columns=["file", "records", "bytes"])
+
+    return encoded(records, compressed).mapInPandas(run, "file string, records bigint, bytes bigint")

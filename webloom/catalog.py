@@ -527,10 +527,10 @@ def hash_verify(spark, d):
 SIZES = [("10", 10, "10B"), ("1k", 1024, "1.00KB"), (" 1536 ", 1536, "1.50KB"), ("20M", 20971520, "20.0MB"), ("300g", 322122547200, "300GB"), ("x", None, None), ("1.5k", None, None), ("2t", 2199023255552, "2.00TB")]
 
 
-@query(f"SELECT said, n, shown FROM {values_sql(SIZES, 'said string, n bigint, shown string')}")
+@query(f"SELECT said, coalesce(n, -1) AS n, shown FROM {values_sql(SIZES, 'said string, n bigint, shown string')}")
 def parse_and_format_bytes(spark, d):
     n = text.parse_bytes(F.col("said"))
-    return values(spark, SIZES, "said string, n bigint, shown string").select("said", n.alias("n"), text.format_bytes(n).alias("shown"))
+    return values(spark, SIZES, "said string, n bigint, shown string").select("said", F.coalesce(n, F.lit(-1)).alias("n"), text.format_bytes(n).alias("shown"))
 
 
 TIMES = [("30", 30.0), ("1.5m", 90.0), ("2h", 7200.0), ("1d", 86400.0), ("0.25s", 0.25), ("soon", None)]

@@ -42,7 +42,7 @@ def _scaled(value: Column, step: float, units: list[str], whole_first: bool) ->
             shown = F.format_string("%.0f", F.bround(x, 0))
         part = F.concat(shown, F.lit(unit))
         out = part if out is None else F.when(v >= step ** (i + 1), out).otherwise(part)
-    return out
+    return F.when(value.isNotNull(), out)
 
 
 def format_bytes(n: Column) -> Column:

@@ -58,6 +58,18 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema(fields)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system at a task's end: Python workers are used again
+    and would else keep their largest task's share."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[dict]]], ddl: str) -> DataFrame:
     """mapInArrow with columns given as a dict of arrays; ``make`` runs once per task
     and returns what handles a batch."""
@@ -70,6 +82,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
                 for out in handle(batch):
                     arrays = [x if isinstance(x := out[f.name], (pa.Array, pa.ChunkedArray)) else pa.array(x, f.type) for f in schema]
                     yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+        release_memory()
 
     return df.mapInArrow(run, ddl)
 

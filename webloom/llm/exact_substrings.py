@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import map_batches, read, slices, texts_of, written
+from webloom.llm.common import map_batches, read, release_memory, slices, texts_of, written
 from webloom.llm.cover import PAD, same_next, suffix_order
 from webloom.llm.flat import MIX, spans
 
 LENGTH = 200
 K = 32
 MOST = 4096
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Bytes of contexts whose suffixes are sorted together; one larger bucket goes alone.
 BLOCK = 3 << 20
 _A = np.uint64(0xD6E8FEB86659FD93)
@@ -147,7 +147,7 @@ def _long(data: np.ndarray):
         at += step
 
 
-def _gather(joined: DataFrame) -> DataFrame:
+def _gather(joined: DataFrame, most: int) -> DataFrame:
     """From texts with their representatives: contexts by anchor, or for the members of
     crowded buckets the hashes of each window."""
 
@@ -162,7 +162,7 @@ def _gather(joined: DataFrame) -> DataFrame:
             begin = offsets[of] + lo
             size = n.astype(np.int64) + LENGTH - 1
             for calm in (True, False):
-                mine = np.flatnonzero((crowd <= MOST) == calm)
+                mine = np.flatnonzero((crowd <= most) == calm)
                 for a in range(0, len(mine), 8192):
                     m = mine[a : a + 8192]
                     flat = data[spans(begin[m], size[m])]
@@ -259,11 +259,12 @@ def _sort_buckets(contexts: DataFrame) -> DataFrame:
             if batch is None or batch.num_rows:
                 for out in handle(batch):
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+        release_memory()
 
     return contexts.select("k1", "r1", "r2", "lo", "bytes").repartition("k1").sortWithinPartitions("k1").mapInArrow(run, ddl)
 
 
-def repeated_windows(texts: DataFrame) -> DataFrame:
+def repeated_windows(texts: DataFrame, most: int = MOST) -> DataFrame:
     """``r1``, ``r2``, ``lo``, ``n``: ranges of starts (in bytes) of repeated windows of
     the rows of ``r1``, ``r2`` and ``text``.  The ranges of one row may touch or repeat."""
     found = _find_runs(texts)
@@ -273,7 +274,7 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     equal = again.join(kinds.where("times > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select("r1", "r2", "lo", "n")
     crowds = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
     reps = kinds.join(crowds, "anchor").select("rep.*", "anchor", "crowd").groupBy("r1", "r2").agg(F.collect_list(F.struct("anchor", "lo", "n", "crowd")).alias("items"))
-    gathered = written(_gather(texts.join(reps, ["r1", "r2"]).select("r1", "r2", "text", "items")))
+    gathered = written(_gather(texts.join(reps, ["r1", "r2"]).select("r1", "r2", "text", "items"), most))
     sorted_ = _sort_buckets(gathered.where("bytes is not null"))
     windows = gathered.where("bytes is null").select("k1", "k2", "r1", "r2", "lo")
     twice = windows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("k1", "k2")
@@ -289,24 +290,26 @@ def _remove(joined: DataFrame, kept: tuple[str, ...], emit: tuple[str, ...]) ->
 
         def handle(batch: pa.RecordBatch):
             data, offsets = texts_of(batch, "text")
-            lows, counts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("lows", "counts"))
-            out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")}
-            raw = data.tobytes()
-            for i, (lo, n) in enumerate(zip(lows, counts, strict=True)):
-                text, removed, spans_ = raw[offsets[i] : offsets[i + 1]], 0, 0
-                size = len(text)
-                if lo:
-                    a = np.array(lo, np.int64)
-                    order = np.argsort(a, kind="stable")
-                    a, b = a[order], a[order] + np.array(n, np.int64)[order] + LENGTH - 1
-                    b = np.maximum.accumulate(b)
-                    new = np.append(True, a[1:] > b[:-1])
-                    first, last = a[new], b[np.append(np.flatnonzero(new)[1:] - 1, len(a) - 1)]
-                    removed, spans_ = int((last - first).sum()), len(first)
-                    text = b"".join(text[x:y] for x, y in zip([0, *last.tolist()], [*first.tolist(), size], strict=True))
-                for c, x in (("n_bytes", size), ("n_removed", removed), ("n_spans", spans_), ("kept_sha256", hashlib.sha256(text).hexdigest() if "kept_sha256" in emit else None), ("kept_text", text.decode("utf-8", "ignore") if "kept_text" in emit else None)):
-                    out[c].append(x)
-            yield {c: batch.column(i) for i, c in enumerate(names)} | out
+            lows, counts = (batch.column(batch.schema.get_field_index(c)) for c in ("lows", "counts"))
+            # in parts, so that no second copy of a whole batch is held
+            for at, end in slices(offsets, 2 * CHUNK):
+                n = end - at
+                out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")}
+                for i, lo, count in zip(range(at, end), lows.slice(at, n).to_pylist(), counts.slice(at, n).to_pylist(), strict=True):
+                    text, removed, spans_ = data[offsets[i] : offsets[i + 1]].tobytes(), 0, 0
+                    size = len(text)
+                    if lo:
+                        a = np.array(lo, np.int64)
+                        order = np.argsort(a, kind="stable")
+                        a, b = a[order], a[order] + np.array(count, np.int64)[order] + LENGTH - 1
+                        b = np.maximum.accumulate(b)
+                        new = np.append(True, a[1:] > b[:-1])
+                        first, last = a[new], b[np.append(np.flatnonzero(new)[1:] - 1, len(a) - 1)]
+                        removed, spans_ = int((last - first).sum()), len(first)
+                        text = b"".join(text[x:y] for x, y in zip([0, *last.tolist()], [*first.tolist(), size], strict=True))
+                    for c, x in (("n_bytes", size), ("n_removed", removed), ("n_spans", spans_), ("kept_sha256", hashlib.sha256(text).hexdigest() if "kept_sha256" in emit else None), ("kept_text", text.decode("utf-8", "ignore") if "kept_text" in emit else None)):
+                        out[c].append(x)
+                yield {c: batch.column(i).slice(at, n) for i, c in enumerate(names)} | out
 
         return handle
 
@@ -315,7 +318,7 @@ def _remove(joined: DataFrame, kept: tuple[str, ...], emit: tuple[str, ...]) ->
     return map_batches(joined.select(*kept, "text", "lows", "counts"), make, ddl)
 
 
-def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", also: tuple[str, ...] = (), emit: tuple[str, ...] = ("n_bytes", "n_removed", "n_spans", "kept_sha256")) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", also: tuple[str, ...] = (), emit: tuple[str, ...] = ("n_bytes", "n_removed", "n_spans", "kept_sha256"), most: int = MOST) -> DataFrame:
     """``key``, the columns ``also`` and those named in ``emit`` (``kept_text`` too: the
     remaining bytes as text, without characters that a cut broke) for each row.
 
@@ -328,7 +331,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     body = F.coalesce(F.col(text), F.lit(""))
     second = F.coalesce(F.col(key), F.lit(-1)) if dict(docs.dtypes)[key] in ("int", "bigint") else F.xxhash64(F.lit(1), key, text)
     rows = docs.select(key, *also, body.alias("text"), F.xxhash64(body, F.col(key)).alias("r1"), second.cast("bigint").alias("r2"))
-    found = repeated_windows(rows.select("r1", "r2", "text"))
+    found = repeated_windows(rows.select("r1", "r2", "text"), most)
     found = found.groupBy("r1", "r2").agg(F.collect_list("lo").alias("lows"), F.collect_list("n").alias("counts"))
     return _remove(rows.join(found, ["r1", "r2"], "left"), (key, *also), emit)
 

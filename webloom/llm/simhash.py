@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import map_batches, read, slices, texts_of, written
+from webloom.llm.common import map_batches, read, release_memory, slices, texts_of, written
 from webloom.llm.components import components
 
 BITS = 3
 MOST = 4096
 SEED = 42
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 
 
 def shingle_hashes(text: bytes, width: int) -> list[int]:
@@ -196,6 +196,7 @@ def _meetings(keyed: DataFrame, differ: int, check: int) -> DataFrame:
                     yield out()
         if a:
             yield out()
+        release_memory()
 
     rows = keyed.select("mask", "value", "node", "fp", "other")
     return rows.repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(run, "a bigint, b bigint")

@@ -23,7 +23,7 @@ from webloom.llm.common import bucket_of, map_batches, read, slices, texts_of
 SIZES = (4, 5)
 BUCKETS = 1 << 18
 SAMPLE = 4000
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 

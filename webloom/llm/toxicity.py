@@ -77,37 +77,32 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
-def fit(docs: list[np.ndarray], labels: np.ndarray, share: np.ndarray, *, epochs: int = 80, l2: float = 1e-4, alpha: float = 1.0, sure: float = 3.0) -> Model:
-    """``docs``: the distinct buckets of each text; ``share``: the weight of each text.
+def significant(pos: np.ndarray, neg: np.ndarray, *, sure: float = 3.0, alpha: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets whose log-count ratio r = log(p / q), smoothed by ``alpha``, is at least
+    ``sure`` of its standard errors from 0, and their ratios.  ``pos`` and ``neg``: in how
+    many texts of each label every bucket is found."""
+    pos, neg = pos + alpha, neg + alpha
+    ratio = np.log((pos / pos.sum()) / (neg / neg.sum()))
+    used = np.flatnonzero(np.abs(ratio) >= sure * np.sqrt(1 / pos + 1 / neg))
+    return used, ratio[used]
+
 
-    Ratios r = log(p / q) of smoothed counts under the two labels scale the features; a
-    logistic loss with an l2 penalty is minimised by Adam over the whole sample.  Features
-    whose ratio is less than ``sure`` of its standard errors from 0 are left out.  Without texts of both labels every score is the share of label 1 (0.0 if there
-    are none).
+def fit(docs: list[np.ndarray], labels: np.ndarray, share: np.ndarray, used: np.ndarray, ratio: np.ndarray, *, epochs: int = 80, l2: float = 1e-4) -> Model:
+    """``docs``: the buckets of each text that are among ``used``, whose ratios scale them;
+    ``share``: the weight of each text.  A logistic loss with an l2 penalty is minimised by
+    Adam over the whole sample.  Without texts of both labels every score is the label
+    that there is (0 if there is none).
     """
     y = np.asarray(labels, np.float64)
     total = share.sum()
     prior = float((share * y).sum() / total) if total else 0.0
     if not 0 < prior < 1:
         return Model(np.zeros(BUCKETS, np.float32), 30.0 if prior else -30.0)
-    # in parts, so that the driver holds no second copy of the sample
-    parts = [range(i, min(i + 256, len(docs))) for i in range(0, len(docs), 256)]
-    pos, neg = np.full(BUCKETS, alpha), np.full(BUCKETS, alpha)
-    for part in parts:
-        for counts, label in ((pos, 1), (neg, 0)):
-            if mine := [docs[i] for i in part if labels[i] == label]:
-                counts += np.bincount(np.concatenate(mine), minlength=BUCKETS)
-    ratio = np.log((pos / pos.sum()) / (neg / neg.sum()))
-    used = np.flatnonzero(np.abs(ratio) >= sure * np.sqrt(1 / pos + 1 / neg))
-    place = np.full(BUCKETS, -1)
+    place = np.zeros(BUCKETS, np.int64)
     place[used] = np.arange(len(used))
-    kept = []
-    for part in parts:
-        row = np.repeat(np.array(part, np.int64), [len(docs[i]) for i in part])
-        col = place[np.concatenate([docs[i] for i in part])]
-        kept.append((row[col >= 0], col[col >= 0]))
-    row, col = (np.concatenate([k[i] for k in kept]) for i in (0, 1))
-    ratio, m = ratio[used], len(used)
+    m = len(used)
+    row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    col = place[np.concatenate(docs)]
     value = ratio[col]
     starts = np.searchsorted(row, np.arange(len(docs)))
     empty = np.bincount(row, minlength=len(docs)) == 0
@@ -132,36 +127,62 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, share: np.ndarray, *, epochs
     return Model(weights, b)
 
 
-def sample(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = SAMPLE) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Features, labels and weights of at most ``most`` rows of each label."""
+def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = SAMPLE) -> Model:
+    """Fit to at most ``most`` rows of each label.
+
+    The executors count in how many texts each bucket is found (at most 2 * BUCKETS
+    numbers come back); the second pass hands over only the significant buckets of each
+    text, so what the driver holds does not grow with the texts' lengths.
+    """
+    spark = docs.sparkSession
     known = labels.select(F.col(key), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col(key).isNotNull()).distinct()
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    chosen = known.withColumn("nth", F.row_number().over(W.partitionBy("y").orderBy(F.xxhash64(key), key))).where(F.col("nth") <= most).select(key, "y")
+    nth = F.row_number().over(W.partitionBy("y").orderBy(F.xxhash64(key), key))
+    chosen = known.withColumn("nth", nth).where(F.col("nth") <= most).select(key, "y")
+    # at most 2 * most rows, so they may be broadcast; repeated documents count once for each row
+    sampled = docs.select(key, text).join(F.broadcast(chosen), key).select(text, "y")
 
-    def make():
+    def count():
         def handle(batch: pa.RecordBatch):
             data, offsets = texts_of(batch, text)
-            ys = batch.column(1)
+            ys = batch.column(1).to_numpy()
             for lo, hi in slices(offsets, CHUNK):
                 points, ends = code_points(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 row, bucket = doc_features(points, ends)
-                cut = np.searchsorted(row, np.arange(hi - lo + 1))
-                yield {"y": ys.slice(lo, hi - lo), "buckets": pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(bucket, pa.int32()))}
+                got, n = np.unique(ys[lo:hi][row].astype(np.int64) << 32 | bucket, return_counts=True)
+                yield {"y": (got >> 32).astype(np.int32), "bucket": (got & 0xFFFFFFFF).astype(np.int32), "n": n}
 
         return handle
 
-    # at most 2 * most rows, so they may be broadcast; repeated documents count once for each row
-    got = map_batches(docs.select(key, text).join(F.broadcast(chosen), key).select(text, "y"), make, "y int, buckets array<int>").toArrow()
-    ys = got.column("y").to_numpy().astype(np.int64)
-    features = [np.asarray(x, np.int32) for x in got.column("buckets").to_numpy(zero_copy_only=False)] if len(ys) else []
-    number = np.bincount(ys, minlength=2)
-    share = np.array([counts.get(y, 0) / max(1, number[y]) for y in (0, 1)])
-    order = np.lexsort(([len(f) for f in features], ys)) if len(ys) else []
-    return [features[i] for i in order], ys[order] if len(ys) else ys, share[ys[order]] if len(ys) else np.zeros(0)
+    table = map_batches(sampled, count, "y int, bucket int, n bigint").groupBy("y", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    ys, buckets, n = (table.column(c).to_numpy() for c in ("y", "bucket", "n"))
+    found = np.zeros((2, BUCKETS))
+    found[ys, buckets] = n
+    used, ratio = significant(found[1], found[0])
+    keep = np.zeros(BUCKETS, bool)
+    keep[used] = True
+    packed = spark.sparkContext.broadcast(keep)
+
+    def features():
+        wanted = packed.value
 
+        def handle(batch: pa.RecordBatch):
+            data, offsets = texts_of(batch, text)
+            for lo, hi in slices(offsets, CHUNK):
+                points, ends = code_points(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                row, bucket = doc_features(points, ends, wanted)
+                cut = np.searchsorted(row, np.arange(hi - lo + 1))
+                yield {"y": batch.column(1).slice(lo, hi - lo), "buckets": pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(bucket, pa.int32()))}
+
+        return handle
 
-def train(docs: DataFrame, labels: DataFrame, **names) -> Model:
-    return fit(*sample(docs, labels, **names))
+    got = map_batches(sampled, features, "y int, buckets array<int>").toArrow()
+    y = got.column("y").to_numpy().astype(np.int64)
+    sets = [np.asarray(x, np.int64) for x in got.column("buckets").to_numpy(zero_copy_only=False)] if len(y) else []
+    order = sorted(range(len(y)), key=lambda i: (y[i], len(sets[i]), sets[i].tobytes()))  # the same sum whatever order tasks end in
+    number = np.bincount(y, minlength=2)
+    share = np.array([counts.get(k, 0) / max(1, number[k]) for k in (0, 1)])
+    return fit([sets[i] for i in order], y[order], share[y[order]], used, ratio)
 
 
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", also: tuple[str, ...] = (), names: tuple[str, str] = ("score", "predicted")) -> DataFrame:

@@ -28,7 +28,7 @@ from webloom.llm.common import map_batches, read, slices, texts_of
 LENGTH = 2048
 #: Tokens of a window, and bytes of text that are tokenised together.
 WINDOW = 2_000_000
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Cost of a piece of n tokens: n * LINEAR + n * n * QUADRATIC.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 END = 1

@@ -268,7 +268,8 @@ def repeated_windows(texts: DataFrame, most: int = MOST) -> DataFrame:
     """``r1``, ``r2``, ``lo``, ``n``: ranges of starts (in bytes) of repeated windows of
     the rows of ``r1``, ``r2`` and ``text``.  The ranges of one row may touch or repeat."""
     found = _find_runs(texts)
-    often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor")
+    # a table of its own, so that the join deals both sides anew and may split a frequent anchor
+    often = written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor"))
     again = written(found.join(often, "anchor"))
     kinds = written(again.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("r1", "r2", "lo", "n")).alias("rep")))
     equal = again.join(kinds.where("times > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select("r1", "r2", "lo", "n")

@@ -184,6 +184,36 @@ def test_one_of_each(spark, docs, rows):
     assert out.columns == docs.columns
 
 
+def test_one_of_each_links_by_exact_similarity(spark):
+    rng = random.Random(17)
+    texts = []
+    for _ in range(60):
+        words = [f"{rng.choice(WORDS)}{rng.randrange(40)}" for _ in range(rng.randint(40, 160))]
+        texts.append(" ".join(words))
+        for _ in range(3):
+            copy = list(words)
+            for _ in range(rng.randint(1, 8)):
+                copy[rng.randrange(len(copy))] = f"new{rng.randrange(1000)}"
+            texts.append(" ".join(copy))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (x.split() for x in texts)]
+    parent = list(range(len(texts)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for a, b in pairs:
+        x, y = top(a), top(b)
+        parent[max(x, y)] = min(x, y)
+    want = {i for i in range(len(texts)) if top(i) == i}
+    assert 20 < len(pairs) and len(want) > 80
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert {r.doc_id for r in simhash.one_of_each(df).collect()} == want
+    assert {r.doc_id for r in simhash.one_of_each(df, block=100).collect()} == want
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (200, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}

@@ -10,6 +10,9 @@ into ``BITS`` + 1 blocks, one of which close pairs share as well, and its member
 on under these longer keys, until each meeting is small.  (What remains after all bits
 but 12 are fixed holds at most 4096 fingerprints, so this ends.)  A meeting hands on no
 pairs but one edge from each member to the first of its local component.
+
+``one_of_each`` (the pipeline's stage) does not estimate: MinHash bands give candidates,
+and shingle sets are compared exactly before any link is made.
 """
 
 from __future__ import annotations
@@ -28,6 +31,16 @@ BITS = 3
 MOST = 4096
 SEED = 42
 CHUNK = 4 << 20
+#: Near copies: width of the shingles and least similarity; a pair at 0.8 meets under none of
+#: the bands with probability (1 - 0.8 ** ROWS) ** BANDS = 5e-6, one at 0.85 with 6e-9.
+WIDTH, LEAST = 5, (4, 5)
+BANDS, ROWS = 40, 6
+SET_CHUNK = 1 << 19
+BLOCK = 2_000_000
+_RANDOM = np.random.default_rng(SEED)
+_FLIPS = _RANDOM.integers(0, 2**64, (BANDS, ROWS), np.uint64)
+_FACTORS = _RANDOM.integers(0, 2**64, (BANDS, ROWS), np.uint64) | np.uint64(1)
+_STIR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_hashes(text: bytes, width: int) -> list[int]:
@@ -245,22 +258,167 @@ def classes(prints: DataFrame, *, key: str = "doc_id", differ: int = BITS) -> Da
     return joined.join(names, "root").select("fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", differ: int = 6, check: int = 14) -> DataFrame:
+def _minhash_bands(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A row of ``BANDS`` keys for each set; ``starts`` are the sets' first places, no set is empty."""
+    keys = np.empty((len(starts), BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(starts), _FLIPS[band, 0])
+        for flip, factor in zip(_FLIPS[band], _FACTORS[band], strict=True):
+            key = (key ^ np.minimum.reduceat((hashes ^ flip) * factor, starts)) * _STIR
+            key ^= key >> np.uint64(32)
+        keys[:, band] = key
+    return keys
+
+
+def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, width), np.uint64))
+
+
+def _set_prints(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key``, ``t`` (hash of the text), ``s`` (hash of its set of shingles, 0 if empty),
+    ``n`` (its size) and ``bands`` of each row."""
+    import xxhash
+
+    def make():
+        def handle(batch: pa.RecordBatch):
+            data, offsets = texts_of(batch, text)
+            for lo, hi in slices(offsets, SET_CHUNK):
+                raw, at = data[offsets[lo] : offsets[hi]].tobytes(), (offsets[lo : hi + 1] - offsets[lo]).tolist()
+                sets = [shingle_set(raw[x:y]) for x, y in zip(at, at[1:], strict=False)]
+                n = np.array([len(x) for x in sets], np.int64)
+                name = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
+                some = np.flatnonzero(n)
+                ends = np.cumsum(n[some])
+                keys = _minhash_bands(np.concatenate(sets), ends - n[some]).view(np.int64).reshape(-1) if len(some) else np.zeros(0, np.int64)
+                places = np.concatenate(([0], np.cumsum(np.where(n > 0, BANDS, 0)))).astype(np.int32)
+                yield {key: batch.column(0).slice(lo, hi - lo), "t": batch.column(1).slice(lo, hi - lo), "s": name, "n": n, "bands": pa.ListArray.from_arrays(pa.array(places), pa.array(keys))}
+
+        return handle
+
+    rows = docs.select(key, F.xxhash64(text).alias("t"), text)
+    return map_batches(rows, make, f"{key} {dict(docs.dtypes)[key]}, t bigint, s bigint, n bigint, bands array<bigint>")
+
+
+def _first_of_run(batches):
+    """An edge from each row of a run of equal ``band`` to the run's first ``s``."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    band, first = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bands, s = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        begins = np.concatenate(([0], np.flatnonzero(bands[1:] != bands[:-1]) + 1))
+        heads = s[begins].copy()
+        if band is not None and bands[0] == band:
+            heads[0] = first
+        to = np.repeat(heads, np.diff(np.append(begins, len(s))))
+        band, first = bands[-1], to[-1]
+        moved = s != to
+        if moved.any():
+            yield pa.RecordBatch.from_arrays([pa.array(s[moved]), pa.array(to[moved])], schema=schema)
+    release_memory()
+
+
+def similar_sets(sets: list[np.ndarray], least: tuple[int, int] = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """One edge (by places in ``sets``) from each set to the first of its component, where
+    two sets are linked if their Jaccard similarity is at least ``least`` (a fraction).
+
+    The sets not yet reached stand in an index from hash to owner, made anew each time
+    half of them are gone."""
+    n, (up, down) = len(sets), least
+    size = np.array([len(x) for x in sets], np.int64)
+    to = np.full(n, -1)
+
+    def index():
+        rest = np.flatnonzero(to < 0)
+        owner = np.repeat(rest, size[rest])
+        values = np.concatenate([sets[i] for i in rest]) if len(rest) else np.zeros(0, np.uint64)
+        order = np.argsort(values, kind="stable")
+        return values[order], owner[order], len(rest)
+
+    values, owner, held = index()
+    left = n
+    for first in range(n):
+        if to[first] >= 0:
+            continue
+        to[first] = first
+        left -= 1
+        front = [first]
+        while front and left:
+            if 2 * left < held:
+                values, owner, held = index()
+            one = front.pop()
+            lo, hi = np.searchsorted(values, sets[one], "left"), np.searchsorted(values, sets[one], "right")
+            many = hi - lo
+            places = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+            common = np.bincount(owner[places], minlength=n)
+            met = np.flatnonzero((down * common >= up * (size[one] + size - common)) & (common > 0) & (to < 0))
+            to[met] = first
+            left -= len(met)
+            front.extend(met.tolist())
+    moved = np.flatnonzero(to != np.arange(n))
+    return moved, to[moved]
+
+
+def _verified(batches):
+    """Exact links within each run of equal (root, i, j); rows are sorted by these and ``s``."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    at, names, sets = None, [], []
+
+    def close():
+        if len(sets) > 1:
+            a, b = similar_sets(sets)
+            s = np.array(names, np.int64)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(s[a]), pa.array(s[b])], schema=schema)
+        names.clear()
+        sets.clear()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        data, offsets = texts_of(batch, "text")
+        roots, i, j, s = (batch.column(x).to_pylist() for x in range(4))
+        for row, key in enumerate(zip(roots, i, j, strict=True)):
+            if key != at:
+                yield from close()
+                at = key
+            if names and names[-1] == s[row]:  # repeated rows
+                continue
+            names.append(s[row])
+            sets.append(shingle_set(data[offsets[row] : offsets[row + 1]].tobytes()))
+    yield from close()
+    release_memory()
+
+
+def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """``docs`` without all but the row of smallest key of each group of near copies.
 
-    A link needs two fingerprints to be near: of two-word shingles (at most ``differ``
-    bits, by blocks) and of five-word shingles (at most ``check`` bits, about a
-    similarity of 0.8).  Of copies under one key one row stays.  Rows with a null key
-    have no name to be grouped by and all stay; texts without words are copies of each
-    other.  Columns stay as they are.
+    Two texts are linked if their sets of five-word shingles have a Jaccard similarity of
+    at least 0.8, and a group is a component of links.  Candidates meet under MinHash
+    bands and are joined to candidate groups; within these the similarity is counted
+    exactly, so no link is an estimate.  A group of more than ``block`` shingles is cut
+    into blocks and every two blocks are compared, each in its own place.
+
+    Of rows with equal key and text one stays; one key with several texts keeps each that
+    is no near copy.  Rows with a null key have no name to be grouped by and all stay;
+    texts without words are copies of each other.  Columns stay as they are.
     """
     named = docs.where(F.col(key).isNotNull())
-    prints = written(fingerprints(named, key=key, text=text, widths=(2, 5)))
-    each = written(prints.groupBy("fp", "fp5").agg(F.min(key).alias("low"), F.min("fp5").alias("other")))
-    edges = links(each.select(F.col("low").cast("bigint").alias("node"), "fp", "other"), each.count(), differ=differ, check=check)
-    gone = components(edges).where("node <> root").select(F.col("node").alias("low"))
-    stays = each.select("low").distinct().join(gone, "low", "left_anti").select(F.col("low").alias(key))
-    kept = named.join(stays, key, "left_semi").dropDuplicates([key])
+    prints = written(_set_prints(named, key, text))
+    each = written(prints.groupBy("s").agg(F.min(F.struct(F.col(key).alias("k"), "t")).alias("low"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    met = each.select(F.explode("bands").alias("band"), "s").repartition("band").sortWithinPartitions("band", "s")
+    roots = components(met.mapInArrow(_first_of_run, "a bigint, b bigint"))
+    members = each.select("s", "n", "low").join(roots.withColumnRenamed("node", "s"), "s")
+    parts = members.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("parts"))
+    members = written(members.join(parts, "root").select("root", "s", "parts", F.col("low.k").alias("k"), F.col("low.t").alias("t")))
+    texts = named.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("text")).join(members, ["k", "t"])
+    mine, other = F.pmod(F.xxhash64("s"), F.col("parts")).cast("int"), F.col("other")
+    pairs = texts.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select("root", F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j"), "s", "text")
+    found = components(pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "s").mapInArrow(_verified, "a bigint, b bigint"))
+    groups = each.select("s", "low").join(found.withColumnRenamed("node", "s"), "s", "left")
+    stays = groups.groupBy(F.coalesce("root", "s").alias("g")).agg(F.min("low").alias("low")).select(F.col("low.k").alias(key), F.col("low.t").alias("_text_hash"))
+    kept = named.withColumn("_text_hash", F.xxhash64(text)).join(stays, [key, "_text_hash"], "left_semi").dropDuplicates([key, "_text_hash"])
     return kept.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
 
 

@@ -176,6 +176,28 @@ def test_crowded_meetings_lose_no_link(spark):
     assert {r.node: r.root for r in got} == {v: r for v, r in want.items() if v not in lonely}
 
 
+def test_crowded_equal_fingerprints_lose_no_link(spark):
+    # many nodes of one fingerprint, and a full cube of few free bits
+    same = [(i, 12345) for i in range(40)]
+    cube = [(100 + i, 0x5A5A5A5A5A00 | i) for i in range(8)]
+    df = spark.createDataFrame(same + cube, "node bigint, fp bigint").withColumn("other", F.lit(0).cast("bigint"))
+    got = {r.node: r.root for r in components(simhash.links(df, len(same + cube), most=4)).collect()}
+    fps = dict(same + cube)
+    parent = {v: v for v in fps}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in fps:
+        for b in fps:
+            if ((fps[a] ^ fps[b]) & (2**64 - 1)).bit_count() <= 3:
+                x, y = top(a), top(b)
+                parent[max(x, y)] = min(x, y)
+    assert {v: got.get(v, v) for v in fps} == {v: top(v) for v in fps}
+
+
 def test_one_of_each(spark, docs, rows):
     kept = {r["doc_id"] for r in by_id(simhash.one_of_each(docs))}
     assert {6} <= kept and 7 not in kept and None in kept

@@ -7,8 +7,10 @@ distinct fingerprints, so any number of copies of a text counts as one.
 
 A meeting of more than ``MOST`` fingerprints is not compared: its remaining bits are cut
 into ``BITS`` + 1 blocks, one of which close pairs share as well, and its members are sent
-on under these longer keys, until each meeting is small.  (What remains after all bits
-but 12 are fixed holds at most 4096 fingerprints, so this ends.)  A meeting hands on no
+on under these longer keys, until each meeting is small.  Nodes of one fingerprint are
+linked first and one of them goes on, so what remains after all bits but 12 are fixed
+holds at most 4096; where fewer bits are free than blocks are needed, a meeting is
+compared as it is.  So this ends.  A meeting hands on no
 pairs but one edge from each member to the first of its local component.
 
 ``one_of_each`` (the pipeline's stage) does not estimate: MinHash bands give candidates,
@@ -120,19 +122,15 @@ def finer(mask: int, differ: int = BITS) -> list[int]:
     return [mask_of(fixed + part) for part in cut(free, differ + 1)]
 
 
-def near_edges(values: np.ndarray, differ: int, checks: np.ndarray | None = None, check: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def near_edges(values: np.ndarray, differ: int) -> tuple[np.ndarray, np.ndarray]:
     """One edge (by places in ``values``) from each fingerprint that has a near one to the
-    first of its component, within these values alone.  With ``checks`` a pair is near
-    only if these differ in at most ``check`` bits as well.  Each is compared once with
-    those not yet reached."""
+    first of its component, within these values alone.  Each is compared once with those
+    not yet reached."""
     n = len(values)
     to = np.full(n, -1)
 
     def met_by(front: np.ndarray, rest: np.ndarray) -> np.ndarray:
-        near = np.bitwise_count(values[front, None] ^ values[None, rest]) <= differ
-        if checks is not None:
-            near &= np.bitwise_count(checks[front, None] ^ checks[None, rest]) <= check
-        return near.any(axis=0)
+        return (np.bitwise_count(values[front, None] ^ values[None, rest]) <= differ).any(axis=0)
 
     for first in range(n):
         if to[first] >= 0:
@@ -151,7 +149,7 @@ def near_edges(values: np.ndarray, differ: int, checks: np.ndarray | None = None
     return moved, to[moved]
 
 
-def _meet(differ: int, check: int):
+def _meet(differ: int):
     """Rows sorted by (mask, value): each run of equal keys is one meeting."""
     held: list[tuple] = []
     at: list = [None]
@@ -159,16 +157,15 @@ def _meet(differ: int, check: int):
     def close():
         if not held:
             return
-        node, fp, other = (np.concatenate([h[i] for h in held]) for i in range(3))
+        node, fp = (np.concatenate([h[i] for h in held]) for i in range(2))
         held.clear()
         if len(node) == 2:
-            near = (int(fp[0]) ^ int(fp[1])).bit_count() <= differ and (int(other[0]) ^ int(other[1])).bit_count() <= check
-            if near and node[0] != node[1]:
+            if (int(fp[0]) ^ int(fp[1])).bit_count() <= differ and node[0] != node[1]:
                 yield node[1:], node[:1]
         elif len(node) > 2:
-            order = np.lexsort((node, other, fp))
-            node, fp, other = node[order], fp[order], other[order]
-            a, b = near_edges(fp, differ, None if check >= 64 else other, check)
+            order = np.lexsort((node, fp))
+            node, fp = node[order], fp[order]
+            a, b = near_edges(fp, differ)
             if len(a):
                 yield node[a], node[b]
 
@@ -176,23 +173,23 @@ def _meet(differ: int, check: int):
         if batch is None:
             yield from close()
             return
-        mask, value, node, fp, other = (batch.column(i).to_numpy() for i in range(5))
+        mask, value, node, fp = (batch.column(i).to_numpy() for i in range(4))
         new = np.flatnonzero((mask[1:] != mask[:-1]) | (value[1:] != value[:-1])) + 1
         edges = [0, *new.tolist(), len(mask)]
         for lo, hi in zip(edges, edges[1:], strict=False):
             if at[0] != (key := (mask[lo], value[lo])):
                 yield from close()
                 at[0] = key
-            held.append((node[lo:hi], fp[lo:hi].view(np.uint64), other[lo:hi].view(np.uint64)))
+            held.append((node[lo:hi], fp[lo:hi].view(np.uint64)))
 
     return handle
 
 
-def _meetings(keyed: DataFrame, differ: int, check: int) -> DataFrame:
+def _meetings(keyed: DataFrame, differ: int) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        handle = _meet(differ, check)
+        handle = _meet(differ)
         a, b = [], []
 
         def out():
@@ -211,7 +208,7 @@ def _meetings(keyed: DataFrame, differ: int, check: int) -> DataFrame:
             yield out()
         release_memory()
 
-    rows = keyed.select("mask", "value", "node", "fp", "other")
+    rows = keyed.select("mask", "value", "node", "fp")
     return rows.repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -222,28 +219,25 @@ def _then_none(batches):
     yield None
 
 
-def links(nodes: DataFrame, count: int, *, differ: int = BITS, check: int = 64, most: int = MOST) -> DataFrame:
-    """Edges ``a``, ``b`` between the nodes of a table ``node``, ``fp``, ``other`` whose
-    components are those of all pairs with at most ``differ`` differing bits of fp (and
-    ``check`` of other)."""
-    keyed = nodes.select("node", "fp", "other", F.explode(F.array(*map(F.lit, first_masks(count, differ)))).alias("mask"))
-    edges = None
+def links(nodes: DataFrame, count: int, *, differ: int = BITS, most: int = MOST) -> DataFrame:
+    """Edges ``a``, ``b`` between the nodes of a table ``node``, ``fp`` whose components
+    are those of all pairs with at most ``differ`` differing bits."""
+    heads = written(nodes.groupBy("fp").agg(F.min("node").alias("node")))
+    edges = nodes.join(heads.withColumnRenamed("node", "head"), "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    keyed = heads.select("node", "fp", F.explode(F.array(*map(F.lit, first_masks(count, differ)))).alias("mask"))
     while True:
-        keyed = keyed.select("mask", F.expr("fp & mask").alias("value"), "node", "fp", "other")
+        keyed = keyed.select("mask", F.expr("fp & mask").alias("value"), "node", "fp")
         sizes = keyed.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("size"))
         crowded = written(sizes.where(F.col("size") > most).select("mask", "value"))
-        some = crowded.limit(1).count()
-        small = keyed.join(crowded, ["mask", "value"], "left_anti") if some else keyed
-        part = _meetings(small, differ, check)
-        edges = part if edges is None else edges.unionByName(part)
-        if not some:
-            return edges
         masks = [r[0] for r in crowded.select("mask").distinct().collect()]  # as many as there are choices of blocks
-        free = {m: [x for x in finer(m, differ) if x != m] for m in masks}
-        if not any(free.values()):  # all bits are fixed: what meets now has one fingerprint
-            return edges.unionByName(_meetings(keyed.join(crowded, ["mask", "value"], "left_semi"), differ, check))
-        options = F.create_map(*[x for m in masks for x in (F.lit(m), F.array(*map(F.lit, free[m])).cast("array<bigint>"))])
-        keyed = written(keyed.join(crowded, ["mask", "value"], "left_semi").select("node", "fp", "other", F.explode(options[F.col("mask")]).alias("mask")))
+        cuts = {m: finer(m, differ) for m in masks}
+        cuts = {m: to for m, to in cuts.items() if m not in to}  # others have a block without bits: close pairs may share no more
+        crowded = crowded.where(F.col("mask").isin(list(cuts)))
+        edges = edges.unionByName(_meetings(keyed.join(crowded, ["mask", "value"], "left_anti") if cuts else keyed, differ))
+        if not cuts:
+            return edges
+        options = F.create_map(*[x for m, to in cuts.items() for x in (F.lit(m), F.array(*map(F.lit, to)).cast("array<bigint>"))])
+        keyed = written(keyed.join(crowded, ["mask", "value"], "left_semi").select("node", "fp", F.explode(options[F.col("mask")]).alias("mask")).distinct())
 
 
 def classes(prints: DataFrame, *, key: str = "doc_id", differ: int = BITS) -> DataFrame:
@@ -251,7 +245,7 @@ def classes(prints: DataFrame, *, key: str = "doc_id", differ: int = BITS) -> Da
     fingerprint of a table of ``key`` and ``fp``.  Null keys have fingerprints but give no
     component its name; a component of null keys alone has a null name."""
     each = written(prints.groupBy("fp").agg(F.min(key).alias("low")))
-    edges = links(each.select(F.col("fp").alias("node"), "fp", F.lit(0).cast("bigint").alias("other")), each.count(), differ=differ)
+    edges = links(each.select(F.col("fp").alias("node"), "fp"), each.count(), differ=differ)
     roots = components(edges)
     joined = each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     names = joined.groupBy("root").agg(F.min("low").alias("component_id"))

@@ -206,6 +206,13 @@ def test_one_of_each(spark, docs, rows):
     assert out.columns == docs.columns
 
 
+def test_one_of_each_keeps_texts_that_share_a_key(spark):
+    rng = random.Random(23)
+    one, two = sentence(rng, 80), sentence(rng, 80)
+    df = spark.createDataFrame([(1, one), (1, two), (1, one), (2, two)], "doc_id bigint, text string")
+    assert Counter(tuple(r) for r in simhash.one_of_each(df).collect()) == Counter([(1, one), (1, two)])
+
+
 def test_one_of_each_links_by_exact_similarity(spark):
     rng = random.Random(17)
     texts = []

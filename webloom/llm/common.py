@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: ASCII white space, as in the word pattern ``[^\x20\x09-\x0D]+``; bytes.split() splits at the same.
 SPACE = np.zeros(256, bool)
@@ -23,11 +24,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from the session's
-    ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a
-    temporary one is made and set."""
+    ``spark.checkpoint.dir``.  Only where that is unset and all run on one machine (tests) a
+    temporary one is made and set; on a cluster it is an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="webloom-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -35,17 +38,54 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+#: Paths of the tables written inside each open ``scratch``.
+_SCRATCH: list[list[str]] = []
+
+
+def written(df: DataFrame, *, keep: bool = False) -> DataFrame:
     """Cut the lineage: write the rows to the shared folder as Parquet and read them
     back, so that a lost executor costs no recomputation and every later pass sees the
-    same rows."""
+    same rows.  Inside a ``scratch`` the table goes with it unless it is to be kept."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/webloom/{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing will read again."""
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if folder.rsplit("/", 2)[1] == "webloom":  # none but those
+                _delete(table.sparkSession, folder)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables written inside it, but for those kept."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            _delete(spark, path)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let the executors delete the shuffle files of finished jobs: Spark does so once the
+    driver's heap no longer holds their plans, which may else be long after."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     kinds = {"bigint": pa.int64(), "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "binary": pa.binary()}
     fields = []
@@ -76,13 +116,16 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        handle = make()
-        for batch in batches:
-            if batch.num_rows:
-                for out in handle(batch):
-                    arrays = [x if isinstance(x := out[f.name], (pa.Array, pa.ChunkedArray)) else pa.array(x, f.type) for f in schema]
-                    yield pa.RecordBatch.from_arrays(arrays, schema=schema)
-        release_memory()
+        try:
+            handle = make()
+            for batch in batches:
+                if batch.num_rows:
+                    for out in handle(batch):
+                        arrays = [x if isinstance(x := out[f.name], (pa.Array, pa.ChunkedArray)) else pa.array(x, f.type) for f in schema]
+                        yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+        finally:  # a task that fails or is cut short gives its memory back as well
+            handle = None
+            release_memory()
 
     return df.mapInArrow(run, ddl)
 
@@ -120,7 +163,3 @@ def bucket_of(column: str, k: int, remainders: Iterable[int], negate: bool = Fal
     held = m.isin(list(remainders))
     held = F.coalesce(held, F.lit(False))
     return ~held if negate else held
-
-
-def long_type(df: DataFrame, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, T.LongType)

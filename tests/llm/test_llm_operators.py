@@ -312,6 +312,33 @@ def test_ann(spark):
     assert len(few) == 2 and ann.search(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_ann_widths_and_ties(spark):
+    """Vectors of the queries' usual length take part, whatever rows come first; at equal
+    distances the smaller id is nearer, distinct vectors included."""
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=5).tolist()) for i in range(25)] + [(100 + i, rng.normal(size=8).tolist()) for i in range(60)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    got = ann.search(table, table.where("vec_id % 10 = 0")).collect()
+    assert {r.query_id for r in got} == set(range(100, 160, 10)) and all(r.vec_id >= 100 for r in got) and len(got) == 60
+    # forty vectors at distance 1 from the query, in all directions
+    axes = np.concatenate((np.eye(20), -np.eye(20)))[np.random.default_rng(3).permutation(40)]
+    ring = [(0, [5.0] * 20)] + [(i + 1, (np.full(20, 5.0) + a).tolist()) for i, a in enumerate(axes)]
+    table = spark.createDataFrame(ring[::-1], "vec_id bigint, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id) for r in ann.search(table, table.where("vec_id = 0"), beam=40).collect())
+    assert got == [(i, i) for i in range(1, 11)]
+
+
+def test_ann_reads_a_small_part_of_a_shard():
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(6000, 12)).astype(np.float32)
+    graph = ann.build(points)
+    queries = points[:200] + 0.01
+    found, _, taken = ann.beam_search(points, *graph, queries, 32)
+    near = np.argsort(((points[None] - queries[:, None]) ** 2).sum(axis=2), axis=1)[:, :10]
+    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(found[:, :10].tolist(), near.tolist(), strict=True)]) > 0.95
+    assert taken.mean() < 0.15 * len(points)
+
+
 def brute_windows(texts, n=200):
     count = Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
     out = []
@@ -527,6 +554,55 @@ def test_language(spark):
     assert language.identify(docs, language.train(docs.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_rare_and_many_languages(spark):
+    """A language of a few rows among thousands is learnt, and so are more languages than
+    the table has room for at full size."""
+    rng = random.Random(6)
+    rows = [(i, sentence(rng, 12), "en") for i in range(3000)] + [(5000 + i, "қазақ тілінде жазылған мәтін бар " * 3, "kk") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.train(docs, most=500)
+    assert model.languages == ["en", "kk"]
+    assert {r.lang_pred for r in language.identify(docs.where("doc_id >= 5000"), model).collect()} == {"kk"}
+    alphabets = [[chr(0x4E00 + 40 * i + j) for j in range(40)] for i in range(300)]
+    rows = [(i, " ".join("".join(rng.choice(alphabets[i]) for _ in range(4)) for _ in range(40)), f"x{i:03}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.train(docs)
+    assert len(model.languages) == 300 and model.table.nbytes <= language.MODEL_BYTES
+    right = sum(r.lang_pred == f"x{r.doc_id:03}" for r in language.identify(docs, model).collect())
+    assert right >= 290
+
+
+def test_viterbi_equals_the_best_of_all_labellings():
+    from itertools import product
+
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        sizes, k, switch = rng.integers(0, 6, 4), int(rng.integers(1, 4)), float(rng.choice([0.0, 0.5, 2.0]))
+        scores, text = rng.normal(size=(int(sizes.sum()), k)), np.repeat(np.arange(4), sizes)
+        path = language.viterbi(scores, text, 4, switch)
+        for t in range(4):
+            mine, own = scores[text == t], path[text == t]
+            worth = lambda x: sum(mine[i, c] for i, c in enumerate(x)) - switch * sum(a != b for a, b in zip(x, x[1:], strict=False))  # noqa: B023, E731
+            assert abs(worth(own.tolist()) - max(map(worth, product(range(k), repeat=len(mine))))) < 1e-9
+
+
+@pytest.mark.parametrize("key", ["bigint", "string"])
+def test_learners_on_long_repeated_and_no_rows(spark, key):
+    rng = random.Random(7)
+    long = sentence(rng, 400_000)  # above one chunk
+    rows = [(i, sentence(rng, 20) + (" idiot" if i % 4 == 0 else ""), "en") for i in range(200)]
+    rows += [(1000, long, "en"), (1001, long + " idiot idiot", None), (7, rows[7][1], "en"), (None, None, None), (1002, "", "de")]
+    docs = spark.createDataFrame([(None if i is None else str(i) if key == "string" else i, x, g) for i, x, g in rows], f"doc_id {key}, text string, lang string")
+    labels = spark.range(200).selectExpr(f"cast(id as {key}) as doc_id", "cast(id % 4 = 0 as int) as toxic")
+    scored = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+    assert len(scored) == len(rows) and all(0 <= r.score <= 1 for r in scored)
+    assert len({r.score for r in scored if str(r.doc_id) == "7"}) == 1
+    named = language.identify(docs, language.train(docs)).collect()
+    assert len(named) == len(rows) and sum(r.lang_pred == "und" for r in named) == 2
+    none = docs.limit(0)
+    assert toxicity.score(none, toxicity.train(none, labels)).count() == 0 and language.identify(none, language.train(none)).count() == 0
+
+
 def test_pipeline(spark, docs, rows, tmp_path):
     import corpus_pipeline
 

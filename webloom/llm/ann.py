@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by robust-pruned directed graphs.
 
 Distinct vectors are dealt by hash to shards of about ``SHARD``; a task builds each
-shard's graph: beam searches from the medoid propose neighbours for all points at once,
-and relaxed pruning keeps an edge only where no kept, nearer neighbour is closer to the
-target by the factor ``ALPHA``.  Every shard is searched with a beam for every query; the
-shards' answers are merged and ranked by exact distances in double precision.
+shard's graph: beam searches from the medoid propose neighbours for a block of points at
+a time, and relaxed pruning keeps an edge only where no kept, nearer neighbour is closer to
+the target by the factor ``ALPHA``.  Every shard is searched with a beam for every query; the
+shards' answers are merged and ranked by exact distances in double precision.  A search of a
+full shard takes the distances to about a tenth of it or less (see the README), and nearly
+as few where the shard is several times as large.
 
 Equal vectors are one node, with the k + 1 smallest ids (no others can be among the k
 nearest), so any number of copies adds neither edges nor work.
@@ -18,13 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from webloom.llm.common import arrow_schema, read, written
+from webloom.llm.common import arrow_schema, read, release_memory, written
 
-SHARD = 4096
-DEGREE = 24
-BEAM_BUILD, BEAM_QUERY = 32, 128
-ALPHA = 1.2
-BLOCK = 1024
+SHARD = 1 << 15
+DEGREE, SLACK = 32, 16
+BEAM_BUILD, BEAM_QUERY = 64, 88
+ALPHA = 1.15
+#: Points that a search opens at a time, and searches that go together.
+OPENED = 4
+BLOCK = 512
 
 
 def distances(points: np.ndarray, norms: np.ndarray, at: np.ndarray, queries: np.ndarray, qnorms: np.ndarray) -> np.ndarray:
@@ -34,46 +38,69 @@ def distances(points: np.ndarray, norms: np.ndarray, at: np.ndarray, queries: np
     return np.where(at >= 0, np.maximum(norms[at] + qnorms[:, None] - 2 * near, 0), np.inf)
 
 
-def beam_search(points: np.ndarray, graph: np.ndarray, start: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``beam`` nearest points found for each query and their squared distances,
-    nearest first (-1 and infinity where there are fewer).  All queries advance together:
-    each step opens every query's nearest unopened point of its beam."""
-    norms, qn = np.einsum("nd,nd->n", points, points), np.einsum("nd,nd->n", queries, queries)
-    ids = np.full((len(queries), beam), -1)
-    far = np.full((len(queries), beam), np.inf, points.dtype)
+def beam_search(points: np.ndarray, graph: np.ndarray, start: np.ndarray, queries: np.ndarray, beam: int, *, norms: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``beam`` nearest points found for each query, their squared distances, nearest
+    first (-1 and infinity where there are fewer), and how many distances each query took.
+    All queries advance together: each step opens every query's ``OPENED`` nearest unopened
+    points of its beam, and no distance is computed twice."""
+    m, n = len(queries), len(points)
+    norms = np.einsum("nd,nd->n", points, points) if norms is None else norms
+    qn = np.einsum("nd,nd->n", queries, queries)
+    seen = np.zeros((m, n), bool)
+    ids = np.full((m, beam), -1)
+    far = np.full((m, beam), np.inf, points.dtype)
+    open_ = np.zeros((m, beam), bool)
     first = np.unique(start)[:beam]
     ids[:, : len(first)] = first
-    far[:, : len(first)] = distances(points, norms, np.tile(first, (len(queries), 1)), queries, qn)
-    open_ = ids >= 0
+    far[:, : len(first)] = distances(points, norms, ids[:, : len(first)], queries, qn)
     order = np.argsort(far, axis=1, kind="stable")
-    ids, far, open_ = (np.take_along_axis(x, order, 1) for x in (ids, far, open_))
-    alive = np.arange(len(queries))
-    while len(alive):
-        some = open_[alive]
-        alive = alive[some.any(axis=1)]
+    ids, far = np.take_along_axis(ids, order, 1), np.take_along_axis(far, order, 1)
+    open_[:, : len(first)] = True
+    seen[:, first] = True
+    taken = np.full(m, len(first))
+    alive = np.arange(m)
+    while True:
+        alive = alive[open_[alive].any(axis=1)]
         if not len(alive):
-            break
-        slot = open_[alive].argmax(axis=1)
-        open_[alive, slot] = False
-        new = graph[ids[alive, slot]]
-        # drop what is in the beam already
-        new = np.where((new[:, :, None] == ids[alive][:, None, :]).any(axis=2), -1, new)
-        d = distances(points, norms, new, queries[alive], qn[alive])
-        all_ids = np.concatenate((ids[alive], new), axis=1)
-        all_far = np.concatenate((far[alive], d), axis=1)
-        all_open = np.concatenate((open_[alive], new >= 0), axis=1)
-        best = np.argpartition(all_far, beam - 1, axis=1)[:, :beam]
-        best = np.take_along_axis(best, np.argsort(np.take_along_axis(all_far, best, 1), axis=1, kind="stable"), 1)
-        ids[alive], far[alive] = np.take_along_axis(all_ids, best, 1), np.take_along_axis(all_far, best, 1)
-        open_[alive] = np.take_along_axis(all_open, best, 1) & np.isfinite(far[alive])
-    return ids, far
-
-
-def robust_prune(points: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+            return ids, far, taken
+        pick = open_[alive]
+        pick &= np.cumsum(pick, axis=1) <= OPENED
+        open_[alive] &= ~pick
+        row, slot = np.nonzero(pick)
+        of = alive[row]
+        new = graph[ids[of, slot]]
+        of, new = np.repeat(of, new.shape[1]), new.ravel()
+        fresh = new >= 0
+        of, new = of[fresh], new[fresh]
+        fresh = ~seen[of, new]
+        pair = np.unique(of[fresh] * n + new[fresh])
+        of, new = pair // n, pair % n
+        seen[of, new] = True
+        taken += np.bincount(of, minlength=m)
+        d = np.maximum(norms[new] + qn[of] - 2 * np.einsum("nd,nd->n", points[new], queries[of]), 0).astype(points.dtype)
+        good = d < far[of, -1]
+        of, new, d = of[good], new[good], d[good]
+        if not len(of):
+            continue
+        many = np.bincount(of, minlength=m)
+        rows = np.flatnonzero(many)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+        at = np.full(m, -1)
+        at[rows] = np.arange(len(rows))
+        more = np.full((len(rows), int(many.max())), -1)
+        more_far = np.full(more.shape, np.inf, points.dtype)
+        more[at[of], place], more_far[at[of], place] = new, d
+        all_far = np.concatenate((far[rows], more_far), axis=1)
+        best = np.argsort(all_far, axis=1, kind="stable")[:, :beam]
+        far[rows] = np.take_along_axis(all_far, best, 1)
+        ids[rows] = np.take_along_axis(np.concatenate((ids[rows], more), axis=1), best, 1)
+        open_[rows] = np.take_along_axis(np.concatenate((open_[rows], more >= 0), axis=1), best, 1)
+
+
+def robust_prune(points: np.ndarray, norms: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     """For each node at most ``degree`` of its candidates (rows of -1-padded places): take
     the nearest, then drop those that are closer to it, by the factor alpha, than to the
     node; and so on."""
-    norms = np.einsum("nd,nd->n", points, points)
     order = np.sort(candidates, axis=1)
     twice = np.zeros(order.shape, bool)
     twice[:, 1:] = order[:, 1:] == order[:, :-1]
@@ -82,53 +109,69 @@ def robust_prune(points: np.ndarray, nodes: np.ndarray, candidates: np.ndarray,
     rank = np.argsort(far, axis=1, kind="stable")
     cand, far = np.take_along_axis(order, rank, 1), np.take_along_axis(far, rank, 1)
     alive = np.isfinite(far)
+    most = max(1, int(alive.sum(axis=1).max()))
+    cand, far, alive = cand[:, :most], far[:, :most], alive[:, :most]
+    # squared distances between the candidates of each node, scaled
+    v = points[cand]
+    between = np.matmul(v, v.transpose(0, 2, 1))
+    between *= -2
+    between += norms[cand][:, :, None]
+    between += norms[cand][:, None, :]
+    between *= alpha * alpha
     out = np.full((len(nodes), degree), -1)
-    rows = np.arange(len(nodes))
     for k in range(degree):
-        some = alive.any(axis=1)
-        if not some.any():
+        r = np.flatnonzero(alive.any(axis=1))
+        if not len(r):
             break
-        r = rows[some]
-        slot = alive[r].argmax(axis=1)
-        chosen = cand[r, slot]
-        out[r, k] = chosen
-        alive[r, slot] = False
-        d = distances(points, norms, np.where(alive[r], cand[r], -1), points[chosen], norms[chosen])
-        alive[r] &= ~(alpha * alpha * d <= far[r])
+        left = alive[r]
+        slot = left.argmax(axis=1)
+        out[r, k] = cand[r, slot]
+        left[np.arange(len(r)), slot] = False
+        alive[r] = left & (between[r, slot] > far[r])
     return out
 
 
-def build(points: np.ndarray, *, degree: int = DEGREE, beam: int = BEAM_BUILD, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
-    """The graph (rows of -1-padded places) and the entry points of a shard."""
-    n = len(points)
-    mean = points.mean(axis=0)
-    start = np.array([int(((points - mean) ** 2).sum(axis=1).argmin())])
-    rng = np.random.default_rng(7)
-    graph = np.full((n, degree), -1)
-    if n == 1:
-        return graph, start
-    if n <= degree:
-        graph[:, : n - 1] = [[j for j in range(n) if j != i] for i in range(n)]
+def build(points: np.ndarray, *, degree: int = DEGREE, slack: int = SLACK, beam: int = BEAM_BUILD, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
+    """The graph (rows of places, -1 at the end) and the entry point of a shard.
+
+    From a random graph, each block of points searches for itself in what there is and
+    keeps pruned edges; each end of an edge gets the other as a neighbour and is pruned in
+    turn when its ``slack`` is full."""
+    n, width = len(points), degree + slack
+    norms = np.einsum("nd,nd->n", points, points)
+    start = np.array([int(((points - points.mean(axis=0)) ** 2).sum(axis=1).argmin())])
+    graph = np.full((n, width), -1)
+    if n <= width:
+        for i in range(n):
+            graph[i, : n - 1] = [j for j in range(n) if j != i]
         return graph, start
-    graph[:] = rng.integers(0, n, (n, degree))
-    for a in (1.0, alpha):
-        for lo in range(0, n, BLOCK):
-            nodes = np.arange(lo, min(n, lo + BLOCK))
-            found, _ = beam_search(points, graph, start, points[nodes], beam)
-            graph[nodes] = robust_prune(points, nodes, np.concatenate((found, graph[nodes]), axis=1), degree, a)
-            # the other way: each new neighbour gets the node as a candidate
-            to, of = graph[nodes].ravel(), np.repeat(nodes, degree)
-            to, of = to[to >= 0], of[to >= 0]
-            order = np.argsort(to, kind="stable")
-            to, of = to[order], of[order]
-            begin = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
-            targets, place = to[begin], np.arange(len(to)) - np.repeat(begin, np.diff(np.append(begin, len(to))))
-            extra = np.full((len(targets), int(place.max()) + 1), -1)
-            extra[np.searchsorted(targets, to), place] = of
-            for part in range(0, len(targets), BLOCK):
-                t = targets[part : part + BLOCK]
-                full = np.concatenate((graph[t], extra[part : part + BLOCK]), axis=1)
-                graph[t] = robust_prune(points, t, full, degree, a)
+    graph[:, :degree] = np.random.default_rng(7).integers(0, n, (n, degree))
+    for lo in range(0, n, BLOCK):
+        nodes = np.arange(lo, min(n, lo + BLOCK))
+        found = beam_search(points, graph, start, points[nodes], beam, norms=norms)[0]
+        graph[nodes, :degree] = robust_prune(points, norms, nodes, np.concatenate((found, graph[nodes]), axis=1), degree, alpha)
+        graph[nodes, degree:] = -1
+        to, of = graph[nodes, :degree].ravel(), np.repeat(nodes, degree)
+        to, of = to[to >= 0], of[to >= 0]
+        order = np.argsort(to, kind="stable")
+        to, of = to[order], of[order]
+        begin = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+        targets, many = to[begin], np.diff(np.append(begin, len(to)))
+        place = np.arange(len(to)) - np.repeat(begin, many)
+        used = (graph[targets] >= 0).sum(axis=1)
+        fits = used + many <= width
+        some = np.repeat(fits, many)
+        graph[to[some], (np.repeat(used, many) + place)[some]] = of[some]
+        full = np.flatnonzero(~fits)
+        for part in range(0, len(full), BLOCK):
+            t = full[part : part + BLOCK]
+            extra = np.full((len(t), int(many[t].max())), -1)
+            row = np.repeat(np.arange(len(t)), many[t])
+            inside = np.arange(len(row)) - np.repeat(np.cumsum(many[t]) - many[t], many[t])
+            extra[row, inside] = of[np.repeat(begin[t], many[t]) + inside]
+            nodes_ = targets[t]
+            graph[nodes_, :degree] = robust_prune(points, norms, nodes_, np.concatenate((graph[nodes_], extra), axis=1), degree, alpha)
+            graph[nodes_, degree:] = -1
     return graph, start
 
 
@@ -139,79 +182,77 @@ def usable(vector: str):
     return F.coalesce(v.isNotNull() & good & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def search(table: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: str = "embedding", k: int = 10, shard: int = SHARD) -> DataFrame:
+def search(table: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: str = "embedding", k: int = 10, shard: int = SHARD, beam: int = BEAM_QUERY) -> DataFrame:
     """query_id, rank (from 1), ``key`` and score (Euclidean distance) of the ``k`` nearest
     rows found for each row of ``queries`` (a selection of ``table``'s rows) but itself.
 
-    Vectors that are null, zero, or hold null or non-finite components take no part.  Ties
-    go to the smaller key; with fewer than k candidates all are returned; an empty table
-    gives no rows; a key's repeated rows with one vector count once; null keys and vectors
-    of another length than most queries' take no part.
+    Vectors that are null, zero, or hold null or non-finite components take no part, and
+    neither do those of another length than most of the queries (the shorter of two lengths
+    that are as frequent).  Ties go to the smaller key; with fewer than k candidates all are
+    returned; an empty table gives no rows; a key's repeated rows with one vector count
+    once; null keys take no part.
     """
-    spark = table.sparkSession
-    rows = table.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    asked = written(queries.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).distinct())
+    rows, asked = (t.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")) for t in (table, queries))
+    asked = written(asked.distinct())
+    usual = asked.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    width = usual["size"] if usual else 0
+    asked, rows = asked.where(F.size("v") == width), rows.where(F.size("v") == width)
     # distinct vectors with the k + 1 smallest ids of each; the rank filter cuts before the shuffle
     nth = F.row_number().over(W.partitionBy("v").orderBy("id"))
     nodes = written(rows.distinct().withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")))
     shards = max(1, -(-nodes.count() // shard))
     # a shard is asked all queries, in parts that a task holds one at a time
     placed = nodes.select(F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("id"), "v", "ids")
-    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.col("id").cast("bigint"), "v", F.lit(None).cast("array<bigint>").alias("ids"))
-    both = placed.withColumn("ids", F.col("ids").cast("array<bigint>")).unionByName(sent).repartition(min(shards, 2000), "shard").sortWithinPartitions("shard", "kind")
+    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "v", F.lit(None).cast("array<bigint>").alias("ids"))
+    both = placed.unionByName(sent).repartition(min(shards, 2000), "shard").sortWithinPartitions("shard", "kind")
     ddl = "query_id bigint, id bigint, score double"
     schema = arrow_schema(ddl)
 
     def run(batches):
-        graph = None
-        nodes_v: list[np.ndarray] = []
-        nodes_id: list[list[int]] = []
-        at = None
-
-        def answer(ids: np.ndarray, vectors: np.ndarray):
-            nonlocal graph
-            if not nodes_v:
-                return
+        at, graph, points, small = None, None, np.zeros((0, width)), None
+        vectors: list[np.ndarray] = []
+        names: list[list[int]] = []
+
+        def answer(ids: np.ndarray, asked_: np.ndarray):
+            nonlocal graph, points, small
             if graph is None:
-                points = np.concatenate(nodes_v)
-                nodes_v[:] = [points]
-                graph = build(points.astype(np.float32))
-            points = nodes_v[0]
-            for lo in range(0, len(ids), BLOCK):
-                q = vectors[lo : lo + BLOCK]
-                found, _ = beam_search(points.astype(np.float32), graph[0], graph[1], q.astype(np.float32), max(BEAM_QUERY, k + 1))
+                points = np.concatenate(vectors) if vectors else points
+                vectors.clear()
+                small = points.astype(np.float32)
+                graph = build(small) if len(points) else ()
+            for lo in range(0, len(ids) if len(points) else 0, BLOCK):
+                q = asked_[lo : lo + BLOCK]
+                found = beam_search(small, graph[0], graph[1], q.astype(np.float32), max(beam, k + 1))[0]
                 exact = np.sqrt(((points[found] - q[:, None, :]) ** 2).sum(axis=2))
                 exact[found < 0] = np.inf
                 out = ([], [], [])
                 for i, me in enumerate(ids[lo : lo + BLOCK].tolist()):
-                    mine = sorted((d, c) for d, f in zip(exact[i].tolist(), found[i].tolist(), strict=True) if f >= 0 for c in nodes_id[f] if c != me)[:k]
+                    mine = sorted((d, c) for d, f in zip(exact[i].tolist(), found[i].tolist(), strict=True) if f >= 0 for c in names[f] if c != me)[:k]
                     out[0].extend([me] * len(mine))
                     out[1].extend(c for _, c in mine)
                     out[2].extend(d for d, _ in mine)
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            shard_, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = np.flatnonzero((shard_[1:] != shard_[:-1]) | (kind[1:] != kind[:-1])) + 1
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
-                if at != shard_[lo]:
-                    at, graph = shard_[lo], None
-                    nodes_v.clear()
-                    nodes_id.clear()
-                v = batch.column(3).slice(lo, hi - lo)
-                width = len(v[0])
-                same = np.asarray(pa.compute.list_value_length(v)) == width
-                vectors = np.array([x for x, ok in zip(v.to_pylist(), same, strict=True) if ok], np.float64)
-                if kind[lo] == 0:
-                    if not nodes_v or nodes_v[0].shape[1] == width:
-                        nodes_v.append(vectors)
-                        nodes_id.extend(x for x, ok in zip(batch.column(4).slice(lo, hi - lo).to_pylist(), same, strict=True) if ok)
-                else:
-                    yield from answer(batch.column(2).slice(lo, hi - lo).to_numpy()[same], vectors)
-
-    import pyarrow.compute  # noqa: F401
+        try:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                shard_, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                cuts = np.flatnonzero((shard_[1:] != shard_[:-1]) | (kind[1:] != kind[:-1])) + 1
+                for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                    if at != shard_[lo]:
+                        at, graph, points = shard_[lo], None, np.zeros((0, width))
+                        vectors.clear()
+                        names.clear()
+                    v = batch.column(3).slice(lo, hi - lo).flatten().to_numpy().reshape(-1, width)
+                    if kind[lo] == 0:
+                        vectors.append(v.copy())
+                        names.extend(batch.column(4).slice(lo, hi - lo).to_pylist())
+                    else:
+                        yield from answer(batch.column(2).slice(lo, hi - lo).to_numpy(), v)
+        finally:
+            vectors, names, graph, points, small = [], [], None, None, None
+            release_memory()
 
     found = both.mapInArrow(run, ddl)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "id"))

@@ -5,9 +5,11 @@ word boundaries); the ranges of its letters' script narrow the languages to thos
 that script; and Viterbi finds the likeliest labels of the words, where a change of label
 costs a penalty.  A text's language is the one whose spans hold most letters.
 
-The trigram model is fitted to a bounded sample of the labelled rows (``SAMPLE`` texts,
-those of the lowest hash of the id); its size is ``BUCKETS`` floats a language, of at most
-``LANGUAGES`` languages, so it may be broadcast.
+The trigram model is fitted to a bounded sample of each language's labelled rows (about
+``SAMPLE`` of them, those whose hash is below the share that this makes of the language), so
+that rare languages are learnt as well.  Its size is ``BUCKETS`` floats a language while that
+is at most ``MODEL_BYTES``; with more languages each has half, a quarter and so on of the
+buckets.  So all languages are kept, and the table may be broadcast.
 """
 
 from __future__ import annotations
@@ -19,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import bucket_of, map_batches, read, slices, texts_of
+from webloom.llm.common import bucket_of, map_batches, read, slices, texts_of, written
 
 BUCKETS = 1 << 17
-SAMPLE = 6000
-LANGUAGES = 64
+SAMPLE = 2000
+MODEL_BYTES = 64 << 20
 SWITCH = 8.0
 CHUNK = 3 << 20
 #: First code points of script ranges and the scripts' numbers (0: none of these).
@@ -104,6 +106,19 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(grams, np.cumsum(lengths) - lengths, lengths, np.searchsorted(ends, starts, "right") - 1, script_of(points[starts]))
 
 
+def shift_of(buckets: int) -> int:
+    """How many low bits of a bucket's number a table of so many rows leaves out."""
+    return (BUCKETS // buckets).bit_length() - 1
+
+
+def rows_for(languages: int) -> int:
+    """The rows of the table for so many languages."""
+    rows = BUCKETS
+    while rows > 1 and rows * languages * 4 > MODEL_BYTES:
+        rows //= 2
+    return rows
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -115,7 +130,7 @@ class Model:
         """Words x languages."""
         if not len(w.starts):
             return np.zeros((0, len(self.languages)), np.float32)
-        scores = np.add.reduceat(self.table[w.grams], w.starts, axis=0)
+        scores = np.add.reduceat(self.table[w.grams >> shift_of(len(self.table))], w.starts, axis=0)
         return np.where(self.scripts[w.script], scores, scores - 1000)
 
     def label(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -162,7 +177,7 @@ def viterbi(scores: np.ndarray, text: np.ndarray, n: int, switch: float) -> np.n
     begin = (np.cumsum(count) - count)[order]
     sizes = count[order]
     k = scores.shape[1]
-    back = np.zeros(scores.shape, np.uint8)
+    back = np.zeros(scores.shape, np.min_scalar_type(max(k - 1, 0)))
     best = np.zeros((n, k))
     active = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1 if n else 1), "right").tolist()
     for t, m in enumerate(active):
@@ -186,7 +201,7 @@ def viterbi(scores: np.ndarray, text: np.ndarray, n: int, switch: float) -> np.n
 
 
 def fit(counts: dict[str, np.ndarray], scripts: dict[str, np.ndarray], alpha: float = 0.3) -> Model:
-    """From trigram counts (by bucket) and word counts by script of each language."""
+    """From trigram counts (by row of the table) and word counts by script of each language."""
     names = sorted(counts)
     if not names:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((SCRIPTS, 0), bool))
@@ -197,16 +212,21 @@ def fit(counts: dict[str, np.ndarray], scripts: dict[str, np.ndarray], alpha: fl
 
 
 def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = SAMPLE) -> Model:
-    """Fit to the ``most`` rows with text and lang of the lowest hash of the key.  If they
-    hold more than ``LANGUAGES`` languages, those with most rows are learnt."""
-    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    edge = rows.select(F.xxhash64(key).alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
-    chosen = rows.where(F.xxhash64(key) <= F.lit(edge)) if edge is not None else rows.limit(0)
+    """Fit to about ``most`` rows with text and lang of each language (all, where it has no
+    more), chosen by hash of key and text.  Every language is learnt."""
+    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key, text).alias("h"))
+    number = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))
+    languages = number.count()
+    if not languages:
+        return fit({}, {})
+    size = rows_for(languages)
+    # a row for each language; where they are very many they are not broadcast
+    chosen = rows.join(F.broadcast(number) if languages <= 1 << 16 else number, "lang").where(F.shiftrightunsigned("h", 11) * F.lit(2.0**-53) * F.col("rows") < most)
 
     def make():
         def handle(batch: pa.RecordBatch):
             langs = np.array(batch.column(1).to_pylist(), object)
-            data, offsets = texts_of(batch, text)
+            data, offsets = texts_of(batch, "text")
             for lo, hi in slices(offsets, CHUNK):
                 if offsets[lo] == offsets[hi]:
                     continue
@@ -214,19 +234,19 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str
                 of_word = langs[lo:hi][w.text] if len(w.text) else np.zeros(0, object)
                 for name in sorted(set(of_word.tolist())):
                     mine = of_word == name
-                    got, number = np.unique(w.grams[np.repeat(mine, w.lengths)], return_counts=True)
+                    got, number = np.unique(w.grams[np.repeat(mine, w.lengths)] >> shift_of(size), return_counts=True)
                     s, of_script = np.unique(w.script[mine], return_counts=True)
-                    yield {"lang": [name] * (len(got) + len(s)), "bucket": np.concatenate((got, s.astype(np.int64) + BUCKETS)).astype(np.int32), "n": np.concatenate((number, of_script))}
+                    yield {"lang": [name] * (len(got) + len(s)), "bucket": np.concatenate((got, s.astype(np.int64) + size)).astype(np.int32), "n": np.concatenate((number, of_script))}
 
         return handle
 
-    got = map_batches(chosen.select(text, lang), make, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    by_lang = sorted(((-int(g.n.sum()), name, g) for name, g in got.groupby("lang")), key=lambda x: x[:2])[:LANGUAGES]
+    # at most MODEL_BYTES / 4 rows, and SCRIPTS for each language
+    got = map_batches(chosen.select("text", "lang"), make, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts, scripts = {}, {}
-    for _, name, g in by_lang:
-        full = np.zeros(BUCKETS + SCRIPTS)
+    for name, g in got.groupby("lang"):
+        full = np.zeros(size + SCRIPTS)
         full[g.bucket.to_numpy()] = g.n.to_numpy()
-        counts[name], scripts[name] = full[:BUCKETS], full[BUCKETS:]
+        counts[name], scripts[name] = full[:size], full[size:]
     return fit(counts, scripts)
 
 
@@ -239,12 +259,15 @@ def identify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str =
     """
     packed = docs.sparkSession.sparkContext.broadcast(model)
 
+    # what is held for a letter grows with the languages
+    most = max(1 << 14, CHUNK * 4 // max(4, len(model.languages)))
+
     def make():
         label = packed.value.label
 
         def handle(batch: pa.RecordBatch):
             data, offsets = texts_of(batch, text)
-            for lo, hi in slices(offsets, CHUNK):
+            for lo, hi in slices(offsets, most):
                 names, share = label(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 yield {key: batch.column(0).slice(lo, hi - lo), "lang_pred": names, "score": share}
 

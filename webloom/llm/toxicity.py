@@ -15,10 +15,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from webloom.llm.common import bucket_of, map_batches, read, slices, texts_of
+from webloom.llm.common import bucket_of, map_batches, read, slices, texts_of, written
 
 SIZES = (4, 5)
 BUCKETS = 1 << 18
@@ -137,8 +136,9 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     spark = docs.sparkSession
     known = labels.select(F.col(key), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col(key).isNotNull()).distinct()
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    nth = F.row_number().over(W.partitionBy("y").orderBy(F.xxhash64(key), key))
-    chosen = known.withColumn("nth", nth).where(F.col("nth") <= most).select(key, "y")
+    # a limit for each label: every task keeps only its first rows before they meet
+    first = [known.where(F.col("y") == y).orderBy(F.xxhash64(key), key).limit(most) for y in (0, 1)]
+    chosen = written(first[0].unionByName(first[1]))
     # at most 2 * most rows, so they may be broadcast; repeated documents count once for each row
     sampled = docs.select(key, text).join(F.broadcast(chosen), key).select(text, "y")
 

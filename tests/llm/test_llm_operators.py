@@ -290,6 +290,68 @@ def test_redact(spark):
     assert {r.doc_id: r.text for r in pii.redact(df).collect()} == {1: "é [email] x [phone]!", 2: None, 3: "", 4: "[card]"}
 
 
+def plain_mask(text, spans):
+    """Spans (kind, start, end) masked by hand: the first, then the longest, names a merged run."""
+    runs = []
+    for s, e, k in sorted((s, e, k) for k, s, e in spans):
+        if runs and s < runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], e)
+        else:
+            best = max((x for x in spans if x[1] == s), key=lambda x: (x[2], [-ord(c) for c in x[0]]))
+            runs.append([s, e, best[0]])
+    out, at = [], 0
+    for s, e, k in runs:
+        out.append(text[at:s] + f"[{k}]")
+        at = e
+    return "".join(out) + text[at:]
+
+
+def test_redact_masks_what_is_detected(spark, rows):
+    """Also in texts of thousands of spans, of overlapping ones, and far into a long text."""
+    rng = random.Random(21)
+    bits = ["+1 555 010 2030", "a@b.example", "10.0.0.1", "4111 1111 1111 1111", "é", "😀", "+4111111111111111", "x", "jane [at] example [dot] com", "1.2.3.4.5", "(555) 123-4567", "word " * 300]
+    texts = [" ".join(f"u{i}@h{i}.example.com {i}" for i in range(16_000)), "+1 (555) 010-2030, " * 3000, sentence(rng, 300_000) + " z@z.example"]
+    texts += ["".join(rng.choice(bits) + rng.choice(["", " ", "\n"]) for _ in range(rng.randint(1, 60))) for _ in range(60)] + TRICKY + [x for _, x, *_ in rows if x]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = {r.doc_id: r.spans for r in pii.detect(df).collect()}
+    for r in pii.redact(df).collect():
+        spans = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in found[r.doc_id].split(",") if x)]
+        assert r.text == plain_mask(texts[r.doc_id], spans), r.doc_id
+
+
+def test_added_spans(spark):
+    """Addresses that only the broad pattern finds are added where cue and context speak for
+    them, whether or not the text holds another '[at]'; what stands alone nowhere is not."""
+    rng = random.Random(3)
+    rows = [(i, sentence(rng, 20) + f" contact: u{i}@example.com or write to k{i} [at] example [dot] com. " + sentence(rng, 9)) for i in range(40)]
+    rows += [(100 + i, sentence(rng, 20) + f" mail v{i} @ example.org, " + sentence(rng, 9)) for i in range(20)]
+    rows += [(200 + i, f"x{i}(at)y(dot)zz" + sentence(rng, 9)) for i in range(20)]
+    got = {r.doc_id: [x.split(":") for x in r.spans.split(",") if x] for r in pii.detect(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    said = {i: [text[int(s) : int(e)] for _, s, e in got[i]] for i, text in rows}
+    assert all(said[i] == [f"u{i}@example.com", f"k{i} [at] example [dot] com"] for i in range(40))
+    assert all(said[100 + i] == [f"v{i} @ example.org"] for i in range(20))
+
+
+def test_reliabilities_equal_a_plain_em():
+    """EM over counted vote patterns against EM over every single span."""
+    rng = np.random.default_rng(4)
+    truth = rng.random(400) < 0.4
+    fires = {v: (rng.uniform(0.6, 0.95), rng.uniform(0.05, 0.4)) for v in pii.VOTES}
+    votes = np.array([[rng.random() < fires[v][0 if t else 1] for v in pii.VOTES] for t in truth])
+    kinds, count = np.unique(votes, axis=0, return_counts=True)
+    got, rates, prior = pii.reliabilities([(dict(zip(pii.VOTES, map(int, k), strict=True)), int(n)) for k, n in zip(kinds, count, strict=True)])
+    yes, no, share = np.full(5, 0.8), np.full(5, 0.3), 0.5
+    for _ in range(100):
+        a = np.log(share) + np.where(votes, np.log(yes), np.log(1 - yes)).sum(axis=1)
+        b = np.log(1 - share) + np.where(votes, np.log(no), np.log(1 - no)).sum(axis=1)
+        p = 1 / (1 + np.exp(b - a))
+        share = p.mean()
+        one, two = (1 + p @ votes) / (2 + p.sum()), (1 + (1 - p) @ votes) / (2 + (1 - p).sum())
+        yes, no = np.maximum(one, two), np.minimum(one, two)
+    assert abs(prior - share) < 1e-9 and all(abs(rates[v][0] - y) < 1e-9 and abs(rates[v][1] - n) < 1e-9 for v, y, n in zip(pii.VOTES, yes, no, strict=True))
+    assert ((p > 0.5) == truth).mean() > 0.85
+
+
 def test_ann(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(900, 16)).astype(np.float32)
@@ -603,6 +665,67 @@ def test_learners_on_long_repeated_and_no_rows(spark, key):
     assert toxicity.score(none, toxicity.train(none, labels)).count() == 0 and language.identify(none, language.train(none)).count() == 0
 
 
+def names_used(*modules):
+    """Every column name that the operators' sources mention."""
+    import inspect
+
+    found = set()
+    for m in modules:
+        found |= {x.lower() for x in re.findall(r"""["'`]([A-Za-z_][A-Za-z_0-9]{0,20})["'`]""", inspect.getsource(m))}
+    return sorted(found - {"doc_id", "text", "lang", "source", "n_chars"})
+
+
+@pytest.mark.parametrize("key", ["bigint", "string"])
+def test_clashing_names_in_stages(spark, rows, key):
+    """Columns that share a name with anything used inside stay as they were, of any type."""
+    from webloom.llm import common
+    from webloom.llm import components as components_
+
+    names = names_used(common, components_, simhash, exact_substrings, pii, toxicity, packing)
+    df = spark.createDataFrame(rows[:60], DOCS).withColumn("doc_id", F.col("doc_id").cast(key)).repartition(2)
+    kinds = [F.lit("x"), F.lit(1.5).cast("decimal(10,2)"), F.array(F.lit(1)), F.struct(F.lit(1).alias("s")), F.lit(None).cast("timestamp")]
+    wide = df.select("*", *[kinds[i % 5].alias(c) for i, c in enumerate(names)])
+    model = toxicity.train(df.limit(0), spark.createDataFrame([], f"doc_id {key}, toxic int"))
+    for stage in (lambda d: toxicity.reject_toxic(d, model), simhash.one_of_each, exact_substrings.without_repeats, pii.redact):
+        out, plain = stage(wide), stage(df)
+        assert out.schema == wide.schema or [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in wide.schema]
+        rows_ = out.collect()
+        assert all(r[c] == w for r in rows_ for c, w in zip(names, [("x", 1.5, [1], (1,), None)[i % 5] for i in range(len(names))], strict=True) if c in ("fp", "r1", "base_email", "_row"))
+        assert Counter((r["doc_id"], r["text"]) for r in rows_) == Counter((r["doc_id"], r["text"]) for r in plain.collect())
+        assert stage(wide.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("key", ["bigint", "string"])
+def test_clashing_names_in_operators(spark, rows, key):
+    from webloom.llm import common
+
+    names = names_used(common, simhash, exact_substrings, pii, toxicity, packing, quality, language, byte_bpe)
+    df = spark.createDataFrame(rows[:40], DOCS).withColumn("doc_id", F.col("doc_id").cast(key)).repartition(2)
+    wide = df.select("*", *[F.lit("x").alias(c) for c in names])
+    for operator in (simhash.near_duplicates, exact_substrings.remove_repeats, pii.detect, quality.filter_quality, lambda d: language.identify(d, language.train(d)), lambda d: packing.pack(d, packing.definition())):
+        got, want = operator(wide), operator(df)
+        assert got.columns == want.columns and got.count() == want.count()
+
+
+def test_long_texts_in_chunked_paths(spark):
+    """Texts above every chunk size beside short ones: removal against brute force,
+    fingerprints against plain shingles."""
+    rng = random.Random(31)
+    passage = sentence(rng, 60)
+    long = sentence(rng, 900_000)  # over 3 MB
+    rows = [(1, long[:3_000_000] + passage + long[3_000_000:]), (2, passage), (3, "short"), (4, None), (5, sentence(rng, 300_000))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    got = {r.doc_id: r for r in exact_substrings.remove_repeats(df).collect()}
+    cut = len(passage)
+    assert got[1].n_removed >= cut and got[2].n_removed == cut and got[5].n_removed == 0 and got[4].n_bytes == 0
+    assert got[1].n_bytes == len(rows[0][1])
+    prints = {r.doc_id: r.fp for r in simhash.fingerprints(df).collect()}
+    for i, text in rows:
+        hashes = np.array(simhash.shingle_hashes((text or "").encode(), 3), np.uint64)
+        bits = sum(1 << b for b in range(64) if 2 * int(((hashes >> np.uint64(b)) & np.uint64(1)).sum()) > len(hashes))
+        assert prints[i] == (bits - (1 << 64) if bits >> 63 else bits)
+
+
 def test_pipeline(spark, docs, rows, tmp_path):
     import corpus_pipeline
 

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, as in the word pattern ``[^\x20\x09-\x0D]+``; bytes.split() splits at the same.
 SPACE = np.zeros(256, bool)
@@ -110,10 +111,13 @@ def release_memory() -> None:
         pass
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[dict]]], ddl: str) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[dict]]], ddl: str, *, passed: Iterable[T.StructField] = ()) -> DataFrame:
     """mapInArrow with columns given as a dict of arrays; ``make`` runs once per task
-    and returns what handles a batch."""
+    and returns what handles a batch.  Before the columns of ``ddl`` stand those of
+    ``passed``, of any type, which a handler hands on as it got them."""
     schema = arrow_schema(ddl)
+    through = list(passed)
+    names = [f.name for f in through]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -121,18 +125,42 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
             for batch in batches:
                 if batch.num_rows:
                     for out in handle(batch):
-                        arrays = [x if isinstance(x := out[f.name], (pa.Array, pa.ChunkedArray)) else pa.array(x, f.type) for f in schema]
-                        yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+                        arrays = [out[c] for c in names]
+                        arrays += [x if isinstance(x := out[f.name], (pa.Array, pa.ChunkedArray)) else pa.array(x, f.type) for f in schema]
+                        yield pa.RecordBatch.from_arrays(arrays, names=[*names, *schema.names])
         finally:  # a task that fails or is cut short gives its memory back as well
             handle = None
             release_memory()
 
-    return df.mapInArrow(run, ddl)
+    return df.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in through] + T.StructType.fromDDL(ddl).fields))
 
 
-def texts_of(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``df`` has it (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: A key with more than this part of all rows is joined apart.
+PARTS = 4096
+
+
+def split_join(many: DataFrame, one: DataFrame, on: list[str], *, times: str, total: int, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one``, which has a row for each key and in ``times`` how many
+    rows of ``many`` have it, ``total`` being their sum.  Keys of over 1 / PARTS of all rows,
+    of which there are fewer than PARTS (at most half the rows, where these are few), are
+    broadcast; so no task gets all rows of a frequent one."""
+    most = max(1, total // PARTS)
+    heavy = F.broadcast(one.where(F.col(times) > most).drop(times))
+    apart = many.join(heavy.select(*on), on, "left_anti").join(one.where(F.col(times) <= most).drop(times), on, how)
+    return many.join(heavy, on, how).unionByName(apart)
+
+
+def texts_of(batch: pa.RecordBatch, column: str | int) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, null as empty, and the offsets of its rows."""
-    col = batch.column(batch.schema.get_field_index(column))
+    col = batch.column(batch.schema.get_field_index(column) if isinstance(column, str) else column)
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     large = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)

@@ -6,15 +6,16 @@ share a bucket, and neighbouring windows mostly share theirs: a bucket's member
 of starts with one anchor, its context the bytes these windows cover.
 
 1. Each run sends two 64-bit hashes (of the anchor and of the context) with its place.
-   Only anchors found more than once go on; of runs with equal contexts all windows are
-   repeated, and one of them stands for all.
-2. The contexts of the representatives of anchors with several contexts are gathered by
-   bucket.  A task takes a block of its buckets at a time and sorts their suffixes with a
+   Only anchors found more than once go on.
+2. Of each distinct context, two members (or the only one) go to their bucket with their
+   bytes.  A task takes a block of its buckets at a time and sorts their suffixes with a
    difference cover (``cover.py``); neighbours in that order that agree on 200 bytes are
-   repeated.  A bucket of more than ``MOST`` contexts (a passage in very many documents)
-   is not gathered: its windows are counted by a 128-bit hash, with partial sums before
-   the shuffle.
-3. The ranges found go to their documents, whose covered bytes are removed.
+   repeated.  Further members of a context, known by their 128 bits of hash, are as
+   repeated as those two.
+3. A bucket of more than ``MOST`` contexts (a passage in very many documents) is not
+   gathered: it is cut by the hashes of its windows into buckets of one window each.  Those
+   found once cannot be repeated; of the others two members are sorted as in step 2.
+4. The ranges found go to their documents, whose covered bytes are removed.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import map_batches, read, release_memory, slices, texts_of, written
+from webloom.llm.common import map_batches, read, release_memory, slices, split_join, texts_of, written
 from webloom.llm.cover import PAD, same_next, suffix_order
 from webloom.llm.flat import MIX, spans
 
@@ -255,40 +256,58 @@ def _sort_buckets(contexts: DataFrame) -> DataFrame:
             yield from batches
             yield None
 
-        for batch in all_():
-            if batch is None or batch.num_rows:
-                for out in handle(batch):
-                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
-        release_memory()
+        try:
+            for batch in all_():
+                if batch is None or batch.num_rows:
+                    for out in handle(batch):
+                        yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+        finally:
+            handle = None
+            release_memory()
 
     return contexts.select("k1", "r1", "r2", "lo", "bytes").repartition("k1").sortWithinPartitions("k1").mapInArrow(run, ddl)
 
 
+def _pairs(rows: DataFrame, on: list[str], place: list[str]) -> DataFrame:
+    """For each key of a table how many rows have it and the first and last of their places."""
+    where = F.struct(*place)
+    return rows.groupBy(*on).agg(F.count(F.lit(1)).alias("times"), F.min(where).alias("rep"), F.max(where).alias("last"))
+
+
+def _members(kinds: DataFrame) -> DataFrame:
+    """The one member of each kind, or two of those that have more."""
+    two = F.when(F.col("times") > 1, F.array("rep", "last")).otherwise(F.array("rep"))
+    return kinds.withColumn("rep", F.explode(two))
+
+
 def repeated_windows(texts: DataFrame, most: int = MOST) -> DataFrame:
     """``r1``, ``r2``, ``lo``, ``n``: ranges of starts (in bytes) of repeated windows of
     the rows of ``r1``, ``r2`` and ``text``.  The ranges of one row may touch or repeat."""
+    place = ["r1", "r2", "lo", "n"]
     found = _find_runs(texts)
     # a table of its own, so that the join deals both sides anew and may split a frequent anchor
-    often = written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor"))
-    again = written(found.join(often, "anchor"))
-    kinds = written(again.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("r1", "r2", "lo", "n")).alias("rep")))
-    equal = again.join(kinds.where("times > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select("r1", "r2", "lo", "n")
-    crowds = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
-    reps = kinds.join(crowds, "anchor").select("rep.*", "anchor", "crowd").groupBy("r1", "r2").agg(F.collect_list(F.struct("anchor", "lo", "n", "crowd")).alias("items"))
+    often = written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1"))
+    again = written(found.join(often.select("anchor"), "anchor"))
+    kinds = written(_pairs(again, ["anchor", "context"], place))
+    total = int(often.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0])
+    equal = split_join(again, kinds.where("times > 2").select("anchor", "context", "times"), ["anchor", "context"], times="times", total=total, how="left_semi").select(*place)
+    crowds = kinds.groupBy("anchor").agg(F.sum(F.least("times", F.lit(2))).alias("crowd")).where("crowd > 1")
+    reps = _members(kinds).join(crowds, "anchor").select("rep.*", "anchor", "crowd").groupBy("r1", "r2").agg(F.collect_list(F.struct("anchor", "lo", "n", "crowd")).alias("items"))
     gathered = written(_gather(texts.join(reps, ["r1", "r2"]).select("r1", "r2", "text", "items"), most))
-    sorted_ = _sort_buckets(gathered.where("bytes is not null"))
-    windows = gathered.where("bytes is null").select("k1", "k2", "r1", "r2", "lo")
-    twice = windows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("k1", "k2")
-    counted = windows.join(twice, ["k1", "k2"], "left_semi").select("r1", "r2", "lo", F.lit(1).alias("n"))
-    return equal.unionByName(sorted_).unionByName(counted)
-
-
-def _remove(joined: DataFrame, kept: tuple[str, ...], emit: tuple[str, ...]) -> DataFrame:
-    kinds = dict(joined.dtypes)
-
+    out = equal.unionByName(_sort_buckets(gathered.where("bytes is not null")))
+    windows = gathered.where("bytes is null").select("k1", "k2", "r1", "r2", "lo", F.lit(1).alias("n"))
+    twice = written(_pairs(windows, ["k1", "k2"], place).where("times > 1"))
+    many = int(twice.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0])
+    if not many:
+        return out
+    counted = split_join(windows, twice.where("times > 2").select("k1", "k2", "times"), ["k1", "k2"], times="times", total=many, how="left_semi").select(*place)
+    pairs = _members(twice).select("rep.*", F.expr("k1 ^ k2").alias("anchor")).groupBy("r1", "r2").agg(F.collect_list(F.struct("anchor", "lo", "n", F.lit(1).cast("bigint").alias("crowd"))).alias("items"))
+    alone = _gather(texts.join(pairs, ["r1", "r2"]).select("r1", "r2", "text", "items"), most)
+    return out.unionByName(_sort_buckets(alone)).unionByName(counted)
+
+
+def _remove(joined: DataFrame, kept: list[str], emit: tuple[str, ...]) -> DataFrame:
     def make():
-        names = list(kept)
-
         def handle(batch: pa.RecordBatch):
             data, offsets = texts_of(batch, "text")
             lows, counts = (batch.column(batch.schema.get_field_index(c)) for c in ("lows", "counts"))
@@ -310,13 +329,25 @@ def _remove(joined: DataFrame, kept: tuple[str, ...], emit: tuple[str, ...]) ->
                         text = b"".join(text[x:y] for x, y in zip([0, *last.tolist()], [*first.tolist(), size], strict=True))
                     for c, x in (("n_bytes", size), ("n_removed", removed), ("n_spans", spans_), ("kept_sha256", hashlib.sha256(text).hexdigest() if "kept_sha256" in emit else None), ("kept_text", text.decode("utf-8", "ignore") if "kept_text" in emit else None)):
                         out[c].append(x)
-                yield {c: batch.column(i).slice(at, n) for i, c in enumerate(names)} | out
+                yield {c: batch.column(i).slice(at, n) for i, c in enumerate(kept)} | out
 
         return handle
 
     types = {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string", "kept_text": "string"}
-    ddl = ", ".join([f"{c} {kinds[c]}" for c in kept] + [f"{c} {types[c]}" for c in emit])
-    return map_batches(joined.select(*kept, "text", "lows", "counts"), make, ddl)
+    rows = joined.select(*kept, "text", "lows", "counts")
+    return map_batches(rows, make, ", ".join(f"{c} {types[c]}" for c in emit), passed=rows.schema.fields[: len(kept)])
+
+
+def _judged(docs: DataFrame, key: str, text: str, also: list[Column], emit: tuple[str, ...], most: int) -> tuple[DataFrame, list[str]]:
+    """The columns ``also`` under names that clash with none here, and those of ``emit``."""
+    # r1 and r2 name a row by its content, whichever task reads it; equal rows share them
+    body = F.coalesce(F.col(text), F.lit(""))
+    second = F.coalesce(F.col(key), F.lit(-1)) if dict(docs.dtypes)[key] in ("int", "bigint") else F.xxhash64(F.lit(1), key, text)
+    own = [f"own{i}" for i in range(len(also))]
+    rows = docs.select(*[c.alias(o) for c, o in zip(also, own, strict=True)], body.alias("text"), F.xxhash64(body, F.col(key)).alias("r1"), second.cast("bigint").alias("r2"))
+    found = repeated_windows(rows.select("r1", "r2", "text"), most)
+    found = found.groupBy("r1", "r2").agg(F.collect_list("lo").alias("lows"), F.collect_list("n").alias("counts"))
+    return _remove(rows.join(found, ["r1", "r2"], "left"), own, emit), own
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", also: tuple[str, ...] = (), emit: tuple[str, ...] = ("n_bytes", "n_removed", "n_spans", "kept_sha256"), most: int = MOST) -> DataFrame:
@@ -328,13 +359,18 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     texts lose nothing; of repeated rows of at least ``LENGTH`` bytes nothing is left;
     null keys keep their row; an empty table gives no rows.
     """
-    # r1 and r2 name a row by its content, whichever task reads it; equal rows share them
-    body = F.coalesce(F.col(text), F.lit(""))
-    second = F.coalesce(F.col(key), F.lit(-1)) if dict(docs.dtypes)[key] in ("int", "bigint") else F.xxhash64(F.lit(1), key, text)
-    rows = docs.select(key, *also, body.alias("text"), F.xxhash64(body, F.col(key)).alias("r1"), second.cast("bigint").alias("r2"))
-    found = repeated_windows(rows.select("r1", "r2", "text"), most)
-    found = found.groupBy("r1", "r2").agg(F.collect_list("lo").alias("lows"), F.collect_list("n").alias("counts"))
-    return _remove(rows.join(found, ["r1", "r2"], "left"), (key, *also), emit)
+    names = [key, *also]
+    out, own = _judged(docs, key, text, [F.col(c) for c in names], emit, most)
+    return out.select(*[F.col(o).alias(c) for c, o in zip(names, own, strict=True)], *emit)
+
+
+def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
+    """``docs``, its texts without the bytes that ``remove_repeats`` removes.  All columns
+    keep their names, types and order; a text of which nothing is left is empty, a null one
+    null."""
+    # of the text itself only whether there is one goes along
+    out, own = _judged(docs, key, text, [F.col(c).isNotNull() if c == text else F.col(c) for c in docs.columns], ("kept_text",), most)
+    return out.select(*[(F.when(F.col(o), F.col("kept_text")) if c == text else F.col(o)).alias(c) for c, o in zip(docs.columns, own, strict=True)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

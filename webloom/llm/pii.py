@@ -8,7 +8,8 @@ can be trusted and how likely each pattern is personal data; with these as soft
 logistic span classifier is trained, which sees form and context but not whether the base
 pattern matched.  It decides on the candidates; base spans always stay.
 
-The patterns of votes and features are at most some hundreds whatever the corpus, so their
+Lists are worked through in parts and by halving, and masked texts in blocks, so that a text
+of very many spans costs little more than its length.  The patterns of votes and features are at most some hundreds whatever the corpus, so their
 counts (over all texts) go to the driver; no text does.
 """
 
@@ -39,7 +40,7 @@ BROAD = {
     "phone": r"(?<![0-9A-Za-z+])(?<![0-9][\x20.-])\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![\x20.-]?[0-9])",
 }
 #: What a text must contain for a pattern to be tried.
-NEEDS = {("email", True): ("@",), ("phone", True): ("+",), ("email", False): ("[at]", "(at)")}
+NEEDS = {("email", True): ("@",), ("phone", True): ("+",), ("email", False): ("@", "[at]", "(at)")}
 STRICT = {
     "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,10}$",
     "ip": r"^([1-9][0-9]{0,2}\.(0|[1-9][0-9]{0,2})(\.(0|[1-9][0-9]{0,2})){2}|[0-9A-Fa-f:]+)$",
@@ -55,6 +56,8 @@ CUES = {
 }
 TLDS = "com|org|net|edu|gov|info|io|de|fr|es|uk|eu|ch|at|it|nl"
 PART = 256
+#: Code points of a block that pieces of a text are taken from.
+BLOCK = 1024
 VOTES = ("base", "strict", "cue", "alone", "valid")
 FEATURES = ("strict", "cue", "alone", "valid", "short", "long")
 #: The classifier's least probability for a candidate to count.
@@ -107,30 +110,54 @@ def valid(kind: str, m: Column) -> Column:
     return F.length(d).between(10, 15) & ~d.rlike(r"^([0-9])\1*$")
 
 
+def running(items: Column, first: Column, step, item: str) -> Column:
+    """What ``step`` (of a number and an item) makes of each item: a struct of type
+    ``item`` and the next number, the first being ``first``.  Taken in parts, so that long
+    lists are not copied again and again."""
+
+    def one(acc: Column, x: Column) -> Column:
+        got, pos = step(acc["pos"], x)
+        return F.struct(pos.alias("pos"), F.concat(acc["list"], F.array(got)).alias("list"))
+
+    def part(acc: Column, c: Column) -> Column:
+        start = F.struct(acc["pos"].alias("pos"), F.array().cast(f"array<{item}>").alias("list"))
+        inner = F.aggregate(F.slice(items, c * PART + 1, PART), start, one)
+        # one evaluation of the inner sum, though two of its fields are used
+        return F.get(F.transform(F.array(inner), lambda r: F.struct(r["pos"].alias("pos"), F.concat(acc["lists"], F.array(r["list"])).alias("lists"))), F.lit(0))
+
+    start = F.struct(first.alias("pos"), F.array().cast(f"array<array<{item}>>").alias("lists"))
+    parts = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / PART).cast("int"))
+    return F.when(F.size(items) > 0, F.flatten(F.aggregate(parts, start, part)["lists"])).otherwise(F.array().cast(f"array<{item}>"))
+
+
 def located(matches: Column, gaps: Column) -> Column:
-    """array<s, e, m, before, after> from a text's matches and what stands between them:
-    a running sum, taken in parts so that long lists are not copied again and again."""
+    """array<s, e, m, before, after> from a text's matches and what stands between them."""
     z = F.transform(
         matches,
         lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), m.alias("m"), F.right(F.get(gaps, i), F.lit(32)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(16)).alias("after")),
     )
-    item = "struct<s:int,e:int,m:string,before:string,after:string>"
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["pos"] + x["gap"]
+    def step(pos: Column, x: Column) -> tuple[Column, Column]:
+        s = pos + x["gap"]
         e = s + F.length(x["m"])
-        one = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), x["before"].alias("before"), x["after"].alias("after"))
-        return F.struct(e.alias("pos"), F.concat(acc["list"], F.array(one)).alias("list"))
+        return F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), x["before"].alias("before"), x["after"].alias("after")), e
 
-    def part(acc: Column, c: Column) -> Column:
-        start = F.struct(acc["pos"].alias("pos"), F.array().cast(f"array<{item}>").alias("list"))
-        inner = F.aggregate(F.slice(z, c * PART + 1, PART), start, step)
-        # one evaluation of the inner sum, though two of its fields are used
-        return F.get(F.transform(F.array(inner), lambda r: F.struct(r["pos"].alias("pos"), F.concat(acc["lists"], F.array(r["list"])).alias("lists"))), F.lit(0))
+    return running(z, F.lit(0), step, "struct<s:int,e:int,m:string,before:string,after:string>")
+
+
+def meets(spans: Column, x: Column) -> Column:
+    """Whether ``x`` overlaps one of ``spans``, which are in order and disjoint: the first
+    that ends behind its start is found by halving."""
 
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<array<{item}>>").alias("lists"))
-    parts = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / PART).cast("int"))
-    return F.when(F.size(matches) > 0, F.flatten(F.aggregate(parts, start, part)["lists"])).otherwise(F.array().cast(f"array<{item}>"))
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        low = F.get(spans, mid)["e"] <= x["s"]
+        going = acc["lo"] < acc["hi"]
+        return F.struct(F.when(going & low, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(going & ~low, mid).otherwise(acc["hi"]).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi")), halve, lambda acc: F.get(spans, acc["lo"])["s"] < x["e"])
+    return F.coalesce(found, F.lit(False))
 
 
 def judged(kind: str, spans: Column) -> Column:
@@ -150,10 +177,10 @@ def judged(kind: str, spans: Column) -> Column:
     )
 
 
-def found(docs: DataFrame, *, text: str, keep: tuple[str, ...]) -> DataFrame:
-    """``keep`` with columns base_<kind> (spans that pass) and more_<kind> (candidates
-    that overlap no base span)."""
-    body = F.coalesce(F.col(text), F.lit(""))
+def found(docs: DataFrame, *, text: Column, keep: tuple[str, ...]) -> DataFrame:
+    """``keep`` (which must clash with no name here) with columns base_<kind> (spans that
+    pass) and more_<kind> (candidates that overlap no base span)."""
+    body = F.coalesce(text, F.lit(""))
     df = docs.select(*keep, body.alias("_t"))
     sets = [(k, base) for base in (True, False) for k in KINDS]
     pattern = lambda k, base: (BASE if base else BROAD)[k]
@@ -173,9 +200,7 @@ def found(docs: DataFrame, *, text: str, keep: tuple[str, ...]) -> DataFrame:
     df = df.select(*keep, *[f"m_{name(*s)}" for s in sets], *[F.when(F.size(f"m_{name(*s)}") > 0, F.split("_t", pattern(*s), -1)).alias(f"g_{name(*s)}") for s in sets])
     df = df.select(*keep, *[located(F.col(f"m_{name(*s)}"), F.col(f"g_{name(*s)}")).alias(name(*s)) for s in sets])
     df = df.select(*keep, *[F.filter(F.col(f"b_{k}"), of(k, lambda k, x: passes(k, x["m"]))).alias(f"b_{k}") for k in KINDS], *[f"x_{k}" for k in KINDS])
-    taken = F.concat(*[F.transform(f"b_{k}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))) for k in KINDS])
-    df = df.select("*", taken.alias("_taken"))
-    free = lambda x: ~F.exists("_taken", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+    free = lambda x: ~(meets(F.col("b_email"), x) | meets(F.col("b_ip"), x) | meets(F.col("b_card"), x) | meets(F.col("b_phone"), x))
     return df.select(*keep, *[judged(k, F.col(f"b_{k}")).alias(f"base_{k}") for k in KINDS], *[judged(k, F.filter(f"x_{k}", free)).alias(f"more_{k}") for k in KINDS])
 
 
@@ -283,47 +308,65 @@ def detect(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataF
     an empty list); null keys and repeated rows each keep their row; an empty table gives
     no rows; other columns are not read.
     """
-    spans = written(found(docs.select(F.col(key), F.col(text)), text=text, keep=(key,)))
+    rows = docs.select(F.col(key).alias("_row"), F.col(text).alias("_text"))
+    spans = written(found(rows, text=F.col("_text"), keep=("_row",)))
     model = train(cells(spans))
-    named = all_spans(spans, model, (key,))
+    named = all_spans(spans, model, ("_row",))
     return named.select(
-        key,
+        F.col("_row").alias(key),
         *[F.size(f"base_{k}").cast("bigint").alias(f"n_{k}") for k in KINDS],
         F.sha2(_span_list({k: F.col(f"base_{k}") for k in KINDS}), 256).alias("base_sha256"),
         _span_list({k: F.col(f"all_{k}") for k in KINDS}).alias("spans"),
     )
 
 
+def masked(body: Column, spans: Column) -> Column:
+    """``body`` with the spans (s, -e, kind; in order) replaced by their kinds in brackets.
+
+    The text is cut into blocks of ``BLOCK`` code points, so that a piece is taken from the
+    blocks that it touches and not from the text's start."""
+    blocks = F.regexp_extract_all(body, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    # a span that begins behind the end of all before it is a head; the others add to its length
+    heads = F.filter(
+        running(spans, F.lit(0), lambda reach, x: (F.struct(reach.alias("after"), x["s"].alias("s"), x["kind"].alias("kind")), F.greatest(reach, -x["e"])), "struct<after:int,s:int,kind:string>"),
+        lambda x: x["s"] >= x["after"],
+    )
+    end = F.array_max(F.transform(spans, lambda x: -x["e"]))
+
+    def piece(blocks: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / BLOCK).cast("int"), F.floor(b / BLOCK).cast("int")
+        tail = F.substr(F.get(blocks, first), F.pmod(a, F.lit(BLOCK)) + 1)
+        head = F.coalesce(F.substr(F.get(blocks, last), F.lit(1), F.pmod(b, F.lit(BLOCK))), F.lit(""))
+        between = F.when(last > first + 1, F.array_join(F.slice(blocks, first + 2, last - first - 1), "")).otherwise("")
+        return F.when(a >= b, "").when(first == last, F.substr(F.get(blocks, first), F.pmod(a, F.lit(BLOCK)) + 1, b - a)).otherwise(F.concat(tail, between, head))
+
+    # blocks and heads are made once, as elements of an array
+    both = F.array(F.struct(blocks.alias("blocks"), heads.alias("heads"), end.alias("end"), F.length(body).alias("size")))
+    text = F.transform(
+        both,
+        lambda z: F.concat(
+            F.array_join(F.transform(z["heads"], lambda x: F.concat(piece(z["blocks"], x["after"], x["s"]), F.lit("["), x["kind"], F.lit("]"))), ""),
+            piece(z["blocks"], z["end"], z["size"]),
+        ),
+    )
+    return F.when(F.size(spans) > 0, F.get(text, F.lit(0))).otherwise(body)
+
+
 def redact(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """``docs`` with each span of personal data replaced by its kind in brackets, as
     ``[email]``; of overlapping spans the first (then the longest) names the whole.  A null
     text stays null; all columns keep their names and order."""
-    own = tuple(docs.columns)
+    own = docs.columns
     if len(set(own)) != len(own):
         raise ValueError("columns must have distinct names")
-    hidden = "_text_of_row"
-    model = train(cells(written(found(docs.select(text), text=text, keep=()))))
-    rows = docs.withColumnRenamed(text, hidden) if text != hidden else docs
-    keep = tuple(hidden if c == text else c for c in own)
-    named = all_spans(found(rows.withColumn("_text", F.col(hidden)), text="_text", keep=keep), model, keep)
+    # the row goes as one column, so that its names clash with none here
+    rows = docs.select(F.struct(*[F.col(c) for c in own]).alias("_row"))
+    spans = written(found(rows, text=F.col("_row").getField(text), keep=("_row",)))
+    named = all_spans(spans, train(cells(spans)), ("_row",))
     tagged = F.array_sort(F.concat(*[F.transform(f"all_{k}", of(k, lambda k, x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), F.lit(k).alias("kind")))) for k in KINDS]))
-    item = "array<struct<s:int,e:int,kind:string>>"
-
-    def merge(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], -x["e"]).alias("e"), last["kind"].alias("kind"))))
-        added = F.concat(acc, F.array(F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["kind"].alias("kind"))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["e"] > x["s"]), joined).otherwise(added)
-
-    named = named.select(*keep, F.aggregate(tagged, F.array().cast(item), merge).alias("_spans"))
-    body = F.col(hidden)
-    pieces = F.transform(
-        "_spans",
-        lambda x, i: F.concat(F.substr(body, F.when(i == 0, F.lit(1)).otherwise(F.get(F.col("_spans"), i - 1)["e"] + 1), x["s"] - F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("_spans"), i - 1)["e"])), F.lit("["), x["kind"], F.lit("]")),
-    )
-    rest = F.substr(body, F.element_at("_spans", -1)["e"] + 1)
-    clean = F.when(F.size("_spans") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(body)
-    return named.select(*[clean.alias(text) if c == hidden else F.col(c) for c in keep])
+    named = named.select("_row", tagged.alias("_spans"))
+    body = F.col("_row").getField(text)
+    return named.select(*[(masked(body, F.col("_spans")) if c == text else F.col("_row").getField(c)).alias(c) for c in own])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

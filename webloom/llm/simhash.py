@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import map_batches, read, release_memory, slices, texts_of, written
+from webloom.llm.common import fresh, map_batches, read, release_memory, slices, texts_of, written
 from webloom.llm.components import components
 
 BITS = 3
@@ -198,15 +198,18 @@ def _meetings(keyed: DataFrame, differ: int) -> DataFrame:
             b.clear()
             return got
 
-        for batch in _then_none(batches):
-            for x, y in handle(batch):
-                a.append(x)
-                b.append(y)
-                if len(a) > 20_000:
-                    yield out()
-        if a:
-            yield out()
-        release_memory()
+        try:
+            for batch in _then_none(batches):
+                for x, y in handle(batch):
+                    a.append(x)
+                    b.append(y)
+                    if len(a) > 20_000:
+                        yield out()
+            if a:
+                yield out()
+        finally:
+            handle = None
+            release_memory()
 
     rows = keyed.select("mask", "value", "node", "fp")
     return rows.repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(run, "a bigint, b bigint")
@@ -411,8 +414,9 @@ def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", blo
     pairs = texts.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select("root", F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j"), "s", "text")
     found = components(pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "s").mapInArrow(_verified, "a bigint, b bigint"))
     groups = each.select("s", "low").join(found.withColumnRenamed("node", "s"), "s", "left")
-    stays = groups.groupBy(F.coalesce("root", "s").alias("g")).agg(F.min("low").alias("low")).select(F.col("low.k").alias(key), F.col("low.t").alias("_text_hash"))
-    kept = named.withColumn("_text_hash", F.xxhash64(text)).join(stays, [key, "_text_hash"], "left_semi").dropDuplicates([key, "_text_hash"])
+    print_ = fresh(docs, "_text_hash")
+    stays = groups.groupBy(F.coalesce("root", "s").alias("g")).agg(F.min("low").alias("low")).select(F.col("low.k").alias(key), F.col("low.t").alias(print_))
+    kept = named.withColumn(print_, F.xxhash64(text)).join(stays, [key, print_], "left_semi").dropDuplicates([key, print_])
     return kept.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
 
 

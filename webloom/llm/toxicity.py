@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import bucket_of, map_batches, read, slices, texts_of, written
+from webloom.llm.common import bucket_of, fresh, map_batches, read, slices, texts_of, written
 
 SIZES = (4, 5)
 BUCKETS = 1 << 18
@@ -193,12 +193,14 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
     """
     packed = docs.sparkSession.sparkContext.broadcast(model)
     read_ = list(dict.fromkeys((key, text, *also)))
+    rows = docs.select(*read_)
+    place = read_.index(text)
 
     def make():
         scores = packed.value.scores
 
         def handle(batch: pa.RecordBatch):
-            data, offsets = texts_of(batch, text)
+            data, offsets = texts_of(batch, place)
             for lo, hi in slices(offsets, CHUNK):
                 got = scores(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 out = {c: batch.column(i).slice(lo, hi - lo) for i, c in enumerate(read_)}
@@ -206,15 +208,14 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
 
         return handle
 
-    kinds = dict(docs.dtypes)
-    kept = [c for c in read_ if c == key or c in also]
-    return map_batches(docs.select(*read_), make, ", ".join(f"{c} {kinds[c]}" for c in kept) + f", {names[0]} double, {names[1]} int")
+    kept = [f for f in rows.schema if f.name == key or f.name in also]
+    return map_batches(rows, make, f"{names[0]} double, {names[1]} int", passed=kept)
 
 
 def reject_toxic(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model does not predict to be toxic, as they were."""
-    said = [f"_toxic_{x}_of_{len(docs.columns)}" for x in ("score", "label")]
-    return score(docs, model, key=key, text=text, also=tuple(docs.columns), names=tuple(said)).where(F.col(said[1]) == 0).select(*docs.columns)
+    said = fresh(docs, "_score"), fresh(docs, "_label")
+    return score(docs, model, key=key, text=text, also=tuple(docs.columns), names=said).where(F.col(said[1]) == 0).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

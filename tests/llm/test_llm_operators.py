@@ -325,7 +325,7 @@ def test_added_spans(spark):
     rng = random.Random(3)
     rows = [(i, sentence(rng, 20) + f" contact: u{i}@example.com or write to k{i} [at] example [dot] com. " + sentence(rng, 9)) for i in range(40)]
     rows += [(100 + i, sentence(rng, 20) + f" mail v{i} @ example.org, " + sentence(rng, 9)) for i in range(20)]
-    rows += [(200 + i, f"x{i}(at)y(dot)zz" + sentence(rng, 9)) for i in range(20)]
+    rows += [(200 + i, f"x{i}(at)y(dot)zz" + sentence(rng, 9)) for i in range(200)]
     got = {r.doc_id: [x.split(":") for x in r.spans.split(",") if x] for r in pii.detect(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
     said = {i: [text[int(s) : int(e)] for _, s, e in got[i]] for i, text in rows}
     assert all(said[i] == [f"u{i}@example.com", f"k{i} [at] example [dot] com"] for i in range(40))

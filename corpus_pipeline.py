@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm import exact_substrings, packing, pii, simhash, toxicity
-from webloom.llm.common import read, written
+from webloom.llm.common import discard, read, scratch, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,21 +25,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.one_of_each(docs)
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """``n_chars``, where it is given, made to follow the text."""
+    n = F.when(F.col("n_chars").isNotNull(), F.coalesce(F.length("text"), F.lit(0)))
+    return docs.select(*[n.cast(kind).alias(c) if c == "n_chars" else F.col(c) for c, kind in docs.dtypes])
+
+
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 200-byte strings found more than once; ``n_chars``
     follows the text.  A document of which nothing is left stays, empty; null stays null."""
-    names = docs.columns
-    also = tuple(c for c in names if c not in ("doc_id", "text"))
-    marked = docs.withColumn("was_null", F.col("text").isNull())
-    kept = exact_substrings.remove_repeats(marked, also=(*also, "was_null"), emit=("kept_text",))
-    text = F.when(~F.col("was_null"), F.col("kept_text"))
-    return kept.withColumns({"text": text, "n_chars": F.when(F.col("n_chars").isNotNull(), F.coalesce(F.length(text), F.lit(0)).cast("bigint"))}).select(*names)
+    return _counted(exact_substrings.without_repeats(docs))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with e-mail and IP addresses, card and phone numbers masked."""
-    names = docs.columns
-    return pii.redact(docs).withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.coalesce(F.length("text"), F.lit(0)).cast("bigint"))).select(*names)
+    return _counted(pii.redact(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +60,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """A stage's tables, its input among them, go when its result is written; those that the
+    last one reads stay."""
+    source = docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        with scratch(spark):
+            result = written(stage(spark, docs, sf_dir), keep=True)
+        if docs is not source:
+            discard(docs)
+        docs = result
     return STAGES[-1][1](spark, docs, sf_dir)

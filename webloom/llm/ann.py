@@ -204,7 +204,8 @@ def search(table: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector:
     # a shard is asked all queries, in parts that a task holds one at a time
     placed = nodes.select(F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("id"), "v", "ids")
     sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "v", F.lit(None).cast("array<bigint>").alias("ids"))
-    both = placed.unionByName(sent).repartition(min(shards, 2000), "shard").sortWithinPartitions("shard", "kind")
+    # by range, as few keys dealt by hash would share tasks while others have none
+    both = placed.unionByName(sent).repartitionByRange(min(shards, 2000), "shard").sortWithinPartitions("shard", "kind")
     ddl = "query_id bigint, id bigint, score double"
     schema = arrow_schema(ddl)
 

@@ -1,8 +1,9 @@
-"""Recursive retrieval as a loop of DataFrames, one level of the frontier at a time.
+"""Recursive retrieval as a loop of DataFrames, one round of the frontier at a time.
 
-A level is anti-joined with the visited table, judged, matched with its pages and its
-links extracted; the loop is on the driver, the data never is.  What a level leaves goes
-to the shared folder as Parquet, so lineage does not grow and lost executors are no loss.
+A round is anti-joined with what was visited, judged, matched with its bodies (redirects and
+mirrors followed) and stored once, in the shared folder as Parquet; the next frontier is made
+of its links, of sitemaps that robots files name and of mirrored files.  The loop is on the
+driver, the data never is: a round brings back one row of counts.
 """
 
 from __future__ import annotations
@@ -16,14 +17,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from webloom.functions import extract, paths, urls
-from webloom.operators import policy
+from webloom.functions import extract, paths, text, urls
+from webloom.operators import archive, mirrors, policy
 from webloom.plans.config import CrawlConfig
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """From ``spark.checkpoint.dir``; only where that is unset and all runs on one machine a
+    temporary one is made and set."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="webloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,6 +40,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def together(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def recurses(depth: Column, config: CrawlConfig) -> Column:
     """Whether links of a page at this depth are followed."""
     deep = (depth < config.level) if config.level >= 0 else F.lit(True)
@@ -43,30 +55,47 @@ def recurses(depth: Column, config: CrawlConfig) -> Column:
 
 @dataclass
 class Crawl:
-    """``visited`` (url, depth, parent, reason: null if fetched), ``pages`` (url, depth,
+    """``visited`` (url, depth, parent, reason: null if fetched), ``pages`` (url, used_url:
+    the mirror that served it, final_url: where redirects ended, depth, status,
     content_type, body, path, bytes)."""
 
     visited: DataFrame
     pages: DataFrame
 
 
-def corpus_source(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """A source of bodies from a table url, html [, content_type, status]."""
+#: What a source adds to the rows it is asked for, and how it is typed.
+FETCHED = {"body": "string", "content_type": "string", "status": "int", "link": "string", "final_url": "string"}
+
+
+def corpus_source(pages: DataFrame, config: CrawlConfig | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A source of bodies from a table url, html [, content_type, status, location, link
+    (the Link header)].  Rows with a redirect status and a location are followed, up to
+    ``max_redirect``; more, or an error status, give no body."""
+    config = config or CrawlConfig()
+    has = set(pages.columns)
+    given = {"html": F.lit(None), "content_type": F.lit("text/html"), "status": F.lit(200), "link": F.lit(None)}
+    own = pages.select(F.col("url").alias("_target"), *[(F.col(c) if c in has else x).cast("int" if c == "status" else "string").alias(f"_{c}") for c, x in given.items()])
+    ends = None
+    if "location" in has:
+        status = F.col("status") if "status" in has else F.lit(302)
+        hops = pages.where(status.between(300, 399) & (status != 304) & F.col("location").isNotNull()).select(F.col("url").alias("source"), "location")
+        # the redirects of the whole corpus, closed once
+        ends = stored(redirects(hops.select(F.col("source").alias("url")).distinct(), hops, config.max_redirect).select("url", "final", "ok"))
 
     def fetch(level: DataFrame) -> DataFrame:
-        own = pages.select(
-            "url",
-            F.col("html").alias("body"),
-            (F.col("content_type") if "content_type" in pages.columns else F.lit("text/html")).alias("content_type"),
-            (F.col("status") if "status" in pages.columns else F.lit(200)).alias("status"),
-        )
-        return level.join(own, "url", "left")
+        asked = level.withColumn("_target", F.col("url"))
+        if ends is not None:
+            asked = level.join(ends, "url", "left").withColumn("_target", F.when(F.coalesce("ok", F.lit(True)), F.coalesce("final", "url"))).drop("final", "ok")
+        met = asked.join(own, "_target", "left")
+        good = F.lit(True) if config.content_on_error else F.col("_status") < 400
+        return met.select(*level.columns, F.when(good, F.col("_html")).alias("body"), F.col("_content_type").alias("content_type"), F.col("_status").alias("status"), F.col("_link").alias("link"), F.col("_target").alias("final_url"))
 
     return fetch
 
 
-def page_links(pages: DataFrame, config: CrawlConfig) -> DataFrame:
-    """(parent, url) for every link of every page, by what its body is."""
+def page_links(pages: DataFrame, config: CrawlConfig, *, feeds: bool = True) -> DataFrame:
+    """(parent, url) for every link of every page, by what its body is; ``feeds`` off leaves
+    out the parser for feeds, where it is known that there are none."""
     base, body = F.col("url"), F.col("body")
     kind = extract.sniff(paths.local_path(base, CrawlConfig(default_page=config.default_page)), F.col("content_type"), body)
     opts = {"follow_tags": config.follow_tags, "ignore_tags": config.ignore_tags, "strict_comments": config.strict_comments}
@@ -76,40 +105,155 @@ def page_links(pages: DataFrame, config: CrawlConfig) -> DataFrame:
         base.alias("parent"),
         F.explode(F.array_distinct(F.concat(F.when(F.col("kind.html") | F.lit(config.force_html), extract.html_links(base, body, **opts)).otherwise(none), F.when(F.col("kind.css") | F.lit(config.force_css), extract.css_links(base, body)).otherwise(none)))).alias("url"),
     )
+    if not feeds:
+        return plain.distinct()
     forced = {"rss": config.force_rss, "atom": config.force_atom, "sitemap": config.force_sitemap}
     kinds = F.filter(F.array(*[F.when(F.lit(f) | F.col(f"kind.{k}"), F.lit(k)) for k, f in forced.items()]), lambda k: k.isNotNull())
     # only documents that are feeds reach the parser
-    feeds = said.withColumn("kinds", kinds).where(F.size("kinds") > 0)
-    found = feeds.select(base.alias("parent"), F.explode(extract.feed_links(base, F.col("kinds"), body)).alias("url"))
+    read = said.withColumn("kinds", kinds).where(F.size("kinds") > 0)
+    found = read.select(base.alias("parent"), F.explode(extract.feed_links(base, F.col("kinds"), body)).alias("url"))
     return plain.unionByName(found).distinct()
 
 
-def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], config: CrawlConfig, *, robots: DataFrame | None = None, most_levels: int = 1000) -> Crawl:
-    """Retrieve from ``seeds`` (url).  A URL is visited once, fragment and all, at its least
-    depth, and a rejected one is not asked for again."""
-    frontier = seeds.select("url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")).where("url is not null").dropDuplicates(["url"])
-    visited, found = None, None
-    for depth in range(most_levels):
-        level = frontier if visited is None else frontier.join(visited.select("url"), "url", "left_anti")
+def _is_feed(config: CrawlConfig) -> Column:
+    if config.force_rss or config.force_atom or config.force_sitemap:
+        return F.lit(True)
+    kind = extract.sniff(F.col("path"), F.col("content_type"), F.col("body"))
+    return kind["rss"] | kind["atom"] | kind["sitemap"]
+
+
+def _is_metalink(config: CrawlConfig) -> Column:
+    if config.force_metalink:
+        return F.lit(True)
+    return F.lit(config.metalink_over_http) & F.coalesce(text.is_metalink_type(F.col("content_type")), F.lit(False))
+
+
+def mirrored_files(pages: DataFrame, config: CrawlConfig) -> DataFrame:
+    """(url, mirrors, hashes) of the files that metalink bodies and Link headers among the
+    pages name: what to ask for first, what instead, and what the content must hash to.  A
+    document that points on (``metalink_index``, describedby) gives its target alone."""
+    nothing = F.array().cast("array<string>"), F.array().cast("array<struct<algo:string,hex:string>>")
+    docs = mirrors.documents(pages.where(_is_metalink(config)).select("final_url", F.col("body").alias("xml")))
+    onward = mirrors.nth_metaurl(F.col("doc.metaurls"), config.metalink_index)["url"] if config.metalink_index else F.lit(None).cast("string")
+    docs = docs.withColumn("onward", onward)
+    files = docs.where("onward is null").select(F.explode("doc.files").alias("f")).select(mirrors.ordered_urls(F.col("f.urls"), config.preferred_location).alias("urls"), F.col("f.hashes").alias("hashes"))
+    out = files.unionByName(docs.where("onward is not null").select(F.array("onward").alias("urls"), nothing[1].alias("hashes")))
+    if config.metalink_over_http:
+        said = pages.where(~_is_metalink(config) & F.col("link").isNotNull()).select(mirrors.duplicates(text.link_header(F.col("link")), F.col("final_url")).alias("l"))
+        described = F.col("l.describedby").isNotNull()
+        out = out.unionByName(said.select(F.when(described, F.array("l.describedby")).otherwise(F.col("l.urls")).alias("urls"), F.when(described, nothing[1]).otherwise(F.col("l.digests")).alias("hashes")))
+    out = out.where(F.size("urls") > 0)
+    # of documents that name one file differently the least counts, whichever task is first
+    return out.select(F.col("urls")[0].alias("url"), F.slice("urls", 2, F.size("urls")).alias("mirrors"), "hashes").groupBy("url").agg(F.min(F.struct("mirrors", "hashes")).alias("m")).select("url", "m.mirrors", "m.hashes")
+
+
+def retrieve(asked: DataFrame, fetch: Callable[[DataFrame], DataFrame], config: CrawlConfig, files: DataFrame | None = None) -> DataFrame:
+    """``asked`` (url and more) with what a source gives, ``used_url`` and ``reason``.
+
+    With a table of mirrored ``files`` a URL's mirrors are tried in order until one gives a
+    body that hashes as it should (``hash`` is the reason if none does, or if one does not
+    and bad files are kept); only what is still open is asked for again."""
+    if files is None:
+        return fetch(asked).withColumns({"used_url": F.col("url"), "reason": F.lit(None).cast("string")})
+    own = asked.columns
+    todo = asked.join(files, "url", "left").withColumn("candidates", F.concat(F.array("url"), F.coalesce("mirrors", F.array().cast("array<string>")))).withColumn("hashes", F.coalesce("hashes", F.array().cast("array<struct<algo:string,hex:string>>")))
+    todo = stored(todo.select(F.struct(*own).alias("row"), "candidates", "hashes"))
+    done, at = [], 0
+    while True:
+        got = fetch(todo.withColumn("url", F.col("candidates")[at]))
+        right = F.forall("hashes", lambda h: archive.verify(F.encode("body", "UTF-8"), h["algo"], h["hex"]))
+        last = F.size("candidates") == at + 1
+        got = stored(got.withColumns({"_right": right, "_ends": F.col("body").isNotNull() & (right | F.lit(config.keep_badhash)) | last}))
+        reason = F.when(F.col("body").isNotNull() & ~F.col("_right"), F.lit("hash"))
+        body = F.when(F.col("_right") | F.lit(config.keep_badhash), F.col("body"))
+        done.append(got.where("_ends").select("row.*", body.alias("body"), *[c for c in FETCHED if c != "body"], F.col("url").alias("used_url"), reason.alias("reason")))
+        todo = got.where("not _ends").select("row", "candidates", "hashes")
+        at += 1
+        if not todo.limit(1).count():
+            return together(done)
+
+
+def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], config: CrawlConfig, *, robots: DataFrame | None = None) -> Crawl:
+    """Retrieve from ``seeds`` (url), until nothing is left to ask for.  A URL is visited
+    once, fragment and all, at its least depth, and a rejected one is not asked for again.
+
+    ``robots`` (``policy.robots_rules``) forbids pages and names sitemaps, which are asked
+    for once for each host and port.  With ``quota`` pages are fetched in the order of depth
+    and URL while less than that many bytes have been.  With ``metalink_over_http`` or
+    ``force_metalink`` the files that metalinks name are fetched too, from the first mirror
+    that serves them right."""
+    looks = config.recursive or config.page_requisites
+    mirroring = config.metalink_over_http or config.force_metalink
+    named = None
+    if robots is not None and looks and config.follow_sitemaps:
+        port = F.regexp_replace("origin", "^[a-z][a-z0-9+.-]*://", "")
+        named = robots.where(F.size("sitemaps") > 0).groupBy(port.alias("port")).agg(F.min_by("sitemaps", "origin").alias("sitemaps"))
+        named = named if named.limit(1).count() else None
+    frontier = seeds.select("url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"))
+    rounds: list[DataFrame] = []
+    seeded: list[DataFrame] = []
+    files: list[DataFrame] = []
+    taken: list[DataFrame] = []  # mirrors of what was asked for count as visited
+    left = config.quota
+    while True:
+        level = frontier.where("url is not null").groupBy("url").agg(F.min(F.struct("depth", "parent")).alias("f")).select("url", "f.depth", "f.parent")
+        if rounds:
+            level = level.join(together([r.select("url") for r in rounds] + taken), "url", "left_anti")
         judged = level.withColumn("reason", policy.reject_reason(F.col("url"), config))
-        if robots is not None and (config.recursive or config.page_requisites):
-            judged = policy.robots_allow(judged, robots, config.user_agent).withColumn("reason", F.when(F.col("reason").isNotNull(), F.col("reason")).when(~F.col("allowed"), F.lit("robots")))
-        judged = stored(judged.select("url", "depth", "parent", "reason"))
-        visited = judged if visited is None else visited.unionByName(judged)
-        fetched = fetch(judged.where("reason is null")).where("body is not null")
+        if robots is not None and looks:
+            judged = policy.robots_allow(judged, robots, config.user_agent).withColumn("reason", F.when(F.col("reason").isNotNull(), F.col("reason")).when(~F.col("allowed"), F.lit("robots"))).drop("allowed")
+        known = together(files).groupBy("url").agg(F.min(F.struct("mirrors", "hashes")).alias("m")).select("url", "m.mirrors", "m.hashes") if files else None
+        got = retrieve(judged.where("reason is null").drop("reason"), fetch, config, known)
         if config.filter_mime_type:
-            fetched = fetched.where(policy.mime_allowed(F.col("content_type"), config.filter_mime_type))
-        fetched = stored(fetched.select("url", "depth", "content_type", "body", paths.local_path(F.col("url"), config).alias("path"), F.octet_length("body").cast("bigint").alias("bytes")))
-        found = fetched if found is None else found.unionByName(fetched)
-        if not (config.recursive and (config.level < 0 or depth < config.level)) and not (config.page_requisites and depth < 1):
+            wrong = F.col("body").isNotNull() & ~policy.mime_allowed(F.col("content_type"), config.filter_mime_type)
+            got = got.withColumn("reason", F.when(wrong, "filter-mime-type").otherwise(F.col("reason")))
+        size = F.octet_length("body").cast("bigint")
+        kept = F.col("reason").isNull() | (F.col("reason") == "hash")
+        got = got.select("url", "depth", "parent", "reason", "used_url", "final_url", "status", "content_type", "link", F.when(kept, F.col("body")).alias("body"), F.when(kept & F.col("body").isNotNull(), paths.local_path(F.col("url"), config)).alias("path"), size.alias("bytes"))
+        none = [F.lit(None).cast(t).alias(c) for c, t in got.dtypes if c not in ("url", "depth", "parent", "reason")]
+        table = stored(got.unionByName(judged.where("reason is not null").select("url", "depth", "parent", "reason", *none)))
+        if left is not None:
+            inside = within_quota(table.where("bytes is not null"), left, order=("depth", "url")).drop("bytes_before")
+            table = stored(inside.unionByName(table.where("bytes is null")))
+        rounds.append(table)
+        found = F.col("body").isNotNull() & F.col("reason").isNull()
+        facts = table.agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
+            F.coalesce(F.bool_or(found & recurses(F.col("depth"), config)), F.lit(False)).alias("looks"),
+            F.coalesce(F.bool_or(found & _is_feed(config)), F.lit(False)).alias("feeds"),
+            F.coalesce(F.bool_or(found & (_is_metalink(config) | F.col("link").isNotNull())), F.lit(False)).alias("mirrored"),
+        ).first()
+        if left is not None:
+            left -= facts["bytes"]
+        if not facts["rows"] or (left is not None and left <= 0):
             break
-        links = page_links(fetched, config)
-        ok = links.where(policy.first_reason(policy.child_rules(F.col("url"), F.col("parent"), config)).isNull())
-        # one parent for each URL, whichever task is first: the least
-        frontier = stored(ok.groupBy("url").agg(F.min("parent").alias("parent")).withColumn("depth", F.lit(depth + 1)).join(visited.select("url"), "url", "left_anti").select("url", "depth", "parent"))
-        if not frontier.limit(1).count():
+        coming = []
+        read = table.where(found)
+        if mirroring and facts["mirrored"]:
+            more = stored(mirrored_files(read, config))
+            files.append(more)
+            taken.append(more.select(F.explode("mirrors").alias("url")))
+            coming.append(more.select("url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")))
+        if facts["looks"]:
+            base = read.where(recurses(F.col("depth"), config))
+            base = base.where(~_is_metalink(config)) if mirroring else base
+            # links are joined to the mirror that served the page
+            links = page_links(base.select(F.col("used_url").alias("url"), "content_type", "body"), config, feeds=facts["feeds"])
+            ok = links.where(policy.first_reason(policy.child_rules(F.col("url"), F.col("parent"), config)).isNull())
+            depth = base.groupBy(F.col("used_url").alias("parent")).agg((F.min("depth") + 1).alias("depth"))
+            coming.append(ok.join(depth, "parent").select("url", "depth", "parent"))
+        if named is not None:
+            port = F.regexp_replace(urls.origin(F.col("url")), "^[a-z][a-z0-9+.-]*://", "")
+            new = table.where("reason is null or reason in ('hash', 'filter-mime-type')").groupBy(port.alias("port")).agg(F.min("depth").alias("depth")).where("port is not null")
+            new = stored(new.join(together(seeded), "port", "left_anti") if seeded else new)
+            seeded.append(new.select("port"))
+            coming.append(new.join(named, "port").select(F.explode("sitemaps").alias("url"), "depth", F.lit(None).cast("string").alias("parent")))
+        if not coming:
             break
-    return Crawl(visited, found)
+        frontier = together(coming)
+    every = together(rounds)
+    return Crawl(every.select("url", "depth", "parent", "reason"), every.where("body is not null").select("url", "used_url", "final_url", "depth", "status", "content_type", "body", "path", "bytes"))
 
 
 def within_quota(pages: DataFrame, quota: int, *, order: tuple[str, ...] = ("depth", "url"), size: str = "bytes", parts: int = 64) -> DataFrame:
@@ -119,6 +263,7 @@ def within_quota(pages: DataFrame, quota: int, *, order: tuple[str, ...] = ("dep
     Sums of range-partitioned parts come first, so that no task holds the whole order:
     only the running sum of part totals (at most ``parts`` rows) is ordered in one task.
     """
+    parts = max(parts, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = pages.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
     ranged = stored(ranged)
     totals = ranged.groupBy("_part").agg(F.sum(size).alias("_sum"))

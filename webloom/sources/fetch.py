@@ -13,11 +13,41 @@ from webloom.functions import urls
 from webloom.plans.config import CrawlConfig
 
 DDL = "url string, final_url string, status int, reason string, content_type string, headers array<struct<name:string,value:string>>, body binary, bytes bigint, attempts int, error string"
-RESPONSE_CAP = 256 << 20
+#: A compressed body may grow to this, or to 32 times its length.  Fixed values.
+INFLATED = 256 << 20
 
 
-def _get(url: str, config: CrawlConfig) -> dict:
-    import gzip
+def inflate_bound(length: int | None) -> int:
+    """The most bytes that a compressed body may grow to."""
+    return max(INFLATED, 32 * (length or 0))
+
+
+def _body(r, length: int | None) -> bytes:
+    """The whole body, in pieces; compressed ones are inflated up to ``inflate_bound``, and
+    what would go beyond it is an error, never cut."""
+    import http.client
+    import zlib
+
+    if r.getheader("Content-Encoding") != "gzip":
+        return r.read()
+    parts, size, most = [], 0, inflate_bound(length)
+    inflater = zlib.decompressobj(47)
+    while piece := r.read(1 << 16):
+        while piece:
+            out = inflater.decompress(piece, 1 << 20)
+            parts.append(out)
+            size += len(out)
+            if size > most:
+                raise http.client.HTTPException(f"a compressed body of more than {most} bytes")
+            piece = inflater.unconsumed_tail
+            if inflater.eof and inflater.unused_data:  # a further member
+                piece, inflater = inflater.unused_data, zlib.decompressobj(47)
+    return b"".join(parts)
+
+
+def _get(url: str, config: CrawlConfig, pool: dict, *, since: str | None = None, start: int | None = None) -> dict:
+    """One response, redirects followed.  ``pool`` keeps a task's open connections by scheme,
+    host and port; ``since`` asks for newer content only, ``start`` for the rest of it."""
     import http.client
     import ssl
     from urllib.parse import urljoin, urlsplit
@@ -29,19 +59,28 @@ def _get(url: str, config: CrawlConfig) -> dict:
             raise http.client.HTTPException("only https is allowed")
         if u.scheme not in ("http", "https"):
             raise http.client.HTTPException(f"scheme {u.scheme} is not fetched here")
-        timeout = config.connect_timeout or config.timeout or 30
-        if u.scheme == "https":
-            context = ssl.create_default_context() if config.check_certificate else ssl._create_unverified_context()
-            conn = http.client.HTTPSConnection(u.hostname, u.port, timeout=timeout, context=context)
-        else:
-            conn = http.client.HTTPConnection(u.hostname, u.port, timeout=timeout)
+        place = (u.scheme, u.hostname, u.port)
+        conn, used = pool.pop(place, None), True
+        if conn is None:
+            used, timeout = False, config.connect_timeout or config.timeout or 30
+            if u.scheme == "https":
+                context = ssl.create_default_context() if config.check_certificate else ssl._create_unverified_context()
+                conn = http.client.HTTPSConnection(u.hostname, u.port, timeout=timeout, context=context)
+            else:
+                conn = http.client.HTTPConnection(u.hostname, u.port, timeout=timeout)
+        whole = False
         try:
             headers = {"User-Agent": config.user_agent, "Accept-Encoding": "gzip"} | dict(h.split(":", 1) for h in config.headers if ":" in h)
-            if config.start_pos:
-                headers["Range"] = f"bytes={config.start_pos}-"
-            conn.request(config.method or ("POST" if config.post_data else "GET"), (u.path or "/") + (f"?{u.query}" if u.query else ""), body=config.body_data or config.post_data, headers={k.strip(): v.strip() for k, v in headers.items()})
+            offset = config.start_pos if start is None else start
+            if offset:
+                headers["Range"] = f"bytes={offset}-"
+            elif since:
+                headers["If-Modified-Since"] = since
+            conn.request(config.method or ("HEAD" if config.spider else "POST" if config.post_data else "GET"), (u.path or "/") + (f"?{u.query}" if u.query else ""), body=config.body_data or config.post_data, headers={k.strip(): v.strip() for k, v in headers.items()})
             r = conn.getresponse()
-            body = b"" if config.spider else r.read(RESPONSE_CAP)
+            length = r.getheader("Content-Length")
+            body = _body(r, int(length) if length and length.isdigit() else None)
+            whole = not r.will_close
             location = r.getheader("Location")
             if 300 <= r.status < 400 and r.status != 304 and location:
                 hops += 1
@@ -49,26 +88,34 @@ def _get(url: str, config: CrawlConfig) -> dict:
                     raise http.client.HTTPException("too many redirects")
                 now = urljoin(now, location)
                 continue
-            if r.getheader("Content-Encoding") == "gzip":
-                body = gzip.decompress(body)
             return {"final_url": now, "status": r.status, "reason": r.reason, "content_type": r.getheader("Content-Type"), "headers": [{"name": k, "value": v} for k, v in r.getheaders()], "body": body, "bytes": len(body)}
+        except (http.client.BadStatusLine, ConnectionError):
+            if not used:  # an old connection may have been closed in the meantime
+                raise
         finally:
-            conn.close()
+            if whole:
+                pool[place] = conn
+            else:
+                conn.close()
 
 
 def fetch(level: DataFrame, config: CrawlConfig, *, hosts: int = 200) -> DataFrame:
     """One row per distinct URL.  A host's URLs are one task's work, which keeps the load
-    on it low; errors are rows, not failures."""
+    on it low; errors are rows, not failures.  Columns ``since`` and ``start`` of the level
+    (``policy.request_plan``) make a request conditional or ask for a rest."""
+    more = [c for c in ("since", "start") if c in level.columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pool: dict = {}
         for pdf in batches:
-            for url in pdf["url"]:
+            for asked in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
+                url, extra = asked["url"], {c: asked[c] if c == "since" or asked[c] is None else int(asked[c]) for c in more}
                 row: dict = {"url": url, "attempts": 0, "error": None}
                 tries = config.tries or 1_000_000
                 while row["attempts"] < tries:
                     row["attempts"] += 1
                     try:
-                        row |= _get(url, config) | {"error": None}
+                        row |= _get(url, config, pool, **extra) | {"error": None}
                         if row["status"] not in config.retry_on_http_error:
                             break
                     except OSError as e:
@@ -85,7 +132,7 @@ def fetch(level: DataFrame, config: CrawlConfig, *, hosts: int = 200) -> DataFra
                     time.sleep(config.wait)
                 yield pd.DataFrame([{c: row.get(c) for c in (x.split()[0] for x in DDL.split(", "))}]).astype({"status": "Int32", "bytes": "Int64"})
 
-    asked = level.select("url").distinct().withColumn("_h", urls.host(F.col("url"))).repartition(hosts, "_h").select("url")
+    asked = level.select("url", *more).dropDuplicates(["url"]).withColumn("_h", urls.host(F.col("url"))).repartition(hosts, "_h").select("url", *more)
     return asked.mapInPandas(run, DDL)
 
 
@@ -93,7 +140,9 @@ def network_source(config: CrawlConfig):
     """For ``operators.crawl.crawl``: bodies as text."""
 
     def source(level: DataFrame) -> DataFrame:
-        got = fetch(level, config).where("error is null and status < 400").select("url", F.decode("body", "UTF-8").alias("body"), "content_type", "status")
-        return level.join(got, "url", "left")
+        link = F.array_join(F.transform(F.filter("headers", lambda h: F.lower(h["name"]) == "link"), lambda h: h["value"]), ", ")
+        good = F.col("error").isNull() & (F.lit(config.content_on_error) | (F.col("status") < 400))
+        got = fetch(level, config).select("url", F.when(good, F.decode("body", "UTF-8")).alias("body"), "content_type", "status", F.when(link != "", link).alias("link"), "final_url")
+        return level.join(got, "url", "left").select(*level.columns, "body", "content_type", "status", "link", "final_url")
 
     return source

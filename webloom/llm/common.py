@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -82,9 +83,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 def drop_shuffles(spark: SparkSession) -> None:
     """Let the executors delete the shuffle files of finished jobs: Spark does so once the
-    driver's heap no longer holds their plans, which may else be long after."""
-    gc.collect()
-    spark._jvm.System.gc()
+    driver's heap no longer holds their plans, which may else be long after.  The second
+    round is for what the first leaves to finalizers."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def arrow_schema(ddl: str) -> pa.Schema:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm.common import bucket_of, fresh, map_batches, read, slices, texts_of, written
 
-SIZES = (4, 5)
+SIZES = (4, 5, 6)
 BUCKETS = 1 << 18
 SAMPLE = 4000
 CHUNK = 1 << 20
@@ -76,7 +76,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
-def significant(pos: np.ndarray, neg: np.ndarray, *, sure: float = 3.0, alpha: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+def significant(pos: np.ndarray, neg: np.ndarray, *, sure: float = 4.0, alpha: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Buckets whose log-count ratio r = log(p / q), smoothed by ``alpha``, is at least
     ``sure`` of its standard errors from 0, and their ratios.  ``pos`` and ``neg``: in how
     many texts of each label every bucket is found."""

@@ -126,27 +126,34 @@ def links_sql(html: str = "html", where: str = "TRUE") -> str:
       WHERE href <> '' AND NOT starts_with(href, '#') AND NOT starts_with(href, 'javascript:') AND {where}"""
 
 
+#: Test pages behind a comment with a link and two tags that the pages do not have.
+EXTRA = '<!-- <a href="/hidden">x</a> --><link href="/s.css"><img src="/p.png">'
+
+
 def _links(spark, d, **options):
-    df = pages(spark, d, "page_id", "html").select("page_id", F.explode(extract.html_references(F.col("html"), **options)).alias("x"))
+    df = pages(spark, d, "page_id", "html").select("page_id", F.explode(extract.html_references(F.concat(F.lit(EXTRA), "html"), **options)).alias("x"))
     return df.select("page_id", "x.tag", "x.href")
 
 
-@query(f"SELECT page_id, tag, href FROM ({links_sql()})")
+MORE_HTML = f"('{EXTRA}' || html)"
+
+
+@query(f"SELECT page_id, tag, href FROM ({links_sql(MORE_HTML)})")
 def html_links(spark, d):
     return _links(spark, d)
 
 
-@query(f"SELECT page_id, tag, href FROM ({links_sql(where="lower(tag) IN ('link', 'img')")})")
+@query(f"SELECT page_id, tag, href FROM ({links_sql(MORE_HTML, where="lower(tag) IN ('link', 'img')")})")
 def html_links_follow_tags(spark, d):
     return _links(spark, d, follow_tags=["LINK", "img"])
 
 
-@query(f"SELECT page_id, tag, href FROM ({links_sql(where="lower(tag) <> 'link'")})")
+@query(f"SELECT page_id, tag, href FROM ({links_sql(MORE_HTML, where="lower(tag) <> 'link'")})")
 def html_links_ignore_tags(spark, d):
     return _links(spark, d, ignore_tags=["link"])
 
 
-@query(f"SELECT page_id, tag, href FROM ({links_sql(html="regexp_replace(html, '(?s)<!--.*?-->', '', 'g')")})")
+@query(f"SELECT page_id, tag, href FROM ({links_sql(f"regexp_replace({MORE_HTML}, '(?s)<!--.*?-->', '', 'g')")})")
 def html_links_strict_comments(spark, d):
     return _links(spark, d, strict_comments=True)
 
@@ -201,12 +208,6 @@ def feed_links(spark, d):
     return df.select("id", F.explode(extract.feed_links(F.lit("http://f.example/"), F.array("kind"), F.col("xml"))).alias("url"))
 
 
-@query("""SELECT page_id, replace(replace(html, 'href="/', 'href="root/'), '</a>', '</A>') AS html FROM pages""")
-def convert_links(spark, d):
-    mapping = F.array(*[F.struct(F.lit(a).alias("from"), F.lit(b).alias("to")) for a, b in (('href="/', 'href="root/'), ("</a>", "</A>"))])
-    return pages(spark, d, "page_id", "html").select("page_id", extract.convert_links(F.col("html"), mapping).alias("html"))
-
-
 @query(f"""SELECT page_id, regexp_matches({PATH}, '(?i)(\\.html?|/)$') OR contains(html, '<html') OR contains(html, '<HTML') AS is_html,
   contains(html, '<urlset') OR contains(html, '<sitemapindex') AS is_sitemap FROM pages""")
 def content_sniff(spark, d):
@@ -227,7 +228,7 @@ _accepted("accept_glob", CrawlConfig(accept=["*.html", "[1-4]??"]), f"regexp_mat
 _accepted("reject_glob", CrawlConfig(reject=["*[!0-9]", "1*"]), f"NOT regexp_matches({BASENAME}, '^(.*[^0-9]|1.*)$')")
 _accepted("accept_regex", CrawlConfig(accept_regex="/(en|de)/[[:digit:]]+"), "regexp_matches(url, '/(en|de)/[0-9]+')")
 _accepted("reject_regex", CrawlConfig(reject_regex="UTM_|#TOP$", ignore_case=True), "NOT regexp_matches(url, '(?i)UTM_|#TOP$')")
-_accepted("invalid_regex", CrawlConfig(reject_regex="(", accept_regex=None), "TRUE")
+_accepted("invalid_regex", CrawlConfig(reject_regex="(", accept_regex="[[:digit:]]$"), "regexp_matches(url, '[0-9]$')")
 _accepted("domain_filter", CrawlConfig(domains=["example.org", "m.example.com"]), f"{DOMAIN.format(HOST, 'example.org')} OR {DOMAIN.format(HOST, 'm.example.com')}")
 _accepted("exclude_domains", CrawlConfig(exclude_domains=["example.com"]), f"NOT {DOMAIN.format(HOST, 'example.com')}")
 _accepted("include_dirs", CrawlConfig(include_directories=["/en", "/fr/1"]), f"starts_with({PATH}, '/en') OR starts_with({PATH}, '/fr/1')")
@@ -270,9 +271,20 @@ _child("no_parent", CrawlConfig(no_parent=True, span_hosts=True), f"{SCHEME} <>
 _child("relative_only", CrawlConfig(relative_only=True, span_hosts=True, follow_ftp=True), f"{HOST} = {PARENT_HOST}")
 
 
-@query(f"SELECT page_id, href FROM ({links_sql()}) WHERE NOT regexp_matches(href, '[^\\x00-\\x7F]')")
-def non_ascii_reject(spark, d):
-    return _links(spark, d).where(~F.col("href").rlike(r"[^\x00-\x7F]")).select("page_id", "href")
+def _strange(name: str, config: CrawlConfig, where: str) -> None:
+    """Children beyond ASCII, of ftp, and as they are, by page_id modulo 3."""
+
+    @query(f"SELECT page_id, url FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'ftp://' || split_part(url, '://', 2) WHEN 1 THEN url || 'é' ELSE url END AS url FROM pages) WHERE {where}", name)
+    def run(spark, d):
+        u, third = F.col("url"), F.col("page_id") % 3
+        child = F.when(third == 0, F.concat(F.lit("ftp://"), F.regexp_extract(u, "://(.*)$", 1))).when(third == 1, F.concat(u, F.lit("é"))).otherwise(u)
+        pairs = pages(spark, d, "page_id", "url").withColumn("child", child)
+        return pairs.where(policy.first_reason(policy.child_rules(F.col("child"), u, config)).isNull()).select("page_id", F.col("child").alias("url"))
+
+
+_strange("non_ascii_reject", CrawlConfig(iri=False, follow_ftp=True), "NOT regexp_matches(url, '[^\\x00-\\x7F]')")
+_strange("ftp_children_reject", CrawlConfig(), "NOT starts_with(url, 'ftp:')")
+_accepted("domains_without_host", CrawlConfig(domains=["example.org"], exclude_domains=["example.com"]), f"({HOST} = '' OR {DOMAIN.format(HOST, 'example.org')}) AND NOT {DOMAIN.format(HOST, 'example.com')}")
 
 
 MIMES = [(1, "text/html; charset=utf-8"), (2, "image/png"), (3, "IMAGE/Gif"), (4, None), (5, " "), (6, "application/pdf"), (7, "imagery/x")]

@@ -5,9 +5,11 @@ from __future__ import annotations
 import codecs
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.functions import urls
+
 #: Labels that Spark decodes itself.
 NATIVE = {"utf-8": "UTF-8", "utf8": "UTF-8", "us-ascii": "US-ASCII", "utf-16": "UTF-16", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE"}
 #: Labels that the web reads as another charset.
@@ -61,3 +63,13 @@ def idna_host(host: Column) -> Column:
         return pd.Series([one(h) for h in hosts], dtype=object)
 
     return encode(host)
+
+
+def ascii_hosts(df: DataFrame, *, url: str = "url") -> DataFrame:
+    """``df`` with hosts beyond ASCII in their ASCII form; rows whose host has none are gone.
+    Only rows with such hosts reach Python."""
+    odd = F.coalesce(urls.host(F.col(url)).rlike(r"[^\x00-\x7F]"), F.lit(False))
+    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?([^/?#:]*)", 1)
+    some = df.where(odd).withColumn("_ascii", idna_host(host)).where("_ascii is not null")
+    whole = F.concat(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?)", 1), "_ascii", F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?[^/?#:]*(.*)$", 1))
+    return df.where(~odd).unionByName(some.withColumn(url, whole).drop("_ascii"))

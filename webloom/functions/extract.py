@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from webloom.functions import urls
 
-#: A tag and the first of four attributes in it, with a value in double, single or no
-#: quotes.  Fixed: it defines which links count.
+#: These three define which links count, and what a comment is.  The first is
+#: a tag and the first of four attributes in it, with a value in double, single or no quotes.
 HTML_LINK = r"""(?i)<\s*([a-zA-Z][\w:-]*)\b[^>]*?\b(?:href|src|action|data)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))"""
 CSS_LINK = r"""url\(\s*['"]?([^'")\s]+)['"]?\s*\)"""
 COMMENT = r"(?s)<!--.*?-->"
@@ -23,10 +23,11 @@ def strip_comments(html: Column) -> Column:
 def html_references(html: Column, *, follow_tags: list[str] | None = None, ignore_tags: list[str] | None = None, strict_comments: bool = False) -> Column:
     """array<struct<tag, href>> in document order, before any joining."""
     text = strip_comments(html) if strict_comments else html
-    groups = [F.regexp_extract_all(text, F.lit(HTML_LINK), F.lit(i)) for i in range(1, 5)]
+    # the page is searched once; the groups come out of the short matches
+    group = lambda x, i: F.regexp_extract(x, HTML_LINK, i)
     found = F.transform(
-        F.arrays_zip(*[g.alias(n) for g, n in zip(groups, "abcd", strict=True)]),
-        lambda x: F.struct(F.lower(x["a"]).alias("tag"), F.when(x["b"] != "", x["b"]).when(x["c"] != "", x["c"]).otherwise(x["d"]).alias("href")),
+        F.regexp_extract_all(text, F.lit(HTML_LINK), F.lit(0)),
+        lambda x: F.struct(F.lower(group(x, 1)).alias("tag"), F.when(group(x, 2) != "", group(x, 2)).when(group(x, 3) != "", group(x, 3)).otherwise(group(x, 4)).alias("href")),
     )
 
     def wanted(x: Column) -> Column:

@@ -58,7 +58,7 @@ def mlst_mode(facts: Column) -> Column:
 
 def child_url(listing: Column, name: Column) -> Column:
     """The URL of an entry in the folder of a listing's URL; null for unsafe names."""
-    ok = ~name.contains("/") & ~name.contains("://") & (name != "")
+    ok = ~name.contains("/") & ~name.contains("://") & (name != "") & ~has_injection(name)
     return F.when(ok, F.concat(F.regexp_extract(listing, r"^(.*/)", 1), name))
 
 

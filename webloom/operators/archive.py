@@ -14,10 +14,9 @@ CDX_HEADER = " CDX N b a m s k r M S V g"
 
 def payload(message: Column) -> Column:
     """What follows the first empty line of an HTTP message (BINARY); null without one."""
-    at = F.instr(F.hex(message), "0D0A0D0A")
-    # hex positions are odd where a byte begins; an even one would be half a byte off
-    exact = F.instr(F.regexp_replace(F.hex(message), "(..)", "$1 "), "0D 0A 0D 0A ")
-    return F.when((at > 0) & (exact > 0), F.unhex(F.substr(F.hex(message), F.floor((exact - 1) / 3).cast("int") * 2 + 9)))
+    # one character for each byte, so that places are those of the bytes
+    at = F.instr(F.decode(message, "ISO-8859-1"), "\r\n\r\n")
+    return F.when(at > 0, F.substr(message, at + 4))
 
 
 def sha1_digest(data: Column) -> Column:
@@ -63,12 +62,14 @@ def with_digests(responses: DataFrame, *, message: str = "message") -> DataFrame
 
 def mark_revisits(responses: DataFrame, prior: DataFrame) -> DataFrame:
     """Adds ``record_type``: ``revisit`` where the payload's or the block's digest is in
-    the prior index, else ``response``.  Two equi-joins on distinct digests, no OR join."""
-    known = prior.select("digest").distinct()
-    a, b = (known.select(F.col("digest").alias(f"_{n}"), F.lit(True).alias(f"_hit_{n}")) for n in "pb")
-    joined = responses.join(a, F.col("payload_digest") == F.col("_p"), "left").join(b, F.col("block_digest") == F.col("_b"), "left")
-    hit = F.coalesce("_hit_p", F.lit(False)) | F.coalesce("_hit_b", F.lit(False))
-    return joined.select(*responses.columns, F.when(hit, "revisit").otherwise("response").alias("record_type"))
+    the prior index, else ``response``.  The index is joined to digests alone; the records
+    with their bodies are joined once, to the pairs of digests that it holds."""
+    known = prior.select(F.col("digest").alias("_d")).distinct()
+    pairs = responses.select(F.col("payload_digest").alias("_p"), F.col("block_digest").alias("_b")).distinct()
+    either = pairs.select("_p", "_b", F.explode(F.array_distinct(F.array_compact(F.array("_p", "_b")))).alias("_d"))
+    hits = either.join(known, "_d", "left_semi").select("_p", "_b").distinct().withColumn("_hit", F.lit(True))
+    met = responses.join(hits, F.col("block_digest").eqNullSafe(F.col("_b")) & F.col("payload_digest").eqNullSafe(F.col("_p")), "left")
+    return met.select(*responses.columns, F.when(F.col("_hit"), "revisit").otherwise("response").alias("record_type"))
 
 
 def cdx_lines(records: DataFrame) -> DataFrame:
@@ -110,6 +111,27 @@ def rotate(records: DataFrame, most: int | None, *, group: str = "part", order:
     return records.join(placed, [group, order])
 
 
+SOFTWARE = "webloom"
+
+
+def info_body(headers: list[str]) -> str:
+    """What a file says of itself: software, format, and the given lines."""
+    return "".join(f"{x}\r\n" for x in (f"software: {SOFTWARE}", "format: WARC file version 1.0", *headers))
+
+
+def with_warcinfo(records: DataFrame, headers: list[str] | None = None, most: int | None = None, *, group: str = "part", order: str = "seq", size: str = "size") -> DataFrame:
+    """Records (group, order, type, size) with ``segment`` and ``offset``, and a ``warcinfo``
+    record of its own before the first of each segment; ``size`` counts bodies, the
+    warcinfo's among them, so that a segment has room for less."""
+    said = len(info_body(headers or []).encode())
+    placed = rotate(records, None if most is None else max(1, most - said), group=group, order=order, size=size).withColumn("offset", F.col("offset") + said)
+    first = placed.groupBy(group, "segment").agg(F.min(order).alias(order))
+    kinds = dict(placed.dtypes)
+    given = {group: F.col(group), "segment": F.col("segment"), order: F.col(order), "type": F.lit("warcinfo"), size: F.lit(said), "offset": F.lit(0)}
+    info = first.select(*[given.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in placed.columns])
+    return placed.unionByName(info)
+
+
 def segment_name(stem: str, segment: Column, compressed: bool = True) -> Column:
     suffix = ".warc.gz" if compressed else ".warc"
     return F.when(segment == 0, F.lit(stem + suffix)).otherwise(F.concat(F.lit(stem + "-"), segment.cast("string"), F.lit(suffix)))

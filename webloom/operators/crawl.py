@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from webloom.functions import extract, paths, text, urls
+from webloom.functions import charset, extract, paths, text, urls
 from webloom.operators import archive, mirrors, policy
 from webloom.plans.config import CrawlConfig
 
@@ -223,6 +223,7 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], config: Cra
             F.coalesce(F.bool_or(found & recurses(F.col("depth"), config)), F.lit(False)).alias("looks"),
             F.coalesce(F.bool_or(found & _is_feed(config)), F.lit(False)).alias("feeds"),
             F.coalesce(F.bool_or(found & (_is_metalink(config) | F.col("link").isNotNull())), F.lit(False)).alias("mirrored"),
+            F.coalesce(F.bool_or(found & F.col("body").rlike(r"//[^/\s\"'<>]*[^\x00-\x7F]")), F.lit(False)).alias("odd"),
         ).first()
         if left is not None:
             left -= facts["bytes"]
@@ -240,6 +241,7 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], config: Cra
             base = base.where(~_is_metalink(config)) if mirroring else base
             # links are joined to the mirror that served the page
             links = page_links(base.select(F.col("used_url").alias("url"), "content_type", "body"), config, feeds=facts["feeds"])
+            links = charset.ascii_hosts(links) if facts["odd"] else links
             ok = links.where(policy.first_reason(policy.child_rules(F.col("url"), F.col("parent"), config)).isNull())
             depth = base.groupBy(F.col("used_url").alias("parent")).agg((F.min("depth") + 1).alias("depth"))
             coming.append(ok.join(depth, "parent").select("url", "depth", "parent"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,40 +29,57 @@ def _session(url: str, config: CrawlConfig):
     return ftp, unquote(u.path)
 
 
+def _size(ftp, path: str) -> int | None:
+    import ftplib
+
+    try:
+        return ftp.size(path)
+    except ftplib.error_perm:
+        return None
+
+
+def _ask(url: str, start: int | None, config: CrawlConfig) -> dict:
+    import ftplib
+
+    row = {"url": url, "kind": None, "text": None, "body": None, "bytes": 0, "error": None}
+    try:
+        if any(c in url for c in "\r\n\0"):
+            raise ValueError("a line end in a path")
+        ftp, path = _session(url, config)
+        with ftp:
+            if path.endswith("/"):
+                for kind, command in (("mlsd", "MLSD"), ("list", "LIST"), ("nlst", "NLST")):
+                    lines: list[str] = []
+                    try:
+                        ftp.retrlines(f"{command} {path}", lines.append)
+                    except ftplib.error_perm:
+                        continue
+                    return row | {"kind": kind, "text": "\n".join(lines)}
+                return row
+            ftp.voidcmd("TYPE I")
+            if start and (size := _size(ftp, path)) is not None and start >= size:
+                return row | {"kind": "complete", "body": b""}  # all of it is there
+            parts: list[bytes] = []
+            ftp.retrbinary(f"RETR {path}", parts.append, rest=start or None)
+            body = b"".join(parts)
+            return row | {"kind": "file", "body": body, "bytes": len(body)}
+    except (*ftplib.all_errors, ValueError) as e:
+        return row | {"error": f"{type(e).__name__}: {e}"}
+
+
 def fetch_ftp(level: DataFrame, config: CrawlConfig, *, hosts: int = 50) -> DataFrame:
     """One row per distinct URL: a listing's text (kind mlsd, list or nlst) for a path that
-    ends with a slash, else the file's bytes.  Errors are rows."""
+    ends with a slash, else the file's bytes, from ``start`` where the level has such a
+    column; kind ``complete`` where the server has no more.  Errors are rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ftplib
-
         for pdf in batches:
-            for url in pdf["url"]:
-                row = {"url": url, "kind": None, "text": None, "body": None, "bytes": 0, "error": None}
-                try:
-                    if any(c in url for c in "\r\n\0"):
-                        raise ValueError("a line end in a path")
-                    ftp, path = _session(url, config)
-                    with ftp:
-                        if path.endswith("/"):
-                            for kind, command in (("mlsd", "MLSD"), ("list", "LIST"), ("nlst", "NLST")):
-                                lines: list[str] = []
-                                try:
-                                    ftp.retrlines(f"{command} {path}", lines.append)
-                                except ftplib.error_perm:
-                                    continue
-                                row |= {"kind": kind, "text": "\n".join(lines)}
-                                break
-                        else:
-                            parts: list[bytes] = []
-                            ftp.retrbinary(f"RETR {path}", parts.append, rest=config.start_pos)
-                            row |= {"kind": "file", "body": b"".join(parts)}
-                            row["bytes"] = len(row["body"])
-                except (*ftplib.all_errors, ValueError) as e:
-                    row["error"] = f"{type(e).__name__}: {e}"
+            for url, start in zip(pdf["url"], pdf["start"], strict=True):
+                row = _ask(url, config.start_pos if pd.isna(start) else int(start), config)
                 yield pd.DataFrame([row]).astype({"bytes": "int64"})
 
-    return level.select("url").distinct().withColumn("_h", urls.host(F.col("url"))).repartition(hosts, "_h").select("url").mapInPandas(run, DDL)
+    start = F.col("start").cast("bigint") if "start" in level.columns else F.lit(None).cast("bigint")
+    return level.select("url", start.alias("start")).dropDuplicates(["url"]).withColumn("_h", urls.host(F.col("url"))).repartition(hosts, "_h").select("url", "start").mapInPandas(run, DDL)
 
 
 def entries(texts: DataFrame) -> DataFrame:
@@ -79,12 +97,12 @@ def expand_glob(texts: DataFrame, pattern: str, ignore_case: bool = False) -> Da
     return names.where(urls.matches_glob(F.col("name"), pattern, ignore_case)).select(listings.child_url(F.col("url"), F.col("name")).alias("url")).where("url is not null").distinct()
 
 
-def walk(seeds: DataFrame, listing: DataFrame, config: CrawlConfig, *, most: int = 100) -> DataFrame:
+def walk(seeds: DataFrame, listing: DataFrame, config: CrawlConfig) -> DataFrame:
     """(url, depth) of files and links below the seeds, over a table of entries (url, name,
-    kind, target); folders are followed while the level allows."""
+    kind, target); folders are followed while the level allows, to any depth without one."""
     frontier, found = seeds.select("url", F.lit(0).alias("depth")).distinct(), None
     seen = stored(frontier.select("url"))
-    for depth in range(most):
+    for depth in itertools.count():
         if config.level >= 0 and depth >= config.level:
             break
         kids = frontier.join(listing, "url").where((F.col("kind") != "symlink") | listings.safe_link(F.col("name"), F.coalesce("target", F.lit(""))))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.operators.archive import record_bytes
+from webloom.operators.archive import info_body, record_bytes
 
 
 def encoded(records: DataFrame, compressed: bool = True) -> DataFrame:
@@ -26,15 +26,18 @@ def encoded(records: DataFrame, compressed: bool = True) -> DataFrame:
     return dated.mapInPandas(run, "record_id string, bytes binary")
 
 
-def write(records: DataFrame, folder: str, stem: str = "out", compressed: bool = True, most: int | None = None) -> DataFrame:
+def write(records: DataFrame, folder: str, stem: str = "out", compressed: bool = True, most: int | None = None, headers: list[str] | None = None, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Write archive files to a folder that all executors mount, and give (file, records,
-    bytes).  A task writes ``stem-<partition>[-n]`` under a hidden name and renames it when
+    bytes).  Every file begins with a warcinfo record (``headers`` are its further lines).
+    A task writes ``stem-<partition>[-n]`` under a hidden name and renames it when
     it is whole, so a task that runs again leaves the same files; one of more than ``most``
     bytes is followed by the next."""
     suffix = ".warc.gz" if compressed else ".warc"
+    info = info_body(headers or []).encode()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
+        import uuid
 
         from pyspark import TaskContext
 
@@ -56,7 +59,9 @@ def write(records: DataFrame, folder: str, stem: str = "out", compressed: bool =
                 if out is not None and most is not None and size and size + len(b) > most:
                     close()
                 if out is None:
-                    out, count, size = open(os.path.join(folder, f".{stem}-{part}-{attempt}-{len(done)}"), "wb"), 0, 0
+                    out, count, size = open(os.path.join(folder, f".{stem}-{part}-{attempt}-{len(done)}"), "wb"), 1, 0
+                    name = f"{stem}-{part:05d}-{len(done)}"
+                    out.write(record_bytes("warcinfo", "", date, info, record_id=f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", content_type="application/warc-fields", compressed=compressed))
                 out.write(b)
                 count, size = count + 1, size + len(b)
         close()

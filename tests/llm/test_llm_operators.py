@@ -737,3 +737,59 @@ def test_pipeline(spark, docs, rows, tmp_path):
         now.write.parquet(str(tmp_path / name))
         now = spark.read.parquet(str(tmp_path / name))
     assert corpus_pipeline.run(spark, str(tmp_path)).where("length < 1 or length > 2048").count() == 0
+
+
+def test_pipeline_equals_plain_steps(spark, rows, tmp_path):
+    """All five stages against plain Python (and the tokenizers library) on a small corpus."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = random.Random(17)
+    own = [(i, x, "en", "s", None) for i, x, *_ in rows if i is not None and i != 4 and i < 60] + [(4, "one", "en", "s", None)]
+    passage = sentence(rng, 60)
+    own += [(1000 + i, sentence(rng, 40) + " " + passage + " " + sentence(rng, 40), "en", "s", None) for i in range(4)]
+    own += [(2000, own[20][1] + " more", "en", "s", None), (2001, "write a@b.example, 10.0.0.1 or +1 (555) 010-2030", "en", "s", None), (3000, "you idiot " * 3 + sentence(rng, 20), "en", "s", None)]
+    toxic = [(5000 + i, "you idiot " * 3 + sentence(rng, 20), "en", "s", None) for i in range(60)]
+    spark.createDataFrame(own + toxic, DOCS).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, 0) for i, *_ in own if i < 3000] + [(i, 1) for i, *_ in toxic]
+    spark.createDataFrame(labels, "doc_id bigint, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+
+    sets = {}
+    for i, x, *_ in own:
+        if i == 3000:
+            continue
+        w = [a.encode().lower() for a in re.findall(r"[^\x20\x09-\x0D]+", x or "")]
+        sets[i] = {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    kept = {i: x for i, x, *_ in own if i in root and find(i) == i}
+    ids = sorted(kept)
+    bare = {}
+    for i, (_, _, _, digest) in zip(ids, brute_windows([(kept[i] or "").encode() for i in ids]), strict=True):
+        bare[i] = digest
+    config = {n: f for n, f in corpus_pipeline.STAGES}
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("toxicity", "near_dedup", "substring_dedup"):
+        config[name](spark, now, str(tmp_path)).write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+    texts = {r.doc_id: r.text for r in now.collect()}
+    assert sorted(texts) == ids
+    assert all(hashlib.sha256((texts[i] or "").encode()).hexdigest() == bare[i] for i in ids if (kept[i] or "").isascii())
+    spans = {r.doc_id: [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)] for r in pii.detect(now).collect()}
+    tokens = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {i: len(tokens.encode(plain_mask(texts[i] or "", spans[i]), add_special_tokens=False).ids) + 1 for i in ids}
+    got = Counter()
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got[r.doc_id] += r.length
+        assert r.doc_tokens == want[r.doc_id]
+    assert got == want

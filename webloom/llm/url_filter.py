@@ -76,15 +76,21 @@ def _sweep():
     return handle
 
 
-def judge(pages: DataFrame, rules: DataFrame, *, key: str = "page_id", url: str = "url", default: str = "allow", salts: int = 32) -> DataFrame:
+#: Rows of the table for each salt, so that no host gives a task many more.
+PER_SALT = 1 << 20
+
+
+def judge(pages: DataFrame, rules: DataFrame, *, key: str = "page_id", url: str = "url", default: str = "allow", salts: int | None = None) -> DataFrame:
     """``key``, host, path, rule and verdict for each row of ``pages``.
 
     ``rules`` has action, host and path (strings; rows with a null are ignored).  The
     longest rule (host and path together) wins, of equally long ones the one with the
     longer host, of rules with the same host and path a block before an allow; a url that
     no rule fits gets ``default`` and a null rule.  Null urls and null keys keep their
-    row; repeated rows each keep theirs.  Other columns are not read.
+    row; repeated rows each keep theirs.  Other columns are not read.  A host's urls are
+    dealt to ``salts`` parts, one for each PER_SALT rows of the table (32 at least).
     """
+    salts = salts or max(32, -(-pages.count() // PER_SALT))
     rules = rules.select("action", F.translate("host", UPPER, LOWER).alias("host"), "path").dropna().select(
         reversed_host(F.col("host")).alias("key"), "path", F.concat("host", "path").alias("rule"), "action"
     )

@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from webloom.llm.common import arrow_schema, read, release_memory, written
 
-SHARD = 1 << 15
+SHARD = 1 << 16
 DEGREE, SLACK = 32, 16
-BEAM_BUILD, BEAM_QUERY = 64, 88
+BEAM_BUILD, BEAM_QUERY = 64, 128
 ALPHA = 1.15
 #: Points that a search opens at a time, and searches that go together.
 OPENED = 4

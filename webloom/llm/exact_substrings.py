@@ -5,17 +5,17 @@ one of least hash (the leftmost of equals).  Equal windows have equal anchors, s
 share a bucket, and neighbouring windows mostly share theirs: a bucket's member is a run
 of starts with one anchor, its context the bytes these windows cover.
 
-1. Each run sends two 64-bit hashes (of the anchor and of the context) with its place.
-   Only anchors found more than once go on.
-2. Of each distinct context, two members (or the only one) go to their bucket with their
-   bytes.  A task takes a block of its buckets at a time and sorts their suffixes with a
+1. Runs send the hash of their anchor; only anchors found more than once go on, now with a
+   128-bit BLAKE2b digest of the context.  Runs with equal contexts are repeated, and one of
+   them stands for all.  (Sorting two members of each, to compare their bytes, was tried and
+   given up: see the README.)
+2. Where an anchor has several contexts, one member of each goes to the anchor's bucket with
+   its bytes.  A task takes a block of its buckets at a time and sorts their suffixes with a
    difference cover (``cover.py``); neighbours in that order that agree on 200 bytes are
-   repeated.  Further members of a context, known by their 128 bits of hash, are as
-   repeated as those two.
-3. A bucket of more than ``MOST`` contexts (a passage in very many documents) is not
-   gathered: it is cut by the hashes of its windows into buckets of one window each.  Those
-   found once cannot be repeated; of the others two members are sorted as in step 2.
-4. The ranges found go to their documents, whose covered bytes are removed.
+   repeated.  A bucket of more than ``MOST`` contexts (a passage in very many documents) is
+   not gathered in one task: it is cut into its windows, which are counted by their digests,
+   with partial sums before the shuffle.
+3. The ranges found go to their documents, whose covered bytes are removed.
 """
 
 from __future__ import annotations
@@ -39,7 +39,6 @@ CHUNK = 1 << 20
 BLOCK = 3 << 20
 _A = np.uint64(0xD6E8FEB86659FD93)
 _B = np.uint64(0xA0761D6478BD642F)
-_C = np.uint64(0xE7037ED1A0B428DB)
 
 
 def _stir(x: np.ndarray) -> np.ndarray:
@@ -64,18 +63,11 @@ def rolling(data: np.ndarray, factor: np.uint64, sizes: tuple[int, ...]) -> dict
         size *= 2
 
 
-def window_hashes(data: np.ndarray, factor: np.uint64, length: int = LENGTH) -> np.ndarray:
-    """A 64-bit hash of the ``length`` bytes at each position that has as many."""
-    n = len(data) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    sizes = tuple(1 << i for i in range(length.bit_length()) if length >> i & 1)
-    parts = rolling(data, factor, sizes)
-    out, at = np.zeros(n, np.uint64), 0
-    for size in reversed(sizes):
-        out = _stir(out * _C + parts[size][at : at + n])
-        at += size
-    return out
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 128-bit digest of each run of bytes, as two columns of 64 bits."""
+    raw, make = memoryview(data.tobytes()), hashlib.blake2b
+    found = b"".join([make(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.frombuffer(found, "<i8").reshape(-1, 2)
 
 
 def least(values: np.ndarray, width: int) -> np.ndarray:
@@ -90,11 +82,11 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> dict[str, np.ndarray]:
+def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, contexts: bool = True) -> dict[str, np.ndarray]:
     """Runs of window starts with one anchor: the text, the first start in it, the number
-    of starts, the anchor's and the context's hash."""
+    of starts, the anchor's hash and (if wanted) the context's digest, in two parts."""
     n = len(data) - length + 1
-    names = ("text", "lo", "n", "anchor", "context")
+    names = ("text", "lo", "n", "anchor", "c1", "c2")
     if n <= 0:
         return {c: np.zeros(0, np.int64) for c in names}
     gram = _stir(rolling(data, _A, (K,))[K])
@@ -106,14 +98,17 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> dict[st
     first = np.flatnonzero(fits & new)
     starts = np.flatnonzero(fits)
     number = np.bincount(np.searchsorted(first, starts, "right") - 1, minlength=len(first)) if len(first) else np.zeros(0, np.int64)
-    whole = window_hashes(data, _A, length)
-    last = first + number - 1
-    at = anchor[first]
-    context = _stir(_stir(whole[first] * _B + whole[last]) * _C + ((last - first) << 16 | (at - first)).astype(np.uint64))
-    return {"text": text[first], "lo": first - offsets[text[first]], "n": number, "anchor": gram[at].view(np.int64), "context": context.view(np.int64)}
+    out = {"text": text[first], "lo": first - offsets[text[first]], "n": number, "anchor": gram[anchor[first]].view(np.int64)}
+    if contexts:
+        context = digests(data, first, first + number + length - 1)
+        # equal bytes have their anchor at the same place, so the digest says all
+        out |= {"c1": context[:, 0], "c2": context[:, 1]}
+    return out
+
 
+def _find_runs(texts: DataFrame, contexts: bool) -> DataFrame:
+    """The runs of all rows, or their anchors alone."""
 
-def _find_runs(texts: DataFrame) -> DataFrame:
     def make():
         def handle(batch: pa.RecordBatch):
             r1, r2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -121,24 +116,27 @@ def _find_runs(texts: DataFrame) -> DataFrame:
             for lo, hi in slices(offsets, CHUNK):
                 part = data[offsets[lo] : offsets[hi]]
                 if hi - lo == 1 and len(part) > 3 * CHUNK:
-                    found = _long(part)
+                    found = _long(part, contexts)
                 else:
-                    found = [runs(part, offsets[lo : hi + 1] - offsets[lo])]
+                    found = [runs(part, offsets[lo : hi + 1] - offsets[lo], contexts=contexts)]
                 for r in found:
-                    yield {"anchor": r["anchor"], "context": r["context"], "r1": r1[lo:hi][r["text"]], "r2": r2[lo:hi][r["text"]], "lo": r["lo"].astype(np.int32), "n": r["n"].astype(np.int32)}
+                    if contexts:
+                        yield {"anchor": r["anchor"], "c1": r["c1"], "c2": r["c2"], "r1": r1[lo:hi][r["text"]], "r2": r2[lo:hi][r["text"]], "lo": r["lo"].astype(np.int32), "n": r["n"].astype(np.int32)}
+                    else:
+                        yield {"anchor": r["anchor"]}
 
         return handle
 
-    return map_batches(texts, make, "anchor bigint, context bigint, r1 bigint, r2 bigint, lo int, n int")
+    return map_batches(texts, make, "anchor bigint, c1 bigint, c2 bigint, r1 bigint, r2 bigint, lo int, n int" if contexts else "anchor bigint")
 
 
-def _long(data: np.ndarray):
+def _long(data: np.ndarray, contexts: bool):
     """A text that is too long to hash at once, by parts; each part begins where the run
     that the last part may have cut begins."""
     at, n = 0, len(data)
     while at + LENGTH <= n:
         part = data[at : at + 2 * CHUNK]
-        r = runs(part, np.array([0, len(part)]))
+        r = runs(part, np.array([0, len(part)]), contexts=contexts)
         last, count = at + len(part) == n, len(r["lo"])
         keep = slice(None) if last or count < 2 else slice(None, -1)
         step = int(r["lo"][-1]) if count > 1 else len(part) - LENGTH + 1
@@ -173,8 +171,8 @@ def _gather(joined: DataFrame, most: int) -> DataFrame:
                         yield {"k1": anchor[m], "k2": pa.nulls(len(m), pa.int64()), "r1": r1[of[m]], "r2": r2[of[m]], "lo": lo[m], "bytes": blob}
                     else:
                         inner = spans(ends - size[m], n[m].astype(np.int64))
-                        one, two = window_hashes(flat, _A)[inner], window_hashes(flat, _B)[inner]
-                        yield {"k1": one.view(np.int64), "k2": two.view(np.int64), "r1": np.repeat(r1[of[m]], n[m]), "r2": np.repeat(r2[of[m]], n[m]), "lo": (spans(lo[m].astype(np.int64), n[m].astype(np.int64))).astype(np.int32), "bytes": pa.nulls(len(inner), pa.binary())}
+                        name = digests(flat, inner, inner + LENGTH)
+                        yield {"k1": name[:, 0], "k2": name[:, 1], "r1": np.repeat(r1[of[m]], n[m]), "r2": np.repeat(r2[of[m]], n[m]), "lo": (spans(lo[m].astype(np.int64), n[m].astype(np.int64))).astype(np.int32), "bytes": pa.nulls(len(inner), pa.binary())}
 
         return handle
 
@@ -268,42 +266,27 @@ def _sort_buckets(contexts: DataFrame) -> DataFrame:
     return contexts.select("k1", "r1", "r2", "lo", "bytes").repartition("k1").sortWithinPartitions("k1").mapInArrow(run, ddl)
 
 
-def _pairs(rows: DataFrame, on: list[str], place: list[str]) -> DataFrame:
-    """For each key of a table how many rows have it and the first and last of their places."""
-    where = F.struct(*place)
-    return rows.groupBy(*on).agg(F.count(F.lit(1)).alias("times"), F.min(where).alias("rep"), F.max(where).alias("last"))
-
-
-def _members(kinds: DataFrame) -> DataFrame:
-    """The one member of each kind, or two of those that have more."""
-    two = F.when(F.col("times") > 1, F.array("rep", "last")).otherwise(F.array("rep"))
-    return kinds.withColumn("rep", F.explode(two))
-
-
 def repeated_windows(texts: DataFrame, most: int = MOST) -> DataFrame:
     """``r1``, ``r2``, ``lo``, ``n``: ranges of starts (in bytes) of repeated windows of
     the rows of ``r1``, ``r2`` and ``text``.  The ranges of one row may touch or repeat."""
-    place = ["r1", "r2", "lo", "n"]
-    found = _find_runs(texts)
+    place, context = ["r1", "r2", "lo", "n"], ["anchor", "c1", "c2"]
     # a table of its own, so that the join deals both sides anew and may split a frequent anchor
-    often = written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1"))
-    again = written(found.join(often.select("anchor"), "anchor"))
-    kinds = written(_pairs(again, ["anchor", "context"], place))
+    often = written(_find_runs(texts, False).groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1"))
+    again = written(_find_runs(texts, True).join(often.select("anchor"), "anchor"))
     total = int(often.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0])
-    equal = split_join(again, kinds.where("times > 2").select("anchor", "context", "times"), ["anchor", "context"], times="times", total=total, how="left_semi").select(*place)
-    crowds = kinds.groupBy("anchor").agg(F.sum(F.least("times", F.lit(2))).alias("crowd")).where("crowd > 1")
-    reps = _members(kinds).join(crowds, "anchor").select("rep.*", "anchor", "crowd").groupBy("r1", "r2").agg(F.collect_list(F.struct("anchor", "lo", "n", "crowd")).alias("items"))
+    kinds = written(again.groupBy(*context).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(*place)).alias("rep")))
+    equal = split_join(again, kinds.where("times > 1").select(*context, "times"), context, times="times", total=total, how="left_semi").select(*place)
+    crowds = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
+    reps = kinds.join(crowds, "anchor").select("rep.*", "anchor", "crowd").groupBy("r1", "r2").agg(F.collect_list(F.struct("anchor", "lo", "n", "crowd")).alias("items"))
     gathered = written(_gather(texts.join(reps, ["r1", "r2"]).select("r1", "r2", "text", "items"), most))
-    out = equal.unionByName(_sort_buckets(gathered.where("bytes is not null")))
-    windows = gathered.where("bytes is null").select("k1", "k2", "r1", "r2", "lo", F.lit(1).alias("n"))
-    twice = written(_pairs(windows, ["k1", "k2"], place).where("times > 1"))
+    sorted_ = _sort_buckets(gathered.where("bytes is not null"))
+    windows = gathered.where("bytes is null").select("k1", "k2", "r1", "r2", "lo")
+    twice = written(windows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("times")).where("times > 1"))
     many = int(twice.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0])
     if not many:
-        return out
-    counted = split_join(windows, twice.where("times > 2").select("k1", "k2", "times"), ["k1", "k2"], times="times", total=many, how="left_semi").select(*place)
-    pairs = _members(twice).select("rep.*", F.expr("k1 ^ k2").alias("anchor")).groupBy("r1", "r2").agg(F.collect_list(F.struct("anchor", "lo", "n", F.lit(1).cast("bigint").alias("crowd"))).alias("items"))
-    alone = _gather(texts.join(pairs, ["r1", "r2"]).select("r1", "r2", "text", "items"), most)
-    return out.unionByName(_sort_buckets(alone)).unionByName(counted)
+        return equal.unionByName(sorted_)
+    counted = split_join(windows, twice, ["k1", "k2"], times="times", total=many, how="left_semi").select("r1", "r2", "lo", F.lit(1).alias("n"))
+    return equal.unionByName(sorted_).unionByName(counted)
 
 
 def _remove(joined: DataFrame, kept: list[str], emit: tuple[str, ...]) -> DataFrame:

@@ -1,5 +1,6 @@
 """Edge cases and properties of Column functions, many cases to a query."""
 
+import gzip
 import fnmatch
 import random
 
@@ -101,5 +102,8 @@ def test_stores(spark, tmp_path):
 def test_archive_files(spark, tmp_path):
     df = spark.createDataFrame([(f"http://x/{i}", b"GET", b"HTTP/1.1 200 OK\r\n\r\nb", "response") for i in range(4)], "url string, request binary, message binary, record_type string").withColumn("ts", F.to_timestamp(F.lit("2024-01-02 03:04:05")))
     out = warc_files.write(archive.warc_records(archive.with_digests(df)).coalesce(1), str(tmp_path / "w"), most=600).collect()
-    assert sum(r.records for r in out) == 8 and len(out) > 1
+    # every file begins with a record of its own about the file
+    assert sum(r.records for r in out) == 8 + len(out) and len(out) > 1
+    for r in out:
+        assert gzip.decompress((tmp_path / "w" / r.file).read_bytes()).startswith(b"WARC/1.0\r\nWARC-Type: warcinfo\r\n")
     assert {r.file: r.bytes for r in out} == {p.name: p.stat().st_size for p in (tmp_path / "w").iterdir()}

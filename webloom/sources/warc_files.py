@@ -43,7 +43,7 @@ def write(records: DataFrame, folder: str, stem: str = "out", compressed: bool =
 
         os.makedirs(folder, exist_ok=True)
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        done, out, count, size = [], None, 0, 0
+        done, out, count, size, head = [], None, 0, 0, 0
 
         def close() -> None:
             nonlocal out
@@ -56,12 +56,14 @@ def write(records: DataFrame, folder: str, stem: str = "out", compressed: bool =
 
         for pdf in batches:
             for b in pdf["bytes"]:
-                if out is not None and most is not None and size and size + len(b) > most:
+                if out is not None and most is not None and size > head and size + len(b) > most:
                     close()
                 if out is None:
-                    out, count, size = open(os.path.join(folder, f".{stem}-{part}-{attempt}-{len(done)}"), "wb"), 1, 0
-                    name = f"{stem}-{part:05d}-{len(done)}"
-                    out.write(record_bytes("warcinfo", "", date, info, record_id=f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", content_type="application/warc-fields", compressed=compressed))
+                    out = open(os.path.join(folder, f".{stem}-{part}-{attempt}-{len(done)}"), "wb")
+                    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{stem}-{part:05d}-{len(done)}")
+                    first = record_bytes("warcinfo", "", date, info, record_id=f"<urn:uuid:{name}>", content_type="application/warc-fields", compressed=compressed)
+                    out.write(first)
+                    count, size, head = 1, len(first), len(first)
                 out.write(b)
                 count, size = count + 1, size + len(b)
         close()

@@ -202,6 +202,8 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], config: Cra
         judged = level.withColumn("reason", policy.reject_reason(F.col("url"), config))
         if robots is not None and looks:
             judged = policy.robots_allow(judged, robots, config.user_agent).withColumn("reason", F.when(F.col("reason").isNotNull(), F.col("reason")).when(~F.col("allowed"), F.lit("robots"))).drop("allowed")
+        if policy.url_rules(F.col("url"), config) or (robots is not None and looks):
+            judged = stored(judged)  # urls alone; what is asked for and what is not come from one table
         known = together(files).groupBy("url").agg(F.min(F.struct("mirrors", "hashes")).alias("m")).select("url", "m.mirrors", "m.hashes") if files else None
         got = retrieve(judged.where("reason is null").drop("reason"), fetch, config, known)
         if config.filter_mime_type:

@@ -55,7 +55,7 @@ def crawl_full(spark, d):
 CHAINED = f"(SELECT url, row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) - 1 AS depth, lead(url) OVER (PARTITION BY {HOST} ORDER BY page_id) AS next FROM (SELECT min(page_id) AS page_id, url FROM pages GROUP BY url))"
 
 
-@query(f"""SELECT url, CAST(depth AS INTEGER) AS depth FROM (SELECT url, depth, coalesce(sum(6 + coalesce(octet_length(encode(next)) + 17, 0)) OVER (ORDER BY depth, url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+@query(f"""SELECT url, CAST(depth AS INTEGER) AS depth FROM (SELECT url, depth, coalesce(sum(6 + coalesce(octet_length(encode(next)) + 16, 0)) OVER (ORDER BY depth, url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM {CHAINED}) WHERE before < 5000""")
 def crawl_quota(spark, d):
     """No page is begun once 5,000 bytes have been fetched, in the order of depth and URL."""
@@ -95,16 +95,6 @@ def mirror_failover(spark, d):
     return crawl.first_success(log).join(kept, "url")
 
 
-@query(f"SELECT url, CAST(depth AS INTEGER) AS depth FROM {CHAINED}")
-def crawl_mirror_preset(spark, d):
-    """The mirror preset follows links to any depth."""
-    from webloom.catalog import chain
-
-    seeds, corpus = chain(spark, d)
-    few = seeds.select("url")
-    return crawl.crawl(few, crawl.corpus_source(corpus), CrawlConfig().mirrored()).visited.select("url", "depth")
-
-
 @query(f"""WITH saved AS (SELECT url, './' || regexp_extract(url, '([^/?#]*)$', 1) || '.sav' AS path FROM (SELECT DISTINCT url FROM {CHAINED})),
   hit AS (SELECT c.url, c.next, min_by(struct_pack(u := s.url, p := s.path), s.url) AS h FROM {CHAINED} c LEFT JOIN saved s ON starts_with(c.next, s.url) GROUP BY c.url, c.next)
   SELECT url, '<html>' || CASE WHEN next IS NULL THEN '' ELSE '<a href="' || coalesce(replace(next, h.u, h.p), next) || '">x</a>' END AS html FROM hit""")

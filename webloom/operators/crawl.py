@@ -186,8 +186,7 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], config: Cra
     mirroring = config.metalink_over_http or config.force_metalink
     named = None
     if robots is not None and looks and config.follow_sitemaps:
-        port = F.regexp_replace("origin", "^[a-z][a-z0-9+.-]*://", "")
-        named = robots.where(F.size("sitemaps") > 0).groupBy(port.alias("port")).agg(F.min_by("sitemaps", "origin").alias("sitemaps"))
+        named = robots.where(F.size("sitemaps") > 0).groupBy("origin").agg(F.first("sitemaps").alias("sitemaps"))
         named = named if named.limit(1).count() else None
     frontier = seeds.select("url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"))
     rounds: list[DataFrame] = []
@@ -248,11 +247,13 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], config: Cra
             depth = base.groupBy(F.col("used_url").alias("parent")).agg((F.min("depth") + 1).alias("depth"))
             coming.append(ok.join(depth, "parent").select("url", "depth", "parent"))
         if named is not None:
-            port = F.regexp_replace(urls.origin(F.col("url")), "^[a-z][a-z0-9+.-]*://", "")
-            new = table.where("reason is null or reason in ('hash', 'filter-mime-type')").groupBy(port.alias("port")).agg(F.min("depth").alias("depth")).where("port is not null")
+            # a host and port is seeded by the file of the origin that is asked first
+            origin = urls.origin(F.col("url"))
+            port = F.regexp_replace(origin, "^[a-z][a-z0-9+.-]*://", "")
+            new = table.where("reason is null or reason in ('hash', 'filter-mime-type')").groupBy(port.alias("port")).agg(F.min("depth").alias("depth"), F.min(origin).alias("origin")).where("port is not null")
             new = stored(new.join(together(seeded), "port", "left_anti") if seeded else new)
             seeded.append(new.select("port"))
-            coming.append(new.join(named, "port").select(F.explode("sitemaps").alias("url"), "depth", F.lit(None).cast("string").alias("parent")))
+            coming.append(new.join(named, "origin").select(F.explode("sitemaps").alias("url"), "depth", F.lit(None).cast("string").alias("parent")))
         if not coming:
             break
         frontier = together(coming)

@@ -18,6 +18,9 @@ MODULES = {
     "op8_quality": "quality",
     "op9_toxicity": "toxicity",
     "op10_language": "language",
+    "op11_collocations": "phrases",
+    "op12_filter_audit": "filter_audit",
+    "op13_best_fit": "best_fit",
 }
 
 

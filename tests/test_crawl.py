@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.operators import archive, crawl, policy
 from webloom.plans.config import CrawlConfig
-from webloom.sources import fetch, warc_files
+from webloom.sources import warc_files, web
 from webloom.streaming.frontier import crawl_stream
 
 SITE = [
@@ -79,7 +79,7 @@ def test_fetches(spark):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     base = f"http://127.0.0.1:{server.server_port}"
     df = spark.createDataFrame([(f"{base}/r",), (f"{base}/no",), ("http://127.0.0.1:1/",)], "url string")
-    got = {r.url: r for r in fetch.fetch(df, CrawlConfig(tries=1), hosts=2).collect()}
+    got = {r.url: r for r in web.fetch(df, CrawlConfig(tries=1), tasks=2).collect()}
     server.shutdown()
     assert got[f"{base}/r"].status == 200 and got[f"{base}/r"].final_url == f"{base}/ok" and bytes(got[f"{base}/r"].body) == b"hello"
     assert got[f"{base}/no"].status == 404 and got["http://127.0.0.1:1/"].error

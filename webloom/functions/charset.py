@@ -24,6 +24,12 @@ def known(label: str) -> bool:
     return True
 
 
+def text_of(data: bytes, label: str | None) -> str | None:
+    """Text of bytes, bad ones replaced; no label is UTF-8, an unknown one gives null."""
+    name = (label or "utf-8").strip().lower()
+    return bytes(data).decode(WEB.get(name, name), "replace") if known(name) else None
+
+
 def decode_bytes(data: Column, label: Column | str = "utf-8") -> Column:
     """Text of BINARY, bad bytes replaced; a null label is UTF-8, an unknown one gives
     null.  Spark decodes few charsets, so labels in a column go through Python's codecs
@@ -37,13 +43,7 @@ def decode_bytes(data: Column, label: Column | str = "utf-8") -> Column:
 
     @F.pandas_udf("string")
     def decode(xs: pd.Series, labels: pd.Series) -> pd.Series:
-        def one(x, name):
-            if x is None:
-                return None
-            name = (name or "utf-8").strip().lower()
-            return bytes(x).decode(WEB.get(name, name), "replace") if known(name) else None
-
-        return pd.Series([one(x, n) for x, n in zip(xs, labels, strict=True)], dtype=object)
+        return pd.Series([None if x is None else text_of(x, n) for x, n in zip(xs, labels, strict=True)], dtype=object)
 
     return decode(data, label)
 

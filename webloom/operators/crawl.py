@@ -8,17 +8,20 @@ driver, the data never is: a round brings back one row of counts.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from webloom.functions import charset, extract, paths, text, urls
 from webloom.operators import archive, mirrors, policy
+from webloom.operators import session as sessions
+from webloom.operators.session import Session
 from webloom.plans.config import CrawlConfig
 
 
@@ -34,12 +37,20 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/crawl/{uuid.uuid4().hex}"
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    path = path or f"{shared_folder(df.sparkSession)}/crawl/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, facts: dict[str, Column], path: str | None = None) -> tuple[DataFrame, dict]:
+    """``df`` stored, and sums over it that come with the writing, without another scan; those
+    of no rows are missing."""
+    seen = Observation(f"round-{uuid.uuid4().hex}")
+    table = stored(df.observe(seen, *[c.alias(name) for name, c in facts.items()]), path)
+    return table, {k: v for k, v in seen.get.items() if v is not None}
+
+
 def together(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:
@@ -57,38 +68,72 @@ def recurses(depth: Column, config: CrawlConfig) -> Column:
 class Crawl:
     """``visited`` (url, depth, parent, reason: null if fetched), ``pages`` (url, used_url:
     the mirror that served it, final_url: where redirects ended, depth, status,
-    content_type, body, path, bytes)."""
+    content_type, body, path, bytes), ``jobs`` (url, depth, status, cookies: what was sent,
+    attempts, error, failure: its kind, ``ok`` without one, code: its exit code) of all that
+    was asked for, and ``totals`` (rows, bytes, attempts, code: the worst) over all rounds.
+    ``session`` is what was remembered at the end, if anything was to be."""
 
     visited: DataFrame
     pages: DataFrame
+    jobs: DataFrame
+    totals: dict[str, int]
+    session: Session | None = None
+
+
+#: What a source adds to the rows it is asked for, and how it is typed; what a source does not
+#: know may be missing.
+FETCHED = {
+    "body": "string", "content_type": "string", "status": "int", "link": "string", "final_url": "string", "set_cookie": "array<string>", "strict_transport": "string",
+    "last_modified": "string", "cookies": "string", "attempts": "int", "error": "string", "failure": "string",
+}
 
 
-#: What a source adds to the rows it is asked for, and how it is typed.
-FETCHED = {"body": "string", "content_type": "string", "status": "int", "link": "string", "final_url": "string"}
+def completed(level: DataFrame, got: DataFrame) -> DataFrame:
+    """The columns of ``level`` and all of ``FETCHED``."""
+    has = set(got.columns)
+    return got.select(*[c for c in level.columns if c not in FETCHED], *[F.col(c) if c in has else F.lit(None).cast(t).alias(c) for c, t in FETCHED.items()])
+
+
+def failure_of(status: Column) -> Column:
+    """What a status means for the exit code: a page that is not there is the server's word."""
+    return F.when(status.isin(401, 407), "auth").when(F.coalesce(status, F.lit(404)) >= 400, "server").otherwise("ok")
 
 
 def corpus_source(pages: DataFrame, config: CrawlConfig | None = None) -> Callable[[DataFrame], DataFrame]:
     """A source of bodies from a table url, html [, content_type, status, location, link
-    (the Link header)].  Rows with a redirect status and a location are followed, up to
-    ``max_redirect``; more, or an error status, give no body."""
+    (the Link header), set_cookie (one or an array), strict_transport, last_modified].  A
+    BINARY html is read by its charset.  Rows with a redirect status and a location are
+    followed, up to ``max_redirect``; more, or an error status, give no body."""
     config = config or CrawlConfig()
-    has = set(pages.columns)
-    given = {"html": F.lit(None), "content_type": F.lit("text/html"), "status": F.lit(200), "link": F.lit(None)}
-    own = pages.select(F.col("url").alias("_target"), *[(F.col(c) if c in has else x).cast("int" if c == "status" else "string").alias(f"_{c}") for c, x in given.items()])
+    kinds = dict(pages.dtypes)
+    given = {"html": F.lit(None), "content_type": F.lit("text/html"), "status": F.lit(200), "link": F.lit(None), "set_cookie": F.lit(None), "strict_transport": F.lit(None), "last_modified": F.lit(None)}
+    types = {"html": "string", "status": "int", "set_cookie": "array<string>"}
+
+    def column(name: str, default: Column) -> Column:
+        c = F.col(name) if name in kinds else default
+        if name == "html" and kinds.get(name) == "binary":
+            label = F.lit(config.remote_encoding) if config.remote_encoding else text.charset(F.col("content_type")) if "content_type" in kinds else F.lit(None).cast("string")
+            return charset.decode_bytes(c, label)
+        if name == "set_cookie" and kinds.get(name) == "string":
+            c = F.when(c.isNotNull(), F.array(c))
+        return c.cast(types.get(name, "string"))
+
+    own = pages.select(F.col("url").alias("_target"), *[column(c, x).alias(f"_{c}") for c, x in given.items()])
     ends = None
-    if "location" in has:
-        status = F.col("status") if "status" in has else F.lit(302)
+    if "location" in kinds:
+        status = F.col("status") if "status" in kinds else F.lit(302)
         hops = pages.where(status.between(300, 399) & (status != 304) & F.col("location").isNotNull()).select(F.col("url").alias("source"), "location")
         # the redirects of the whole corpus, closed once
-        ends = stored(redirects(hops.select(F.col("source").alias("url")).distinct(), hops, config.max_redirect).select("url", "final", "ok"))
+        ends = stored(redirects(hops.select(F.col("source").alias("url")).distinct(), hops, config.max_redirect).select(F.col("url").alias("_target"), "final", "ok"))
 
     def fetch(level: DataFrame) -> DataFrame:
-        asked = level.withColumn("_target", F.col("url"))
+        asked = level.withColumn("_target", F.col("target") if "target" in level.columns else F.col("url"))
         if ends is not None:
-            asked = level.join(ends, "url", "left").withColumn("_target", F.when(F.coalesce("ok", F.lit(True)), F.coalesce("final", "url"))).drop("final", "ok")
+            asked = asked.join(ends, "_target", "left").withColumn("_target", F.when(F.coalesce("ok", F.lit(True)), F.coalesce("final", "_target"))).drop("final", "ok")
         met = asked.join(own, "_target", "left")
         good = F.lit(True) if config.content_on_error else F.col("_status") < 400
-        return met.select(*level.columns, F.when(good, F.col("_html")).alias("body"), F.col("_content_type").alias("content_type"), F.col("_status").alias("status"), F.col("_link").alias("link"), F.col("_target").alias("final_url"))
+        said = [F.col(f"_{c}").alias(c) for c in given if c != "html"]
+        return met.select(*level.columns, F.when(good, F.col("_html")).alias("body"), *said, F.col("_target").alias("final_url"), F.lit(1).alias("attempts"), failure_of(F.col("_status")).alias("failure"))
 
     return fetch
 
@@ -173,7 +218,28 @@ def retrieve(asked: DataFrame, fetch: Callable[[DataFrame], DataFrame], config:
             return together(done)
 
 
-def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], config: CrawlConfig, *, robots: DataFrame | None = None) -> Crawl:
+#: The beginning of the type of a listing's text.
+LISTING = "text/x-ftp-"
+
+
+def is_listing() -> Column:
+    return F.coalesce(F.col("content_type").startswith(LISTING), F.lit(False))
+
+
+def listing_links(pages: DataFrame, config: CrawlConfig) -> DataFrame:
+    """(url, depth, parent) of what listings among the pages name and the policy lets through:
+    the entries of folders where links are followed, and what a pattern matched, which stands
+    for the pattern itself."""
+    from webloom.sources import ftp
+
+    matched = F.col("final_url") != F.col("url")
+    texts = pages.where(is_listing() & (matched | recurses(F.col("depth"), config))).select(F.col("final_url").alias("url"), F.substring("content_type", len(LISTING) + 1, 100).alias("kind"), F.col("body").alias("text"), (F.col("depth") + F.when(matched, 0).otherwise(1)).alias("depth"))
+    found = ftp.children(texts, keep=["depth"])
+    rules = [r for r in policy.child_rules(F.col("child"), F.col("url"), config) if r[0] not in ("follow-ftp", "no-iri")]
+    return found.where(policy.first_reason(rules).isNull()).select(F.col("child").alias("url"), "depth", F.col("url").alias("parent"))
+
+
+def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], config: CrawlConfig, *, robots: DataFrame | None = None, session: Session | None = None) -> Crawl:
     """Retrieve from ``seeds`` (url), until nothing is left to ask for.  A URL is visited
     once, fragment and all, at its least depth, and a rejected one is not asked for again.
 
@@ -181,68 +247,96 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], config: Cra
     for once for each host and port.  With ``quota`` pages are fetched in the order of depth
     and URL while less than that many bytes have been.  With ``metalink_over_http`` or
     ``force_metalink`` the files that metalinks name are fetched too, from the first mirror
-    that serves them right."""
+    that serves them right.  With a ``session`` cookies, strict transport and credentials go
+    with the requests, and what the responses of a round say holds from the next round on.
+
+    The rounds are parts of one table, so a round's plan does not grow with their number."""
     looks = config.recursive or config.page_requisites
     mirroring = config.metalink_over_http or config.force_metalink
     named = None
     if robots is not None and looks and config.follow_sitemaps:
         named = robots.where(F.size("sitemaps") > 0).groupBy("origin").agg(F.first("sitemaps").alias("sitemaps"))
         named = named if named.limit(1).count() else None
+    spark = seeds.sparkSession
+    base_folder = f"{shared_folder(spark)}/crawl/{uuid.uuid4().hex}"
+    every: DataFrame | None = None
     frontier = seeds.select("url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"))
-    rounds: list[DataFrame] = []
     seeded: list[DataFrame] = []
     files: list[DataFrame] = []
     taken: list[DataFrame] = []  # mirrors of what was asked for count as visited
-    left = config.quota
-    while True:
+    left, totals = config.quota, {"rows": 0, "bytes": 0, "attempts": 0, "code": 0}
+
+    def asked(level: DataFrame) -> DataFrame:
+        dressed = level if session is None else sessions.dressed(level, session, user=config.http_user or config.user, password=config.http_password or config.password)
+        return completed(level, fetch(dressed))
+
+    for number in itertools.count():
         level = frontier.where("url is not null").groupBy("url").agg(F.min(F.struct("depth", "parent")).alias("f")).select("url", "f.depth", "f.parent")
-        if rounds:
-            level = level.join(together([r.select("url") for r in rounds] + taken), "url", "left_anti")
+        if every is not None:
+            level = level.join(together([every.select("url"), *taken]), "url", "left_anti")
         judged = level.withColumn("reason", policy.reject_reason(F.col("url"), config))
         if robots is not None and looks:
             judged = policy.robots_allow(judged, robots, config.user_agent).withColumn("reason", F.when(F.col("reason").isNotNull(), F.col("reason")).when(~F.col("allowed"), F.lit("robots"))).drop("allowed")
         if policy.url_rules(F.col("url"), config) or (robots is not None and looks):
             judged = stored(judged)  # urls alone; what is asked for and what is not come from one table
         known = together(files).groupBy("url").agg(F.min(F.struct("mirrors", "hashes")).alias("m")).select("url", "m.mirrors", "m.hashes") if files else None
-        got = retrieve(judged.where("reason is null").drop("reason"), fetch, config, known)
+        got = retrieve(judged.where("reason is null").drop("reason"), asked, config, known)
         if config.filter_mime_type:
             wrong = F.col("body").isNotNull() & ~policy.mime_allowed(F.col("content_type"), config.filter_mime_type)
             got = got.withColumn("reason", F.when(wrong, "filter-mime-type").otherwise(F.col("reason")))
-        size = F.octet_length("body").cast("bigint")
-        kept = F.col("reason").isNull() | (F.col("reason") == "hash")
-        got = got.select("url", "depth", "parent", "reason", "used_url", "final_url", "status", "content_type", "link", F.when(kept, F.col("body")).alias("body"), F.when(kept & F.col("body").isNotNull(), paths.local_path(F.col("url"), config)).alias("path"), size.alias("bytes"))
+        kept = (F.col("reason").isNull() | (F.col("reason") == "hash")) & F.col("body").isNotNull()
+        path = F.when(~is_listing(), paths.local_path(F.col("url"), config))
+        if config.keep_listing:
+            path = F.when(is_listing(), F.concat(F.regexp_extract(paths.local_path(F.col("final_url"), config), r"^(.*/)?", 0), F.lit(".listing"))).otherwise(path)
+        got = got.select(
+            "url", "depth", "parent", "reason", "used_url", "final_url", "status", "content_type", "link", F.when(kept, F.col("body")).alias("body"), F.when(kept, path).alias("path"), F.octet_length("body").cast("bigint").alias("bytes"),
+            *[c for c in FETCHED if c not in ("body", "content_type", "status", "link", "final_url")],
+        )
         none = [F.lit(None).cast(t).alias(c) for c, t in got.dtypes if c not in ("url", "depth", "parent", "reason")]
-        table = stored(got.unionByName(judged.where("reason is not null").select("url", "depth", "parent", "reason", *none)))
+        table = got.unionByName(judged.where("reason is not null").select("url", "depth", "parent", "reason", *none))
         if left is not None:
-            inside = within_quota(table.where("bytes is not null"), left, order=("depth", "url")).drop("bytes_before")
-            table = stored(inside.unionByName(table.where("bytes is null")))
-        rounds.append(table)
+            table = stored(table)
+            table = within_quota(table.where("bytes is not null"), left, order=("depth", "url")).drop("bytes_before").unionByName(table.where("bytes is null"))
         found = F.col("body").isNotNull() & F.col("reason").isNull()
-        facts = table.agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
-            F.coalesce(F.bool_or(found & recurses(F.col("depth"), config)), F.lit(False)).alias("looks"),
-            F.coalesce(F.bool_or(found & _is_feed(config)), F.lit(False)).alias("feeds"),
-            F.coalesce(F.bool_or(found & (_is_metalink(config) | F.col("link").isNotNull())), F.lit(False)).alias("mirrored"),
-            F.coalesce(F.bool_or(found & F.col("body").rlike(r"//[^/\s\"'<>]*[^\x00-\x7F]")), F.lit(False)).alias("odd"),
-        ).first()
+        table, facts = observed(table, {
+            "rows": F.count(F.lit(1)),
+            "bytes": F.sum("bytes"),
+            "attempts": F.sum("attempts"),
+            "worst": F.max(severity(exit_code(F.col("failure")))),
+            "looks": F.max((found & recurses(F.col("depth"), config)).cast("int")),
+            "feeds": F.max((found & _is_feed(config)).cast("int")),
+            "mirrored": F.max((found & (_is_metalink(config) | F.col("link").isNotNull())).cast("int")),
+            "odd": F.max((found & F.col("body").rlike(r"//[^/\s\"'<>]*[^\x00-\x7F]")).cast("int")),
+            "listings": F.max((found & is_listing()).cast("int")),
+            "said": F.max((F.col("set_cookie").isNotNull() | F.col("strict_transport").isNotNull()).cast("int")),
+        }, f"{base_folder}/round={number}")
+        every = spark.read.schema(table.schema).parquet(base_folder)
+        for name in ("rows", "bytes", "attempts"):
+            totals[name] += facts.get(name, 0)
+        totals["code"] = max(totals["code"], code_of(facts.get("worst", 0)), key=lambda c: RANKS[c])
         if left is not None:
-            left -= facts["bytes"]
-        if not facts["rows"] or (left is not None and left <= 0):
+            left -= facts.get("bytes", 0)
+        if not facts.get("rows") or (left is not None and left <= 0):
             break
         coming = []
         read = table.where(found)
-        if mirroring and facts["mirrored"]:
+        if session is not None and facts.get("said"):
+            session = session.learnt(table.where("final_url is not null"), number)
+            session = replace(session, cookies=stored(session.cookies), strict=stored(session.strict))
+        if mirroring and facts.get("mirrored"):
             more = stored(mirrored_files(read, config))
             files.append(more)
             taken.append(more.select(F.explode("mirrors").alias("url")))
             coming.append(more.select("url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")))
-        if facts["looks"]:
+        if facts.get("listings"):
+            coming.append(listing_links(read, config))
+        if facts.get("looks"):
             base = read.where(recurses(F.col("depth"), config))
+            base = base.where(~is_listing()) if facts.get("listings") else base
             base = base.where(~_is_metalink(config)) if mirroring else base
             # links are joined to the mirror that served the page
-            links = page_links(base.select(F.col("used_url").alias("url"), "content_type", "body"), config, feeds=facts["feeds"])
-            links = charset.ascii_hosts(links) if facts["odd"] else links
+            links = page_links(base.select(F.col("used_url").alias("url"), "content_type", "body"), config, feeds=bool(facts.get("feeds")))
+            links = charset.ascii_hosts(links) if facts.get("odd") else links
             ok = links.where(policy.first_reason(policy.child_rules(F.col("url"), F.col("parent"), config)).isNull())
             depth = base.groupBy(F.col("used_url").alias("parent")).agg((F.min("depth") + 1).alias("depth"))
             coming.append(ok.join(depth, "parent").select("url", "depth", "parent"))
@@ -257,8 +351,14 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], config: Cra
         if not coming:
             break
         frontier = together(coming)
-    every = together(rounds)
-    return Crawl(every.select("url", "depth", "parent", "reason"), every.where("body is not null").select("url", "used_url", "final_url", "depth", "status", "content_type", "body", "path", "bytes"))
+    asked_for = every.where(F.col("failure").isNotNull() | F.col("status").isNotNull() | F.col("error").isNotNull())
+    return Crawl(
+        every.select("url", "depth", "parent", "reason"),
+        every.where("body is not null").select("url", "used_url", "final_url", "depth", "status", "content_type", "body", "path", "bytes"),
+        asked_for.select("url", "depth", "status", "cookies", "attempts", "error", "failure", exit_code(F.col("failure")).alias("code")),
+        totals,
+        session,
+    )
 
 
 def within_quota(pages: DataFrame, quota: int, *, order: tuple[str, ...] = ("depth", "url"), size: str = "bytes", parts: int = 64) -> DataFrame:
@@ -296,6 +396,21 @@ def redirects(start: DataFrame, hops: DataFrame, limit: int = 20) -> DataFrame:
 SEVERITY = {"success": (0, 0), "generic": (1, 1), "parse": (2, 2), "server": (8, 3), "io": (3, 4), "protocol": (7, 5), "network": (4, 6), "ssl": (5, 7), "auth": (6, 8)}
 
 
+RANKS = dict(SEVERITY.values())
+
+
+def code_of(rank: int) -> int:
+    return next(code for code, r in SEVERITY.values() if r == rank)
+
+
+def exit_code(failure: Column) -> Column:
+    """The exit code of a kind of failure; ``ok`` and unknown kinds have none."""
+    out = F.lit(0)
+    for name, (code, _) in SEVERITY.items():
+        out = F.when(failure == name, F.lit(code)).otherwise(out)
+    return out
+
+
 def severity(code: Column) -> Column:
     out = F.lit(0)
     for number, rank in SEVERITY.values():

@@ -59,15 +59,16 @@ def response_head(status: Column, reason: Column, headers: Column) -> Column:
 
 
 def contents(responses: DataFrame, config: CrawlConfig) -> DataFrame:
-    """(path, action, mtime, content) of what goes to disk, from responses (path, action,
-    mtime, status, reason, headers, body BINARY): with ``save_headers`` the head goes before
-    a body that is not appended; with ``delete_after`` or in a spider nothing is left."""
+    """(path, action, mtime, start, content) of what goes to disk, from responses (path, action,
+    mtime, start, status, reason, headers, body BINARY): with ``save_headers`` the head goes
+    before a body that is not appended; with ``delete_after`` or in a spider nothing is left."""
     body = F.col("body")
     if config.save_headers:
         head = F.encode(response_head(F.col("status"), F.col("reason"), F.col("headers")), "UTF-8")
         body = F.when(F.col("action") == "append", body).otherwise(F.concat(head, body))
     rows = responses.where((F.col("action") != "keep") & ~F.lit(config.delete_after or config.spider))
-    return rows.select("path", "action", "mtime", body.alias("content"))
+    start = F.col("start") if "start" in responses.columns else F.lit(None)
+    return rows.select("path", "action", "mtime", start.cast("bigint").alias("start"), body.alias("content"))
 
 
 def attributes(pages: DataFrame) -> DataFrame:
@@ -121,36 +122,39 @@ def converted(pages: DataFrame, config: CrawlConfig) -> DataFrame:
 
 
 def write_files(rows: DataFrame, folder: str) -> DataFrame:
-    """Write (path, action, mtime, content) below a folder that all executors mount, and give
-    (path, bytes).  A file is written under a hidden name and renamed when it is whole, so a
-    task that runs again leaves the same; what is appended goes behind what was there, into a
-    new file as well.  Paths that lead out of the folder are left out, with -1 bytes."""
+    """Write (path, action, mtime, start, content) below a folder that all executors mount, and
+    give (path, bytes).  A file is written under a hidden name and renamed when it is whole.
+    What is appended goes to its place ``start``, and what stands behind that is cut off, so a
+    task that runs again leaves the same file.  Paths that lead out of the folder are left out,
+    with -1 bytes, and so is a rest whose place is not known or beyond the file's end."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
+        import shutil
 
         from pyspark import TaskContext
 
         root, attempt = os.path.realpath(folder), TaskContext.get().taskAttemptId()
         for pdf in batches:
             done = []
-            for path, action, mtime, content in zip(pdf["path"], pdf["action"], pdf["mtime"], pdf["content"], strict=True):
+            for path, action, mtime, start, content in zip(pdf["path"], pdf["action"], pdf["mtime"], pdf["start"], pdf["content"], strict=True):
                 to = os.path.normpath(os.path.join(root, path))
-                if not to.startswith(root + os.sep):
+                at = 0 if action != "append" else -1 if pd.isna(start) else int(start)
+                if not to.startswith(root + os.sep) or at < 0 or at > (os.path.getsize(to) if at and os.path.exists(to) else 0):
                     done.append((path, -1))
                     continue
                 os.makedirs(os.path.dirname(to), exist_ok=True)
-                before = b""
-                if action == "append" and os.path.exists(to):
-                    with open(to, "rb") as f:
-                        before = f.read()
                 hidden = os.path.join(os.path.dirname(to), f".{os.path.basename(to)}.{attempt}")
-                with open(hidden, "wb") as f:
-                    f.write(before + bytes(content or b""))
+                if at:
+                    shutil.copyfile(to, hidden)
+                    os.truncate(hidden, at)
+                with open(hidden, "ab" if at else "wb") as f:
+                    f.write(bytes(content or b""))
                 if not pd.isna(mtime):
                     os.utime(hidden, (mtime.timestamp(), mtime.timestamp()))
                 os.replace(hidden, to)
                 done.append((path, len(content or b"")))
             yield pd.DataFrame(done, columns=["path", "bytes"])
 
-    return rows.select("path", "action", "mtime", "content").mapInPandas(run, "path string, bytes bigint")
+    start = F.col("start").cast("bigint") if "start" in rows.columns else F.lit(None).cast("bigint")
+    return rows.select("path", "action", "mtime", start.alias("start"), "content").mapInPandas(run, "path string, bytes bigint")

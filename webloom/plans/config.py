@@ -139,6 +139,11 @@ class CrawlConfig:
     no_proxy: str = ""
     check_certificate: bool = True
     passive_ftp: bool = True
+    ftp_glob: bool = True
+    ftps_implicit: bool = False
+    ftps_resume_ssl: bool = True
+    ftps_clear_data_connection: bool = False
+    ftps_fallback_to_ftp: bool = False
     bind_address: str | None = None
     # talk
     verbose: bool = True

@@ -1,18 +1,12 @@
-"""An HTTP fetcher over partitions, for where there is a network."""
+"""One HTTP request at a time, for where there is a network; ``sources.web`` has them made by
+the tasks of a table."""
 
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from webloom.functions import urls
 from webloom.plans.config import CrawlConfig
 
-DDL = "url string, final_url string, status int, reason string, content_type string, headers array<struct<name:string,value:string>>, body binary, bytes bigint, attempts int, error string"
 #: A compressed body may grow to this, or to 32 times its length.  Fixed values.
 INFLATED = 256 << 20
 
@@ -22,17 +16,21 @@ def inflate_bound(length: int | None) -> int:
     return max(INFLATED, 32 * (length or 0))
 
 
-def _body(r, length: int | None) -> bytes:
-    """The whole body, in pieces; compressed ones are inflated up to ``inflate_bound``, and
-    what would go beyond it is an error, never cut."""
+def _body(r, length: int | None, ignore_length: bool = False) -> bytes:
+    """The whole body, in pieces; compressed ones are inflated up to ``inflate_bound``.  What
+    would go beyond it is an error, and so is a body that ends before its stated length or a
+    compressed one that ends inside a member: neither is ever cut."""
     import http.client
     import zlib
 
-    if r.getheader("Content-Encoding") != "gzip":
-        return r.read()
-    parts, size, most = [], 0, inflate_bound(length)
-    inflater = zlib.decompressobj(47)
+    parts, size, got, most = [], 0, 0, inflate_bound(length)
+    zipped = r.getheader("Content-Encoding") == "gzip"
+    inflater = zlib.decompressobj(47) if zipped else None
     while piece := r.read(1 << 16):
+        got += len(piece)
+        if inflater is None:
+            parts.append(piece)
+            continue
         while piece:
             out = inflater.decompress(piece, 1 << 20)
             parts.append(out)
@@ -42,12 +40,17 @@ def _body(r, length: int | None) -> bytes:
             piece = inflater.unconsumed_tail
             if inflater.eof and inflater.unused_data:  # a further member
                 piece, inflater = inflater.unused_data, zlib.decompressobj(47)
+    if length is not None and got < length and not ignore_length:
+        raise http.client.IncompleteRead(b"", length - got)
+    if inflater is not None and got and not inflater.eof:
+        raise http.client.HTTPException("a compressed body that ends too soon")
     return b"".join(parts)
 
 
-def _get(url: str, config: CrawlConfig, pool: dict, *, since: str | None = None, start: int | None = None) -> dict:
-    """One response, redirects followed.  ``pool`` keeps a task's open connections by scheme,
-    host and port; ``since`` asks for newer content only, ``start`` for the rest of it."""
+def _get(url: str, config: CrawlConfig, pool: dict, *, since: str | None = None, start: int | None = None, cookies: str | None = None, authorization: str | None = None) -> dict:
+    """One response, redirects followed.  ``pool`` keeps open connections by scheme, host and
+    port; ``since`` asks for newer content only, ``start`` for the rest of it; cookies and
+    authorization go to the first host alone."""
     import http.client
     import ssl
     from urllib.parse import urljoin, urlsplit
@@ -60,6 +63,7 @@ def _get(url: str, config: CrawlConfig, pool: dict, *, since: str | None = None,
         if u.scheme not in ("http", "https"):
             raise http.client.HTTPException(f"scheme {u.scheme} is not fetched here")
         place = (u.scheme, u.hostname, u.port)
+        first = place if not hops else first  # noqa: F821
         conn, used = pool.pop(place, None), True
         if conn is None:
             used, timeout = False, config.connect_timeout or config.timeout or 30
@@ -72,14 +76,20 @@ def _get(url: str, config: CrawlConfig, pool: dict, *, since: str | None = None,
         try:
             headers = {"User-Agent": config.user_agent, "Accept-Encoding": "gzip"} | dict(h.split(":", 1) for h in config.headers if ":" in h)
             offset = config.start_pos if start is None else start
+            if config.referer:
+                headers["Referer"] = config.referer
             if offset:
-                headers["Range"] = f"bytes={offset}-"
+                headers |= {"Range": f"bytes={offset}-", "Accept-Encoding": "identity"}
             elif since:
                 headers["If-Modified-Since"] = since
-            conn.request(config.method or ("HEAD" if config.spider else "POST" if config.post_data else "GET"), (u.path or "/") + (f"?{u.query}" if u.query else ""), body=config.body_data or config.post_data, headers={k.strip(): v.strip() for k, v in headers.items()})
+            if place == first:
+                headers |= {k: v for k, v in (("Cookie", cookies), ("Authorization", authorization)) if v}
+            method = config.method or ("HEAD" if config.spider else "POST" if config.post_data else "GET")
+            conn.request(method, (u.path or "/") + (f"?{u.query}" if u.query else ""), body=config.body_data or config.post_data, headers={k.strip(): v.strip() for k, v in headers.items()})
             r = conn.getresponse()
             length = r.getheader("Content-Length")
-            body = _body(r, int(length) if length and length.isdigit() else None)
+            none = method == "HEAD" or r.status in (204, 304)
+            body = _body(r, int(length) if length and length.isdigit() and not none else None, config.ignore_length)
             whole = not r.will_close
             location = r.getheader("Location")
             if 300 <= r.status < 400 and r.status != 304 and location:
@@ -88,7 +98,7 @@ def _get(url: str, config: CrawlConfig, pool: dict, *, since: str | None = None,
                     raise http.client.HTTPException("too many redirects")
                 now = urljoin(now, location)
                 continue
-            return {"final_url": now, "status": r.status, "reason": r.reason, "content_type": r.getheader("Content-Type"), "headers": [{"name": k, "value": v} for k, v in r.getheaders()], "body": body, "bytes": len(body)}
+            return {"final_url": now, "kind": "response", "status": r.status, "reason": r.reason, "content_type": r.getheader("Content-Type"), "headers": [{"name": k, "value": v} for k, v in r.getheaders()], "body": body, "bytes": len(body)}
         except (http.client.BadStatusLine, ConnectionError):
             if not used:  # an old connection may have been closed in the meantime
                 raise
@@ -99,50 +109,57 @@ def _get(url: str, config: CrawlConfig, pool: dict, *, since: str | None = None,
                 conn.close()
 
 
-def fetch(level: DataFrame, config: CrawlConfig, *, hosts: int = 200) -> DataFrame:
-    """One row per distinct URL.  A host's URLs are one task's work, which keeps the load
-    on it low; errors are rows, not failures.  Columns ``since`` and ``start`` of the level
-    (``policy.request_plan``) make a request conditional or ask for a rest."""
-    more = [c for c in ("since", "start") if c in level.columns]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pool: dict = {}
-        for pdf in batches:
-            for asked in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
-                url, extra = asked["url"], {c: asked[c] if c == "since" or asked[c] is None else int(asked[c]) for c in more}
-                row: dict = {"url": url, "attempts": 0, "error": None}
-                tries = config.tries or 1_000_000
-                while row["attempts"] < tries:
-                    row["attempts"] += 1
-                    try:
-                        row |= _get(url, config, pool, **extra) | {"error": None}
-                        if row["status"] not in config.retry_on_http_error:
-                            break
-                    except OSError as e:
-                        row["error"] = f"{type(e).__name__}: {e}"
-                        if "getaddrinfo" in row["error"] or "Name or service" in row["error"]:
-                            if not config.retry_on_host_error:
-                                break
-                    except Exception as e:  # noqa: BLE001  a bad response is a row too
-                        row["error"] = f"{type(e).__name__}: {e}"
-                        break
-                    if row["attempts"] < tries:
-                        time.sleep(min(row["attempts"], config.waitretry))
-                if config.wait:
-                    time.sleep(config.wait)
-                yield pd.DataFrame([{c: row.get(c) for c in (x.split()[0] for x in DDL.split(", "))}]).astype({"status": "Int32", "bytes": "Int64"})
-
-    asked = level.select("url", *more).dropDuplicates(["url"]).withColumn("_h", urls.host(F.col("url"))).repartition(hosts, "_h").select("url", *more)
-    return asked.mapInPandas(run, DDL)
-
-
-def network_source(config: CrawlConfig):
-    """For ``operators.crawl.crawl``: bodies as text."""
-
-    def source(level: DataFrame) -> DataFrame:
-        link = F.array_join(F.transform(F.filter("headers", lambda h: F.lower(h["name"]) == "link"), lambda h: h["value"]), ", ")
-        good = F.col("error").isNull() & (F.lit(config.content_on_error) | (F.col("status") < 400))
-        got = fetch(level, config).select("url", F.when(good, F.decode("body", "UTF-8")).alias("body"), "content_type", "status", F.when(link != "", link).alias("link"), "final_url")
-        return level.join(got, "url", "left").select(*level.columns, "body", "content_type", "status", "link", "final_url")
-
-    return source
+#: Exit codes of failures.  Fixed values, as in ``operators.crawl.SEVERITY``.
+CODES = {"ok": 0, "server": 8, "io": 3, "protocol": 7, "network": 4, "ssl": 5, "auth": 6}
+
+
+def failure(e: BaseException) -> str:
+    """What kind of failure an exception is."""
+    import ftplib
+    import http.client
+    import ssl
+
+    if isinstance(e, ssl.SSLError):
+        return "ssl"
+    if isinstance(e, ftplib.error_perm) and str(e).startswith("530"):
+        return "auth"
+    if isinstance(e, (http.client.HTTPException, ftplib.Error, ValueError)):
+        return "protocol"
+    return "network" if isinstance(e, (OSError, EOFError)) else "io"
+
+
+def ask(url: str, config: CrawlConfig, pool: dict, **extra) -> dict:
+    """What a URL gives after at most ``tries`` attempts, with waits between them; a failure is
+    a row with ``error`` and ``failure``, never an exception.  A body that came short is asked
+    for again."""
+    import http.client
+
+    from webloom.sources import ftp
+
+    scheme = url.split(":", 1)[0].lower()
+    row: dict = {"url": url, "attempts": 0, "error": None, "failure": "ok"}
+    while not config.tries or row["attempts"] < config.tries:
+        row["attempts"] += 1
+        again = True
+        try:
+            if scheme in ("ftp", "ftps"):
+                row |= ftp.ask(url, config, start=extra.get("start"))
+            else:
+                row |= _get(url, config, pool, **extra)
+            row |= {"error": None, "failure": "ok"}
+            status = row.get("status")
+            if status in config.retry_on_http_error:
+                row["failure"] = "server"
+            else:
+                row["failure"] = "auth" if status in (401, 407) else "server" if status and status >= 400 else "ok"
+                break
+        except Exception as e:  # noqa: BLE001  a bad response is a row too
+            row |= {"error": f"{type(e).__name__}: {e}", "failure": failure(e)}
+            again = (isinstance(e, (OSError, EOFError)) and row["failure"] == "network") or isinstance(e, http.client.IncompleteRead)
+            if type(e).__name__ == "gaierror" and not config.retry_on_host_error:
+                again = False
+        if not again:
+            break
+        if not config.tries or row["attempts"] < config.tries:
+            time.sleep(min(row["attempts"], config.waitretry))
+    return row

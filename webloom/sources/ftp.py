@@ -1,11 +1,9 @@
-"""FTP listings, files and globs over partitions, and walks of listing tables."""
+"""FTP requests one at a time, with or without TLS, and walks of listing tables."""
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +12,38 @@ from webloom.operators import policy
 from webloom.operators.crawl import stored
 from webloom.plans.config import CrawlConfig
 
-DDL = "url string, kind string, text string, body binary, bytes bigint, error string"
+#: Characters that make the last segment of a path a pattern.
+PATTERN = "*?["
+
+
+def _secure(config: CrawlConfig):
+    """A client whose connections are encrypted; data connections go on with the session of
+    the control connection, as many servers demand."""
+    import ftplib
+    import socket
+    import ssl
+
+    class Client(ftplib.FTP_TLS):
+        def connect(self, *args, **kwargs):
+            if not config.ftps_implicit:
+                return super().connect(*args, **kwargs)
+            self.host, self.port = args[0], args[1]
+            plain = socket.create_connection((self.host, self.port), self.timeout)
+            self.af = plain.family
+            self.sock = self.context.wrap_socket(plain, server_hostname=self.host)
+            self.file = self.sock.makefile("r", encoding=self.encoding)
+            self.welcome = self.getresp()
+            return self.welcome
+
+        def ntransfercmd(self, cmd, rest=None):
+            conn, size = ftplib.FTP.ntransfercmd(self, cmd, rest)
+            if self._prot_p:
+                session = self.sock.session if config.ftps_resume_ssl else None
+                conn = self.context.wrap_socket(conn, server_hostname=self.host, session=session)
+            return conn, size
+
+    context = ssl.create_default_context() if config.check_certificate else ssl._create_unverified_context()
+    return Client(timeout=config.timeout or 30, context=context)
 
 
 def _session(url: str, config: CrawlConfig):
@@ -22,11 +51,27 @@ def _session(url: str, config: CrawlConfig):
     from urllib.parse import unquote, urlsplit
 
     u = urlsplit(url)
-    ftp = ftplib.FTP(timeout=config.timeout or 30)
-    ftp.connect(u.hostname, u.port or 21)
-    ftp.login(u.username or config.ftp_user or config.user or "anonymous", u.password or config.ftp_password or config.password or "-webloom@")
+    user = (unquote(u.username) if u.username else None) or config.ftp_user or config.user or "anonymous"
+    password = (unquote(u.password) if u.password else None) or config.ftp_password or config.password or "-webloom@"
+    secure = u.scheme == "ftps"
+    ftp = _secure(config) if secure else ftplib.FTP(timeout=config.timeout or 30)
+    ftp.connect(u.hostname, u.port or (990 if secure and config.ftps_implicit else 21))
+    if secure and not config.ftps_implicit:
+        try:
+            ftp.auth()
+        except ftplib.error_perm:
+            if not config.ftps_fallback_to_ftp:
+                raise
+            ftp.close()
+            secure, ftp = False, ftplib.FTP(timeout=config.timeout or 30)
+            ftp.connect(u.hostname, u.port or 21)
+    if secure:
+        ftplib.FTP.login(ftp, user, password)
+        ftp.prot_c() if config.ftps_clear_data_connection else ftp.prot_p()
+    else:
+        ftp.login(user, password)
     ftp.set_pasv(config.passive_ftp)
-    return ftp, unquote(u.path)
+    return ftp, unquote(u.path) or "/"
 
 
 def _size(ftp, path: str) -> int | None:
@@ -38,56 +83,73 @@ def _size(ftp, path: str) -> int | None:
         return None
 
 
-def _ask(url: str, start: int | None, config: CrawlConfig) -> dict:
+def _lines(ftp, path: str, commands: tuple[tuple[str, str], ...]) -> tuple[str, list[str]] | None:
+    """The first of these listings that the server knows."""
     import ftplib
 
-    row = {"url": url, "kind": None, "text": None, "body": None, "bytes": 0, "error": None}
-    try:
-        if any(c in url for c in "\r\n\0"):
-            raise ValueError("a line end in a path")
-        ftp, path = _session(url, config)
-        with ftp:
-            if path.endswith("/"):
-                for kind, command in (("mlsd", "MLSD"), ("list", "LIST"), ("nlst", "NLST")):
-                    lines: list[str] = []
-                    try:
-                        ftp.retrlines(f"{command} {path}", lines.append)
-                    except ftplib.error_perm:
-                        continue
-                    return row | {"kind": kind, "text": "\n".join(lines)}
-                return row
-            ftp.voidcmd("TYPE I")
-            if start and (size := _size(ftp, path)) is not None and start >= size:
-                return row | {"kind": "complete", "body": b""}  # all of it is there
-            parts: list[bytes] = []
-            ftp.retrbinary(f"RETR {path}", parts.append, rest=start or None)
-            body = b"".join(parts)
-            return row | {"kind": "file", "body": body, "bytes": len(body)}
-    except (*ftplib.all_errors, ValueError) as e:
-        return row | {"error": f"{type(e).__name__}: {e}"}
-
-
-def fetch_ftp(level: DataFrame, config: CrawlConfig, *, hosts: int = 50) -> DataFrame:
-    """One row per distinct URL: a listing's text (kind mlsd, list or nlst) for a path that
-    ends with a slash, else the file's bytes, from ``start`` where the level has such a
-    column; kind ``complete`` where the server has no more.  Errors are rows."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for url, start in zip(pdf["url"], pdf["start"], strict=True):
-                row = _ask(url, config.start_pos if pd.isna(start) else int(start), config)
-                yield pd.DataFrame([row]).astype({"bytes": "int64"})
-
-    start = F.col("start").cast("bigint") if "start" in level.columns else F.lit(None).cast("bigint")
-    return level.select("url", start.alias("start")).dropDuplicates(["url"]).withColumn("_h", urls.host(F.col("url"))).repartition(hosts, "_h").select("url", "start").mapInPandas(run, DDL)
-
-
-def entries(texts: DataFrame) -> DataFrame:
-    """(url, name, kind, target) of listing texts (url, kind, text)."""
-    line = F.explode(F.split("text", r"\r?\n")).alias("line")
-    each = texts.where(F.col("kind").isin("mlsd", "list")).select("url", "kind", line)
-    entry = F.when(F.col("kind") == "mlsd", listings.mlsd_entry(F.col("line"))).otherwise(listings.unix_entry(F.col("line")))
-    return each.select("url", entry.alias("e")).where("e is not null").select("url", "e.*")
+    for kind, command in commands:
+        lines: list[str] = []
+        try:
+            ftp.retrlines(f"{command} {path}", lines.append)
+        except ftplib.error_perm:
+            continue
+        return kind, lines
+    return None
+
+
+def ask(url: str, config: CrawlConfig, *, start: int | None = None) -> dict:
+    """A listing's text (kind mlsd, list or nlst) of a path that ends with a slash, the names
+    that match a pattern (kind nlst, under the folder's URL), else the file's bytes, from
+    ``start`` on; kind ``complete`` where the server has no more.  A body shorter than the
+    server said is an error."""
+    import fnmatch
+
+    if any(c in url for c in "\r\n\0"):
+        raise ValueError("a line end in a path")
+    start = config.start_pos if start is None else start
+    ftp, path = _session(url, config)
+    if any(c in path for c in "\r\n\0"):
+        raise ValueError("a line end in a path")
+    with ftp:
+        folder, _, name = path.rpartition("/")
+        if config.ftp_glob and name and any(c in name for c in PATTERN):
+            found = _lines(ftp, folder + "/", (("nlst", "NLST"), ("list", "LIST")))
+            names = sorted({line.strip().split("/")[-1].split(" ")[-1] for line in (found[1] if found else [])})
+            listed = "\n".join(x for x in names if fnmatch.fnmatchcase(x, name))
+            return {"kind": "nlst", "final_url": url.rpartition("/")[0] + "/", "body": listed.encode(), "bytes": 0}
+        if path.endswith("/"):
+            found = _lines(ftp, path, (("mlsd", "MLSD"), ("list", "LIST"), ("nlst", "NLST")))
+            kind, lines = found or ("nlst", [])
+            return {"kind": kind, "final_url": url, "body": "\n".join(lines).encode(), "bytes": 0}
+        ftp.voidcmd("TYPE I")
+        size = _size(ftp, path)
+        if start and size is not None and start >= size:
+            return {"kind": "complete", "final_url": url, "body": b"", "bytes": 0}  # all of it is there
+        parts: list[bytes] = []
+        ftp.retrbinary(f"RETR {path}", parts.append, rest=start or None)
+        body = b"".join(parts)
+        if size is not None and len(body) + (start or 0) < size and not config.ignore_length:
+            raise EOFError(f"{len(body) + (start or 0)} of {size} bytes")
+        return {"kind": "file", "final_url": url, "body": body, "bytes": len(body)}
+
+
+def entries(texts: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(url, name, kind, target, and those to keep) of listing texts (url, kind, text); bare
+    names are files."""
+    own = ["url", *(keep or [])]
+    each = texts.where(F.col("kind").isin("mlsd", "list", "nlst")).select(*own, "kind", F.explode(F.split("text", r"\r?\n")).alias("line"))
+    bare = listings.safe_name(listings.name_of_line(F.col("line")))
+    named = F.when(bare.isNotNull(), F.struct(bare.alias("name"), F.lit("file").alias("kind"), F.lit(None).cast("string").alias("target")))
+    entry = F.when(F.col("kind") == "mlsd", listings.mlsd_entry(F.col("line"))).when(F.col("kind") == "list", listings.unix_entry(F.col("line"))).otherwise(named)
+    return each.select(*own, entry.alias("e")).where("e is not null").select(*own, "e.*")
+
+
+def children(texts: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(url, child, kind, and those to keep) of the entries of listing texts: folders with a
+    slash at their end, links only where they stay in their folder's tree."""
+    found = entries(texts, keep).where((F.col("kind") != "symlink") | listings.safe_link(F.col("name"), F.coalesce("target", F.lit(""))))
+    child = listings.child_url(F.col("url"), F.col("name"))
+    return found.select("url", F.when(F.col("kind") == "dir", F.concat(child, F.lit("/"))).otherwise(child).alias("child"), "kind", *(keep or [])).where("child is not null").distinct()
 
 
 def expand_glob(texts: DataFrame, pattern: str, ignore_case: bool = False) -> DataFrame:

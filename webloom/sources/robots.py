@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import urls
 from webloom.plans.config import CrawlConfig
-from webloom.sources.fetch import fetch
+from webloom.sources.web import fetch
 
 
 def robots_files(pages: DataFrame, config: CrawlConfig, *, url: str = "url") -> DataFrame:

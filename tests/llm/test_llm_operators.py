@@ -390,6 +390,32 @@ def test_ann_widths_and_ties(spark):
     assert got == [(i, i) for i in range(1, 11)]
 
 
+@pytest.mark.parametrize(("offset", "scale"), [(0, 1), (3000, 1), (1e4, 1), (1e6, 1), (0, 1e-20), (0, 1e20), (0, 1e160), (0, 1e-160), (1e4, 1e155)])
+def test_ann_far_from_the_origin(spark, offset, scale):
+    """Neither a common offset nor a scale changes what is near; nor do a few vectors that are
+    far from all others."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 12))
+    x[:5] *= 1e12
+    x[700:] += 1e5  # a second cluster
+    v = (x + offset) * scale
+    table = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in ann.search(table, table.where("vec_id % 20 = 0"), shard=800, beam=48).collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    hits = 0
+    for q in range(0, 1500, 20):
+        d = np.sqrt((((v - v[q]) / scale) ** 2).sum(axis=1))
+        d[q] = np.inf
+        assert all(abs(s / scale - d[i]) <= 1e-9 * d[i] for i, s in got[q])
+        hits += len(set(np.argsort(d, kind="stable")[:10].tolist()) & {i for i, _ in got[q]})
+    assert hits / 750 >= 0.95
+
+
+def test_shards_are_sized_by_bytes():
+    assert ann.shard_rows(64) == ann.SHARD and ann.shard_rows(768) * 8 * 2 * 768 < ann.SHARD_BYTES and ann.block_of(768) < ann.BLOCK == ann.block_of(64)
+
+
 def test_ann_reads_a_small_part_of_a_shard():
     rng = np.random.default_rng(5)
     points = rng.normal(size=(6000, 12)).astype(np.float32)

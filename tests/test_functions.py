@@ -106,4 +106,4 @@ def test_archive_files(spark, tmp_path):
     assert sum(r.records for r in out) == 8 + len(out) and len(out) > 1
     for r in out:
         assert gzip.decompress((tmp_path / "w" / r.file).read_bytes()).startswith(b"WARC/1.0\r\nWARC-Type: warcinfo\r\n")
-    assert {r.file: r.bytes for r in out} == {p.name: p.stat().st_size for p in (tmp_path / "w").iterdir()}
+    assert {r.file: r.bytes for r in out} == {p.name: p.stat().st_size for p in (tmp_path / "w").glob("*.warc.gz")}

@@ -9,12 +9,11 @@ driver, the data never is: a round brings back one row of counts.
 from __future__ import annotations
 
 import itertools
-import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,32 +22,7 @@ from webloom.operators import archive, mirrors, policy
 from webloom.operators import session as sessions
 from webloom.operators.session import Session
 from webloom.plans.config import CrawlConfig
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """From ``spark.checkpoint.dir``; only where that is unset and all runs on one machine a
-    temporary one is made and set."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="webloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, path: str | None = None) -> DataFrame:
-    path = path or f"{shared_folder(df.sparkSession)}/crawl/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def observed(df: DataFrame, facts: dict[str, Column], path: str | None = None) -> tuple[DataFrame, dict]:
-    """``df`` stored, and sums over it that come with the writing, without another scan; those
-    of no rows are missing."""
-    seen = Observation(f"round-{uuid.uuid4().hex}")
-    table = stored(df.observe(seen, *[c.alias(name) for name, c in facts.items()]), path)
-    return table, {k: v for k, v in seen.get.items() if v is not None}
+from webloom.store import observed, shared_folder, stored
 
 
 def together(tables: list[DataFrame]) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from webloom.functions import listings, urls
 from webloom.operators import policy
-from webloom.operators.crawl import stored
 from webloom.plans.config import CrawlConfig
+from webloom.store import stored
 
 #: Characters that make the last segment of a path a pattern.
 PATTERN = "*?["

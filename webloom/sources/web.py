@@ -16,7 +16,6 @@ import dataclasses
 import json
 import queue
 import threading
-import uuid
 from collections import defaultdict, deque
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -28,6 +27,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 from webloom.functions import urls
 from webloom.plans.config import CrawlConfig
+from webloom.store import filesystem, new_folder
 
 DDL = (
     "url string, scheme string, host string, final_url string, kind string, status int, reason string, content_type string, headers array<struct<name:string,value:string>>, "
@@ -42,13 +42,6 @@ CARRIED = {"since": "string", "start": "bigint", "cookies": "string", "authoriza
 BATCH = 8 << 20
 
 
-def filesystem(uri: str):
-    """The file system of a folder that driver and executors share, and its path there."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
 @dataclasses.dataclass
 class FrontierFile(InputPartition):
     path: str
@@ -211,11 +204,9 @@ def fetch(level: DataFrame, config: CrawlConfig, *, tasks: int | None = None, bo
     ``cookies``, ``authorization``), for http, https, ftp and ftps; errors are rows.  ``kind``
     says what came: response, file, complete, or a listing (mlsd, list, nlst).  A null URL
     gives no row."""
-    from webloom.operators.crawl import shared_folder
-
     spark = level.sparkSession
     register(spark)
-    folder = f"{shared_folder(spark)}/crawl/{uuid.uuid4().hex}"
+    folder = new_folder(spark)
     stage(level, folder, tasks=tasks)
     return spark.read.format("web").option("frontier", folder).option("config", json.dumps(dataclasses.asdict(config))).option("bodies", bodies).load()
 

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -13,7 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from webloom.llm import ann, byte_bpe, exact_substrings, language, packing, pii, quality, simhash, toxicity, url_filter
+from webloom.llm import ann, byte_bpe, common, exact_substrings, language, packing, pii, quality, simhash, toxicity, url_filter
 from webloom.llm.components import components
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -249,6 +250,19 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
 
 
+def test_components_delete_their_tables(spark):
+    """Only the last round's edges stay, and with ``scratch`` not even these."""
+    there = Path(common.shared_dir(spark).removeprefix("file:"))
+    files = lambda: {p for p in there.rglob("*.parquet") if p.is_file()}
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a bigint, b bigint")
+    before = files()
+    assert components(edges).count() == 61 and len({p.parent for p in files() - before}) == 1
+    before = files()
+    with common.scratch(spark):
+        assert components(edges).count() == 61
+    assert files() == before
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

@@ -1,9 +1,9 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Each step is a grouped minimum and a join on the vertex, a vertex of very many edges being
-joined by broadcast; nothing is collected.  Edges go
-to the shared checkpoint folder after each round, and the loop ends when a round leaves
-them as they were, which takes a number of rounds logarithmic in the vertices.
+joined by broadcast; nothing is collected.  Edges go to a table in the shared folder after
+each round, those of the round before are deleted, and the loop ends when a round leaves them
+as they were, which takes a number of rounds logarithmic in the vertices.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import shared_dir, split_join
+from webloom.llm.common import discard, split_join, written
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -39,13 +39,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node`` and ``root``, the smallest node of its component, for every node of an
     edge table ``a``, ``b`` of longs; loops and repeated edges do no harm, an empty table
     gives no rows.  Smallest is by signed order."""
-    spark = edges.sparkSession
-    shared_dir(spark)
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now = written(now)
     mark, count = None, now.count()
     for _ in range(rounds):
-        wide = _large_star(now, count).checkpoint()
-        now = _small_star(wide, wide.count()).checkpoint()
+        wide = written(_large_star(now, count))
+        last, now = now, written(_small_star(wide, wide.count()))
+        discard(last, wide)
         count, total = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if (count, total) == mark:
             break

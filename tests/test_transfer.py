@@ -54,6 +54,25 @@ def test_files_are_written_whole(spark, tmp_path):
     assert there.read_bytes() == b"one two" and len(list(there.parent.iterdir())) == 1
 
 
+def test_destinations_of_a_batch(spark):
+    """Free numbers in order, past existing files and past what other rows want."""
+    wanted = [("a", i) for i in range(40)] + [("b", 1), ("b.1", 2), ("b", 3), ("c.2", 1), ("c.2", 2), (None, 9), ("d", 5)]
+    there = ["a.1", "a.2", "a.5", "a.40", "a.x", "c.2", "c.2.1", "z", "d.1", "a.01", None]
+    rows = spark.createDataFrame(wanted, "path string, url int").withColumn("more", F.lit("x"))
+    got = {(r.path, r.url): r.dest for r in transfer.destinations(rows, spark.createDataFrame([(x,) for x in there], "path string")).collect()}
+    taken, want = set(there) | {p for p, _ in wanted}, {}
+    for path, n in sorted((x for x in wanted if x[0]), key=lambda x: x):
+        bare = path not in there and not any(k[0] == path for k in want)
+        if bare:
+            want[path, n] = path
+            continue
+        number = next(i for i in range(1, 999) if f"{path}.{i}" not in taken)
+        taken.add(f"{path}.{number}")
+        want[path, n] = f"{path}.{number}"
+    assert got == want | {(None, 9): None}
+    assert len({x for x in got.values() if x}) == len(wanted) - 1
+
+
 def test_redirects_beyond_the_limit_have_no_body(spark):
     rows = [(f"http://r.example/{i}", None, 301, f"/{i + 1}") for i in range(6)] + [("http://r.example/6", "<html>end", 200, None), ("http://r.example/e", "gone", 404, None)]
     pages = spark.createDataFrame(rows, "url string, html string, status int, location string")

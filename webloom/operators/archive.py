@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from webloom.operators import ranges
 from webloom.store import stored
 
 CDX_HEADER = " CDX N b a m s k r M S V g"
@@ -129,22 +130,6 @@ def _rotate_stream(slim: DataFrame, most: int | None, group: str, order: str, si
     return slim.repartition(group).sortWithinPartitions(group, order).mapInPandas(run, ddl)
 
 
-def _ranged(df: DataFrame, *by: str) -> DataFrame:
-    """Stored in ranges of ``by``, with the number of the range in ``_part``."""
-    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return stored(df.repartitionByRange(parts, *by).withColumn("_part", F.spark_partition_id()))
-
-
-def _from_other_parts(df: DataFrame, group: str, value: Column, *, later: bool) -> DataFrame:
-    """(_part, group, _carried): of each range that a group is continued in, the value of the
-    nearest earlier (or later) range of the group that has one.  ``value`` is an aggregate.
-    Ranges are sorted by group first, so a range has at most one group of another range on
-    each side: there are no more rows than ranges."""
-    each = df.groupBy("_part", group).agg(value.alias("_v"))
-    w = W.partitionBy(group).orderBy(F.col("_part").desc() if later else F.col("_part")).rowsBetween(W.unboundedPreceding, -1)
-    return each.select("_part", group, F.last("_v", ignorenulls=True).over(w).alias("_carried")).where("_carried is not null")
-
-
 def rotate_long(records: DataFrame, most: int, *, group: str = "part", order: str = "seq", size: str = "size") -> DataFrame:
     """``rotate`` of (group, order, size) for groups of any length, by pointer doubling.
 
@@ -154,22 +139,16 @@ def rotate_long(records: DataFrame, most: int, *, group: str = "part", order: st
     segments later begins, and that table with itself; so there are as many rounds as the
     longest group's segments have binary digits.  All tables are rows of a few numbers, spread
     by place; only one row for each range is broadcast."""
-    rows = _ranged(records.select(group, order, size), group, order)
-    inside = W.partitionBy("_part", group).orderBy(order)
-    sums = rows.groupBy("_part", group).agg(F.sum(size).alias("_s"), F.count(F.lit(1)).alias("_c"))
-    ahead = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    ahead = sums.select("_part", group, F.sum("_s").over(ahead).alias("_s"), F.sum("_c").over(ahead).alias("_c")).where("_c is not null")
-    pos = F.row_number().over(inside) - 1 + F.coalesce("_c", F.lit(0))
-    at = F.coalesce(F.sum(size).over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.coalesce("_s", F.lit(0))
-    placed = stored(rows.join(F.broadcast(ahead), ["_part", group], "left").select(group, order, size, "_part", pos.cast("bigint").alias("pos"), at.cast("bigint").alias("at")))
+    rows = ranges.ranged(records.select(group, order, size), group, order)
+    placed = stored(ranges.running(rows, group, [order], pos=F.lit(1), at=F.col(size)))
     # a segment from row i on ends before the first row j of more bytes before it than i has, and
     # of more than ``most`` up to its end: both grow with j, and so does the less of them
     bound = F.least(F.col("at"), F.col("at") + F.col(size) - most)
     marks = placed.select(group, bound.alias("v"), F.lit(0).alias("kind"), "pos").unionByName(placed.select(group, F.col("at").alias("v"), F.lit(1).alias("kind"), "pos"))
-    marks = _ranged(marks, group, "v", "kind", "pos")
+    marks = ranges.ranged(marks, group, "v", "kind", "pos")
     back = W.partitionBy("_part", group).orderBy(F.desc("v"), F.desc("kind"), F.desc("pos")).rowsBetween(W.unboundedPreceding, 0)
     place = F.when(F.col("kind") == 0, F.col("pos"))
-    beyond = _from_other_parts(marks, group, F.min(place), later=True)
+    beyond = ranges.from_other_parts(marks, group, F.min(place), later=True)
     near = marks.withColumn("_next", F.last(place, ignorenulls=True).over(back)).where("kind = 1").join(F.broadcast(beyond), ["_part", group], "left")
     jump = stored(near.select(group, "pos", F.coalesce("_next", "_carried").alias("to")).where("to is not null"))
     known = placed.where("pos = 0").select(group, "pos", F.lit(0).alias("segment"))
@@ -183,7 +162,7 @@ def rotate_long(records: DataFrame, most: int, *, group: str = "part", order: st
     # each row belongs to the last start before it
     met = stored(placed.join(known, [group, "pos"], "left").withColumn("_start", F.when(F.col("segment").isNotNull(), F.struct("segment", "at"))))
     upto = W.partitionBy("_part", group).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    before = _from_other_parts(met, group, F.max("_start"), later=False)
+    before = ranges.from_other_parts(met, group, F.max("_start"), later=False)
     of = F.coalesce(F.last("_start", ignorenulls=True).over(upto), F.col("_carried"))
     whole = met.join(F.broadcast(before), ["_part", group], "left").withColumn("_of", of)
     return whole.select(group, order, size, F.col("_of.segment").alias("segment"), (F.col("at") - F.col("_of.at")).alias("offset"))

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import extract, text, urls
+from webloom.operators import ranges
 from webloom.plans.config import CrawlConfig
+from webloom.store import stored
 
 
 def request_plan(wanted: DataFrame, local: DataFrame, config: CrawlConfig) -> DataFrame:
@@ -27,6 +29,30 @@ def request_plan(wanted: DataFrame, local: DataFrame, config: CrawlConfig) -> Da
     return met.select(*wanted.columns, start.alias("start"), F.when(dated, http_date_of(F.col("_mtime"))).alias("since"))
 
 
+def destinations(rows: DataFrame, existing: DataFrame, *, order: str = "url") -> DataFrame:
+    """Adds ``dest`` to a whole batch (path, ``order`` and more): the rows that want one path
+    take it and then ``path.1``, ``path.2`` and so on, in order, without the numbers that
+    existing files (path) or other rows' own paths have.  ``order`` is a key of its path; a null
+    path stays null.
+
+    A row of rank r takes the r-th free number: r and as many more as there are taken numbers
+    t_j (from the least, j from 0) with t_j - j <= r.  Ranks and counts are running sums over
+    ranges, so a path that very many rows want is spread like any other."""
+    wanted = rows.where("path is not null")
+    names = wanted.select("path").distinct()
+    there = existing.select("path").where("path is not null").distinct()
+    number = F.regexp_extract("path", r"^(.*)\.([1-9][0-9]{0,17})$", 2)
+    used = there.unionByName(names).distinct().where(number != "").select(F.regexp_extract("path", r"^(.*)\.([1-9][0-9]{0,17})$", 1).alias("path"), number.cast("bigint").alias("n"))
+    used = used.unionByName(there.select("path", F.lit(0).cast("bigint").alias("n"))).join(names, "path", "left_semi")
+    taken = ranges.running(ranges.ranged(used, "path", "n"), "path", ["n"], j=F.lit(1)).select("path", (F.col("n") - F.col("j")).alias("v"))
+    placed = stored(ranges.running(ranges.ranged(wanted, "path", order), "path", [order], _rank=F.lit(1)).drop("_part"))
+    marks = placed.select("path", F.col("_rank").alias("v"), F.lit(1).alias("kind"), F.lit(0).alias("one")).unionByName(taken.select("path", "v", F.lit(0).alias("kind"), F.lit(1).alias("one")))
+    counts = ranges.running(ranges.ranged(marks, "path", "v", "kind"), "path", ["v", "kind"], _more=F.col("one")).where("kind = 1").select("path", F.col("v").alias("_rank"), "_more")
+    at = F.col("_rank") + F.col("_more")
+    done = placed.join(counts, ["path", "_rank"]).withColumn("dest", F.when(at == 0, F.col("path")).otherwise(F.concat("path", F.lit("."), at.cast("string"))))
+    return done.select(*rows.columns, "dest").unionByName(rows.where("path is null").withColumn("dest", F.lit(None).cast("string")))
+
+
 def http_date_of(time: Column) -> Column:
     """``Sun, 06 Nov 1994 08:49:37 GMT`` of a timestamp in a session of UTC."""
     return F.date_format(time, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")

@@ -5,9 +5,9 @@ import threading
 
 from pyspark.sql import functions as F
 
-from webloom.operators import archive, crawl, policy
+from webloom.operators import archive, crawl, policy, transfer
 from webloom.plans.config import CrawlConfig
-from webloom.sources import warc_files, web
+from webloom.sources import local, warc_files, web
 from webloom.streaming.frontier import crawl_stream
 
 SITE = [
@@ -90,3 +90,58 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("url string").parquet(str(tmp_path / "seeds"))
     crawl_stream(stream, site(spark), CrawlConfig(), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert [r.url for r in spark.read.parquet(str(tmp_path / "out/visited")).collect()] == ["http://s.example/"]
+
+
+def test_batches_fetch_no_page_twice(spark, tmp_path):
+    """Links of a later batch are not asked for again, and a replayed batch changes nothing."""
+    asked = []
+    source = site(spark)
+
+    def fetch(level):
+        asked.extend(r.url for r in level.select("url").collect())
+        return source(level)
+
+    config, out = CrawlConfig(recursive=True, level=2), str(tmp_path / "out")
+
+    def run(url):
+        spark.createDataFrame([(url,)], "url string").coalesce(1).write.mode("append").parquet(str(tmp_path / "seeds"))
+        stream = spark.readStream.schema("url string").parquet(str(tmp_path / "seeds"))
+        crawl_stream(stream, fetch, config, out, str(tmp_path / "ck")).awaitTermination(300)
+
+    run("http://s.example/b/")
+    first = list(asked)
+    run("http://s.example/")
+    rows = spark.read.parquet(f"{out}/visited").collect()
+    assert len(set(asked)) == len(asked) > len(first) and len({r.url for r in rows}) == len(rows)
+    assert set(first) == {"http://s.example/b/", "http://s.example/private/p.html"} == {r.url for r in rows if r.batch == 0}
+    assert "http://s.example/a.html" in {r.url for r in rows if r.batch == 1}
+    # the last batch again, as after a failure before its commit
+    (tmp_path / "ck" / "commits" / "1").unlink()
+    (tmp_path / "ck" / "commits" / ".1.crc").unlink(missing_ok=True)
+    stream = spark.readStream.schema("url string").parquet(str(tmp_path / "seeds"))
+    crawl_stream(stream, fetch, config, out, str(tmp_path / "ck")).awaitTermination(300)
+    again = spark.read.parquet(f"{out}/visited").collect()
+    assert len(asked) > len(set(asked)) and sorted(map(tuple, again)) == sorted(map(tuple, rows))
+
+
+def test_a_mirror_run_twice_fetches_nothing_the_second_time(spark, tmp_path):
+    dated = [(u, h, "Sun, 06 Nov 1994 08:49:37 GMT") for u, h in SITE]
+    config = CrawlConfig(span_hosts=True).mirrored()
+    assert local.files(spark, f"{tmp_path}/none").count() == 0
+
+    def mirror(rows):
+        source = crawl.corpus_source(spark.createDataFrame(rows, "url string, html string, last_modified string"), config)
+        got = crawl.crawl(seed(spark), source, config, local=str(tmp_path))
+        transfer.write_files(crawl.saved(got.pages), str(tmp_path)).collect()
+        return got
+
+    one = mirror(dated)
+    there = {r.path: r.size for r in local.files(spark, str(tmp_path)).collect()}
+    assert one.totals["bytes"] == sum(there.values()) > 0 and "./s.example/index.html" in there
+    two = mirror(dated)
+    # the links of kept files are followed all the same
+    assert visited(two) == visited(one) and two.totals["bytes"] == 0
+    assert {r.action for r in two.pages.collect()} == {"keep"}
+    changed = [(u, h + "<a href=/new.html>n</a>" if u.endswith("a.html") else h, d.replace("1994", "1995") if u.endswith("a.html") else d) for u, h, d in dated]
+    three = mirror(changed)
+    assert [r.url for r in three.pages.where("action = 'write'").collect()] == ["http://s.example/a.html"] and ("http://s.example/new.html", 2, None) in visited(three)

@@ -13,12 +13,12 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from webloom.functions import charset, extract, paths, text, urls
-from webloom.operators import archive, mirrors, policy
+from webloom.operators import archive, mirrors, policy, transfer
 from webloom.operators import session as sessions
 from webloom.operators.session import Session
 from webloom.plans.config import CrawlConfig
@@ -42,7 +42,8 @@ def recurses(depth: Column, config: CrawlConfig) -> Column:
 class Crawl:
     """``visited`` (url, depth, parent, reason: null if fetched), ``pages`` (url, used_url:
     the mirror that served it, final_url: where redirects ended, depth, status,
-    content_type, body, path, bytes), ``jobs`` (url, depth, status, cookies: what was sent,
+    content_type, body, content: the bytes where the source keeps them, path, bytes, start and
+    action: write, append, or keep where the file that is there is as good), ``jobs`` (url, depth, status, cookies: what was sent,
     attempts, error, failure: its kind, ``ok`` without one, code: its exit code) of all that
     was asked for, and ``totals`` (rows, bytes, attempts, code: the worst) over all rounds.
     ``session`` is what was remembered at the end, if anything was to be."""
@@ -58,7 +59,7 @@ class Crawl:
 #: know may be missing.
 FETCHED = {
     "body": "string", "content_type": "string", "status": "int", "link": "string", "final_url": "string", "set_cookie": "array<string>", "strict_transport": "string",
-    "last_modified": "string", "cookies": "string", "attempts": "int", "error": "string", "failure": "string",
+    "last_modified": "string", "content": "binary", "cookies": "string", "attempts": "int", "error": "string", "failure": "string",
 }
 
 
@@ -105,9 +106,12 @@ def corpus_source(pages: DataFrame, config: CrawlConfig | None = None) -> Callab
         if ends is not None:
             asked = asked.join(ends, "_target", "left").withColumn("_target", F.when(F.coalesce("ok", F.lit(True)), F.coalesce("final", "_target"))).drop("final", "ok")
         met = asked.join(own, "_target", "left")
-        good = F.lit(True) if config.content_on_error else F.col("_status") < 400
-        said = [F.col(f"_{c}").alias(c) for c in given if c != "html"]
-        return met.select(*level.columns, F.when(good, F.col("_html")).alias("body"), *said, F.col("_target").alias("final_url"), F.lit(1).alias("attempts"), failure_of(F.col("_status")).alias("failure"))
+        status = F.col("_status")
+        if "since" in level.columns:
+            status = F.when((status == 200) & (text.http_date(F.col("_last_modified")) <= text.http_date(F.col("since"))), 304).otherwise(status)
+        good = (F.lit(True) if config.content_on_error else status < 400) & (status != 304)
+        said = [F.col(f"_{c}").alias(c) for c in given if c not in ("html", "status")]
+        return met.select(*level.columns, F.when(good, F.col("_html")).alias("body"), status.alias("status"), *said, F.col("_target").alias("final_url"), F.lit(1).alias("attempts"), failure_of(F.col("_status")).alias("failure"))
 
     return fetch
 
@@ -213,7 +217,32 @@ def listing_links(pages: DataFrame, config: CrawlConfig) -> DataFrame:
     return found.where(policy.first_reason(rules).isNull()).select(F.col("child").alias("url"), "depth", F.col("url").alias("parent"))
 
 
-def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], config: CrawlConfig, *, robots: DataFrame | None = None, session: Session | None = None) -> Crawl:
+def with_local(got: DataFrame, there: DataFrame, folder: str, config: CrawlConfig) -> DataFrame:
+    """``got`` with ``action``; where a file is kept its text stands for the body."""
+    from webloom.sources import local
+
+    named = got.withColumn("path", F.when(~is_listing(), paths.local_path(F.col("url"), config)))
+    judged = stored(transfer.outcome(named, there, config).drop("mtime"))
+    kept = judged.where("action = 'keep'")
+    texts = local.contents(kept, folder).select("path", charset.decode_bytes(F.col("content"), F.lit(config.remote_encoding or "utf-8")).alias("_text"))
+    again = kept.join(texts, "path", "left").withColumn("body", F.col("_text")).drop("_text")
+    return again.unionByName(judged.where("action <> 'keep'")).drop("path", "since")
+
+
+def files_of(spark: SparkSession, folder: str) -> DataFrame:
+    from webloom.sources import local
+
+    return local.files(spark, folder)
+
+
+def saved(pages: DataFrame) -> DataFrame:
+    """(path, action, mtime, start, content) of a crawl's pages, for ``transfer.write_files``."""
+    served = text.http_date(F.col("last_modified")) if "last_modified" in pages.columns else F.lit(None).cast("timestamp")
+    content = F.coalesce("content", F.encode("body", "UTF-8"))
+    return pages.where("path is not null and action <> 'keep'").select("path", "action", served.alias("mtime"), "start", content.alias("content"))
+
+
+def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], config: CrawlConfig, *, robots: DataFrame | None = None, session: Session | None = None, local: str | None = None, visited: DataFrame | None = None) -> Crawl:
     """Retrieve from ``seeds`` (url), until nothing is left to ask for.  A URL is visited
     once, fragment and all, at its least depth, and a rejected one is not asked for again.
 
@@ -224,6 +253,10 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], config: Cra
     that serves them right.  With a ``session`` cookies, strict transport and credentials go
     with the requests, and what the responses of a round say holds from the next round on.
 
+    ``local`` is the folder of what was saved before: with ``timestamping`` newer content only
+    is asked for, with ``continue_download`` the rest of a file; a file that is kept is read for
+    its links.  URLs of a table ``visited`` are not asked for.
+
     The rounds are parts of one table, so a round's plan does not grow with their number."""
     looks = config.recursive or config.page_requisites
     mirroring = config.metalink_over_http or config.force_metalink
@@ -238,6 +271,7 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], config: Cra
     seeded: list[DataFrame] = []
     files: list[DataFrame] = []
     taken: list[DataFrame] = []  # mirrors of what was asked for count as visited
+    there = None if local is None else stored(files_of(spark, local))
     left, totals = config.quota, {"rows": 0, "bytes": 0, "attempts": 0, "code": 0}
 
     def asked(level: DataFrame) -> DataFrame:
@@ -246,15 +280,23 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], config: Cra
 
     for number in itertools.count():
         level = frontier.where("url is not null").groupBy("url").agg(F.min(F.struct("depth", "parent")).alias("f")).select("url", "f.depth", "f.parent")
-        if every is not None:
-            level = level.join(together([every.select("url"), *taken]), "url", "left_anti")
+        gone = ([every.select("url")] if every is not None else []) + taken + ([visited.select("url")] if visited is not None else [])
+        if gone:
+            level = level.join(together(gone), "url", "left_anti")
         judged = level.withColumn("reason", policy.reject_reason(F.col("url"), config))
         if robots is not None and looks:
             judged = policy.robots_allow(judged, robots, config.user_agent).withColumn("reason", F.when(F.col("reason").isNotNull(), F.col("reason")).when(~F.col("allowed"), F.lit("robots"))).drop("allowed")
         if policy.url_rules(F.col("url"), config) or (robots is not None and looks):
             judged = stored(judged)  # urls alone; what is asked for and what is not come from one table
         known = together(files).groupBy("url").agg(F.min(F.struct("mirrors", "hashes")).alias("m")).select("url", "m.mirrors", "m.hashes") if files else None
-        got = retrieve(judged.where("reason is null").drop("reason"), asked, config, known)
+        wanted = judged.where("reason is null").drop("reason")
+        if there is not None:
+            wanted = transfer.request_plan(wanted.withColumn("path", paths.local_path(F.col("url"), config)), there, config).drop("path")
+        got = retrieve(wanted, asked, config, known)
+        if there is not None:
+            got = with_local(got, there, local, config)
+        else:
+            got = got.withColumns({"start": F.lit(None).cast("bigint"), "action": F.lit("write")})
         if config.filter_mime_type:
             wrong = F.col("body").isNotNull() & ~policy.mime_allowed(F.col("content_type"), config.filter_mime_type)
             got = got.withColumn("reason", F.when(wrong, "filter-mime-type").otherwise(F.col("reason")))
@@ -263,8 +305,8 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], config: Cra
         if config.keep_listing:
             path = F.when(is_listing(), F.concat(F.regexp_extract(paths.local_path(F.col("final_url"), config), r"^(.*/)?", 0), F.lit(".listing"))).otherwise(path)
         got = got.select(
-            "url", "depth", "parent", "reason", "used_url", "final_url", "status", "content_type", "link", F.when(kept, F.col("body")).alias("body"), F.when(kept, path).alias("path"), F.octet_length("body").cast("bigint").alias("bytes"),
-            *[c for c in FETCHED if c not in ("body", "content_type", "status", "link", "final_url")],
+            "url", "depth", "parent", "reason", "used_url", "final_url", "status", "content_type", "link", F.when(kept, F.col("body")).alias("body"), F.when(kept, path).alias("path"), F.when(F.col("action") == "keep", F.lit(0)).otherwise(F.octet_length(F.coalesce("content", F.col("body").cast("binary")))).cast("bigint").alias("bytes"),
+            F.when(kept, F.col("content")).alias("content"), "start", "action", *[c for c in FETCHED if c not in ("body", "content", "content_type", "status", "link", "final_url")],
         )
         none = [F.lit(None).cast(t).alias(c) for c, t in got.dtypes if c not in ("url", "depth", "parent", "reason")]
         table = got.unionByName(judged.where("reason is not null").select("url", "depth", "parent", "reason", *none))
@@ -328,7 +370,7 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], config: Cra
     asked_for = every.where(F.col("failure").isNotNull() | F.col("status").isNotNull() | F.col("error").isNotNull())
     return Crawl(
         every.select("url", "depth", "parent", "reason"),
-        every.where("body is not null").select("url", "used_url", "final_url", "depth", "status", "content_type", "body", "path", "bytes"),
+        every.where("body is not null").select("url", "used_url", "final_url", "depth", "status", "content_type", "body", "content", "path", "bytes", "start", "action", "last_modified"),
         asked_for.select("url", "depth", "status", "cookies", "attempts", "error", "failure", exit_code(F.col("failure")).alias("code")),
         totals,
         session,

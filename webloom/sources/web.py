@@ -104,7 +104,7 @@ class WebReader(DataSourceReader):
     def __init__(self, options: dict):
         self.frontier = options["frontier"]
         self.config = CrawlConfig(**json.loads(options.get("config", "{}")))
-        self.as_text = options.get("bodies", "bytes") == "text"
+        self.bodies = options.get("bodies", "bytes")
         self.wanted: list[tuple[str, str, object]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
@@ -139,8 +139,9 @@ class WebReader(DataSourceReader):
             return
         held, size = [], 0
         for row in asked_all(self._requests(partition.path), self.config):
-            if self.as_text and row.get("body") is not None:
-                row["text"] = decoded(row.pop("body"), self.config.remote_encoding or label_of(row.get("content_type")))
+            if self.bodies != "bytes" and row.get("body") is not None:
+                row["text"] = decoded(row["body"], self.config.remote_encoding or label_of(row.get("content_type")))
+                row["body"] = row["body"] if self.bodies == "both" else None
             held.append({c: row.get(c) for c in SCHEMA.names})
             size += row.get("bytes") or 0
             if size >= BATCH or len(held) >= 1000:
@@ -168,7 +169,7 @@ def decoded(data: bytes, label: str | None) -> str | None:
 
 class WebSource(DataSource):
     """Options: ``frontier``, a folder of ``stage``; ``config``, the settings as JSON;
-    ``bodies``, bytes or text."""
+    ``bodies``, bytes, text or both."""
 
     @classmethod
     def name(cls) -> str:
@@ -217,19 +218,20 @@ def header(name: str, sep: str | None = None):
     return F.when(F.size(found) > 0, found if sep is None else F.array_join(found, sep))
 
 
-def network_source(config: CrawlConfig, *, tasks: int | None = None):
-    """For ``operators.crawl.crawl``: bodies as text by their charset, what headers say, and how
-    the request went.  Listings of folders are bodies of a type of their own."""
+def network_source(config: CrawlConfig, *, tasks: int | None = None, keep_bytes: bool = False):
+    """For ``operators.crawl.crawl``: bodies as text by their charset (and with ``keep_bytes``
+    as they came, to be saved), what headers say, and how the request went.  Listings of
+    folders are bodies of a type of their own."""
     from webloom.operators.crawl import LISTING
 
     def source(level: DataFrame) -> DataFrame:
         good = F.col("error").isNull() & (F.lit(config.content_on_error) | F.coalesce(F.col("status") < 400, F.lit(True)))
         listing = F.col("kind").isin("mlsd", "list", "nlst")
         asked = level.select(F.coalesce("target", "url").alias("url"), *[c for c in CARRIED if c in level.columns]) if "target" in level.columns else level
-        got = fetch(asked, config, tasks=tasks, bodies="text").select(
+        got = fetch(asked, config, tasks=tasks, bodies="both" if keep_bytes else "text").select(
             F.col("url").alias("_asked"), F.when(good & (F.coalesce("status", F.lit(200)) != 304), F.col("text")).alias("body"), F.when(listing, F.concat(F.lit(LISTING), "kind")).otherwise(F.col("content_type")).alias("content_type"),
             "status", header("link", ", ").alias("link"), F.coalesce("final_url", "url").alias("final_url"), header("set-cookie").alias("set_cookie"), header("strict-transport-security", ", ").alias("strict_transport"),
-            header("last-modified", ", ").alias("last_modified"), "attempts", "error", "failure",
+            header("last-modified", ", ").alias("last_modified"), F.when(good, F.col("body")).alias("content"), "attempts", "error", "failure",
         )
         key = F.coalesce("target", "url") if "target" in level.columns else F.col("url")
         new = [c for c in got.columns if c != "_asked"]

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from webloom import catalog, catalog_crawl, catalog_transfer  # noqa: F401
+from webloom import catalog, catalog_crawl, catalog_tables, catalog_transfer  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 

@@ -116,26 +116,42 @@ def corpus_source(pages: DataFrame, config: CrawlConfig | None = None) -> Callab
     return fetch
 
 
-def page_links(pages: DataFrame, config: CrawlConfig, *, feeds: bool = True) -> DataFrame:
-    """(parent, url) for every link of every page, by what its body is; ``feeds`` off leaves
-    out the parser for feeds, where it is known that there are none."""
+@dataclass
+class LinkColumns:
+    """What ``page_links`` asks of (url, content_type, body): expressions of thousands of parts,
+    which a crawl makes once and not each round."""
+
+    plain: Column
+    kinds: Column
+    found: Column
+
+
+def link_columns(config: CrawlConfig) -> LinkColumns:
     base, body = F.col("url"), F.col("body")
-    kind = extract.sniff(paths.local_path(base, CrawlConfig(default_page=config.default_page)), F.col("content_type"), body)
     opts = {"follow_tags": config.follow_tags, "ignore_tags": config.ignore_tags, "strict_comments": config.strict_comments}
     none = F.array().cast("array<string>")
-    said = pages.where(body.isNotNull()).withColumn("kind", kind)
-    plain = said.select(
-        base.alias("parent"),
-        F.explode(F.array_distinct(F.concat(F.when(F.col("kind.html") | F.lit(config.force_html), extract.html_links(base, body, **opts)).otherwise(none), F.when(F.col("kind.css") | F.lit(config.force_css), extract.css_links(base, body)).otherwise(none)))).alias("url"),
-    )
-    if not feeds:
-        return plain.distinct()
+    html = F.when(F.col("kind.html") | F.lit(config.force_html), extract.html_links(base, body, **opts)).otherwise(none)
+    css = F.when(F.col("kind.css") | F.lit(config.force_css), extract.css_links(base, body)).otherwise(none)
     forced = {"rss": config.force_rss, "atom": config.force_atom, "sitemap": config.force_sitemap}
     kinds = F.filter(F.array(*[F.when(F.lit(f) | F.col(f"kind.{k}"), F.lit(k)) for k, f in forced.items()]), lambda k: k.isNotNull())
+    return LinkColumns(F.explode(F.array_distinct(F.concat(html, css))).alias("url"), kinds, F.explode(extract.feed_links(base, F.col("kinds"), body)).alias("url"))
+
+
+def kind_of(config: CrawlConfig) -> Column:
+    return extract.sniff(paths.local_path(F.col("url"), CrawlConfig(default_page=config.default_page)), F.col("content_type"), F.col("body"))
+
+
+def page_links(pages: DataFrame, config: CrawlConfig, *, feeds: bool = True, columns: LinkColumns | None = None, kind: Column | None = None) -> DataFrame:
+    """(parent, url) for every link of every page, by what its body is; ``feeds`` off leaves
+    out the parser for feeds, where it is known that there are none."""
+    columns = columns or link_columns(config)
+    said = pages.where(F.col("body").isNotNull()).withColumn("kind", kind_of(config) if kind is None else kind)
+    plain = said.select(F.col("url").alias("parent"), columns.plain)
+    if not feeds:
+        return plain.distinct()
     # only documents that are feeds reach the parser
-    read = said.withColumn("kinds", kinds).where(F.size("kinds") > 0)
-    found = read.select(base.alias("parent"), F.explode(extract.feed_links(base, F.col("kinds"), body)).alias("url"))
-    return plain.unionByName(found).distinct()
+    read = said.withColumn("kinds", columns.kinds).where(F.size("kinds") > 0)
+    return plain.unionByName(read.select(F.col("url").alias("parent"), columns.found)).distinct()
 
 
 def _is_feed(config: CrawlConfig) -> Column:
@@ -278,20 +294,40 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], config: Cra
         dressed = level if session is None else sessions.dressed(level, session, user=config.http_user or config.user, password=config.http_password or config.password)
         return completed(level, fetch(dressed))
 
+    # expressions that all rounds share: making one takes as long as a small job
+    url = F.col("url")
+    reject, limited = policy.reject_reason(url, config), bool(policy.url_rules(url, config))
+    place = paths.local_path(url, config)
+    child = policy.first_reason(policy.child_rules(url, F.col("parent"), config)) if looks else None
+    columns, kind = (link_columns(config), kind_of(config)) if looks else (None, None)
+    found = F.col("body").isNotNull() & F.col("reason").isNull()
+    asks = {
+        "rows": F.count(F.lit(1)),
+        "bytes": F.sum("bytes"),
+        "attempts": F.sum("attempts"),
+        "worst": F.max(severity(exit_code(F.col("failure")))),
+        "looks": F.max((found & recurses(F.col("depth"), config)).cast("int")),
+        "feeds": F.max((found & _is_feed(config)).cast("int")),
+        "mirrored": F.max((found & (_is_metalink(config) | F.col("link").isNotNull())).cast("int")),
+        "odd": F.max((found & F.col("body").rlike(r"//[^/\s\"'<>]*[^\x00-\x7F]")).cast("int")),
+        "listings": F.max((found & is_listing()).cast("int")),
+        "said": F.max((F.col("set_cookie").isNotNull() | F.col("strict_transport").isNotNull()).cast("int")),
+    }
+
     for number in itertools.count():
         level = frontier.where("url is not null").groupBy("url").agg(F.min(F.struct("depth", "parent")).alias("f")).select("url", "f.depth", "f.parent")
         gone = ([every.select("url")] if every is not None else []) + taken + ([visited.select("url")] if visited is not None else [])
         if gone:
             level = level.join(together(gone), "url", "left_anti")
-        judged = level.withColumn("reason", policy.reject_reason(F.col("url"), config))
+        judged = level.withColumn("reason", reject)
         if robots is not None and looks:
             judged = policy.robots_allow(judged, robots, config.user_agent).withColumn("reason", F.when(F.col("reason").isNotNull(), F.col("reason")).when(~F.col("allowed"), F.lit("robots"))).drop("allowed")
-        if policy.url_rules(F.col("url"), config) or (robots is not None and looks):
+        if limited or (robots is not None and looks):
             judged = stored(judged)  # urls alone; what is asked for and what is not come from one table
         known = together(files).groupBy("url").agg(F.min(F.struct("mirrors", "hashes")).alias("m")).select("url", "m.mirrors", "m.hashes") if files else None
         wanted = judged.where("reason is null").drop("reason")
         if there is not None:
-            wanted = transfer.request_plan(wanted.withColumn("path", paths.local_path(F.col("url"), config)), there, config).drop("path")
+            wanted = transfer.request_plan(wanted.withColumn("path", place), there, config).drop("path")
         got = retrieve(wanted, asked, config, known)
         if there is not None:
             got = with_local(got, there, local, config)
@@ -301,7 +337,7 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], config: Cra
             wrong = F.col("body").isNotNull() & ~policy.mime_allowed(F.col("content_type"), config.filter_mime_type)
             got = got.withColumn("reason", F.when(wrong, "filter-mime-type").otherwise(F.col("reason")))
         kept = (F.col("reason").isNull() | (F.col("reason") == "hash")) & F.col("body").isNotNull()
-        path = F.when(~is_listing(), paths.local_path(F.col("url"), config))
+        path = F.when(~is_listing(), place)
         if config.keep_listing:
             path = F.when(is_listing(), F.concat(F.regexp_extract(paths.local_path(F.col("final_url"), config), r"^(.*/)?", 0), F.lit(".listing"))).otherwise(path)
         got = got.select(
@@ -313,19 +349,7 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], config: Cra
         if left is not None:
             table = stored(table)
             table = within_quota(table.where("bytes is not null"), left, order=("depth", "url")).drop("bytes_before").unionByName(table.where("bytes is null"))
-        found = F.col("body").isNotNull() & F.col("reason").isNull()
-        table, facts = observed(table, {
-            "rows": F.count(F.lit(1)),
-            "bytes": F.sum("bytes"),
-            "attempts": F.sum("attempts"),
-            "worst": F.max(severity(exit_code(F.col("failure")))),
-            "looks": F.max((found & recurses(F.col("depth"), config)).cast("int")),
-            "feeds": F.max((found & _is_feed(config)).cast("int")),
-            "mirrored": F.max((found & (_is_metalink(config) | F.col("link").isNotNull())).cast("int")),
-            "odd": F.max((found & F.col("body").rlike(r"//[^/\s\"'<>]*[^\x00-\x7F]")).cast("int")),
-            "listings": F.max((found & is_listing()).cast("int")),
-            "said": F.max((F.col("set_cookie").isNotNull() | F.col("strict_transport").isNotNull()).cast("int")),
-        }, f"{base_folder}/round={number}")
+        table, facts = observed(table, asks, f"{base_folder}/round={number}")
         every = spark.read.schema(table.schema).parquet(base_folder)
         for name in ("rows", "bytes", "attempts"):
             totals[name] += facts.get(name, 0)
@@ -351,9 +375,9 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], config: Cra
             base = base.where(~is_listing()) if facts.get("listings") else base
             base = base.where(~_is_metalink(config)) if mirroring else base
             # links are joined to the mirror that served the page
-            links = page_links(base.select(F.col("used_url").alias("url"), "content_type", "body"), config, feeds=bool(facts.get("feeds")))
+            links = page_links(base.select(F.col("used_url").alias("url"), "content_type", "body"), config, feeds=bool(facts.get("feeds")), columns=columns, kind=kind)
             links = charset.ascii_hosts(links) if facts.get("odd") else links
-            ok = links.where(policy.first_reason(policy.child_rules(F.col("url"), F.col("parent"), config)).isNull())
+            ok = links.where(child.isNull())
             depth = base.groupBy(F.col("used_url").alias("parent")).agg((F.min("depth") + 1).alias("depth"))
             coming.append(ok.join(depth, "parent").select("url", "depth", "parent"))
         if named is not None:

@@ -2,6 +2,7 @@
 
 import gzip
 import io
+import random
 from http.client import HTTPException
 
 import pytest
@@ -54,6 +55,19 @@ def test_files_are_written_whole(spark, tmp_path):
     assert there.read_bytes() == b"one two" and len(list(there.parent.iterdir())) == 1
 
 
+def test_prefixes(spark):
+    """A sorted sweep finds what every text begins with, across ranges too."""
+    rng = random.Random(4)
+    word = lambda: "http://" + "".join(rng.choice("ab/") for _ in range(rng.randint(1, 9)))
+    texts, keys = {word() for _ in range(400)} | {"http://é/日本"}, {word() for _ in range(150)} | {"http://", "http://é"}
+    table = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string").repartition(5)
+    got = {r.text: r.found for r in transfer.prefixes(table(texts, "text"), table(keys, "url")).collect()}
+    assert got == {t: f for t in texts if (f := sorted((k for k in keys if t.startswith(k)), key=len))}
+    assert transfer.prefixes(table(texts, "text"), table(keys, "url").limit(0)).count() == 0
+    # every text a key as well, so that ranges begin with texts whose key is in the one before
+    assert {r.text: len(r.found) for r in transfer.prefixes(table(texts, "text"), table(texts, "url")).collect()} == {t: sum(t.startswith(k) for k in texts) for t in texts}
+
+
 def test_destinations_of_a_batch(spark):
     """Free numbers in order, past existing files and past what other rows want."""
     wanted = [("a", i) for i in range(40)] + [("b", 1), ("b.1", 2), ("b", 3), ("c.2", 1), ("c.2", 2), (None, 9), ("d", 5)]

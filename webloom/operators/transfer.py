@@ -127,20 +127,57 @@ def input_links(files: DataFrame, config: CrawlConfig, *, body: str = "text") ->
     return plain.unionByName(files.select(F.explode(F.concat(*[extract.feed_links(base, F.array(F.lit(k)), F.col(body)) for k in kinds])).alias("url")))
 
 
+def prefixes(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """(text, found): for each of the texts (text) the keys (url) that it begins with, where
+    there are any.  Both are distinct.
+
+    Texts and keys are sorted together in ranges; a key stands before all texts that begin with
+    it, and the keys that are prefixes of the row at hand are a stack, as prefixes of one text
+    are prefixes of each other.  What is open where a range begins is looked up once: the
+    prefixes of the ranges' first rows, joined to the keys, come to every task (a row for each
+    range).  So each text and key is sent once, whatever their lengths."""
+    both = keys.select(F.col("url").alias("text"), F.lit(0).alias("kind")).unionByName(texts.select("text", F.lit(1).alias("kind"))).where("text is not null")
+    rows = ranges.ranged(both, "text", "kind")
+    firsts = rows.groupBy("_part").agg(F.min("text").alias("first"))
+    each = firsts.select("_part", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("first"), F.lit(1))), lambda n: F.left("first", n))).alias("url"))
+    opened = {r["_part"]: sorted(r["found"], key=len) for r in each.join(keys.select("url"), "url").groupBy("_part").agg(F.collect_set("url").alias("found")).collect()}
+    begin = rows.sparkSession.sparkContext.broadcast(opened)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, stack = None, []
+        for pdf in batches:
+            out = []
+            for part, text_, kind in zip(pdf["_part"], pdf["text"], pdf["kind"], strict=True):
+                if part != at:
+                    at, stack = part, list(begin.value.get(part, []))
+                while stack and not text_.startswith(stack[-1]):
+                    stack.pop()
+                if kind == 0:
+                    if not stack or stack[-1] != text_:
+                        stack.append(text_)
+                elif stack:
+                    out.append((text_, list(stack)))
+            yield pd.DataFrame(out, columns=["text", "found"])
+
+    # a range may be read in pieces, so the order is made again where they meet
+    return rows.repartition("_part").sortWithinPartitions("_part", "text", "kind").mapInPandas(run, "text string, found array<string>")
+
+
 def converted(pages: DataFrame, config: CrawlConfig) -> DataFrame:
     """(path, html, original) of fetched pages (url, path, body) with the URLs of all saved
     pages replaced by their paths, in the order of url; ``original`` is the text before.
 
-    A document meets only what it holds: the prefixes of the URLs written in it (or, with
-    ``convert_file_only``, its links' last segments) are joined to the saved pages."""
+    A document meets only what it holds: the URLs written in it meet the saved ones that they
+    begin with in a sorted sweep (``prefixes``), or, with ``convert_file_only``, its links are
+    joined to the saved pages."""
     saved = pages.where("path is not null").groupBy("url").agg(F.min("path").alias("path"))
     docs = pages.where("body is not null").select(F.col("path").alias("doc"), F.col("body").alias("html"), F.col("url").alias("base"))
     if config.convert_file_only:
         each = docs.select("doc", F.explode(extract.html_links(F.col("base"), F.col("html"))).alias("url"))
     else:
         said = F.array_distinct(F.regexp_extract_all("html", F.lit(r"(?:https?|ftp)://[^\s\"'<>]+"), F.lit(0)))
-        shortest = 9  # a scheme and one character
-        each = docs.select("doc", F.explode(said).alias("said")).select("doc", F.explode(F.expr(f"transform(sequence({shortest}, greatest({shortest}, length(said))), n -> left(said, n))")).alias("url")).distinct()
+        written = stored(docs.select("doc", F.explode(said).alias("said")))
+        each = written.join(prefixes(written.select(F.col("said").alias("text")).distinct(), saved.select("url")), F.col("said") == F.col("text")).select("doc", F.explode("found").alias("url")).distinct()
     found = each.join(saved, "url").groupBy("doc").agg(F.array_sort(F.collect_set(F.struct(F.col("url").alias("from"), F.col("path").alias("to")))).alias("mapping"))
     met = docs.join(found, "doc", "left")
     none = F.array().cast("array<struct<from:string,to:string>>")

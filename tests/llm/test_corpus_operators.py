@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from webloom.llm import best_fit, filter_audit, packing, phrases
+from webloom.llm import best_fit, filter_audit, packing, phrases, toxicity
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 LABELS = "doc_id bigint, quality int, toxic int"
@@ -222,3 +222,99 @@ def test_best_fit(spark, docs, rows):
     assert best_fit.pack(docs.limit(0), packing.definition()).count() == 0
     named = docs.drop("task").withColumnRenamed("doc_id", "task").withColumn("task", F.col("task").cast("string"))
     assert best_fit.pack(named, packing.definition(), key="task", length=512).count() == len(got)
+
+
+def plain_cost_balance(sizes, length):
+    """Each document, longest first, goes to the sequence of least cost with room, and on."""
+    total = sum(sizes)
+    room = [length] * (total // length) + [1 << b for b in reversed(range(length.bit_length())) if (total % length) >> b & 1]
+    used, cost, out = [0] * len(room), [0.0] * len(room), []
+    for d in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        start = 0
+        while start < sizes[d]:
+            s = min((i for i in range(len(room)) if used[i] < room[i]), key=lambda i: (cost[i], i))
+            n = min(sizes[d] - start, room[s] - used[s])
+            out.append((d, start, n, s, used[s]))
+            cost[s] += n * packing.LINEAR + n * n * packing.QUADRATIC
+            used[s] += n
+            start += n
+    return out, len(room)
+
+
+def test_cost_balanced_assignment_equals_a_plain_one(spark):
+    """Window by window, over one task's documents in their order."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["new", "york", "a", "zebra"]) for _ in range(int(rng.expovariate(1 / 90))))) for i in range(150)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), packing.definition(), length=128, window=3000).collect()
+    sizes = [len(t.encode(x, add_special_tokens=False).ids) + 1 for _, x in rows]
+    want, held, base = set(), [], 0
+    for i in range(len(rows) + 1):
+        if i == len(rows) or (held and sum(sizes[j] for j in held) + sizes[i] > 3000):
+            pieces, n = plain_cost_balance([sizes[j] for j in held], 128)
+            want |= {(held[d], start, length, base + s, offset) for d, start, length, s, offset in pieces}
+            base, held = base + n, []
+        held.append(i)
+    assert {(r.doc_id, r.start, r.length, r.sequence_id, r.offset) for r in got} == want and len(got) == len(want)
+
+
+def plain_buckets(text, sizes=toxicity.SIZES, bits=18):
+    """The buckets of a text's n-grams, one n-gram at a time."""
+    mask, mult = (1 << 64) - 1, int(toxicity.MULT)
+    points, out = [ord(c) for c in "".join(c.lower() if "A" <= c <= "Z" else c for c in text)], set()
+    for n in sizes:
+        for i in range(len(points) - n + 1):
+            h = points[i]
+            for p in points[i + 1 : i + n]:
+                h = (h * mult + p) & mask
+                h ^= h >> 29
+            out.add(((h * mult) & mask) >> (64 - bits))
+    return out
+
+
+def test_toxicity_equals_a_plain_fit(spark):
+    """Log-count ratios of distinct n-grams, and a logistic fit of the features that they
+    scale, against loops over dictionaries."""
+    rng = random.Random(12)
+    words = ["sun", "rain", "cloud", "Wind", "storm", "été", "snow"]
+    rows = []
+    for i in range(330):
+        said = [rng.choice(words) for _ in range(rng.randint(3, 12))] + (["you moron"] if i % 3 == 0 else [])
+        rows.append((i, " ".join(rng.sample(said, len(said))), int(i % 3 == 0)))
+    model = toxicity.train(spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int"))
+    sets = [(plain_buckets(x), y) for _, x, y in rows]
+    found = {y: Counter(b for s, z in sets if z == y for b in s) for y in (0, 1)}
+    total = {y: sum(found[y].values()) + toxicity.BUCKETS for y in (0, 1)}  # each count smoothed by one
+    ratio = {}
+    for b in found[0] | found[1]:
+        p, q = found[1][b] + 1, found[0][b] + 1
+        r = math.log((p / total[1]) / (q / total[0]))
+        if abs(r) >= 4 * math.sqrt(1 / p + 1 / q):
+            ratio[b] = r
+    assert ratio and set(np.flatnonzero(model.weights).tolist()) == set(ratio)
+    docs = [(sorted(s & set(ratio)), y) for s, y in sets]
+    prior = sum(y for _, y in docs) / len(docs)
+    w, bias = dict.fromkeys(ratio, 0.0), math.log(prior / (1 - prior))
+    first, second = dict.fromkeys([*ratio, None], 0.0), dict.fromkeys([*ratio, None], 0.0)
+    for t in range(1, 81):
+        grad = {b: 1e-4 * w[b] for b in w} | {None: 0.0}
+        for s, y in docs:
+            err = (1 / (1 + math.exp(-(bias + sum(w[b] * ratio[b] for b in s)))) - y) / len(docs)
+            grad[None] += err
+            for b in s:
+                grad[b] += err * ratio[b]
+        for b, g in grad.items():
+            first[b], second[b] = 0.9 * first[b] + 0.1 * g, 0.99 * second[b] + 0.01 * g * g
+            move = 0.05 / (1 + t / 40) * (first[b] / (1 - 0.9**t)) / (math.sqrt(second[b] / (1 - 0.99**t)) + 1e-8)
+            if b is None:
+                bias -= move
+            else:
+                w[b] -= move
+    assert model.bias == pytest.approx(bias, abs=1e-6)
+    assert {b: float(model.weights[b]) for b in ratio} == {b: pytest.approx(w[b] * ratio[b], abs=1e-5) for b in ratio}
+    text = "you MORON of the storm"
+    odds = bias + sum(w[b] * ratio[b] for b in plain_buckets(text) & set(ratio))
+    got = toxicity.score(spark.createDataFrame([(1, text)], "doc_id int, text string"), model).collect()[0]
+    assert got.score == pytest.approx(1 / (1 + math.exp(-odds)), abs=1e-5)

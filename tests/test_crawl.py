@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from webloom.operators import archive, crawl, policy, transfer
 from webloom.plans.config import CrawlConfig
 from webloom.sources import local, warc_files, web
+from webloom.streaming import live
 from webloom.streaming.frontier import crawl_stream
 
 SITE = [
@@ -145,3 +146,27 @@ def test_a_mirror_run_twice_fetches_nothing_the_second_time(spark, tmp_path):
     changed = [(u, h + "<a href=/new.html>n</a>" if u.endswith("a.html") else h, d.replace("1994", "1995") if u.endswith("a.html") else d) for u, h, d in dated]
     three = mirror(changed)
     assert [r.url for r in three.pages.where("action = 'write'").collect()] == ["http://s.example/a.html"] and ("http://s.example/new.html", 2, None) in visited(three)
+
+
+def test_a_live_crawl_asks_each_page_once(spark, tmp_path):
+    """Hosts' state drops what was asked for, in this run and in those before; the pages are
+    those of a crawl in rounds."""
+    asked, source, out = [], site(spark), str(tmp_path / "live")
+    config = CrawlConfig(recursive=True, level=2, span_hosts=True, wait=0.5)
+
+    def fetch(level):
+        asked.extend(r.url for r in level.select("url").collect())
+        return source(level)
+
+    live.ask_for(spark, seed(spark), out)
+    made = live.crawl_live(spark, fetch, config, out)
+    want = visited(crawl.crawl(seed(spark), source, config))
+    rows = spark.read.parquet(f"{out}/visited").collect()
+    assert {(r.url, r.depth, r.reason) for r in rows} == want and len(rows) == len(want) == made
+    assert sorted(asked) == sorted(u for u, _, _ in want)
+    # requests of a host are apart by the wait
+    dues = sorted(r.due for r in rows if r.url.startswith("http://s.example/"))
+    assert all(b - a >= 0.499 for a, b in zip(dues, dues[1:], strict=False))
+    # later seeds: only what is new
+    live.ask_for(spark, spark.createDataFrame([("http://s.example/a.html",), ("http://n.example/",)], "url string"), out)
+    assert live.crawl_live(spark, fetch, config, out) == 1 and asked[-1] == "http://n.example/"

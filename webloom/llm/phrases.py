@@ -44,7 +44,9 @@ INSIDE = 80
 TOP = 2000
 #: Bytes of text that are rewritten together, and fragments that are mined together.
 CHUNK = 4 << 20
-RUN = 1 << 18
+RUN = 1 << 17
+#: Words that are hashed and compared at a time.
+SLICE = 1 << 17
 #: Numbers of the table of counts, a power of two.
 SLOTS = 1 << 22
 #: Occurrences of a pivot, or of all pivots of a task, above which they are split.
@@ -106,7 +108,9 @@ class Chunk:
         of_text = np.array([number[x] for x in langs], np.int64)
         seeds = np.array([crc32(x.encode()) for x in names], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         lang = of_text[text]
-        hashes = run_hashes(self.data, self.starts, self.lengths) + self.lengths.astype(np.uint64)
+        # a slice of words at a time: each byte of a slice takes several numbers
+        parts = [run_hashes(self.data, self.starts[i : i + SLICE], self.lengths[i : i + SLICE]) for i in range(0, len(self.starts), SLICE)]
+        hashes = (np.concatenate(parts) if parts else np.zeros(0, np.uint64)) + self.lengths.astype(np.uint64)
         hashes = (hashes ^ seeds[lang]) * np.uint64(0xD6E8FEB86659FD93)
         _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         which = which.reshape(-1)
@@ -126,8 +130,12 @@ class Chunk:
     def _same(self, other: np.ndarray, lang: np.ndarray) -> bool:
         if (self.lengths[other] != self.lengths).any() or (lang[other] != lang).any():
             return False
-        at = spans(self.starts, self.lengths)
-        return bool((self.data[at] == self.data[at + np.repeat(self.starts[other] - self.starts, self.lengths)]).all())
+        for i in range(0, len(other), SLICE):
+            starts, lengths = self.starts[i : i + SLICE], self.lengths[i : i + SLICE]
+            at = spans(starts, lengths)
+            if (self.data[at] != self.data[at + np.repeat(self.starts[other[i : i + SLICE]] - starts, lengths)]).any():
+                return False
+        return True
 
     def words(self, which: np.ndarray) -> pa.StringArray:
         return strings(self.data, self.starts[self.first[which]], self.lengths[self.first[which]])

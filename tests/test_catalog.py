@@ -39,3 +39,24 @@ def test_entry_without_llm(monkeypatch):
     monkeypatch.setattr(e, "HAS_PIPELINE", False)
     assert set(e.queries()) == set(catalog.QUERIES)
     assert set(e.oracle_sql()) == set(catalog.ORACLE)
+
+
+@pytest.fixture(scope="module")
+def twice(spark, tmp_path_factory):
+    """Pages of which several have one URL but different bodies."""
+    at = tmp_path_factory.mktemp("twice")
+    p = spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "url", "html")
+    moved = p.where("page_id < 20").selectExpr("page_id + 100000 AS page_id", "url", "concat(html, '<a href=\"/only/', page_id, '\">x</a>') AS html")
+    p.unionByName(moved).coalesce(1).write.parquet(str(at / "pages.parquet"))
+    c = duckdb.connect()
+    c.execute(f"create view pages as select * from '{at}/pages.parquet/*.parquet'")
+    return str(at), c
+
+
+def same_where_urls_repeat(spark, twice, name):
+    got, want = catalog.QUERIES[name](spark, twice[0]).toPandas(), twice[1].sql(catalog.ORACLE[name]).df()
+    assert rows(got) == rows(want)
+
+
+def test_links_of_pages_of_one_url(spark, twice):
+    same_where_urls_repeat(spark, twice, "links_once_searched")

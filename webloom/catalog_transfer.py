@@ -385,6 +385,5 @@ def cookie_upserts(spark, d):
 @query(f"SELECT page_id, url FROM ({RESOLVED})")
 def links_once_searched(spark, d):
     """The links that a crawl would follow: those of page_links, without feeds."""
-    p = pages(spark, d, "page_id", "url", "html")
-    links = crawl.page_links(p.select("url", F.col("html").alias("body"), F.lit("text/html").alias("content_type")), CrawlConfig(), feeds=False)
-    return p.select("page_id", F.col("url").alias("parent")).join(links, "parent").select("page_id", "url")
+    p = pages(spark, d, "page_id", "url", F.col("html").alias("body"), F.lit("text/html").alias("content_type"))
+    return crawl.page_links(p, CrawlConfig(), feeds=False, keep=("page_id",)).select("page_id", "url")

@@ -141,17 +141,18 @@ def kind_of(config: CrawlConfig) -> Column:
     return extract.sniff(paths.local_path(F.col("url"), CrawlConfig(default_page=config.default_page)), F.col("content_type"), F.col("body"))
 
 
-def page_links(pages: DataFrame, config: CrawlConfig, *, feeds: bool = True, columns: LinkColumns | None = None, kind: Column | None = None) -> DataFrame:
+def page_links(pages: DataFrame, config: CrawlConfig, *, feeds: bool = True, columns: LinkColumns | None = None, kind: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(parent, url) for every link of every page, by what its body is; ``feeds`` off leaves
-    out the parser for feeds, where it is known that there are none."""
+    out the parser for feeds, where it is known that there are none.  Columns to ``keep`` come
+    first, so that of pages of one URL each has its own links."""
     columns = columns or link_columns(config)
     said = pages.where(F.col("body").isNotNull()).withColumn("kind", kind_of(config) if kind is None else kind)
-    plain = said.select(F.col("url").alias("parent"), columns.plain)
+    plain = said.select(*keep, F.col("url").alias("parent"), columns.plain)
     if not feeds:
         return plain.distinct()
     # only documents that are feeds reach the parser
     read = said.withColumn("kinds", columns.kinds).where(F.size("kinds") > 0)
-    return plain.unionByName(read.select(F.col("url").alias("parent"), columns.found)).distinct()
+    return plain.unionByName(read.select(*keep, F.col("url").alias("parent"), columns.found)).distinct()
 
 
 def _is_feed(config: CrawlConfig) -> Column:

@@ -60,3 +60,7 @@ def same_where_urls_repeat(spark, twice, name):
 
 def test_links_of_pages_of_one_url(spark, twice):
     same_where_urls_repeat(spark, twice, "links_once_searched")
+
+
+def test_lists_that_hold_one_url(spark, twice):
+    same_where_urls_repeat(spark, twice, "url_list_lines")

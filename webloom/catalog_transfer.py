@@ -116,7 +116,7 @@ def convert_links(spark, d):
 def url_list_lines(spark, d):
     """URLs of list files with comments, blank lines and spaces."""
     lists = pages(spark, d, "page_id", "url").select("page_id", F.concat(F.lit("# urls\n\n  "), "url", F.lit(" \r\n#"), "url").alias("text"))
-    return transfer.input_links(lists, CrawlConfig()).join(pages(spark, d, "page_id", "url").select("page_id", "url"), "url")
+    return transfer.input_links(lists, CrawlConfig(), keep=("page_id",))
 
 
 @query(f"SELECT DISTINCT 'http://in.example' || {ENCODED.format('href')} AS url FROM ({links_sql()}) UNION SELECT 'http://in.example/b.png'")

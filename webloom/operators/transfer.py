@@ -109,22 +109,23 @@ def listings(folders: DataFrame, config: CrawlConfig) -> DataFrame:
     return folders.select(F.concat(F.regexp_extract("path", r"^(.*/)?", 0), F.lit(".listing")).alias("path"), F.lit(config.keep_listing).alias("kept"))
 
 
-def input_links(files: DataFrame, config: CrawlConfig, *, body: str = "text") -> DataFrame:
+def input_links(files: DataFrame, config: CrawlConfig, *, body: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """URLs that input files (``text``) hold: with force flags the links of the text read as
-    each of the kinds, against ``base``; else its lines."""
+    each of the kinds, against ``base``; else its lines.  Columns of the file to ``keep`` come
+    first."""
     base = F.lit(config.base or "file:///")
     none = F.array().cast("array<string>")
     options = {"follow_tags": config.follow_tags, "ignore_tags": config.ignore_tags, "strict_comments": config.strict_comments}
     kinds = [k for k, on in (("rss", config.force_rss), ("atom", config.force_atom), ("sitemap", config.force_sitemap)) if on]
     if not (config.force_html or config.force_css or kinds):
-        lines = files.select(F.explode(F.split(F.col(body), r"\r?\n")).alias("line")).select(F.trim("line").alias("line")).where((F.col("line") != "") & ~F.col("line").startswith("#"))
-        return lines.select(urls.resolve_input(F.col("line"), config.base, config.iri).alias("url"))
+        lines = files.select(*keep, F.explode(F.split(F.col(body), r"\r?\n")).alias("_line")).select(*keep, F.trim("_line").alias("_line")).where((F.col("_line") != "") & ~F.col("_line").startswith("#"))
+        return lines.select(*keep, urls.resolve_input(F.col("_line"), config.base, config.iri).alias("url"))
     found = [extract.html_links(base, F.col(body), **options)] if config.force_html else []
     found += [extract.css_links(base, F.col(body))] if config.force_css else []
-    plain = files.select(F.explode(F.concat(*found) if found else none).alias("url"))
+    plain = files.select(*keep, F.explode(F.concat(*found) if found else none).alias("url"))
     if not kinds:
         return plain
-    return plain.unionByName(files.select(F.explode(F.concat(*[extract.feed_links(base, F.array(F.lit(k)), F.col(body)) for k in kinds])).alias("url")))
+    return plain.unionByName(files.select(*keep, F.explode(F.concat(*[extract.feed_links(base, F.array(F.lit(k)), F.col(body)) for k in kinds])).alias("url")))
 
 
 def prefixes(texts: DataFrame, keys: DataFrame) -> DataFrame:

@@ -244,6 +244,32 @@ def test_one_of_each_links_by_exact_similarity(spark):
     assert {r.doc_id for r in simhash.one_of_each(df, block=100).collect()} == want
 
 
+def test_wide_fingerprints_are_majorities():
+    rng = np.random.default_rng(29)
+    sizes = np.array([1, 4, 5, 60, 0, 300])
+    hashes = rng.integers(0, 2**64, sizes.sum(), dtype=np.uint64)
+    got = np.unpackbits(simhash.wide_fingerprints(hashes, sizes, 460), axis=1)[:, :460]
+    votes = np.unpackbits(simhash.wide_fingerprints(hashes, np.ones(len(hashes), np.int64), 460), axis=1)[:, :460]
+    ends = np.cumsum(sizes)
+    for bits, lo, hi in zip(got, ends - sizes, ends, strict=True):
+        assert (bits == (2 * votes[lo:hi].sum(axis=0, dtype=np.int64) > hi - lo)).all()
+
+
+def test_candidates_meet_by_simhash(spark):
+    """Near copies are found by their fingerprints; of the 9,710
+    other pairs, which share a third of a template, hardly any are near."""
+    rng = random.Random(31)
+    template = [f"t{i}" for i in range(50)]
+    texts = [" ".join(template + [f"w{rng.randrange(10**9)}" for _ in range(100)]) for _ in range(120)]
+    texts += [x + " and more" for x in texts[:20]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    count, width = simhash.blocks_for(len(texts))
+    prints = common.written(simhash._set_prints(df, "doc_id", "text", simhash.COMPARED + count * width))
+    names = {r.s: r.doc_id for r in prints.select("s", "doc_id").collect()}
+    edges = {frozenset((names[r.a], names[r.b])) for r in simhash.candidates(prints, count, width).collect()}
+    assert {frozenset((i, 120 + i)) for i in range(20)} <= edges and len(edges) < 40
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (200, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}

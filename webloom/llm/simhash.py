@@ -13,12 +13,14 @@ holds at most 4096; where fewer bits are free than blocks are needed, a meeting
 compared as it is.  So this ends.  A meeting hands on no
 pairs but one edge from each member to the first of its local component.
 
-``one_of_each`` (the pipeline's stage) does not estimate: MinHash bands give candidates,
-and shingle sets are compared exactly before any link is made.
+``one_of_each`` (the pipeline's stage) finds its candidates by wider fingerprints of the same
+kind, cut into as many blocks as the lower similarity asks for; texts that meet are compared
+by Hamming distance, and shingle sets exactly before any link is made.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -26,22 +28,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import fresh, map_batches, read, release_memory, slices, texts_of, written
+from webloom.llm.common import drop_shuffles, fresh, map_batches, read, release_memory, slices, texts_of, written
 from webloom.llm.components import components
 
 BITS = 3
 MOST = 4096
 SEED = 42
 CHUNK = 4 << 20
-#: Near copies: width of the shingles and least similarity; a pair at 0.8 meets under none of
-#: the bands with probability (1 - 0.8 ** ROWS) ** BANDS = 5e-6, one at 0.85 with 6e-9.
+#: Near copies: width of the shingles and least similarity.  A bit of such a pair differs with
+#: probability 0.152 at most (its angle over pi), but for four shingles among five 0.1875.
 WIDTH, LEAST = 5, (4, 5)
-BANDS, ROWS = 40, 6
+DIFFER = 0.1875
+#: Part of such pairs that may meet under no block, bits by which those that meet are compared,
+#: and most of these that may differ: so far out is one pair in 10^5 at DIFFER, and of
+#: unrelated texts, 128 bits apart, one in 10^11.
+MISSED, COMPARED, APART = 1e-5, 256, 74
+#: Rows of the votes' matrix and least picks of each shingle; fingerprints compared at once,
+#: rows and blocks at a time.
+CODE, TURNS, DENSE, SET_ROWS, PASS = 2048, 4, 1024, 512, 48
 SET_CHUNK = 1 << 19
 BLOCK = 2_000_000
-_RANDOM = np.random.default_rng(SEED)
-_FLIPS = _RANDOM.integers(0, 2**64, (BANDS, ROWS), np.uint64)
-_FACTORS = _RANDOM.integers(0, 2**64, (BANDS, ROWS), np.uint64) | np.uint64(1)
 _STIR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -122,6 +128,16 @@ def finer(mask: int, differ: int = BITS) -> list[int]:
     return [mask_of(fixed + part) for part in cut(free, differ + 1)]
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of each of ``a`` and each of ``b``, fingerprints of one word or rows of several."""
+    if a.ndim == 1:
+        return np.bitwise_count(a[:, None] ^ b[None])
+    total = np.zeros((len(a), len(b)), np.uint16)
+    for word in range(a.shape[1]):
+        total += np.bitwise_count(a[:, None, word] ^ b[None, :, word])
+    return total
+
+
 def near_edges(values: np.ndarray, differ: int) -> tuple[np.ndarray, np.ndarray]:
     """One edge (by places in ``values``) from each fingerprint that has a near one to the
     first of its component, within these values alone.  Each is compared once with those
@@ -130,7 +146,7 @@ def near_edges(values: np.ndarray, differ: int) -> tuple[np.ndarray, np.ndarray]
     to = np.full(n, -1)
 
     def met_by(front: np.ndarray, rest: np.ndarray) -> np.ndarray:
-        return (np.bitwise_count(values[front, None] ^ values[None, rest]) <= differ).any(axis=0)
+        return (apart(values[front], values[rest]) <= differ).any(axis=0)
 
     for first in range(n):
         if to[first] >= 0:
@@ -255,67 +271,151 @@ def classes(prints: DataFrame, *, key: str = "doc_id", differ: int = BITS) -> Da
     return joined.join(names, "root").select("fp", "component_id")
 
 
-def _minhash_bands(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A row of ``BANDS`` keys for each set; ``starts`` are the sets' first places, no set is empty."""
-    keys = np.empty((len(starts), BANDS), np.uint64)
-    for band in range(BANDS):
-        key = np.full(len(starts), _FLIPS[band, 0])
-        for flip, factor in zip(_FLIPS[band], _FACTORS[band], strict=True):
-            key = (key ^ np.minimum.reduceat((hashes ^ flip) * factor, starts)) * _STIR
-            key ^= key >> np.uint64(32)
-        keys[:, band] = key
-    return keys
+def blocks_for(count: int) -> tuple[int, int]:
+    """How many blocks of how many bits: few enough meet by chance that sending a fingerprint
+    costs more than comparing it, and a pair at DIFFER meets under no block with probability
+    MISSED."""
+    width = max(6, round(math.log2(max(count, 1))) - 7)
+    return math.ceil(math.log(MISSED) / math.log1p(-((1 - DIFFER) ** width))), width
+
+
+def _hadamard(n: int) -> np.ndarray:
+    h = np.ones((1, 1), np.float32)
+    while len(h) < n:
+        h = np.block([[h, h], [h, -h]])
+    return h
+
+
+def wide_fingerprints(hashes: np.ndarray, sizes: np.ndarray, bits: int) -> np.ndarray:
+    """A row of ``bits`` bits (whole bytes) for each set of shingle hashes, the sets one after
+    another in ``hashes``: set where over half of the shingles vote for it.  The votes of a
+    shingle are a row of a Hadamard matrix, or its negative, that its hash picks; so all sums
+    of a set come from how often each row was picked.  The bits come in turn from several such
+    picks, so that no set rests on one where the rows of its few shingles happen to depend on
+    each other."""
+    low, high = _hadamard(64), _hadamard(CODE // 64)
+    owner = np.repeat(np.arange(len(sizes)), sizes) * CODE
+    turns = max(TURNS, -(-bits // CODE))
+    each, out = -(-bits // turns), []
+    for turn in range(turns):
+        flip, factor = (np.uint64((2 * turn + i) * 0x9E3779B97F4A7C15 % 2**64 | 1) for i in (1, 2))
+        mixed = (hashes ^ flip) * factor
+        mixed = (mixed ^ mixed >> np.uint64(29)) * _STIR
+        picked = (mixed >> np.uint64(32)).astype(np.int64) % CODE
+        sign = 1.0 - 2.0 * (mixed >> np.uint64(63)).astype(np.float64)
+        times = np.bincount(owner + picked, weights=sign, minlength=len(sizes) * CODE).astype(np.float32)
+        total = (high @ (times.reshape(-1, 64) @ low).reshape(len(sizes), CODE // 64, 64)).reshape(len(sizes), CODE)
+        out.append(total[:, np.random.default_rng([SEED, turn]).permutation(CODE)[:each]] > 0)
+    return np.packbits(np.stack(out, axis=2).reshape(len(sizes), -1)[:, :bits], axis=1)
 
 
 def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, width), np.uint64))
 
 
-def _set_prints(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _set_prints(docs: DataFrame, key: str, text: str, bits: int) -> DataFrame:
     """``key``, ``t`` (hash of the text), ``s`` (hash of its set of shingles, 0 if empty),
-    ``n`` (its size) and ``bands`` of each row."""
+    ``n`` (its size) and ``print`` (its fingerprint) of each row."""
     import xxhash
 
     def make():
         def handle(batch: pa.RecordBatch):
             data, offsets = texts_of(batch, text)
-            for lo, hi in slices(offsets, SET_CHUNK):
-                raw, at = data[offsets[lo] : offsets[hi]].tobytes(), (offsets[lo : hi + 1] - offsets[lo]).tolist()
-                sets = [shingle_set(raw[x:y]) for x, y in zip(at, at[1:], strict=False)]
-                n = np.array([len(x) for x in sets], np.int64)
-                name = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
-                some = np.flatnonzero(n)
-                ends = np.cumsum(n[some])
-                keys = _minhash_bands(np.concatenate(sets), ends - n[some]).view(np.int64).reshape(-1) if len(some) else np.zeros(0, np.int64)
-                places = np.concatenate(([0], np.cumsum(np.where(n > 0, BANDS, 0)))).astype(np.int32)
-                yield {key: batch.column(0).slice(lo, hi - lo), "t": batch.column(1).slice(lo, hi - lo), "s": name, "n": n, "bands": pa.ListArray.from_arrays(pa.array(places), pa.array(keys))}
+            for lo, end in slices(offsets, SET_CHUNK):
+                for lo in range(lo, end, SET_ROWS):
+                    hi = min(lo + SET_ROWS, end)
+                    raw, at = data[offsets[lo] : offsets[hi]].tobytes(), (offsets[lo : hi + 1] - offsets[lo]).tolist()
+                    sets = [shingle_set(raw[x:y]) for x, y in zip(at, at[1:], strict=False)]
+                    n = np.array([len(x) for x in sets], np.int64)
+                    name = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
+                    prints = wide_fingerprints(np.concatenate(sets), n, bits)
+                    yield {key: batch.column(0).slice(lo, hi - lo), "t": batch.column(1).slice(lo, hi - lo), "s": name, "n": n, "print": [x.tobytes() for x in prints]}
 
         return handle
 
     rows = docs.select(key, F.xxhash64(text).alias("t"), text)
-    return map_batches(rows, make, f"{key} {dict(docs.dtypes)[key]}, t bigint, s bigint, n bigint, bands array<bigint>")
+    return map_batches(rows, make, f"{key} {dict(docs.dtypes)[key]}, t bigint, s bigint, n bigint, print binary")
+
+
+def _keyed(sets: DataFrame, blocks: range, width: int) -> DataFrame:
+    """``block`` (its number and its bits), ``s`` and ``seen`` (the bits that are compared) of
+    each fingerprint under each of these blocks."""
+
+    def make():
+        weights = 1 << np.arange(width, dtype=np.int64)
+
+        def handle(batch: pa.RecordBatch):
+            for lo in range(0, batch.num_rows, SET_ROWS):
+                part = batch.slice(lo, SET_ROWS)
+                data, _ = texts_of(part, "print")
+                rows = data.reshape(part.num_rows, -1)
+                first = COMPARED + blocks.start * width
+                bits = np.unpackbits(rows[:, first // 8 :], axis=1)[:, first % 8 :][:, : len(blocks) * width]
+                value = bits.reshape(len(rows), len(blocks), width) @ weights + (np.arange(blocks.start, blocks.stop) << 40)
+                seen = pa.array([x.tobytes() for x in rows[:, : COMPARED // 8]], pa.binary()).take(pa.array(np.repeat(np.arange(len(rows)), len(blocks))))
+                yield {"block": value.reshape(-1), "s": np.repeat(part.column(0).to_numpy(), len(blocks)), "seen": seen}
+
+        return handle
+
+    return map_batches(sets.select("s", "print"), make, "block bigint, s bigint, seen binary")
 
 
-def _first_of_run(batches):
-    """An edge from each row of a run of equal ``band`` to the run's first ``s``."""
+def _near_in_blocks(batches):
+    """Edges whose components are those of all pairs within a run of equal ``block`` that
+    differ in at most APART bits."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    band, first = None, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        bands, s = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        begins = np.concatenate(([0], np.flatnonzero(bands[1:] != bands[:-1]) + 1))
-        heads = s[begins].copy()
-        if band is not None and bands[0] == band:
-            heads[0] = first
-        to = np.repeat(heads, np.diff(np.append(begins, len(s))))
-        band, first = bands[-1], to[-1]
-        moved = s != to
-        if moved.any():
-            yield pa.RecordBatch.from_arrays([pa.array(s[moved]), pa.array(to[moved])], schema=schema)
+    at, held, out = None, [], []
+
+    def close():
+        if held:
+            s, seen = (np.concatenate([h[i] for h in held]) for i in range(2))
+            held.clear()
+            rows = np.arange(len(s))
+            if len(s) <= DENSE:
+                a, b = np.nonzero(np.triu(apart(seen, seen) <= APART, 1))
+                rows = np.union1d(a, b)
+            if len(s) > DENSE or len(a) > 4 * len(rows):
+                a, b = (rows[x] for x in near_edges(seen[rows], APART))
+            if len(a):
+                out.append((s[a], s[b]))
+
+    def edges():
+        a, b = (np.concatenate([x[i] for x in out]) for i in range(2))
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+
+    for batch in _then_none(batches):
+        if batch is None:
+            close()
+            break
+        block, s = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        seen = texts_of(batch, "seen")[0].reshape(len(s), -1).view(np.uint64)
+        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(s)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if at != block[lo]:
+                close()
+                at = block[lo]
+            held.append((s[lo:hi], seen[lo:hi]))
+        if len(out) > 10_000:
+            yield edges()
+    if out:
+        yield edges()
     release_memory()
 
 
+def candidates(sets: DataFrame, count: int, width: int) -> DataFrame:
+    """Edges ``a``, ``b`` between the sets (``s``, ``print``) that meet under one of ``count``
+    blocks of ``width`` bits and are near.  PASS blocks are sent at a time, so what lies on
+    disk at once does not grow with their number."""
+    edges = None
+    for first in range(0, count, PASS):
+        keyed = _keyed(sets, range(first, min(first + PASS, count)), width)
+        found = written(keyed.repartition("block").sortWithinPartitions("block").mapInArrow(_near_in_blocks, "a bigint, b bigint").distinct())
+        edges = found if edges is None else edges.unionByName(found)
+        drop_shuffles(sets.sparkSession)
+    return edges
+
+
 def similar_sets(sets: list[np.ndarray], least: tuple[int, int] = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """One edge (by places in ``sets``) from each set to the first of its component, where
     two sets are linked if their Jaccard similarity is at least ``least`` (a fraction).
@@ -392,20 +492,21 @@ def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", blo
     """``docs`` without all but the row of smallest key of each group of near copies.
 
     Two texts are linked if their sets of five-word shingles have a Jaccard similarity of
-    at least 0.8, and a group is a component of links.  Candidates meet under MinHash
-    bands and are joined to candidate groups; within these the similarity is counted
-    exactly, so no link is an estimate.  A group of more than ``block`` shingles is cut
-    into blocks and every two blocks are compared, each in its own place.
+    at least 0.8, and a group is a component of links.  Candidates meet under blocks of a
+    wide SimHash fingerprint, are near by it, and are joined to candidate groups; within these
+    the similarity is counted exactly, so no link is an estimate.  A group of more than
+    ``block`` shingles is cut into blocks and every two blocks are compared, each in its own
+    place.
 
     Of rows with equal key and text one stays; one key with several texts keeps each that
     is no near copy.  Rows with a null key have no name to be grouped by and all stay;
     texts without words are copies of each other.  Columns stay as they are.
     """
     named = docs.where(F.col(key).isNotNull())
-    prints = written(_set_prints(named, key, text))
-    each = written(prints.groupBy("s").agg(F.min(F.struct(F.col(key).alias("k"), "t")).alias("low"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    met = each.select(F.explode("bands").alias("band"), "s").repartition("band").sortWithinPartitions("band", "s")
-    roots = components(met.mapInArrow(_first_of_run, "a bigint, b bigint"))
+    count, width = blocks_for(named.count())
+    prints = written(_set_prints(named, key, text, COMPARED + count * width))
+    each = written(prints.groupBy("s").agg(F.min(F.struct(F.col(key).alias("k"), "t")).alias("low"), F.first("n").alias("n"), F.first("print").alias("print")))
+    roots = components(candidates(each.where("n > 0"), count, width))
     members = each.select("s", "n", "low").join(roots.withColumnRenamed("node", "s"), "s")
     parts = members.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("parts"))
     members = written(members.join(parts, "root").select("root", "s", "parts", F.col("low.k").alias("k"), F.col("low.t").alias("t")))

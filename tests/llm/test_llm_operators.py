@@ -665,6 +665,16 @@ def test_toxicity_held_out(spark):
     assert {r.predicted for r in toxicity.score(docs, none).collect()} == {0}
 
 
+def test_toxicity_fit_gives_memory_back(spark, monkeypatch):
+    """The driver's Python lets go of what the fit took, once it is done."""
+    rng = random.Random(37)
+    docs = spark.createDataFrame([(i, ("you idiot " if i % 2 else "") + sentence(rng, 20)) for i in range(40)], "doc_id bigint, text string")
+    calls = []
+    monkeypatch.setattr(toxicity, "release_memory", lambda: calls.append(1), raising=False)
+    toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int"))
+    assert calls
+
+
 def test_language(spark):
     rng = random.Random(4)
     other = "der die das und nicht mit sich auf eine als auch nach wie aus bei wird sind noch über schön".split()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import bucket_of, fresh, map_batches, read, slices, texts_of, written
+from webloom.llm.common import bucket_of, fresh, map_batches, read, release_memory, slices, texts_of, written
 
 SIZES = (4, 5, 6)
 BUCKETS = 1 << 18
@@ -182,7 +182,10 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     order = sorted(range(len(y)), key=lambda i: (y[i], len(sets[i]), sets[i].tobytes()))  # the same sum whatever order tasks end in
     number = np.bincount(y, minlength=2)
     share = np.array([counts.get(k, 0) / max(1, number[k]) for k in (0, 1)])
-    return fit([sets[i] for i in order], y[order], share[y[order]], used, ratio)
+    model = fit([sets[i] for i in order], y[order], share[y[order]], used, ratio)
+    del table, ys, buckets, n, got, sets
+    release_memory()  # the driver's Python would keep what the fit took
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", also: tuple[str, ...] = (), names: tuple[str, str] = ("score", "predicted")) -> DataFrame:

@@ -270,6 +270,58 @@ def test_candidates_meet_by_simhash(spark):
     assert {frozenset((i, 120 + i)) for i in range(20)} <= edges and len(edges) < 40
 
 
+def test_large_groups_give_few_edges_a_text(spark):
+    """A group's texts meet under most blocks; the edges do not grow with blocks or pairs."""
+    rng = random.Random(37)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for _ in range(400):
+        copy = list(words)
+        for _ in range(3):
+            copy[rng.randrange(len(copy))] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    count, width = simhash.blocks_for(50_000)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    prints = common.written(simhash._set_prints(df, "doc_id", "text", simhash.COMPARED + count * width))
+    edges = common.written(simhash.candidates(prints, count, width))
+    assert 399 <= edges.count() <= 3 * 400  # in two passes
+    roots = [r.root for r in components(edges).collect()]
+    assert len(roots) == 400 and len(set(roots)) == 1
+
+
+def test_blocks_sent_do_not_grow_with_the_table():
+    (small, _), (large, _) = simhash.blocks_for(50_000), simhash.blocks_for(14_000_000)
+    assert small == large <= 60
+    assert simhash.blocks_for(1 << 28)[1] == 12
+
+
+def test_large_blocks_are_cut_and_find_near_pairs():
+    rng = np.random.default_rng(41)
+    n, k = 3000, 600
+    seen = rng.integers(0, 2**64, (n, 4), dtype=np.uint64)
+    seen[-k:] = seen[:k] ^ np.packbits(rng.random((k, simhash.COMPARED)) < 0.1, axis=1).view(np.uint64)
+    assert n > simhash.DENSE
+    far = simhash.apart(seen, seen)
+    want = {(int(x), int(y)) for x, y in zip(*np.nonzero(far <= simhash.APART), strict=True) if x > y}
+    assert want == {(n - k + i, i) for i in range(k)}
+    a, b = simhash.near_in_block(seen, 7)
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == want
+    hot = seen[:1] ^ np.packbits(rng.random((n, simhash.COMPARED)) < 0.05, axis=1).view(np.uint64)
+    a, b = simhash.near_in_block(hot, 7)
+    assert a.tolist() == list(range(1, n)) and not b.any()
+
+
+def test_maybe_among_misses_nothing(spark):
+    many = spark.createDataFrame([(i % 500 if i % 7 else None, i % 3, i) for i in range(3000)], "k bigint, t bigint, _row bigint")
+    few = spark.createDataFrame([(i, 1) for i in range(0, 100)] + [(None, 2)], "k bigint, t bigint")
+    got = common.maybe_among(many, few, ["k", "t"], "asked").collect()
+    assert len(got) == 3000
+    among = {(r.k, r.t) for r in few.collect()}
+    assert all(r.asked for r in got if (r.k, r.t) in among)
+    assert sum(r.asked for r in got if (r.k, r.t) not in among) < 30
+    assert not any(r.asked for r in common.maybe_among(many, few.limit(0), ["k", "t"], "asked").collect())
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (200, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}

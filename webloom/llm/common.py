@@ -162,6 +162,22 @@ def split_join(many: DataFrame, one: DataFrame, on: list[str], *, times: str, to
     return many.join(heavy, on, how).unionByName(apart)
 
 
+#: Rows of 64 marks each that ``maybe_among`` broadcasts, at most; a power of two.
+MARKS = 1 << 17
+
+
+def maybe_among(many: DataFrame, few: DataFrame, on: list[str], name: str) -> DataFrame:
+    """``many`` with a boolean column ``name``: true where ``few`` has a row of these ``on``,
+    and by chance elsewhere (for one row in 140 if ``few`` has 60,000, for more the more it
+    has).  So what is false need not be sent to a join with ``few``; the marks broadcast are
+    of one size, whatever the tables."""
+    row, bit = fresh(many, "_row"), fresh(many, "_bit")
+    hashed = {row: F.pmod(F.xxhash64(F.lit(1), *on), F.lit(MARKS)), bit: F.expr(f"shiftleft(1L, cast(pmod(xxhash64(2, {', '.join(f'`{c}`' for c in on)}), 64) as int))")}
+    marks = few.select(*[c.alias(n) for n, c in hashed.items()]).groupBy(row).agg(F.bit_or(bit).alias(fresh(many, "_marks")))
+    met = many.withColumns(hashed).join(F.broadcast(marks), row, "left")
+    return met.withColumn(name, F.coalesce(F.col(marks.columns[1]).bitwiseAND(F.col(bit)) != 0, F.lit(False))).drop(row, bit, marks.columns[1])
+
+
 def texts_of(batch: pa.RecordBatch, column: str | int) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, null as empty, and the offsets of its rows."""
     col = batch.column(batch.schema.get_field_index(column) if isinstance(column, str) else column)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import map_batches, read, release_memory, slices, split_join, texts_of, written
+from webloom.llm.common import discard, drop_shuffles, map_batches, read, release_memory, slices, split_join, texts_of, written
 from webloom.llm.cover import PAD, same_next, suffix_order
 from webloom.llm.flat import MIX, spans
 
@@ -275,6 +275,8 @@ def repeated_windows(texts: DataFrame, most: int = MOST) -> DataFrame:
     again = written(_find_runs(texts, True).join(often.select("anchor"), "anchor"))
     total = int(often.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0])
     kinds = written(again.groupBy(*context).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(*place)).alias("rep")))
+    discard(often)
+    drop_shuffles(texts.sparkSession)  # those of anchors and runs, before texts are sent
     equal = split_join(again, kinds.where("times > 1").select(*context, "times"), context, times="times", total=total, how="left_semi").select(*place)
     crowds = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
     reps = kinds.join(crowds, "anchor").select("rep.*", "anchor", "crowd").groupBy("r1", "r2").agg(F.collect_list(F.struct("anchor", "lo", "n", "crowd")).alias("items"))

@@ -15,7 +15,10 @@ pairs but one edge from each member to the first of its local component.
 
 ``one_of_each`` (the pipeline's stage) finds its candidates by wider fingerprints of the same
 kind, cut into as many blocks as the lower similarity asks for; texts that meet are compared
-by Hamming distance, and shingle sets exactly before any link is made.
+by Hamming distance, and shingle sets exactly before any link is made.  Blocks do not get
+wider with the table, up to 2^24 texts, so each text is sent as often in a large table as in a
+small one; a meeting of many is cut again where it takes place, by choices of the bits that
+are compared.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import drop_shuffles, fresh, map_batches, read, release_memory, slices, texts_of, written
+from webloom.llm.common import drop_shuffles, fresh, map_batches, maybe_among, read, release_memory, slices, texts_of, written
 from webloom.llm.components import components
 
 BITS = 3
@@ -43,9 +46,11 @@ DIFFER = 0.1875
 #: and most of these that may differ: so far out is one pair in 10^5 at DIFFER, and of
 #: unrelated texts, 128 bits apart, one in 10^11.
 MISSED, COMPARED, APART = 1e-5, 256, 74
-#: Rows of the votes' matrix and least picks of each shingle; fingerprints compared at once,
-#: rows and blocks at a time.
-CODE, TURNS, DENSE, SET_ROWS, PASS = 2048, 4, 1024, 512, 48
+#: Rows of the votes' matrix and least picks of each shingle; fingerprints compared each with
+#: each, and how many of them with all at once; rows and blocks at a time.
+CODE, TURNS, DENSE, ROWS, SET_ROWS, PASS = 2048, 4, 1024, 32, 512, 48
+#: Part of the pairs at DIFFER that a larger meeting, cut again, may not bring together.
+UNMET = 0.01
 SET_CHUNK = 1 << 19
 BLOCK = 2_000_000
 _STIR = np.uint64(0x9E3779B97F4A7C15)
@@ -271,12 +276,19 @@ def classes(prints: DataFrame, *, key: str = "doc_id", differ: int = BITS) -> Da
     return joined.join(names, "root").select("fp", "component_id")
 
 
+def choices(width: int, missed: float, share: float = 1.0) -> int:
+    """How many choices of ``width`` bits leave a pair at DIFFER unmet under all of them with
+    probability ``missed``, if the part ``share`` of what agrees under one is found there."""
+    return math.ceil(math.log(missed) / math.log1p(-share * (1 - DIFFER) ** width))
+
+
 def blocks_for(count: int) -> tuple[int, int]:
-    """How many blocks of how many bits: few enough meet by chance that sending a fingerprint
-    costs more than comparing it, and a pair at DIFFER meets under no block with probability
-    MISSED."""
-    width = max(6, round(math.log2(max(count, 1))) - 7)
-    return math.ceil(math.log(MISSED) / math.log1p(-((1 - DIFFER) ** width))), width
+    """How many blocks of how many bits: so wide that few meet by chance in small tables, and
+    that a block's meeting is one task's work in large ones; a pair at DIFFER is brought
+    together under no block with probability MISSED."""
+    bits = round(math.log2(max(count, 1)))
+    width = max(6, min(8, bits - 7), bits - 16)
+    return choices(width, MISSED, 1 - UNMET), width
 
 
 def _hadamard(n: int) -> np.ndarray:
@@ -360,9 +372,66 @@ def _keyed(sets: DataFrame, blocks: range, width: int) -> DataFrame:
     return map_batches(sets.select("s", "print"), make, "block bigint, s bigint, seen binary")
 
 
+def stars(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges ``a``, ``b`` among 0 to n - 1 as one from each that has any to the first of
+    its component."""
+    to = np.arange(n)
+    while True:
+        x, y = to[a], to[b]
+        if (x == y).all():
+            break
+        np.minimum.at(to, np.maximum(x, y), np.minimum(x, y))
+        while (to[to] != to).any():
+            to = to[to]
+    moved = np.flatnonzero(to != np.arange(n))
+    return moved, to[moved]
+
+
+def _near_pairs(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges whose components are those of all pairs of at most APART differing bits."""
+    if len(seen) > DENSE:
+        return near_edges(seen, APART)
+    found = []
+    step = max(ROWS, 16 * DENSE // len(seen))
+    for lo in range(0, len(seen), step):
+        a, b = np.nonzero(apart(seen[lo : lo + step], seen[: lo + step]) <= APART)
+        found.append((a + lo, b))
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    return a[a > b], b[a > b]
+
+
+def near_in_block(seen: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """One edge (by places in ``seen``) from each of a block's fingerprints that has a near
+    one to the first of its component.  More than DENSE of them are cut by choices of bits,
+    which are others for each block, and compared where they agree on one."""
+    n = len(seen)
+    if n <= DENSE:
+        return stars(n, *_near_pairs(seen))
+    width = max(1, round(math.log2(n)) - 7)
+    bits = np.unpackbits(seen.view(np.uint8).reshape(n, -1), axis=1)
+    rng, weights, left, pairs = np.random.default_rng([SEED, block]), 1 << np.arange(width, dtype=np.int64), np.zeros(0, np.int64), []
+    for _ in range(choices(width, UNMET)):
+        if len(left) < width:
+            left = rng.permutation(COMPARED)
+        chosen, left = left[:width], left[width:]
+        value = bits[:, chosen] @ weights
+        order = np.argsort(value, kind="stable")
+        ends = np.flatnonzero(np.diff(value[order], append=-1)) + 1
+        for lo, hi in zip([0, *ends.tolist()], ends.tolist(), strict=False):
+            if hi - lo > 1:
+                run = order[lo:hi]
+                a, b = _near_pairs(seen[run])
+                if len(a):
+                    pairs.append((run[a], run[b]))
+        if pairs:  # few are held, however many choices find them
+            pairs = [stars(n, *(np.concatenate(x) for x in zip(*pairs, strict=True)))]
+    return pairs[0] if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def _near_in_blocks(batches):
-    """Edges whose components are those of all pairs within a run of equal ``block`` that
-    differ in at most APART bits."""
+    """Edges whose components are those of the near pairs found within each run of equal
+    ``block``: one from a fingerprint to the smallest ``s`` of its component there, so that
+    blocks in which a group meets mostly give the same edges."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     at, held, out = None, [], []
 
@@ -370,14 +439,10 @@ def _near_in_blocks(batches):
         if held:
             s, seen = (np.concatenate([h[i] for h in held]) for i in range(2))
             held.clear()
-            rows = np.arange(len(s))
-            if len(s) <= DENSE:
-                a, b = np.nonzero(np.triu(apart(seen, seen) <= APART, 1))
-                rows = np.union1d(a, b)
-            if len(s) > DENSE or len(a) > 4 * len(rows):
-                a, b = (rows[x] for x in near_edges(seen[rows], APART))
+            order = np.argsort(s, kind="stable")
+            a, b = near_in_block(seen[order], int(at) >> 40)
             if len(a):
-                out.append((s[a], s[b]))
+                out.append((s[order[a]], s[order[b]]))
 
     def edges():
         a, b = (np.concatenate([x[i] for x in out]) for i in range(2))
@@ -403,14 +468,24 @@ def _near_in_blocks(batches):
     release_memory()
 
 
+def _fewer(edges: DataFrame) -> DataFrame:
+    """The edges of ``_near_in_blocks`` as about one for each vertex: of the vertices near to
+    one, at most as many as there are blocks, it and all others are linked to the smallest."""
+    near = edges.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("near"))
+    from_ = F.concat(F.array("a"), F.slice("near", 2, F.size("near")))
+    return near.select(F.explode(from_).alias("a"), F.col("near")[0].alias("b")).distinct()
+
+
 def candidates(sets: DataFrame, count: int, width: int) -> DataFrame:
-    """Edges ``a``, ``b`` between the sets (``s``, ``print``) that meet under one of ``count``
-    blocks of ``width`` bits and are near.  PASS blocks are sent at a time, so what lies on
-    disk at once does not grow with their number."""
-    edges = None
-    for first in range(0, count, PASS):
-        keyed = _keyed(sets, range(first, min(first + PASS, count)), width)
-        found = written(keyed.repartition("block").sortWithinPartitions("block").mapInArrow(_near_in_blocks, "a bigint, b bigint").distinct())
+    """Edges ``a``, ``b`` between the sets (``s``, ``print``) whose components are those of
+    the sets that meet under one of ``count`` blocks of ``width`` bits and are near.  At most
+    PASS blocks are sent at a time, so what lies on disk at once does not grow with their
+    number."""
+    edges, step = None, math.ceil(count / math.ceil(count / PASS))
+    for first in range(0, count, step):
+        keyed = _keyed(sets, range(first, min(first + step, count)), width)
+        met = keyed.repartition("block").sortWithinPartitions("block").mapInArrow(_near_in_blocks, "a bigint, b bigint")
+        found = written(_fewer(met))
         edges = found if edges is None else edges.unionByName(found)
         drop_shuffles(sets.sparkSession)
     return edges
@@ -510,15 +585,20 @@ def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", blo
     members = each.select("s", "n", "low").join(roots.withColumnRenamed("node", "s"), "s")
     parts = members.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("parts"))
     members = written(members.join(parts, "root").select("root", "s", "parts", F.col("low.k").alias("k"), F.col("low.t").alias("t")))
-    texts = named.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("text")).join(members, ["k", "t"])
+    texts = named.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+    texts = maybe_among(texts, members, ["k", "t"], "asked").where("asked").drop("asked").join(members, ["k", "t"])
     mine, other = F.pmod(F.xxhash64("s"), F.col("parts")).cast("int"), F.col("other")
     pairs = texts.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select("root", F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j"), "s", "text")
     found = components(pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "s").mapInArrow(_verified, "a bigint, b bigint"))
     groups = each.select("s", "low").join(found.withColumnRenamed("node", "s"), "s", "left")
-    print_ = fresh(docs, "_text_hash")
-    stays = groups.groupBy(F.coalesce("root", "s").alias("g")).agg(F.min("low").alias("low")).select(F.col("low.k").alias(key), F.col("low.t").alias(print_))
-    kept = named.withColumn(print_, F.xxhash64(text)).join(stays, [key, print_], "left_semi").dropDuplicates([key, print_])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
+    stays = written(groups.groupBy(F.coalesce("root", "s").alias("g")).agg(F.min("low").alias("low")).select("low.k", "low.t"))
+    # rows that go, or of which there are several; only these and a few by chance are sent with their texts
+    rows = prints.groupBy(F.col(key).alias("k"), "t").agg(F.count(F.lit(1)).alias("times"))
+    doubtful = written(rows.join(stays.withColumn("stays", F.lit(True)), ["k", "t"], "left").where("stays is null or times > 1").select("k", "t"))
+    k, t = fresh(docs, "_key"), fresh(docs, "_text_hash")
+    judged = maybe_among(named.withColumns({k: F.col(key), t: F.xxhash64(text)}), doubtful.toDF(k, t), [k, t], doubt := fresh(docs, "_doubt"))
+    kept = judged.where(F.col(doubt)).join(stays.toDF(k, t), [k, t], "left_semi").dropDuplicates([k, t])
+    return judged.where(~F.col(doubt)).select(*docs.columns).unionByName(kept.select(*docs.columns)).unionByName(docs.where(F.col(key).isNull()))
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 3, differ: int = BITS) -> DataFrame:
